@@ -1,0 +1,4 @@
+"""Queries by name and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
