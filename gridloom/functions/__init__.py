@@ -1 +1 @@
-
+"""Column functions: colour conversions and scalar arithmetic."""

@@ -1 +1 @@
-
+"""Raster operators on DataFrames."""

@@ -1 +1 @@
-
+"""Composed plans and the registry of queries."""

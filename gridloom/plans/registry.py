@@ -1,4 +1,544 @@
-"""Queries by name and their SQL."""
+"""Queries by name, each over the raster of ``events``, and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Labels and ids are BIGINT and reals rounded DOUBLE on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color, scalar
+from ..operators import components, graph, intrinsic, kmeans, linalg, probability, regions, sfs, windows
+from ..sources import raster
+from . import segmentation
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+BASE = """
+e AS (SELECT event_id AS pid, event_id % 40 AS x, event_id // 40 AS y, greatest(value / 1000, CAST(1 AS DOUBLE) / 255) AS c0, (user_id % 16 + 1) / 16e0 AS c1, (event_id * 7 % 11 + 1) / 12e0 AS c2,
+  list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS label_noisy FROM events),
+px AS (SELECT *, (x // 8 + y // 5) % 5 AS label_block FROM e)"""
+LIGHT = (0.6, 0.0, 0.8)
+SEEDS = [(0.05, 0.2, 0.1), (0.1, 0.9, 0.3), (0.2, 0.5, 0.5), (0.02, 0.4, 0.8), (0.3, 0.7, 0.9)]
+
+
+def real(c: Column | str, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c.cast("double"), digits) + 0.0).alias("v")
+
+
+def whole(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def reals(*names: str, digits: int = 6) -> list[Column]:
+    return [real(n, digits).alias(n) for n in names]
+
+
+def query(name: str, sql: str | None = None, ctes: str = ""):
+    """Register a function of the pixels as a query, and its SQL over the view px."""
+
+    def add(function: Callable[[DataFrame], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: function(raster.events_raster(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = f"WITH RECURSIVE {BASE.strip()}{ctes and ', ' + ctes}\n{sql}"
+        return function
+
+    return add
+
+
+def r(expr: str, name: str, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
+
+
+# Colour ---------------------------------------------------------------------
+
+_EXPAND = "CASE WHEN {0} > 0.04045 THEN power(({0} + 0.055) / 1.055, 2.4) ELSE {0} / 12.92 END * 100"
+_ROWS = lambda m, a: [" + ".join(f"{v} * {k}e0" for v, k in zip(a, row, strict=True)) for row in m]
+_XYZ = "lin AS (SELECT *, " + ", ".join(f"{_EXPAND.format(c)} AS {c}l" for c in ("c0", "c1", "c2")) + " FROM px), xyz AS (SELECT *, " + ", ".join(f"{e} AS x{k}" for k, e in enumerate(_ROWS(color.TO_XYZ, ("c0l", "c1l", "c2l")))) + " FROM lin)"
+_F = "CASE WHEN {0} > 0.008856 THEN cbrt({0}) ELSE 7.787e0 * {0} + 16e0 / 116 END"
+_LAB = _XYZ + ", fxyz AS (SELECT *, " + ", ".join(f"{_F.format(f'(x{k} / {w}e0)')} AS f{k}" for k, w in enumerate(color.WHITE)) + " FROM xyz), lab AS (SELECT *, 116 * f1 - 16 AS l, 500 * (f0 - f1) AS a, 200 * (f1 - f2) AS b FROM fxyz)"
+_COMPRESS = "CASE WHEN {0} > 0.0031308 THEN 1.055 * power({0}, 1 / 2.4e0) - 0.055 ELSE 12.92 * {0} END"
+
+
+def _to_rgb(source: str) -> str:
+    return f"raw AS (SELECT *, {', '.join(f'{e} AS r{k}' for k, e in enumerate(_ROWS(color.TO_RGB, [f'(x{k} / 100)' for k in range(3)])))} FROM {source}), rgb AS (SELECT *, {', '.join(f'{_COMPRESS.format(f"r{k}")} AS o{k}' for k in range(3))} FROM raw)"
+
+
+_BACK = ("labx AS (SELECT pid, (l + 16) / 116 AS fy, a / 500 + (l + 16) / 116 AS fx, (l + 16) / 116 - b / 200 AS fz FROM {0}), xyzb AS (SELECT pid, "
+         + ", ".join(f"CASE WHEN {f} * {f} * {f} > 0.008856 THEN {f} * {f} * {f} ELSE ({f} - 16e0 / 116) / 7.787 END * {w}e0 AS x{k}" for k, (f, w) in enumerate(zip(("fx", "fy", "fz"), color.WHITE, strict=True))) + " FROM labx)")
+_AS_XYZ = "src AS (SELECT pid, c0 * 100 AS x0, c1 * 100 AS x1, c2 * 100 AS x2 FROM px)"
+_AS_LAB = "src AS (SELECT pid, c0 * 100 AS l, c1 * 100 - 50 AS a, c2 * 100 - 50 AS b FROM px)"
+
+
+def _three(converter, digits: int = 4, of=None):
+    def run(px: DataFrame) -> DataFrame:
+        px = px.withColumns(of()) if of else px
+        return color.convert(px, converter, ("o0", "o1", "o2")).select(*whole("pid"), *reals("o0", "o1", "o2", digits=digits))
+
+    return run
+
+
+def _out(names: str, digits: int = 4) -> str:
+    return ", ".join(r(n, f"o{k}", digits) for k, n in enumerate(names.split()))
+
+
+_hundred = lambda: {c: F.col(c) * 100 for c in ("c0", "c1", "c2")}
+_lab_like = lambda: {"c0": F.col("c0") * 100, "c1": F.col("c1") * 100 - 50, "c2": F.col("c2") * 100 - 50}
+query("color_rgb_xyz", f"SELECT pid, {_out('x0 x1 x2')} FROM xyz", _XYZ)(_three(color.rgb_to_xyz))
+query("color_xyz_rgb", f"SELECT pid, {_out('o0 o1 o2')} FROM rgb", f"{_AS_XYZ}, {_to_rgb('src')}")(_three(color.xyz_to_rgb, of=_hundred))
+query("color_xyz_lab", f"SELECT pid, {_out('l a b')} FROM lab", f"{_AS_XYZ}, fxyz AS (SELECT *, " + ", ".join(f"{_F.format(f'(x{k} / {w}e0)')} AS f{k}" for k, w in enumerate(color.WHITE)) + " FROM src), lab AS (SELECT *, 116 * f1 - 16 AS l, 500 * (f0 - f1) AS a, 200 * (f1 - f2) AS b FROM fxyz)")(_three(color.xyz_to_lab, of=_hundred))
+query("color_lab_xyz", f"SELECT pid, {_out('x0 x1 x2')} FROM xyzb", f"{_AS_LAB}, {_BACK.format('src')}")(_three(color.lab_to_xyz, of=_lab_like))
+query("color_rgb_lab", f"SELECT pid, {_out('l a b')} FROM lab", _LAB)(_three(color.rgb_to_lab))
+query("color_lab_rgb", f"SELECT pid, {_out('o0 o1 o2')} FROM rgb", f"{_AS_LAB}, {_BACK.format('src')}, {_to_rgb('xyzb')}")(_three(color.lab_to_rgb, of=_lab_like))
+_IC = "ic AS (SELECT *, (c0 + c1 + c2) / 3 AS i, c0 / ((c0 + c1 + c2) / 3) AS cr, c1 / ((c0 + c1 + c2) / 3) AS cg FROM px)"
+query("color_rgb_ic", f"SELECT pid, {_out('i cr cg', 6)} FROM ic", _IC)(_three(color.rgb_to_ic, 6))
+
+
+def _ic(px: DataFrame) -> DataFrame:
+    return color.convert(px, color.rgb_to_ic, ("i", "cr", "cg"))
+
+
+@query("beta_feature", "SELECT pid, CASE WHEN abs(a) < w AND abs(b) < w AND l < lo THEN -1e5 WHEN abs(a) < w AND abs(b) < w AND l > hi THEN 1e5 ELSE 0e0 END AS beta FROM lab, (SELECT .2e0 * max(abs(a)) AS w, .2e0 * max(l) AS lo, .95e0 * max(l) AS hi FROM lab)", _LAB)
+def _beta(px):
+    return intrinsic.beta_feature(color.convert(px, color.rgb_to_lab, ("l", "a", "b"))).select(*whole("pid"), "beta")
+
+
+# Scalars --------------------------------------------------------------------
+
+
+@query("functors", f"""SELECT pid, 2.5e0 AS f_constant, {r('greatest(least(c0, 0.3), 0.1)', 'f_clamp')}, {r('greatest(c0, 0.2)', 'f_max')}, {r('least(c0, 0.2)', 'f_min')}, label_noisy = 2 AS f_equal, label_noisy <> 2 AS f_not_equal,
+{r('1 / c1', 'f_reciprocal')}, {r('abs(c0 - 0.5)', 'f_abs')}, CAST(pid % 7 AS BIGINT) AS f_modulo, {r('power(c1, 3)', 'f_pow')}, {r('exp(c1)', 'f_exp')}, {r('ln(c1)', 'f_log')}, {r('c1 / 3', 'f_divides')}, {r('c1 * 3', 'f_multiplies')}, {r('c1 - 3', 'f_minus')}, {r('c1 + 3', 'f_plus')} FROM px""")
+def _functors(px):
+    f, c0, c1, n = scalar.FUNCTORS, F.col("c0"), F.col("c1"), F.col("label_noisy")
+    reals_ = {"clamp": f["clamp"](c0, 0.1, 0.3), "max": f["max"](c0, 0.2), "min": f["min"](c0, 0.2), "reciprocal": f["reciprocal"](c1), "abs": f["abs"](c0 - 0.5), "pow": f["pow"](c1, 3.0), "exp": f["exp"](c1), "log": f["log"](c1), "divides": f["divides"](c1, 3.0), "multiplies": f["multiplies"](c1, 3), "minus": f["minus"](c1, 3), "plus": f["plus"](c1, 3)}
+    others = {"constant": f["constant"](n, 2.5), "equal": f["equal"](n, 2), "not_equal": f["not_equal"](n, 2), "modulo": f["modulo"](F.col("pid"), 7).cast("long")}
+    return px.select(*whole("pid"), *(real(v).alias(f"f_{k}") for k, v in reals_.items()), *(v.alias(f"f_{k}") for k, v in others.items()))
+
+
+_Q = "CAST(floor(least(greatest({0}, 0), 1) * 255 + 0.5e0) AS BIGINT)"
+
+
+@query("quantize", "SELECT pid, " + ", ".join(f"{_Q.format(e)} AS q{k}" for k, e in enumerate(("c0 * 2 - 0.1e0", "c1", "c2 * 1.2e0"))) + " FROM px")
+def _quantize(px):
+    return px.select(*whole("pid"), *(scalar.quantize(e).cast("long").alias(f"q{k}") for k, e in enumerate((F.col("c0") * 2 - 0.1, F.col("c1"), F.col("c2") * 1.2))))
+
+
+@query("gamma_u8", f"SELECT pid, CAST(floor(255 * power({_Q.format('c1')} / 255e0, 1 / 2.2e0)) AS BIGINT) AS g FROM px")
+def _gamma_u8(px):
+    return px.select(*whole("pid"), scalar.gamma_bytes(scalar.quantize(F.col("c1"))).cast("long").alias("g"))
+
+
+@query("gamma_f", f"SELECT pid, {r('power(c1, 1 / 2.2e0)', 'g')} FROM px")
+def _gamma_f(px):
+    return px.select(*whole("pid"), real(scalar.gamma(F.col("c1"))).alias("g"))
+
+
+@query("normalize_minmax", f"SELECT pid, {r('(c0 - lo) / (hi - lo)', 'v')} FROM px, (SELECT min(c0) AS lo, max(c0) AS hi FROM px)")
+def _minmax(px):
+    return intrinsic.normalize_minmax(px, "c0", "v").select(*whole("pid"), *reals("v"))
+
+
+@query("normalize_vectors", "SELECT pid, " + ", ".join(r(f"{e} / sqrt((c0 - 0.2e0) * (c0 - 0.2e0) + (c1 - 0.5e0) * (c1 - 0.5e0) + (c2 - 0.51e0) * (c2 - 0.51e0))", n) for e, n in (("(c0 - 0.2e0)", "vx"), ("(c1 - 0.5e0)", "vy"), ("abs(c2 - 0.51e0)", "vz"))) + " FROM px")
+def _unit(px):
+    n = scalar.unit(F.col("c0") - 0.2, F.col("c1") - 0.5, F.col("c2") - 0.51)
+    return px.select(*whole("pid"), *(real(v).alias(k) for k, v in zip(("vx", "vy", "vz"), n, strict=True)))
+
+
+@query("transpose", "SELECT pid, (pid % 40) * (SELECT max(y) + 1 FROM px) + pid // 40 AS place FROM px")
+def _transpose(px):
+    size = raster.dimensions(px)
+    return px.join(size, "image_id").select(*whole("pid"), ((F.col("pid") % F.col("width")) * F.col("height") + F.expr("pid div width")).cast("long").alias("place"))
+
+
+@query("hash_pair", "SELECT pid, (pid << 31) + label_noisy AS h FROM px")
+def _hash_pair(px):
+    return px.select(*whole("pid"), scalar.pair_key(F.col("pid"), F.col("label_noisy")).alias("h"))
+
+
+_SLOT = "slot AS (SELECT *, CAST(floor(cg / mg * 19) * 19 + floor(cr / mr * 19) AS BIGINT) AS slot FROM ic, (SELECT max(cr) AS mr, max(cg) AS mg FROM ic))"
+
+
+@query("hash_chroma", "SELECT pid, slot FROM slot", f"{_IC}, {_SLOT}")
+def _hash_chroma(px):
+    px = _ic(px)
+    top = px.groupBy("image_id").agg(F.max("cr").alias("mr"), F.max("cg").alias("mg"))
+    return px.join(top, "image_id").select(*whole("pid"), scalar.chroma_slot(F.col("cr"), F.col("cg"), F.col("mr"), F.col("mg")).cast("long").alias("slot"))
+
+
+_COUNT = "least(x + 1, 16, 40 - x) * least(y + 1, 16, h - y)"
+
+
+@query("n_contributions", f"SELECT pid, CAST({_COUNT} AS BIGINT) AS n FROM px, (SELECT max(y) + 1 AS h FROM px)")
+def _contributions(px):
+    return px.join(raster.dimensions(px), "image_id").select(*whole("pid"), scalar.contributions(F.col("x"), F.col("y"), F.col("width"), F.col("height")).cast("long").alias("n"))
+
+
+# k-means --------------------------------------------------------------------
+
+_MEANS = "avg(c0) AS c0, avg(c1) AS c1, avg(c2) AS c2"
+
+
+@query("label_centroids", f"SELECT CAST(label_noisy AS BIGINT) AS label, {r('avg(c0)', 'c0')}, {r('avg(c1)', 'c1')}, {r('avg(c2)', 'c2')}, count(*) AS n FROM px GROUP BY label_noisy UNION ALL SELECT 5, 0e0, 0e0, 0e0, 0")
+def _centroids(px):
+    return kmeans.calculate_centroids(px, 6, "label_noisy").select(*whole("label"), *reals("c0", "c1", "c2"), *whole("n"))
+
+
+@query("propagate_centroids", f"SELECT pid, CAST(label_noisy AS BIGINT) AS label, {r('m.c0', 'm0')}, {r('m.c1', 'm1')}, {r('m.c2', 'm2')} FROM px JOIN (SELECT label_noisy AS label, {_MEANS} FROM px GROUP BY ALL) m ON m.label = label_noisy")
+def _propagate(px):
+    px = px.withColumn("label", F.col("label_noisy"))
+    return kmeans.propagate_centroids(px, kmeans.calculate_centroids(px)).select(*whole("pid", "label"), *reals("m0", "m1", "m2"))
+
+
+def _dist(c: str) -> str:
+    return f"(px.c0 - {c}.c0) * (px.c0 - {c}.c0) + (px.c1 - {c}.c1) * (px.c1 - {c}.c1) + (px.c2 - {c}.c2) * (px.c2 - {c}.c2)"
+
+
+_S0 = "k0(label, c0, c1, c2) AS (VALUES " + ", ".join(f"({k}, {a}e0, {b}e0, {c}e0)" for k, (a, b, c) in enumerate(SEEDS)) + ")"
+
+
+def _steps(n: int) -> str:
+    out = _S0
+    for s in range(1, n + 1):
+        out += f", l{s} AS (SELECT pid, c0, c1, c2, label FROM (SELECT px.pid, px.c0, px.c1, px.c2, k.label, row_number() OVER (PARTITION BY pid ORDER BY {_dist('k')}, k.label) AS place FROM px, k{s - 1} k) WHERE place = 1)"
+        out += f", k{s} AS (SELECT k.label, coalesce(m.c0, 0) AS c0, coalesce(m.c1, 0) AS c1, coalesce(m.c2, 0) AS c2 FROM k{s - 1} k LEFT JOIN (SELECT label, {_MEANS} FROM l{s} GROUP BY label) m USING (label))"
+    return out
+
+
+@query("kmeans_distances", f"SELECT pid, CAST(k.label AS BIGINT) AS label, {r(_dist('k'), 'dist')} FROM px, k0 k", _S0)
+def _distances(px):
+    return kmeans.distances(px, SEEDS).select(*whole("pid", "label"), *reals("dist"))
+
+
+@query("kmeans_label", "SELECT pid, CAST(label AS BIGINT) AS label FROM l1", _steps(1))
+def _label(px):
+    return kmeans.label_points(px, SEEDS).select(*whole("pid", "label"))
+
+
+def _lloyd(n: int):
+    def run(px: DataFrame) -> DataFrame:
+        found, centroids = kmeans.cluster(px, SEEDS, n, n_iter=n)
+        rows = F.array(*(F.struct(F.lit(k).alias("label"), *(F.lit(v).alias(f"c{i}") for i, v in enumerate(c))) for k, c in enumerate(centroids)))
+        means = px.sparkSession.range(1).select(F.explode(rows).alias("c")).select("c.*")
+        counts = found.groupBy("label").agg(F.count("*").alias("n"))
+        return means.join(counts, "label", "left").select(*whole("label"), *reals("c0", "c1", "c2"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+    return run
+
+
+for _n in (1, 3):
+    query(f"kmeans_step{_n}", f"SELECT CAST(k.label AS BIGINT) AS label, {r('c0', 'c0')}, {r('c1', 'c1')}, {r('c2', 'c2')}, coalesce(n, 0) AS n FROM k{_n} k LEFT JOIN (SELECT label, count(*) AS n FROM l{_n} GROUP BY label) c ON c.label = k.label", _steps(_n))(_lloyd(_n))
+
+
+@query("kmeans_shift", f"SELECT {r('sqrt(sum((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2)))', 'shift')} FROM k0 a JOIN k1 b USING (label)", _steps(1))
+def _shift(px):
+    return px.sparkSession.range(1).select(real(F.lit(kmeans.shift(SEEDS, kmeans.step(px, SEEDS)))).alias("shift"))
+
+
+# Windows --------------------------------------------------------------------
+
+
+@query("compress_labels", "SELECT pid, dense_rank() OVER (ORDER BY l) - 1 AS dense FROM (SELECT pid, CASE WHEN label_noisy = 2 THEN -1 ELSE label_noisy * 7 END AS l FROM px)")
+def _compress(px):
+    px = px.withColumn("label", F.when(F.col("label_noisy") == 2, -1).otherwise(F.col("label_noisy") * 7))
+    return components.compress_labels(px).select(*whole("pid", "dense"))
+
+
+@query("compress_segments", "SELECT pid, CAST(sum(CASE WHEN l <> p THEN 1 ELSE 0 END) OVER (ORDER BY pid) AS BIGINT) AS segment FROM (SELECT pid, label_noisy AS l, lag(label_noisy) OVER (ORDER BY pid) AS p FROM px)")
+def _segments(px):
+    return windows.compress_segments(px, "label_noisy").select(*whole("pid", "segment"))
+
+
+_RUN = "SELECT *, CAST(sum(CASE WHEN {l} <> p THEN 1 ELSE 0 END) OVER (PARTITION BY {a} ORDER BY {b}) AS BIGINT) AS run FROM (SELECT *, lag({l}) OVER (PARTITION BY {a} ORDER BY {b}) AS p FROM {t})"
+
+
+@query("run_ids", f"SELECT h.pid, h.run AS run_x, v.run AS run_y FROM ({_RUN.format(l='label_noisy', a='y', b='x', t='px')}) h JOIN ({_RUN.format(l='label_noisy', a='x', b='y', t='px')}) v USING (pid)")
+def _runs(px):
+    px = windows.run_ids(windows.run_ids(px, "label_noisy", windows.ROW, "run_x"), "label_noisy", windows.COLUMN, "run_y")
+    return px.select(*whole("pid", "run_x", "run_y"))
+
+
+@query("segment_length", f"SELECT y, run, count(*) AS n FROM ({_RUN.format(l='label_noisy', a='y', b='x', t='px')}) GROUP BY ALL")
+def _length(px):
+    return windows.segment_length(windows.run_ids(px, "label_noisy"), "y", "run").select(*whole("y", "run", "n"))
+
+
+@query("average_by_key", f"SELECT y, run, {r('avg(c0)', 'c0', 9)}, {r('avg(c1)', 'c1', 9)}, count(*) AS n FROM ({_RUN.format(l='label_noisy', a='y', b='x', t='px')}) GROUP BY ALL")
+def _average(px):
+    return windows.average_by_key(windows.run_ids(px, "label_noisy"), ["y", "run"], ["c0", "c1"]).select(*whole("y", "run"), *reals("c0", "c1", digits=9), *whole("n"))
+
+
+@query("prefix_scan", "SELECT pid, CAST(sum(label_noisy) OVER (ORDER BY pid) AS BIGINT) AS inclusive, CAST(coalesce(sum(label_noisy) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS exclusive FROM px")
+def _prefix(px):
+    px = windows.prefix_scan(px, "label_noisy", True, "inclusive")
+    return windows.prefix_scan(px, "label_noisy", False, "exclusive").select(*whole("pid", "inclusive", "exclusive"))
+
+
+@query("scan_by_key", f"SELECT pid, {r('sum(c1) OVER (PARTITION BY y ORDER BY x)', 'scan')}, {r('c1 - coalesce(lag(c1) OVER (PARTITION BY y ORDER BY x), 0)', 'difference')} FROM px")
+def _scan(px):
+    return windows.adjacent_difference(windows.scan_by_key(px, "c1"), "c1").select(*whole("pid"), *reals("scan", "difference"))
+
+
+@query("shrink_segments", "SELECT pid, label_noisy AS label, rank FROM (SELECT pid, CAST(label_noisy AS BIGINT) AS label_noisy, row_number() OVER (PARTITION BY label_noisy ORDER BY pid) AS rank FROM px) WHERE rank <= 7")
+def _shrink(px):
+    return windows.shrink_segments(px, "label_noisy", 7).select(*whole("pid"), F.col("label_noisy").cast("long").alias("label"), *whole("rank"))
+
+
+def _erode_sql(n: int, label: str, a: str, b: str, source: str, out: str) -> str:
+    runs = _RUN.format(l=label, a=a, b=b, t=source)
+    return f"{out} AS (SELECT pid, x, y, CASE WHEN row_number() OVER (PARTITION BY {a}, run ORDER BY {b}) <= {n} OR row_number() OVER (PARTITION BY {a}, run ORDER BY {b} DESC) <= {n} THEN -1 ELSE {label} END AS {label} FROM ({runs}))"
+
+
+@query("erode_h", "SELECT pid, CAST(label_block AS BIGINT) AS label FROM h", _erode_sql(2, "label_block", "y", "x", "px", "h"))
+def _erode_h(px):
+    return windows.erode_sweep(px, 2, "label_block").select(*whole("pid"), F.col("label_block").cast("long").alias("label"))
+
+
+@query("erode", "SELECT pid, CAST(label_block AS BIGINT) AS label FROM h", _erode_sql(1, "label_block", "x", "y", "px", "v") + ", " + _erode_sql(1, "label_block", "y", "x", "v", "h"))
+def _erode(px):
+    return windows.erode(px, 1, "label_block").select(*whole("pid"), F.col("label_block").cast("long").alias("label"))
+
+
+def _sobel_sql(value: str, out: str, a: str, b: str, c: str, d: str, source: str = "px") -> str:
+    smooth = f"{out}_s AS (SELECT *, coalesce(lag({value}) OVER (PARTITION BY {a} ORDER BY {b}), 0) + 2 * {value} + coalesce(lead({value}) OVER (PARTITION BY {a} ORDER BY {b}), 0) AS {out}_s FROM {source})"
+    return smooth + f", {out} AS (SELECT *, coalesce(lead({out}_s) OVER (PARTITION BY {c} ORDER BY {d}), {out}_s) - coalesce(lag({out}_s) OVER (PARTITION BY {c} ORDER BY {d}), {out}_s) AS {out} FROM {out}_s)"
+
+
+@query("sobel_derivative", f"SELECT pid, {r('dy', 'd')} FROM dy", _sobel_sql("c0", "dy", "y", "x", "x", "y"))
+def _sobel(px):
+    return windows.sobel_derivative(px, "c0", "d").select(*whole("pid"), *reals("d"))
+
+
+_NORMALS = _sobel_sql("c0", "dy", "y", "x", "x", "y") + ", " + _sobel_sql("c0", "dx", "x", "y", "y", "x", "dy") + ", nv AS (SELECT *, dx / sqrt(dx * dx + dy * dy + 4) AS nx, dy / sqrt(dx * dx + dy * dy + 4) AS ny, 2 / sqrt(dx * dx + dy * dy + 4) AS nz FROM dx)"
+
+
+@query("sobel_normals", f"SELECT pid, {r('nx', 'nx')}, {r('ny', 'ny')}, {r('nz', 'nz')} FROM nv", _NORMALS)
+def _normals(px):
+    return sfs.sobel_normals(px, "c0", 0.5).select(*whole("pid"), *reals("nx", "ny", "nz"))
+
+
+# Regions --------------------------------------------------------------------
+
+_OFF8 = "off(dir, dx, dy) AS (VALUES " + ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(raster.OFFSETS)) + ")"
+
+
+def _edges_sql(label: str, source: str = "px") -> str:
+    return f"{_OFF8}, ed AS (SELECT a.pid AS src, b.pid AS dst, dir, CAST(a.{label} AS BIGINT) AS src_label, CAST(b.{label} AS BIGINT) AS dst_label, sqrt((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2)) AS diff FROM {source} a, off JOIN {source} b ON b.x = a.x + dx AND b.y = a.y + dy WHERE a.{label} <> b.{label})"
+
+
+@query("adjacency_edges", "SELECT src, dst, CAST(dir AS BIGINT) AS dir, src_label, dst_label FROM ed", _edges_sql("label_block"))
+def _edges(px):
+    return regions.adjacency_edges(px, "label_block").select(*whole("src", "dst", "dir", "src_label", "dst_label"))
+
+
+@query("sorted_adjacency_edges", "SELECT row_number() OVER (PARTITION BY src_label, dst_label ORDER BY src, dir) AS place, src, dst, src_label, dst_label FROM ed", _edges_sql("label_block"))
+def _sorted_edges(px):
+    from pyspark.sql import Window
+
+    e = regions.adjacency_edges(px, "label_block")
+    at = F.row_number().over(Window.partitionBy("image_id", "src_label", "dst_label").orderBy("src", "dir"))
+    return e.withColumn("place", at).select(*whole("place", "src", "dst", "src_label", "dst_label"))
+
+
+@query("adjacency", "SELECT DISTINCT src_label, dst_label FROM ed", _edges_sql("label_noisy"))
+def _adjacency(px):
+    return regions.adjacency(regions.adjacency_edges(px, "label_noisy")).select(*whole("src_label", "dst_label"))
+
+
+@query("boundary_stats", f"SELECT src_label, dst_label, count(*) AS len, {r('avg(diff)', 'avg_diff')} FROM ed GROUP BY ALL", _edges_sql("label_block"))
+def _stats(px):
+    return regions.boundary_stats(px, "label_block").select(*whole("src_label", "dst_label", "len"), *reals("avg_diff"))
+
+
+_MAP = "cs AS (SELECT DISTINCT CAST(label_block AS BIGINT) AS cluster, y // 5 * 5 + x // 8 AS segment FROM px)"
+
+
+def _mapping(px: DataFrame) -> DataFrame:
+    return graph.cluster_segment_map(px.withColumn("segment", F.expr("y div 5 * 5 + x div 8")), "label_block", "segment")
+
+
+@query("cluster_segment_map", "SELECT cluster, segment FROM cs", _MAP)
+def _map(px):
+    return _mapping(px).select(*whole("cluster", "segment"))
+
+
+@query("cluster_combinations", "SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM cs GROUP BY cluster)", _MAP)
+def _combinations(px):
+    return graph.cluster_combinations(_mapping(px)).select("n")
+
+
+@query("cluster_links", "SELECT a.cluster, a.segment AS segment_a, b.segment AS segment_b FROM cs a JOIN cs b ON a.cluster = b.cluster AND a.segment <> b.segment", _MAP)
+def _links(px):
+    return graph.cluster_links(_mapping(px)).select(*whole("cluster", "segment_a", "segment_b"))
+
+
+_TARGETS = "t AS (SELECT pid AS label, CASE WHEN pid % 4 = 0 THEN pid + 1 WHEN pid % 4 = 1 THEN pid - 1 ELSE pid END AS target FROM px WHERE pid % 4 < 3 OR pid % 40 = 39)"
+
+
+@query("fix_map_cycles", "SELECT t.label, CASE WHEN b.target = t.label AND t.label > t.target THEN t.label ELSE t.target END AS target FROM t LEFT JOIN t b ON b.label = t.target", _TARGETS)
+def _cycles(px):
+    t = px.filter("pid % 4 < 3 or pid % 40 = 39").select("image_id", F.col("pid").alias("label"), F.expr("case when pid % 4 = 0 then pid + 1 when pid % 4 = 1 then pid - 1 else pid end").alias("target"))
+    return graph.fix_map_cycles(t).select(*whole("label", "target"))
+
+
+_FOLLOW = "follow AS (SELECT label, target FROM fixed UNION SELECT f.label, t.target FROM follow f JOIN fixed t ON t.label = f.target), ends AS (SELECT f.label, f.target FROM follow f LEFT JOIN fixed t ON t.label = f.target WHERE t.target = f.target OR t.target IS NULL)"
+
+
+@query("map_converge", "SELECT pid, coalesce(ends.target, pid) AS label FROM px LEFT JOIN ends ON ends.label = pid", "fixed AS (SELECT pid AS label, CASE WHEN pid % 13 = 0 THEN pid ELSE pid - 1 END AS target FROM px), " + _FOLLOW)
+def _converge(px):
+    t = px.select("image_id", F.col("pid").alias("label"), F.expr("case when pid % 13 = 0 then pid else pid - 1 end").alias("target"))
+    return graph.map_until_converged(px.withColumn("label", F.col("pid")), t).select(*whole("pid", "label"))
+
+
+_BLOCKS = "bl AS (SELECT pid, x, y, c0, c1, c2, CAST(y // 3 * 100 + x // 3 AS BIGINT) AS label FROM px)"
+_FIX = "fixed AS (SELECT t.label, CASE WHEN b.target = t.label AND t.label > t.target THEN t.label ELSE t.target END AS target FROM t LEFT JOIN t b ON b.label = t.target), " + _FOLLOW
+
+
+def _blocks(px: DataFrame) -> DataFrame:
+    return px.withColumn("label", F.expr("cast(y div 3 * 100 + x div 3 as bigint)"))
+
+
+@query("merge_small", "SELECT pid, coalesce(ends.target, bl.label) AS label FROM bl LEFT JOIN ends ON ends.label = bl.label", f"{_BLOCKS}, {_edges_sql('label', 'bl')}, m AS (SELECT label, avg(c0) AS a, avg(c1) AS b, count(*) AS n FROM bl GROUP BY label), best AS (SELECT src_label AS label, dst_label AS target FROM (SELECT *, row_number() OVER (PARTITION BY src_label ORDER BY (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b), dst_label) AS place FROM (SELECT DISTINCT src_label, dst_label FROM ed) JOIN m p ON p.label = src_label JOIN m q ON q.label = dst_label WHERE p.n < 9) WHERE place = 1), t AS (SELECT m.label, coalesce(target, m.label) AS target FROM m LEFT JOIN best USING (label)), {_FIX}")
+def _merge_small(px):
+    return regions.merge_small_segments(_blocks(px), least=9).select(*whole("pid", "label"))
+
+
+@query("merge_smooth", "SELECT pid, coalesce(ends.target, bl.label) AS label FROM bl LEFT JOIN ends ON ends.label = bl.label", f"{_BLOCKS}, {_edges_sql('label', 'bl')}, w AS (SELECT src_label, dst_label, avg(diff) AS d FROM ed GROUP BY ALL HAVING count(*) > 5 AND avg(diff) < 0.3e0 * (SELECT max(sqrt(c0 * c0 + c1 * c1 + c2 * c2)) FROM bl)), best AS (SELECT src_label AS label, dst_label AS target FROM (SELECT *, row_number() OVER (PARTITION BY src_label ORDER BY d, dst_label) AS place FROM w) WHERE place = 1), t AS (SELECT m.label, coalesce(target, m.label) AS target FROM (SELECT DISTINCT label FROM bl) m LEFT JOIN best USING (label)), {_FIX}")
+def _merge_smooth(px):
+    px = _blocks(px)
+    t = graph.fix_map_cycles(regions.smooth_boundary_targets(px, threshold=0.3, longer=5))
+    return graph.map_until_converged(px, t).select(*whole("pid", "label"))
+
+
+@query("connected_components", "SELECT x AS pid, max(y) AS component FROM reach GROUP BY x", "nb AS (SELECT a.pid AS x, b.pid AS y FROM px a JOIN px b ON a.label_noisy = b.label_noisy AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)) AND b.pid - a.pid IN (-40, -1, 1, 40)), reach AS (SELECT pid AS x, pid AS y FROM px UNION SELECT r.x, n.y FROM reach r JOIN nb n ON n.x = r.y)")
+def _components(px):
+    return components.connected_components(px, "label_noisy").select(*whole("pid", "component"))
+
+
+# Exemplars ------------------------------------------------------------------
+
+_CENT = f"cent AS (SELECT label_noisy AS label, {_MEANS} FROM px GROUP BY label_noisy)"
+_SEL = _CENT + ", sel AS (SELECT * FROM (SELECT px.*, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY (px.c0 + m.c0) * (px.c0 + m.c0) + (px.c1 + m.c1) * (px.c1 + m.c1) + (px.c2 + m.c2) * (px.c2 + m.c2), pid) AS rank FROM px JOIN cent m ON m.label = label_noisy) WHERE rank <= 10)"
+
+
+def _sets(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    px = px.withColumn("label", F.col("label_noisy"))
+    return px, probability.set_selection(px, kmeans.calculate_centroids(px))
+
+
+@query("foreground_ids", "SELECT pid, CAST(label_block AS BIGINT) AS label FROM h WHERE label_block <> -1", _erode_sql(1, "label_block", "y", "x", "px", "h"))
+def _foreground(px):
+    return probability.foreground_ids(windows.erode_sweep(px, 1, "label_block"), "label_block").select(*whole("pid", "label"))
+
+
+@query("set_selection", "SELECT label, pid, rank FROM sel", _SEL)
+def _selection(px):
+    return _sets(px)[1].select(*whole("label", "pid", "rank"))
+
+
+@query("remove_outliers", "SELECT label, pid, rank FROM sel WHERE pid IN (SELECT a FROM (SELECT p.pid AS a, p.label = q.label AS same, row_number() OVER (PARTITION BY p.pid ORDER BY (p.c0 - q.c0) * (p.c0 - q.c0) + (p.c1 - q.c1) * (p.c1 - q.c1) + (p.c2 - q.c2) * (p.c2 - q.c2), q.pid) AS place FROM sel p JOIN sel q ON p.pid <> q.pid) WHERE place <= 10 GROUP BY a HAVING count(*) FILTER (same) >= 3)", _SEL)
+def _outliers(px):
+    px, ids = _sets(px)
+    return probability.remove_outliers(px, ids, votes=3).select(*whole("label", "pid", "rank"))
+
+
+@query("set_probability", f"SELECT label, pid, {r('exp(g - top) / sum(exp(g - top)) OVER (PARTITION BY pid)', 'p')} FROM (SELECT *, max(g) OVER (PARTITION BY pid) AS top FROM lg)", _SEL + ", lg AS (SELECT px.pid, s.label, 20 * ln(greatest(avg((px.c0 + s.c0) * (px.c0 + s.c0) + (px.c1 + s.c1) * (px.c1 + s.c1) + (px.c2 + s.c2) * (px.c2 + s.c2)), 1e-300)) AS g FROM px, sel s GROUP BY px.pid, s.label)")
+def _probability(px):
+    return probability.set_probability(*_sets(px)).select(*whole("label", "pid"), *reals("p"))
+
+
+def _albedo_sql(n: int) -> str:
+    out = f"{_IC}, {_SLOT}, hh AS (SELECT max(y) + 1 AS h FROM px), win AS (SELECT pid, slot, i, x, y, h, wx, wy FROM slot, hh, range(0, 25) a(wx), range(0, 100000) b(wy) WHERE wx BETWEEN x - 15 AND x AND wy BETWEEN y - 15 AND y AND wy <= h - 16), a0 AS (SELECT pid, i AS a FROM slot)"
+    out = out.replace("range(0, 100000) b(wy)", "(SELECT DISTINCT y AS wy FROM px)")
+    for k in range(1, n + 1):
+        out += f", s{k} AS (SELECT wx, wy, sum(i / a) / 256 AS sh FROM win JOIN a{k - 1} USING (pid) GROUP BY ALL), m{k} AS (SELECT wx, wy, slot, avg(i) AS m FROM win GROUP BY ALL)"
+        out += f", a{k} AS (SELECT pid, sum(m / sh) / any_value({_COUNT}) AS a FROM win JOIN m{k} USING (wx, wy, slot) JOIN s{k} USING (wx, wy) GROUP BY pid)"
+    return out
+
+
+for _n in (1, 2):
+    query(f"albedo_intensity_{_n}", f"SELECT pid, {r('a', 'albedo', 9)} FROM a{_n}", _albedo_sql(_n))(
+        lambda px, n=_n: intrinsic.estimate_albedo_intensity(_ic(px), n_iter=n).select(*whole("pid"), *reals("albedo", digits=9))
+    )
+
+
+@query("albedo", f"SELECT pid, {r('i * cr', 'a0')}, {r('i * cg', 'a1')}, {r('i * (3 - cr - cg)', 'a2')} FROM ic", _IC)
+def _albedo(px):
+    return intrinsic.albedo_channels(_ic(px), "i").select(*whole("pid"), *reals("a0", "a1", "a2"))
+
+
+# Sparse matrices and shape from shading --------------------------------------
+
+_GRID = "g4 AS (SELECT a.pid AS i, b.pid AS j, b.y = a.y AS across FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy) JOIN px b ON b.x = a.x + dx AND b.y = a.y + dy)"
+_POISSON = _GRID + ", po AS (SELECT i, j, -1e0 AS v FROM g4 UNION ALL SELECT i, i, CAST(count(*) AS DOUBLE) FROM g4 GROUP BY i)"
+_PLIGHT = "np AS (SELECT max(pid) + 1 AS n FROM px), li(r, l) AS (VALUES (0, 0.6e0), (1, 0e0), (2, 0.8e0)), lm AS (SELECT pid + p.r * n AS i, pid + q.r * n AS j, p.l * q.l AS v FROM px, np, li p, li q)"
+
+
+@query("grid_matrix", "SELECT i, j, 1e0 AS v FROM g4", _GRID)
+def _grid(px):
+    return linalg.grid_matrix(px).select(*whole("i", "j"), "v")
+
+
+@query("poisson_matrix", "SELECT i, j, v FROM po", _POISSON)
+def _poisson(px):
+    return linalg.poisson_matrix(px).select(*whole("i", "j"), "v")
+
+
+@query("lighting_matrix", f"SELECT i, j, {r('v', 'v')} FROM lm", _PLIGHT)
+def _lighting(px):
+    return linalg.lighting_matrix(px, LIGHT).select(*whole("i", "j"), *reals("v"))
+
+
+@query("lighting_vector", f"SELECT pid + r * n AS i, {r('c1 * l', 'v')} FROM px, np, li", _PLIGHT)
+def _lighting_vector(px):
+    return linalg.lighting_vector(px, LIGHT, "c1").select(*whole("i"), *reals("v"))
+
+
+@query("sparse_add", f"SELECT i, j, {r('sum(v)', 'v')} FROM (SELECT * FROM lm UNION ALL SELECT i + r * n, j + r * n, 2 * v FROM po, np, li) GROUP BY ALL", f"{_POISSON}, {_PLIGHT}")
+def _add(px):
+    return linalg.sparse_add(linalg.lighting_matrix(px, LIGHT), linalg.poisson_matrix(px, blocks=3), 2.0).select(*whole("i", "j"), *reals("v"))
+
+
+@query("spmv", f"SELECT i, {r('sum(v * c0)', 'v')} FROM po JOIN px ON pid = j GROUP BY i", _POISSON)
+def _spmv(px):
+    x = px.select("image_id", F.col("pid").alias("i"), F.col("c0").alias("v"))
+    return linalg.spmv(linalg.poisson_matrix(px), x).select(*whole("i"), *reals("v"))
+
+
+_REL = f"""{_NORMALS}, {_GRID}, pr AS (SELECT i, j, CASE WHEN across THEN a.nx ELSE a.ny END AS p, a.nz AS q, CASE WHEN across THEN b.nx ELSE b.ny END AS s, b.nz AS t FROM g4 JOIN nv a ON a.pid = i JOIN nv b ON b.pid = j),
+un AS (SELECT i, j, p / sqrt(p * p + q * q) AS p, q / sqrt(p * p + q * q) AS q, s / sqrt(s * s + t * t) AS s, t / sqrt(s * s + t * t) AS t FROM pr),
+rel AS (SELECT i, j, CASE WHEN i > j THEN -1 ELSE 1 END * CASE WHEN abs(p - s) > 1e-7 THEN (q - t) / (p - s) WHEN p = 0 THEN 0 WHEN q = 0 THEN 1e7 ELSE p / q END AS v FROM un)"""
+
+
+@query("relative_heights", f"SELECT i, j, {r('v', 'v', 4)} FROM rel", _REL)
+def _relative(px):
+    return sfs.relative_heights(sfs.sobel_normals(px, "c0", 0.5)).select(*whole("i", "j"), *reals("v", digits=4))
+
+
+@query("height_rhs", f"SELECT i, {r('sum(v)', 'v', 4)} FROM rel GROUP BY i", _REL)
+def _rhs(px):
+    return sfs.height_rhs(sfs.relative_heights(sfs.sobel_normals(px, "c0", 0.5))).select(*whole("i"), *reals("v", digits=4))
+
+
+@query("estimate_normals")
+def _estimate(px):
+    return sfs.estimate_normals(px, LIGHT, 1.0, "c1").select(*whole("pid"), *reals("nx", "ny", "nz", digits=4))
+
+
+@query("absolute_heights")
+def _absolute(px):
+    relative = sfs.relative_heights(sfs.sobel_normals(px, "c0", 0.5))
+    return sfs.absolute_heights(relative, px, max_iter=2000).select(*whole("pid"), *reals("h", digits=4))
+
+
+@query("segmentation")
+def _segmentation(px):
+    """The whole chain over a raster of eight bands of colour, so that regions survive erosion at any size."""
+    band = F.expr("cast(y * 8 div height as int)")
+    px = px.join(raster.dimensions(px), "image_id").withColumn("band", band)
+    px = px.withColumns({f"c{k}": (F.col("band") * m % 8 + 1) / 9.0 for k, m in enumerate((1, 3, 5))}).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
+    return segmentation.segment(px, max_iter=20, erosion=1, n_iter=2)[1].select(*whole("label", "pid"), *reals("p", digits=4))

@@ -1 +1 @@
-
+"""Sources and sinks: raster views, images, generators, shared tables."""
