@@ -8,21 +8,27 @@ whole, so ids always equal the library's.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: White space other than blank and line feed (as either library sees it), and
 #: the opening of special-token strings: such texts aren't cut.
-_WHOLE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
+_WHOLE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|")
+#: Letters whose case may depend on what stands around them: such texts aren't folded.
+_WIDE = re.compile("[^\\0-\xff]")
+#: In front of a chunk's name: the chunk as it is, without a blank.
+_AS_IS = "\0"
 _CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
-#: White space and letters that both vocabularies keep together as one word.
-_PLAIN = re.compile("[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A chunk that ends with a letter and one of these marks: both vocabularies
+#: Letters that both vocabularies keep together as one word with a blank before it.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A chunk that ends with a letter and a run of ASCII marks: both vocabularies
 #: end a token between the two.
-_MARKED = re.compile("(?s).*[^\\W\\d_][.,]\\Z")
+_MARKED = re.compile("(?s)(.*[^\\W\\d_])([!-/:-@\\[-`{-~]+)\\Z")
 
 
 class ChunkEncoder:
@@ -33,7 +39,7 @@ class ChunkEncoder:
     a call.
     """
 
-    def __init__(self, file: str, max_chunks: int = 800_000, max_len: int = 64):
+    def __init__(self, file: str, max_chunks: int = 500_000, max_len: int = 64):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,6 +55,8 @@ class ChunkEncoder:
         names = [self.library.id_to_token(i) or "" for i in range(size)]
         #: Ids that end a word, or, without such a suffix, that start one.
         self.ends = bool(suffix)
+        #: Whether case and the kind of white space make no difference.
+        self.folds = self.ends and self._encode(["The\n Élan"]) == self._encode(["the élan"])
         self.edge = np.array([x.endswith(suffix) if suffix else x.startswith("Ġ") for x in names])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -60,7 +68,7 @@ class ChunkEncoder:
         out: list[bytes] = []
         for i in range(0, len(words), 2_000):
             part = words[i : i + 2_000]
-            ids = np.array(self.library.encode(" ".join(x.strip(" \n") for x in part) if self.ends else "".join(part), add_special_tokens=False).ids, self.width)
+            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, self.width)
             at = np.flatnonzero(self.edge[ids])
             if len(at) != len(part):
                 out += self._encode(part)
@@ -70,51 +78,79 @@ class ChunkEncoder:
             out += [raw[a * n : b * n] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def _add(self, new: list[str]) -> list[str]:
-        """Encode chunks that the table lacks; a mark after a letter is split off, so that the word is encoded once. Returns what the table gained."""
+    def _add(self, new: set[str]) -> list[str]:
+        """Encode chunks that the table lacks; marks after a letter are split off, so that the word is encoded once. Returns what the table gained."""
         table = self.table
-        marked = [c for c in new if _MARKED.match(c)]
-        todo = {*new, ".", ","}.difference(marked).union(c[:-1] for c in marked)
-        todo = [c for c in todo if c not in table]
-        gained = [*todo, *marked]
-        plain = [c for c in todo if _PLAIN.fullmatch(c) and (self.ends or (c[0] == " " and c[1] not in " \n"))]
-        table.update(zip(plain, self._encode_plain(plain), strict=True))
-        todo = [c for c in todo if c not in table]
-        for i in range(0, len(todo), 20_000):
-            part = todo[i : i + 20_000]
-            table.update(zip(part, self._encode(part), strict=True))
-        for c in marked:
-            table[c] = table[c[:-1]] + table[c[-1]]
-        return gained
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The text's chunks, or None where it must stay whole."""
+        marked = {c: (m[1], _AS_IS + m[2]) for c in new if (m := _MARKED.match(c))}
+        todo = new.difference(marked).union(*marked.values()).difference(table)
+        plain = [c for c in todo if _PLAIN.fullmatch(c)]
+        table.update(zip(plain, self._encode_plain([" " + c for c in plain]), strict=True))
+        rest = list(todo.difference(plain))
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            chunks = [c[1:] if c[0] == _AS_IS else c if c[0] == "\n" else " " + c for c in part]
+            table.update(zip(part, self._encode(chunks), strict=True))
+        for c, (word, marks) in marked.items():
+            table[c] = table[word] + table[marks]
+        return [*todo, *marked]
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The text's chunks, or None where it must stay whole.
+
+        A chunk is named without the blank that it begins with, but for the
+        text's first; where white space comes in runs, chunks keep all of it
+        and are named by a mark in front.
+        """
         if _WHOLE.search(text):
             return None
-        return _CHUNK.findall(text)
+        if self.folds:
+            return (text.lower() if text.isascii() or not _WIDE.search(text) else text).split()
+        found = text.replace("\n", " \n").split(" ")
+        if "" in found or "\n" in found:
+            return [_AS_IS + c for c in _CHUNK.findall(text)]
+        found[0] = _AS_IS + found[0]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        cut = [self.chunks(t) if t else [] for t in texts]
         table = self.table
         full = len(table) > self.max_chunks
-        new = [c for c in set().union(*(x for x in cut if x)) if c not in table]
+        known, gaps, new = [], [], set()
+        for text in texts:
+            names = self.pieces(text) if text else []
+            values = None if names is None else list(map(table.get, names))
+            known.append(values)
+            if values and None in values:
+                at = [i for i, v in enumerate(values) if v is None]
+                missing = [names[i] for i in at]
+                gaps.append((values, at, missing))
+                new.update(missing)
         gained = self._add(new)
-        get = table.__getitem__
-        out = [self._encode([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
-        for c in gained:
-            if full or len(c) > self.max_len:
-                del table[c]
+        for values, at, missing in gaps:
+            for i, name in zip(at, missing, strict=True):
+                values[i] = table[name]
+        out = [self._encode([t])[0] if v is None else b"".join(v) for t, v in zip(texts, known, strict=True)]
+        for name in gained:
+            if full or len(name) > self.max_len:
+                del table[name]
         return [np.frombuffer(b, self.width) for b in out]
 
 
-def batches(columns: list[list], sizes: list[int], most: int):
-    """Cut parallel lists into runs of at most ``most`` in total size (one row at least)."""
+@functools.lru_cache(maxsize=2)
+def encoder_of(file: str, max_chunks: int = 1_500_000) -> ChunkEncoder:
+    """The process's encoder: a Python worker keeps its table from task to task."""
+    return ChunkEncoder(file, max_chunks)
+
+
+def slices(batch, column: int, most: int, extra: int = 0):
+    """Cut an Arrow batch into slices of at most ``most`` bytes of a text column (one row at least); ``extra`` bytes a row count too."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
+        n += extra
         if i > start and total + n > most:
-            yield tuple(c[start:i] for c in columns)
+            yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
     if sizes:
-        yield tuple(c[start:] for c in columns)
+        yield batch.slice(start)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkEncoder, batches
+from .chunks import encoder_of, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -163,7 +163,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
     """One row a piece. sequence_id: the task's number times 2**32, plus the window's number in the task."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end, sequence = np.array([end_id], encoder.width), TaskContext.get().partitionId() << 32
         group: list[tuple[int | None, np.ndarray, int]] = []
         held = 0
@@ -192,9 +192,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], [f.split()[0] for f in PIECES.split(", ")])
 
         for batch in source:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some, their in batches([names, texts], [len(t or "") for t in texts], 4_000_000):
-                for d, x in zip(some, encoder.encode(their), strict=True):
+            for piece in slices(batch, 1, 4_000_000):
+                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
                     group.append((d, np.append(x, end), 0))
                     held += len(x) + 1
                     if held >= group_tokens:

@@ -17,6 +17,7 @@ whole; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from array import array
@@ -78,6 +79,12 @@ class PieceEncoder:
         return self.library.decode(ids.tolist())
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(file: str) -> PieceEncoder:
+    """The process's encoder: a Python worker keeps its table from task to task."""
+    return PieceEncoder(file)
+
+
 def digests(encoder: PieceEncoder, texts: list[str | None]) -> list[list]:
     ids = encoder.encode(texts)
     return [
@@ -91,7 +98,7 @@ def add_pieces(docs: DataFrame, model: str, keep: list[str] | None = None) -> Da
     """Add n_tokens, ids (binary, little-endian 32-bit) and decoded (the text that the ids decode to)."""
 
     def start():
-        encoder = PieceEncoder(model)
+        encoder = encoder_of(model)
 
         def run(texts):
             ids = encoder.encode(texts)
@@ -106,7 +113,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document."""
 
     def start():
-        encoder = PieceEncoder(model)
+        encoder = encoder_of(model)
         return lambda texts: digests(encoder, texts)
 
     added = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]

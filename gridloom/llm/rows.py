@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import batches
+from .chunks import slices
 
 
-def add_columns(df: DataFrame, text: str, compute: Callable[[], Callable[[list[str | None]], list[list]]], added: list[tuple[str, T.DataType, pa.DataType]], keep: list[str] | None = None, most: int = 8_000_000) -> DataFrame:
-    """Add columns computed from one text column, in Arrow batches of at most ``most`` characters.
+def add_columns(df: DataFrame, text: str, compute: Callable[[], Callable[[list[str | None]], list[list]]], added: list[tuple[str, T.DataType, pa.DataType]], keep: list[str] | None = None, most: int = 6_000_000) -> DataFrame:
+    """Add columns computed from one text column, in Arrow batches of at most ``most`` bytes of text.
 
     ``compute()`` is called once a task; what it returns maps a list of texts
     to the lists of the added columns. Rows stay in their partitions and order.
@@ -25,12 +25,9 @@ def add_columns(df: DataFrame, text: str, compute: Callable[[], Callable[[list[s
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = compute()
         for batch in stream:
-            texts = batch.column(at).to_pylist()
-            start = 0
-            for (part,) in batches([texts], [len(t or "") for t in texts], most):
-                piece = batch.slice(start, len(part))
-                start += len(part)
-                columns = [pa.array(c, t) for c, (_, _, t) in zip(function(part), added, strict=True)]
+            for piece in slices(batch, at, most):
+                results = function(piece.column(at).to_pylist())
+                columns = [pa.array(c, t) for c, (_, _, t) in zip(results, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], *columns], schema.names)
 
     return source.mapInArrow(run, schema)
