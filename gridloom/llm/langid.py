@@ -34,7 +34,7 @@ from .rows import add_columns
 UNKNOWN = "und"
 PER_LANG = 1000
 TABLE = 1 << 16
-KEEP = 0.5
+KEEP = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, and their scripts.
 SCRIPTS = [

@@ -72,6 +72,7 @@ class Model:
     w2: np.ndarray
     b2: float
     temperature: float
+    prior: np.ndarray  # mean features of good documents
     constant: float | None = None
 
 
@@ -101,7 +102,9 @@ class Pooler:
             self.sums[row, -1] = key[0]
         return row
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Features and number of words of each text."""
+        sizes = np.zeros(len(texts))
         out = np.zeros((len(texts), self.dim + 1), np.float32)
         for i, text in enumerate(texts):
             words = (text or "").split()
@@ -118,10 +121,16 @@ class Pooler:
                 at = np.fromiter(map(self.places.__getitem__, some), np.int64, len(some))
                 total += self.sums[at].sum(0, dtype=np.float64)
                 again += sum(map(str.__eq__, some[1:], some))
+            sizes[i] = len(words)
             if words:
                 out[i, :-1] = total[:-1] / total[-1]
                 out[i, -1] = again / len(words)
-        return out
+        return out.astype(np.float64), sizes
+
+
+def smoothed(features: np.ndarray, sizes: np.ndarray, prior: np.ndarray, words: float = 8.0) -> np.ndarray:
+    """Features as if each text had some ``words`` of a good document besides its own: few words prove little."""
+    return (features * sizes[:, None] + prior * words) / (sizes[:, None] + words)
 
 
 def word_vectors(texts: list[str], dim: int = DIM, window: int = 2, least: int = 5) -> dict[str, np.ndarray]:
@@ -152,13 +161,15 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 16, epochs: in
     y = np.array(labels, np.float64)
     if len(y) == 0 or y.min() == y.max():
         none = np.zeros(0)
-        return Model({}, none, none, none, none, none, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
+        return Model({}, none, none, none, none, none, 0.0, 1.0, none, float(y.mean()) if len(y) else 0.5)
     vectors = word_vectors([t or "" for t in texts])
-    x = Pooler(vectors).features(texts).astype(np.float64)
+    x, sizes = Pooler(vectors).features(texts)
     rng = np.random.default_rng(seed)
     held = rng.random(len(y)) < 0.2
     if held.all() or not held.any() or len(set(y[~held])) < 2:
         held[:] = False
+    prior = x[~held & (y == 1) & (sizes > 0)].mean(0) if (~held & (y == 1) & (sizes > 0)).any() else np.zeros(x.shape[1])
+    x = smoothed(x, sizes, prior)
     mean, scale = x[~held].mean(0), x[~held].std(0) + 1e-3
     x = np.clip((x - mean) / scale, -8, 8)
     w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
@@ -178,7 +189,7 @@ def fit(texts: list[str | None], labels: list[int], hidden: int = 16, epochs: in
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 w[k] = w[k] - 0.005 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    model = Model(vectors, mean, scale, w[0], w[1], w[2], float(w[3][0]), 1.0)
+    model = Model(vectors, mean, scale, w[0], w[1], w[2], float(w[3][0]), 1.0, prior)
     where = held if held.any() else ~held
     z, truth = logits(model, x[where], scaled=True), y[where]
     grid = np.geomspace(0.5, 20, 80)
@@ -195,7 +206,8 @@ def logits(model: Model, x: np.ndarray, scaled: bool = False) -> np.ndarray:
 def scores(model: Model, pooler: Pooler, texts: list[str | None]) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    z = np.clip(logits(model, pooler.features(texts).astype(np.float64)) / model.temperature, -500, 500)
+    x = smoothed(*pooler.features(texts), model.prior)
+    z = np.clip(logits(model, x) / model.temperature, -500, 500)
     return np.where([bool((t or "").strip()) for t in texts], 1 / (1 + np.exp(-z)), 0.5)
 
 
