@@ -1,0 +1,32 @@
+"""The subpackage's queries against their SQL, and the pipeline."""
+
+import pytest
+from helpers import DATA, check
+
+from gridloom.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, name):
+    check(spark, queries.QUERIES[name], queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_one_row_a_document(spark, name):
+    out = queries.QUERIES[name](spark, DATA)
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert out.select("doc_id").distinct().count() == n
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "exact_dedup", "near_dedup", "packing"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, DATA)
+        assert left.columns == docs.columns
+    out = corpus_pipeline.run(spark, DATA)
+    kept = {r[0] for r in out.select("doc_id").distinct().collect()}
+    assert kept == {r[0] for r in left.select("doc_id").collect()} and 0 < len(kept) < docs.count()
