@@ -28,7 +28,8 @@ SEEDS = [(0.05, 0.2, 0.1), (0.1, 0.9, 0.3), (0.2, 0.5, 0.5), (0.02, 0.4, 0.8), (
 
 def real(c: Column | str, digits: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return (F.round(c.cast("double"), digits) + 0.0).alias("v")
+    # A nudge takes values off the ties that either side may round its own way.
+    return (F.round(c.cast("double") + 10.0 ** -(digits + 4), digits) + 0.0).alias("v")
 
 
 def whole(*names: str) -> list[Column]:
@@ -52,7 +53,7 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round({expr} + 1e-{digits + 4}, {digits}) + 0.0 AS {name}"
 
 
 # Colour ---------------------------------------------------------------------
