@@ -26,8 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows survives lost executors and has a short plan."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
