@@ -16,8 +16,9 @@ documents link when 100 * |intersection| >= 80 * |union|.
    other pairs can't change the answer. Lists that aren't get further pivots
    from outside their largest component. What is left is compared pairwise,
    but for pairs whose distances to the first pivot differ by more than the
-   threshold allows (Jaccard distance is a metric), and pairs inside one
-   component.
+   threshold allows (Jaccard distance is a metric), pairs whose signatures
+   (hash counts by bucket) bound their overlap below the least one, and pairs
+   inside one component.
 
 Every join and aggregate is keyed by shingle, set or pair; no group is
 collected, and pairs are made only across components of a list.
@@ -30,6 +31,7 @@ than all others; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,12 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import batches
+from .chunks import slices
 from .graph import components
 
 WORDS = 5
 PERCENT = 80
-PIVOTS = 3  # rounds of further pivots before pairs
+PIVOTS = 2  # rounds of further pivots before pairs
+BUCKETS = 128  # counts in a set's signature
 SHINGLES_A_RANGE = 1_500_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -61,7 +64,7 @@ class _Hashes(dict):
 class Shingler:
     """Sorted distinct shingle hashes of whole texts."""
 
-    def __init__(self, words: int = WORDS, most: int = 500_000):
+    def __init__(self, words: int = WORDS, most: int = 300_000):
         self.words, self.most, self.table = words, most, _Hashes()
 
     def _mix(self, x: np.ndarray) -> np.ndarray:
@@ -87,6 +90,17 @@ class Shingler:
         return out[np.append(True, out[1:] != out[:-1])]
 
 
+@functools.lru_cache(maxsize=2)
+def _shingler(words: int) -> Shingler:
+    """The process's shingler: a Python worker keeps its table of words from task to task."""
+    return Shingler(words)
+
+
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each bucket: the least of two sets' counts, summed, bounds their overlap."""
+    return np.bincount((hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -105,20 +119,20 @@ def _send(ranges: int, words: int):
     """Per block of documents: a row a document, and a message to each hash range."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, block = Shingler(words), TaskContext.get().partitionId() << 32
+        shingler, number = _shingler(words), TaskContext.get().partitionId()
+        block = number << 32
         for batch in source:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for docs, their in batches([names, texts], [len(t or "") + 200 for t in texts], 12_000_000):
+            for piece in slices(batch, 1, 8_000_000, 200):
                 known: dict[bytes, int] = {}
                 sets: list[np.ndarray] = []
                 rows: list[list] = [[] for _ in range(8)]
-                for d, t in zip(docs, their, strict=True):
+                for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     hashes = shingler.set_of(t)
                     key = set_key(hashes)
                     if len(hashes) and key not in known:
                         known[key] = len(sets)
                         sets.append(hashes)
-                    for column, value in zip(rows, (block % ranges, block, known.get(key, -1), d, len(hashes), key, None, None), strict=True):
+                    for column, value in zip(rows, ((number + block) % ranges, block, known.get(key, -1), d, len(hashes), key, None, None), strict=True):
                         column.append(value)
                 yield _batch(_MESSAGES, rows)
                 if sets:
@@ -178,23 +192,22 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFr
 
 
 def candidate_sets(docs: DataFrame, prints: DataFrame, replies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Distinct sets that may have a partner: (set, set_key, n, hashes)."""
+    """Distinct sets that may have a partner: (set, set_key, n, hashes, signature)."""
     maybe = prints.filter("n > 0").join(replies, ["block", "place"]).filter(F.col("shared") * 100 >= F.col("n") * percent)
     wanted = common.materialize(maybe.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = _shingler(words)
         for batch in source:
-            texts = batch.column(0).to_pylist()
-            for (part,) in batches([texts], [len(t or "") for t in texts], 4_000_000):
-                sets = [s for s in map(shingler.set_of, part) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "n", "hashes"])
+            for piece in slices(batch, 0, 4_000_000):
+                sets = [s for s in map(shingler.set_of, piece.column(0).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([_signature(s) for s in sets], pa.list_(pa.int32()))], ["set_key", "n", "hashes", "signature"])
 
     few = common.with_bit(docs.select("doc_id", "text"), F.col("doc_id"), common.bitmap_of(wanted, F.col("doc_id")), "maybe").filter("maybe").select("doc_id", "text")
     ids = wanted.withColumnRenamed("doc_id", "wanted_id")
     few = few.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    sets = few.mapInArrow(run, "set_key binary, n int, hashes array<bigint>").dropDuplicates(["set_key"])
-    return common.materialize(sets.select(F.monotonically_increasing_id().alias("set"), "set_key", "n", "hashes"), "sets")
+    sets = few.mapInArrow(run, "set_key binary, n int, hashes array<bigint>, signature array<int>").dropDuplicates(["set_key"])
+    return common.materialize(sets.select(F.monotonically_increasing_id().alias("set"), "set_key", "n", "hashes", "signature"), "sets")
 
 
 def least_overlap(n: Column, percent: int = PERCENT) -> Column:
@@ -211,7 +224,7 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     alone = F.col("n") - F.size("held")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1 - alone
     rows = held.filter(length > 0).select("set", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), length)).alias("k", "token"))
-    return common.materialize(rows.select(F.col("token.hash").alias("hash"), "set", "n", (F.col("alone") + F.col("k")).alias("at")), "index")
+    return common.materialize(rows.select(F.col("token.hash").alias("hash"), "set", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("k")), "index")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -243,24 +256,31 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     done: DataFrame | None = None
     first = None
     for step in range(PIVOTS + 2):
-        rows = index.join(labels, F.col("set") == F.col("node"), "left").select("hash", "set", "n", "at", F.coalesce("component", "set").alias("label"))
-        counts = rows.groupBy("hash", "label").agg(F.count("*").alias("m"), F.min(F.struct("set", "n", "at")).alias("low"))
+        rows = index.join(labels, F.col("set") == F.col("node"), "left").select("hash", "set", "n", "at", "k", F.coalesce("component", "set").alias("label"))
+        counts = rows.groupBy("hash", "label").agg(F.count("*").alias("m"), F.min(F.struct((F.col("at") - F.col("k")).alias("alone"), "set", "n", "at")).alias("low"))
         lists = counts.groupBy("hash").agg(F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("top")).filter("parts > 1")
         lists = lists.select("hash", F.col("top.label").alias("most"))
         if step <= PIVOTS:
-            # The pivot: first the list's least set, later one outside its largest component, by turns.
+            # The pivot: first the set with the fewest shingles of its own, which is the most
+            # likely to link; later one outside the largest component, by turns.
             outside = counts.join(lists, "hash")
             outside = outside.filter("label <> most") if step else outside
             turn = F.xxhash64("low.set", F.lit(step)) if step else F.lit(0)
-            pivots = outside.groupBy("hash").agg(F.min(F.struct(turn.alias("turn"), "low.set", "low.n", "low.at", "label")).alias("p")).select("hash", "p.set", "p.n", "p.at", "p.label")
+            pivots = outside.groupBy("hash").agg(F.min(F.struct(turn.alias("turn"), "low.alone", "low.set", "low.n", "low.at", "label")).alias("p")).select("hash", "p.set", "p.n", "p.at", "p.label")
             met = rows.alias("x").join(pivots.alias("y"), F.col("x.hash") == F.col("y.hash"))
         else:
-            outside = rows.join(lists, "hash").filter("label <> most").select("hash", "set", "n", "at", "label")
             near = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-            origin = index.groupBy("hash").agg(F.min("set").alias("origin"))
-            far = lambda t: t.join(origin, "hash").join(near.select(F.col("a").alias("origin"), F.col("b").alias("set"), "distance"), ["origin", "set"], "left")
-            met = far(rows).alias("x").join(far(outside).alias("y"), F.col("x.hash") == F.col("y.hash"))
+            near = near.select(F.col("a").alias("origin"), F.col("b").alias("set"), "distance")
+            origin = index.groupBy("hash").agg(F.min(F.struct(F.col("at") - F.col("k"), "set"))["set"].alias("origin"))
+            whole = index.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("k", "hash"))).alias("p")).select("set", F.col("p.hash").alias("p"))
+            open_rows = rows.join(lists, "hash").join(origin, "hash").join(near, ["origin", "set"], "left").join(whole, "set").join(sets.select("set", "signature"), "set")
+            open_rows = open_rows.withColumn("before", F.slice("p", F.lit(1), F.col("k"))).drop("p", "origin")
+            met = open_rows.alias("x").join(open_rows.filter("label <> most").alias("y"), F.col("x.hash") == F.col("y.hash"))
             met = met.filter(F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+            # A pair is made in one list only, that of the first shingle that both prefixes have.
+            met = met.filter(~F.arrays_overlap("x.before", "y.before"))
+            both = F.aggregate(F.zip_with("x.signature", "y.signature", lambda a, b: F.least(a, b)), F.lit(0), lambda t, v: t + v)
+            met = met.filter(both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
         pairs = _ordered(met.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)), F.col("x.set"), F.col("y.set"))
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
