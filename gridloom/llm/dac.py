@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import ChunkEncoder, batches
+from .chunks import encoder_of, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits between entries of a rank directory
@@ -157,7 +157,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = ChunkEncoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = encoder_of(vocabulary, 600_000), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.width)
         number = total = held = 0
         doc_ids: list = []
@@ -170,9 +170,8 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "part_start", "n_docs", "n_tokens", "payload"])
 
         for batch in source:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for some, their in batches([names, texts], [len(t or "") for t in texts], 4_000_000):
-                for d, x in zip(some, encoder.encode(their), strict=True):
+            for piece in slices(batch, 1, 4_000_000):
+                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
                     doc_ids.append(d)
                     ids.append(np.append(x, end))
                     held += len(x) + 1
