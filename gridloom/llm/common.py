@@ -3,65 +3,15 @@ driver and executors both see, bounded bitmaps, and column-safe helpers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_path, saved as materialize  # noqa: F401  the operators take both from here
+
 #: Bits of a prefilter bitmap: 2**23 bits are 256 rows of 4 KiB, 1 MiB in all,
 #: whatever the size of the input.
 BITMAP_BITS = 1 << 23
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local master gets
-    a temporary folder that goes with the process, and a cluster a folder of
-    the warehouse.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    key = spark.sparkContext.applicationId
-    if key not in _own_dirs:
-        _own_dirs[key] = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, _own_dirs[key], ignore_errors=True)
-    return _own_dirs[key]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Write a table to the shared folder and return it as read back.
-
-    This cuts the lineage: what follows reads files, so a lost executor costs
-    a read and not the work before it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table that :func:`materialize` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def temp(df: DataFrame, *names: str) -> list[str]:
     """Column names that clash with none of the table's own."""
@@ -89,13 +39,14 @@ def with_bit(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
     (1 MiB) makes the broadcast safe at any input size. As it fills up, more
     rows pass and the exact join that follows does more work; results stay.
     """
+    own_bucket, bits = temp(df, "bucket", "bits")
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
-    bucket = F.bitmap_bucket_number(place)
     at = F.bitmap_bit_position(place)
-    out = df.join(F.broadcast(bitmap), bucket == F.col("__bucket"), "left")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = F.broadcast(bitmap.select(F.col("__bucket").alias(own_bucket), F.col("__bits").alias(bits)))
+    out = df.join(rows, F.bitmap_bucket_number(place) == F.col(own_bucket), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2
-    return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+    return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(own_bucket, bits)
 
 
 def text_chars(docs: DataFrame) -> int:

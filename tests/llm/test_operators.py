@@ -428,11 +428,11 @@ def test_language_awkward(docs, rows, none):
 
 
 def test_bitmap_has_no_false_negatives(spark):
-    df = spark.range(5000).withColumn("__bucket_", F.lit(1))
+    df = spark.range(5000).withColumn("__bucket", F.lit(1)).withColumn("__bits", F.lit(2))
     bits = common.bitmap_of(spark.range(0, 5000, 7), F.col("id"))
     flagged = common.with_bit(df, F.col("id"), bits, "in")
     assert flagged.filter("id % 7 = 0 and not in").count() == 0 and flagged.filter("id % 7 <> 0 and in").count() < 50
-    assert flagged.columns == ["id", "__bucket_", "in"]
+    assert flagged.columns == ["id", "__bucket", "__bits", "in"]
 
 
 def test_temp_names_do_not_clash(spark):
