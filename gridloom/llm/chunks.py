@@ -8,12 +8,15 @@ whole, so ids always equal the library's.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import json
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space other than blank and line feed (as either library sees it), and
@@ -111,8 +114,9 @@ class ChunkEncoder:
         found[0] = _AS_IS + found[0]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null counts as empty."""
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text, and then ``end_id`` if given; null counts as empty."""
+        end = b"" if end_id is None else np.array([end_id], self.width).tobytes()
         table = self.table
         full = len(table) > self.max_chunks
         known, gaps, new = [], [], set()
@@ -129,7 +133,7 @@ class ChunkEncoder:
         for values, at, missing in gaps:
             for i, name in zip(at, missing, strict=True):
                 values[i] = table[name]
-        out = [self._encode([t])[0] if v is None else b"".join(v) for t, v in zip(texts, known, strict=True)]
+        out = [(self._encode([t])[0] if v is None else b"".join(v)) + end for t, v in zip(texts, known, strict=True)]
         for name in gained:
             if full or len(name) > self.max_len:
                 del table[name]
@@ -137,7 +141,7 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_of(file: str, max_chunks: int = 1_500_000) -> ChunkEncoder:
+def encoder_of(file: str, max_chunks: int = 900_000) -> ChunkEncoder:
     """The process's encoder: a Python worker keeps its table from task to task."""
     return ChunkEncoder(file, max_chunks)
 
@@ -154,3 +158,17 @@ def slices(batch, column: int, most: int, extra: int = 0):
         total += n
     if sizes:
         yield batch.slice(start)
+
+
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system.
+
+    Python workers live on from task to task, and from operator to operator;
+    without this each keeps the most that any of them needed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not a GNU C library

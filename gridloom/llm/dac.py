@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import encoder_of, slices
+from .chunks import encoder_of, release_memory, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits between entries of a rank directory
@@ -157,8 +157,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_of(vocabulary, 600_000), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.width)
+        encoder, part = encoder_of(vocabulary), TaskContext.get().partitionId()
         number = total = held = 0
         doc_ids: list = []
         ids: list[np.ndarray] = []
@@ -171,14 +170,15 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
 
         for batch in source:
             for piece in slices(batch, 1, 4_000_000):
-                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
                     doc_ids.append(d)
-                    ids.append(np.append(x, end))
-                    held += len(x) + 1
+                    ids.append(x)
+                    held += len(x)
                     if held >= segment_tokens:
                         yield segment()
         if doc_ids:
             yield segment()
+        release_memory()
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return common.materialize(dealt.mapInArrow(run, SEGMENTS), "dac")
@@ -206,7 +206,9 @@ def read_documents(segments: DataFrame) -> DataFrame:
         for batch in source:
             for start, payload in zip(batch.column(0), batch.column(1), strict=True):
                 segment = Segment(payload.as_py())
-                sums = [zlib.crc32(segment.document(k).tobytes()) for k in range(len(segment.doc_ids))]
+                # All documents are asked for, so the segment is read as one range.
+                tokens = segment.tokens.slice(0, segment.tokens.n)
+                sums = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(segment.starts, segment.starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(segment.doc_ids, pa.int64()), pa.array(segment.starts[:-1] + start.as_py()), pa.array(np.diff(segment.starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return starts_of(segments).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

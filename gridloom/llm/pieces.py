@@ -95,7 +95,7 @@ def digests(encoder: PieceEncoder, texts: list[str | None]) -> list[list]:
 
 
 def add_pieces(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
-    """Add n_tokens, ids (binary, little-endian 32-bit) and decoded (the text that the ids decode to)."""
+    """Add n_tokens, ids (binary, little-endian 32-bit) and decoded (the text that the ids decode to), in place of columns of those names."""
 
     def start():
         encoder = encoder_of(model)
@@ -106,7 +106,9 @@ def add_pieces(docs: DataFrame, model: str, keep: list[str] | None = None) -> Da
 
         return run
 
-    return add_columns(docs, "text", start, [("n_tokens", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())], keep, 4_000_000)
+    added = [("n_tokens", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())]
+    others = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n for n, *_ in added}]
+    return add_columns(docs, "text", start, added, others, 4_000_000)
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
