@@ -9,7 +9,6 @@ whole, so ids always equal the library's.
 from __future__ import annotations
 
 import ctypes
-import functools
 import gc
 import json
 import re
@@ -140,10 +139,30 @@ class ChunkEncoder:
         return [np.frombuffer(b, self.width) for b in out]
 
 
-@functools.lru_cache(maxsize=2)
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark) -> None:
+    """Let Arrow batches of the session have at most ARROW_ROWS rows: texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
+_held: list = [None, None]
+
+
+def process_wide(key, make):
+    """The process's one table under ``key``: a Python worker keeps it from task to task, until an operator asks for another."""
+    if key is None or _held[0] != key:
+        _held[:] = [None, None]
+        release_memory()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 def encoder_of(file: str, max_chunks: int = 900_000) -> ChunkEncoder:
-    """The process's encoder: a Python worker keeps its table from task to task."""
-    return ChunkEncoder(file, max_chunks)
+    return process_wide((file, max_chunks), lambda: ChunkEncoder(file, max_chunks))
 
 
 def slices(batch, column: int, most: int, extra: int = 0):

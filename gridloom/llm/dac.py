@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import encoder_of, release_memory, slices
+from .chunks import bound_batches, encoder_of, release_memory, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits between entries of a rank directory
@@ -180,6 +180,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
             yield segment()
         release_memory()
 
+    bound_batches(docs.sparkSession)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return common.materialize(dealt.mapInArrow(run, SEGMENTS), "dac")
 

@@ -31,7 +31,6 @@ than all others; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import slices
+from .chunks import bound_batches, process_wide, release_memory, slices
 from .graph import components
 
 WORDS = 5
 PERCENT = 80
-PIVOTS = 2  # rounds of further pivots before pairs
+PIVOTS = 1  # rounds of further pivots before pairs
 BUCKETS = 128  # counts in a set's signature
 SHINGLES_A_RANGE = 1_500_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
@@ -64,7 +63,7 @@ class _Hashes(dict):
 class Shingler:
     """Sorted distinct shingle hashes of whole texts."""
 
-    def __init__(self, words: int = WORDS, most: int = 300_000):
+    def __init__(self, words: int = WORDS, most: int = 150_000):
         self.words, self.most, self.table = words, most, _Hashes()
 
     def _mix(self, x: np.ndarray) -> np.ndarray:
@@ -90,10 +89,8 @@ class Shingler:
         return out[np.append(True, out[1:] != out[:-1])]
 
 
-@functools.lru_cache(maxsize=2)
 def _shingler(words: int) -> Shingler:
-    """The process's shingler: a Python worker keeps its table of words from task to task."""
-    return Shingler(words)
+    return process_wide(("shingles", words), lambda: Shingler(words))
 
 
 def _signature(hashes: np.ndarray) -> np.ndarray:
@@ -122,7 +119,7 @@ def _send(ranges: int, words: int):
         shingler, number = _shingler(words), TaskContext.get().partitionId()
         block = number << 32
         for batch in source:
-            for piece in slices(batch, 1, 8_000_000, 200):
+            for piece in slices(batch, 1, 5_000_000, 200):
                 known: dict[bytes, int] = {}
                 sets: list[np.ndarray] = []
                 rows: list[list] = [[] for _ in range(8)]
@@ -147,6 +144,7 @@ def _send(ranges: int, words: int):
                     none = [None] * len(used)
                     yield _batch(_MESSAGES, [used.tolist(), [block] * len(used), none, none, none, none, [k for k, _ in part], [p for _, p in part]])
                 block += 1
+        release_memory()
 
     return run
 
@@ -170,6 +168,8 @@ def _reply(table: pa.Table) -> pa.Table:
         used = np.flatnonzero(np.diff(cuts))
         none = [None] * len(used)
         out.append(_batch(_REPLIES, [[blocks[r] for r in used], none, none, none, none, [(found[cuts[r] : cuts[r + 1]] & 0xFFFF).astype(np.uint16).tobytes() for r in used], [counts[cuts[r] : cuts[r + 1]].astype(np.uint32).tobytes() for r in used]]))
+        del keys, places, row, flat, where, order, same, shared, found, counts
+        release_memory()
     return pa.Table.from_batches(out)
 
 
@@ -183,6 +183,7 @@ def _sum_replies(table: pa.Table) -> pa.Table:
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Per document (doc_id, n, set_key, block, place), and the replies (block, place, shared)."""
+    bound_batches(docs.sparkSession)
     ranges = max(8, common.text_chars(docs) // 7 // SHINGLES_A_RANGE + 1)
     sent = docs.select("doc_id", "text").mapInArrow(_send(ranges, words), _MESSAGES)
     got = common.materialize(sent.groupBy("range").applyInArrow(_reply, _REPLIES), "shingles")
@@ -202,6 +203,7 @@ def candidate_sets(docs: DataFrame, prints: DataFrame, replies: DataFrame, words
             for piece in slices(batch, 0, 4_000_000):
                 sets = [s for s in map(shingler.set_of, piece.column(0).to_pylist()) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([_signature(s) for s in sets], pa.list_(pa.int32()))], ["set_key", "n", "hashes", "signature"])
+        release_memory()
 
     few = common.with_bit(docs.select("doc_id", "text"), F.col("doc_id"), common.bitmap_of(wanted, F.col("doc_id")), "maybe").filter("maybe").select("doc_id", "text")
     ids = wanted.withColumnRenamed("doc_id", "wanted_id")
@@ -285,15 +287,13 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if step <= PIVOTS and step > 0:
-                continue
-            if step > PIVOTS:
-                break
+        if step and pairs.isEmpty():
+            continue
         now = _compare(pairs, sets, percent)
         first = now.select("a", "b", "distance") if first is None else first
         done = now if done is None else done.unionAll(now)
-        labels = common.materialize(components(done.filter("linked").select("a", "b")), "components").select("node", "component")
+        if not now.filter("linked").isEmpty():
+            labels = components(done.filter("linked").select("a", "b"))
     return done, labels
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import process_wide
 from .rows import add_columns
 
 UNKNOWN = "und"
@@ -94,7 +95,7 @@ def fit(texts: list[str], langs: list[str], smooth: float = 0.5) -> Model:
 class Scorer:
     """Scores of distinct words, kept for the first ``most``; more start the table anew."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
         self._clear()
 
@@ -229,6 +230,7 @@ def add_languages(docs: DataFrame, model: Model, names: tuple[str, str], keep: l
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed table: 256 KiB a language
 
     def start():
+        process_wide(None, lambda: None)  # drop what another operator left
         scorer = Scorer(shared.value)
         return lambda texts: list(predict(scorer, texts))
 

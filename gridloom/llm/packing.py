@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import encoder_of, slices
+from .chunks import bound_batches, encoder_of, release_memory, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -164,7 +164,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        end, sequence = np.array([end_id], encoder.width), TaskContext.get().partitionId() << 32
+        sequence = TaskContext.get().partitionId() << 32
         group: list[tuple[int | None, np.ndarray, int]] = []
         held = 0
 
@@ -193,12 +193,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
 
         for batch in source:
             for piece in slices(batch, 1, 4_000_000):
-                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    group.append((d, np.append(x, end), 0))
-                    held += len(x) + 1
+                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
+                    group.append((d, x, 0))
+                    held += len(x)
                     if held >= group_tokens:
                         yield packed(False)
         if group:
             yield packed(True)
+        release_memory()
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)

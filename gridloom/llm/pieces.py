@@ -17,7 +17,6 @@ whole; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -27,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .chunks import process_wide
 from .rows import add_columns
 
 MARK = "▁"
@@ -79,10 +79,8 @@ class PieceEncoder:
         return self.library.decode(ids.tolist())
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(file: str) -> PieceEncoder:
-    """The process's encoder: a Python worker keeps its table from task to task."""
-    return PieceEncoder(file)
+    return process_wide(file, lambda: PieceEncoder(file))
 
 
 def digests(encoder: PieceEncoder, texts: list[str | None]) -> list[list]:

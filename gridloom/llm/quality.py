@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .chunks import process_wide
 from .rows import add_columns
 
 THRESHOLD = 0.7
@@ -83,7 +84,7 @@ class Pooler:
     words keeps at most ``most``, then starts anew.
     """
 
-    def __init__(self, vectors: dict[str, np.ndarray], most: int = 400_000, dim: int = DIM):
+    def __init__(self, vectors: dict[str, np.ndarray], most: int = 250_000, dim: int = DIM):
         self.vectors, self.most, self.dim = vectors, most, dim
         self.rows: dict[tuple[int, tuple[str, ...]], int] = {}
         self.places: dict[str, int] = {}
@@ -235,6 +236,7 @@ def add_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample's vocabulary
 
     def start():
+        process_wide(None, lambda: None)  # drop what another operator left
         pooler = Pooler(shared.value.vectors)
         return lambda texts: [scores(shared.value, pooler, texts)]
 

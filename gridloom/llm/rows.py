@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import slices
+from .chunks import bound_batches, release_memory, slices
 
 
 def add_columns(df: DataFrame, text: str, compute: Callable[[], Callable[[list[str | None]], list[list]]], added: list[tuple[str, T.DataType, pa.DataType]], keep: list[str] | None = None, most: int = 6_000_000) -> DataFrame:
@@ -29,5 +29,8 @@ def add_columns(df: DataFrame, text: str, compute: Callable[[], Callable[[list[s
                 results = function(piece.column(at).to_pylist())
                 columns = [pa.array(c, t) for c, (_, _, t) in zip(results, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], *columns], schema.names)
+        del function
+        release_memory()
 
+    bound_batches(df.sparkSession)
     return source.mapInArrow(run, schema)
