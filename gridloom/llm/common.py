@@ -49,6 +49,27 @@ def with_bit(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
     return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(own_bucket, bits)
 
 
+#: A key with more than this share of all rows is hot; there are fewer than that many.
+HOT = 1000
+
+
+def join_hot(df: DataFrame, table: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``df`` joined to ``table`` (a written table, one row a key), without a task that has all rows of a hot key.
+
+    ``table[rows]`` says how many rows of ``df`` a key has. Keys with over
+    1/HOT of all rows are fewer than HOT, a bound that makes their broadcast
+    safe; rows of all others are joined by key. ``how``: inner or left.
+    """
+    told = table.agg(F.sum(rows).alias("n"), F.max(rows).alias("most")).first()
+    if not told["n"] or told["most"] * HOT <= told["n"]:
+        return df.join(table, keys, how)
+    (hot,) = temp(df.join(table.limit(0), keys), "hot")
+    is_hot = F.col(rows) * HOT > F.lit(told["n"])
+    near = df.join(F.broadcast(table.filter(is_hot).withColumn(hot, F.lit(True))), keys, "left")
+    far = near.filter(F.col(hot).isNull()).select(df.columns).join(table.filter(~is_hot), keys, how)
+    return near.filter(hot).drop(hot).unionByName(far)
+
+
 def text_chars(docs: DataFrame) -> int:
     """Characters of all texts: one aggregate, used to size partitions."""
     return docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0

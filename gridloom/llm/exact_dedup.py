@@ -5,10 +5,12 @@ Texts are equal when identical after each run of ASCII white space is replaced
 by one blank. The first pass reduces every text to its hash; only the texts of
 groups with several rows move again, to be compared byte for byte (grouping by
 the text itself does that, with map-side combine, so a group of any number of
-copies is a few rows a task).
+copies is a few rows a task). Groups that hold much of the table are joined by
+broadcast, so no task gets all rows of a group.
 
 Defined results: null counts as empty; a null id is larger than every other; of
-repeated rows with equal id and text one is kept; an empty table gives no rows;
+rows with the same smallest id one is kept, the first by the hash of its text
+and then by its columns as JSON; an empty table gives no rows;
 very long texts are hashed whole; columns of any other name pass through
 :func:`keep_first` untouched.
 """
@@ -45,11 +47,12 @@ def collisions(classes: DataFrame) -> DataFrame:
     return classes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
 
 
-def _classes(docs: DataFrame, groups: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
-    """The distinct texts of all groups with several rows: (hash, text)."""
-    df = docs.select(normalized(F.col("text")).alias("text")).withColumn("hash", hashed(F.col("text")))
-    df = common.with_bit(df, F.col("hash"), common.bitmap_of(groups, F.col("hash")), "maybe").filter("maybe")
-    return df.join(groups.select("hash"), "hash", "left_semi").groupBy("hash", "text").agg(F.count("*").alias("n"))
+def _classes(docs: DataFrame, members: DataFrame, groups: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """The distinct texts of all groups with several rows: (hash, text). ``members``: ids of their rows, by which rows are found before they are hashed."""
+    few = common.with_bit(docs.select("doc_id", "text"), F.col("doc_id"), common.bitmap_of(members, F.col("doc_id")), "maybe").filter("maybe")
+    df = few.select(normalized(F.col("text")).alias("text")).withColumn("hash", hashed(F.col("text")))
+    # Copies are combined before they move, and only then joined.
+    return df.groupBy("hash", "text").agg(F.count("*").alias("n")).join(groups.select("hash"), "hash", "left_semi")
 
 
 def group_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
@@ -61,12 +64,12 @@ def group_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
     prints = docs.select("doc_id", text.alias("text")).select("doc_id", hashed(F.col("text")).alias("hash"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
     prints = common.materialize(prints, "fingerprints")
     groups = common.materialize(prints.groupBy("hash").agg(F.min(_ordered("doc_id", "row")).alias("first"), F.count("*").alias("group_size")), "groups")
-    several = groups.filter("group_size > 1")
-    clash = common.materialize(collisions(_classes(docs, several, hashed)), "collisions")
+    out = common.join_hot(prints, groups, ["hash"], "group_size")
+    clash = common.materialize(collisions(_classes(docs, out.filter("group_size > 1"), groups.filter("group_size > 1"), hashed)), "collisions")
     if not clash.isEmpty():
         # Texts differ inside a group: part it by a second hash of another kind, then compare again.
         return group_copies(docs, lambda t: F.concat(hashed(t), F.unhex(F.sha2(t.cast("binary"), 512))))
-    return prints.join(groups, "hash").select(
+    return out.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         F.col("group_size").cast("long"),
@@ -78,22 +81,26 @@ def group_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
 def keep_first(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The rows of ``docs``, all columns, without copies.
 
-    Only rows whose hash may have copies are shuffled; all others pass in the
-    scan's partitions.
+    Rows to drop are found by (hash, id); only rows whose id may be one of
+    those are hashed again and shuffled, all others pass in the scan's
+    partitions.
     """
-    h, maybe, keep, size = common.temp(docs, "hash", "maybe", "keep", "size")
+    h, maybe, drop, key, own, place = common.temp(docs, "hash", "maybe", "drop", "key", "own", "place")
     text = normalized(F.col("text"))
     prints = common.materialize(docs.select("doc_id", hashed(text).alias("hash")), "fingerprints")
     groups = prints.groupBy("hash").agg(F.min(_ordered("doc_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = common.materialize(groups, "groups")
-    clash = common.materialize(collisions(_classes(docs, groups, hashed)), "collisions")
+    members = common.join_hot(prints, groups, ["hash"], "n").groupBy("hash", "doc_id").agg(F.count("*").alias("rows"), F.min("first.doc_id").alias("first"))
+    members = common.materialize(members, "members")
+    clash = common.materialize(collisions(_classes(docs, members, groups, hashed)), "collisions")
     if not clash.isEmpty():
         return keep_first(docs, lambda t: F.concat(hashed(t), F.unhex(F.sha2(t.cast("binary"), 512))))
-    bits = common.bitmap_of(groups, F.col("hash"))
-    flagged = common.with_bit(docs.withColumn(h, hashed(text)), F.col(h), bits, maybe)
-    alone = flagged.filter(~F.col(maybe))
-    firsts = groups.select(F.col("hash").alias(h), F.col("first.doc_id").alias(keep), F.lit(1).alias(size))
-    shared = flagged.filter(F.col(maybe)).join(firsts, h, "left")
-    single = shared.filter(F.col(size).isNull())
-    kept = shared.filter(F.col(size).isNotNull() & F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([h])
-    return alone.select(docs.columns).unionAll(single.select(docs.columns)).unionAll(kept.select(docs.columns))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first"))
+    touched = common.materialize(members.filter(~is_first | (F.col("rows") > 1)).select(F.col("hash").alias(key), F.col("doc_id").alias(own), (~is_first).alias(drop)), "touched")
+    flagged = common.with_bit(docs, F.col("doc_id"), common.bitmap_of(touched, F.col(own)), maybe)
+    some = flagged.filter(F.col(maybe)).withColumn(h, hashed(text))
+    some = some.join(touched, (F.col(h) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
+    # Rows that repeat a group's smallest id: one of them stays.
+    row = F.struct(*docs.columns)
+    again = some.filter(~F.col(drop)).groupBy(h).agg(F.min_by(row, F.struct(F.sha2(F.col("text").cast("binary"), 256), F.to_json(row))).alias(place))
+    return flagged.filter(~F.col(maybe)).select(docs.columns).unionAll(some.filter(F.col(drop).isNull()).select(docs.columns)).unionAll(again.select(f"{place}.*"))

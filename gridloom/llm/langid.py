@@ -10,33 +10,49 @@ most letters in its spans; its score is the share of letters there, times the
 softmax of the word scores summed over those spans.
 
 Models are fitted on a bounded sample: at most ``per_lang`` documents a
-language (fixed parameter), the ones with the smallest hash of their id.
-
-Defined results: null, empty and letterless texts are ``und`` with score 0;
+language (fixed parameter), the ones with the smallest hash of their id, whole
+texts. Counts are made on the executors and added up there; the driver receives
+the table of counts, whose size is fixed: with more than CELLS / TABLE languages
+the hashes are folded into fewer places.
+
+:func:`keep_known` rejects texts by a threshold that is learned too: the score
+that all but REFUSED of the sampled documents reach which the model gives their own
+language. Texts of several languages in shares that labelled documents
+don't have, and texts in scripts of no learned language, stay below it.
+
+Defined results: texts without a letter (Unicode category L; so null and empty ones) are
+``und`` with score 0;
 equal totals go to the language first in order; words in a script of no
-learned language count for all alike; with nothing to learn from every text is
+learned language count for all alike; an id that occurs with several texts is
+learned from once; with nothing to learn from every text is
 ``und``; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import process_wide
+from .chunks import bound_batches, process_wide
+from .common import bitmap_of, materialize, temp, with_bit
 from .rows import add_columns
 
 UNKNOWN = "und"
 PER_LANG = 1000
 TABLE = 1 << 16
-KEEP = 0.3
-_WORD = re.compile(r"[^\W\d_]+")
+CELLS = 1 << 23  # most entries of a model's table: 32 MiB
+REFUSED = 0.0005
+TRAINING_TASKS = 24
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits
+_LETTERS = regex.compile(r"\p{L}+")
 #: First code points of script ranges, and their scripts.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Bengali"),
@@ -51,7 +67,11 @@ _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 def words_of(text: str | None) -> list[str]:
     """The text's runs of letters, lower-cased."""
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    found = _WORD.findall(low)
+    return found if all(map(str.isalpha, found)) else _LETTERS.findall(low)
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
@@ -59,6 +79,14 @@ def scripts_of(words: list[str]) -> np.ndarray:
     return _SCRIPT_OF[np.searchsorted(_STARTS, first, "right") - 1]
 
 
+def table_size(n_langs: int) -> int:
+    """Places of the gram table: TABLE, or fewer (a power of two, 256 at least) where the table would have more than CELLS entries."""
+    size = TABLE
+    while size > 256 and size * n_langs > CELLS:
+        size //= 2
+    return size
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table places of all byte bigrams and trigrams of the words with a blank on either side, and where each word's begin."""
     joined = np.frombuffer((" " + " ".join(words) + "  ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -74,22 +102,36 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # TABLE x languages, log probabilities
+    table: np.ndarray  # places x languages, log probabilities
     scripts: np.ndarray  # scripts x languages, whether the language is written so
+    least: float = 0.0  # score that all but few labelled documents reach
+
+
+class Counts:
+    """Gram and script counts by language."""
+
+    def __init__(self, langs: list[str]):
+        self.langs, self.size = {name: k for k, name in enumerate(langs)}, table_size(len(langs))
+        self.grams, self.scripts = np.zeros((len(langs), self.size), np.int64), np.zeros((len(langs), len(_NAMES)), np.int64)
 
+    def add(self, lang: str, text: str | None) -> None:
+        if words := words_of(text):
+            k = self.langs[lang]
+            self.grams[k] += np.bincount(grams(words)[0] & (self.size - 1), minlength=self.size)
+            self.scripts[k] += np.bincount(scripts_of(words), minlength=len(_NAMES))
 
-def fit(texts: list[str], langs: list[str], smooth: float = 0.5) -> Model:
-    names = sorted(set(langs))
-    counts, scripts = np.zeros((TABLE, len(names))), np.zeros((len(_NAMES), len(names)))
-    for k, name in enumerate(names):
-        for text, lang in zip(texts, langs, strict=True):
-            if lang == name and (words := words_of(text)):
-                places, _ = grams(words)
-                counts[:, k] += np.bincount(places, minlength=TABLE)
-                scripts[:, k] += np.bincount(scripts_of(words), minlength=len(_NAMES))
-    share = scripts / np.maximum(scripts.sum(0), 1)
-    table = np.log(counts + smooth) - np.log(counts.sum(0) + smooth * TABLE) if names else counts
-    return Model(names, table.astype(np.float32), share >= 0.01)
+    def model(self, smooth: float = 0.5) -> Model:
+        n = self.grams.T.astype(np.float64)
+        table = np.log(n + smooth) - np.log(n.sum(0) + smooth * self.size) if self.langs else n
+        share = self.scripts.T / np.maximum(self.scripts.sum(1), 1)
+        return Model(list(self.langs), table.astype(np.float32), share >= 0.01)
+
+
+def fit(texts: list[str | None], langs: list[str]) -> Model:
+    counts = Counts(sorted(set(langs)))
+    for text, lang in zip(texts, langs, strict=True):
+        counts.add(lang, text)
+    return counts.model()
 
 
 class Scorer:
@@ -110,7 +152,7 @@ class Scorer:
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         places, starts = grams(words)
-        out = np.add.reduceat(self.model.table[places], starts, axis=0)
+        out = np.add.reduceat(self.model.table[places & (len(self.model.table) - 1)], starts, axis=0)
         allowed = self.model.scripts[scripts_of(words)]
         none = ~allowed.any(1)
         out = np.where(allowed, out, out.min(1, keepdims=True) - 20)
@@ -141,9 +183,10 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
     for k, i in enumerate(order):
         flat[starts[: lengths[i]] + k] = words[i]
     n_langs = scores.shape[1]
-    came = np.zeros((starts[-1], n_langs), np.uint8)
+    kind = np.min_scalar_type(max(n_langs - 1, 0))
+    came = np.zeros((starts[-1], n_langs), kind)
     value = np.zeros((len(words), n_langs), np.float32)
-    own = np.arange(n_langs, dtype=np.uint8)
+    own = np.arange(n_langs, dtype=kind)
     for t, n in enumerate(active):
         step = scores[flat[starts[t] : starts[t] + n]]
         if t:
@@ -154,13 +197,13 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
             came[starts[t] : starts[t] + n] = np.where(stay, own, best[:, None])
             step = step + np.where(stay, before, switch[:, None])
         value[:n] = step
-    labels = np.zeros(starts[-1], np.uint8)
-    at = value.argmax(1).astype(np.uint8)
+    labels = np.zeros(starts[-1], kind)
+    at = value.argmax(1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         labels[starts[t] : starts[t] + n] = at[:n]
         at[:n] = came[starts[t] + np.arange(n), at[:n]]
-    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(words)
+    out: list[np.ndarray] = [np.zeros(0, kind)] * len(words)
     for k, i in enumerate(order):
         out[i] = labels[starts[: lengths[i]] + k]
     return out
@@ -168,7 +211,7 @@ def viterbi(words: list[np.ndarray], scores: np.ndarray, penalty: float) -> list
 
 def spans(model: Model, text: str | None, penalty: float = 12.0) -> list[tuple[int, int, str]]:
     """The text's (start, end, language) spans, by character."""
-    found = list(_WORD.finditer(text or ""))
+    found = list(_LETTERS.finditer(text or ""))
     if not found or not model.langs:
         return []
     scorer = Scorer(model)
@@ -212,22 +255,70 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Fit on at most ``per_lang`` documents a language.
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """At most ``per_lang`` documents of each language (doc_id, lang, at, text), by smallest hash of the id, numbered ``at`` from 1.
 
-    Ids are chosen without texts (the window's limit works before its
-    shuffle); the chosen ones, per_lang a language, are broadcast to the texts.
+    Hashes are uniform, so a share of four times what is wanted holds the
+    smallest ones; only ids of that share reach the window, however many rows a language has. Texts
+    are found by a bitmap of the chosen ids before they move.
     """
     ids = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null").filter(~held_out())
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("at", at).filter(F.col("at") <= per_lang).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["lang"] for r in rows])
+    rows = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.xxhash64("doc_id")
+    share = F.pmod(place, F.lit(1 << 30)) * F.col("n") < F.lit(4.0 * per_lang * (1 << 30))
+    few = ids.join(rows, "lang").filter(share).select("doc_id", "lang").distinct()
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id"))
+    chosen = materialize(few.withColumn("at", at).filter(F.col("at") <= per_lang), "chosen")
+    key = F.struct("doc_id", "lang")
+    found = with_bit(docs.select("doc_id", "lang", "text"), key, bitmap_of(chosen, key), "maybe").filter("maybe").drop("maybe")
+    text = F.coalesce("text", F.lit(""))
+    one = found.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang", "at").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    return materialize(one.repartition(TRAINING_TASKS, "doc_id"), "training")
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """A model of at most ``per_lang`` documents a language."""
+    return train_on(training_rows(docs, per_lang))
+
+
+def train_on(rows: DataFrame) -> Model:
+    """Fit on the executors' counts; see the module's text for what reaches the driver."""
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(langs)
+        for batch in source:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                counts.add(lang.as_py(), text.as_py())
+        used = np.flatnonzero(counts.scripts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([x[k].tobytes() for k in used], pa.binary()) for x in (counts.grams, counts.scripts))], ["lang", "grams", "scripts"])
+
+    def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, at = [0, 0], None
+        for batch in source:
+            at = batch.column(0).slice(0, 1)
+            for k in (0, 1):
+                for x in batch.column(k + 1):
+                    totals[k] = totals[k] + np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([at, *(pa.array([x.tobytes()], pa.binary()) for x in totals)], ["lang", "grams", "scripts"])
+
+    bound_batches(rows.sparkSession)
+    schema = "lang int, grams binary, scripts binary"
+    counts = Counts(langs)
+    for r in rows.select("lang", "text").mapInArrow(count, schema).groupBy("lang").applyInArrow(add, schema).toArrow().to_pylist():
+        counts.grams[r["lang"]], counts.scripts[r["lang"]] = np.frombuffer(r["grams"], np.int64), np.frombuffer(r["scripts"], np.int64)
+    return counts.model()
+
+
+def calibrated(model: Model, rows: DataFrame, refused: float = REFUSED) -> Model:
+    """The model with its threshold: what all but ``refused`` of labelled documents reach that it gives their own language."""
+    lang, score = temp(rows, "lang", "score")
+    told = add_languages(rows, model, (lang, score)).filter(F.col(lang) == F.col("lang"))
+    return replace(model, least=told.agg(F.percentile(score, F.lit(refused)).alias("p")).first()["p"] or 0.0)
 
 
 def add_languages(docs: DataFrame, model: Model, names: tuple[str, str], keep: list[str] | None = None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed table: 256 KiB a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS entries at most
 
     def start():
         process_wide(None, lambda: None)  # drop what another operator left
@@ -243,10 +334,15 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least KEEP."""
-    from .common import temp
+def keep_known(docs: DataFrame, per_lang: int = PER_LANG, refused: float = REFUSED) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with at least the learned score.
 
+    The threshold comes from ``per_lang`` more documents a language, which the
+    model didn't learn from (from all of them, where there are no more).
+    """
     lang, score = temp(docs, "lang", "score")
-    out = add_languages(docs, train(docs, per_lang), (lang, score))
-    return out.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= KEEP)).drop(lang, score)
+    rows = training_rows(docs, 2 * per_lang)
+    model, more = train_on(rows.filter(F.col("at") <= per_lang)), rows.filter(F.col("at") > per_lang)
+    model = calibrated(model, rows if more.isEmpty() else more, refused)
+    out = add_languages(docs, model, (lang, score))
+    return out.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= model.least)).drop(lang, score)

@@ -159,11 +159,11 @@ def pack(lengths: np.ndarray, window: int = 2048, grain: int = 32, depth: int =
     return windows, last
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048, group_tokens: int = 4_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048, group_tokens: int = 4_000_000, max_chunks: int = 900_000) -> DataFrame:
     """One row a piece. sequence_id: the task's number times 2**32, plus the window's number in the task."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, max_chunks)
         sequence = TaskContext.get().partitionId() << 32
         group: list[tuple[int | None, np.ndarray, int]] = []
         held = 0
