@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import join_small, saved
 from .graph import greatest_reachable
 from .windows import ROW, run_ids
 
@@ -32,7 +33,15 @@ def label_dictionary(df: DataFrame, label: str = "label", background: bool = Tru
     distinct = df.select("image_id", label).distinct()
     if not background:
         distinct = distinct.filter(F.col(label) >= 0)
-    return distinct.withColumn("dense", (F.row_number().over(Window.partitionBy("image_id").orderBy(label)) - 1).cast("long"))
+    # Rank within ranges of labels, plus the labels of the image in earlier ranges: no window holds an image's labels.
+    place = F.monotonically_increasing_id()
+    ranged = distinct.repartitionByRange("image_id", label).sortWithinPartitions("image_id", label)
+    ranged = saved(ranged.select("image_id", label, F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__at")), "labels")
+    parts = ranged.groupBy("image_id", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("n"))
+    before = Window.partitionBy("image_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("image_id", "__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("__first")).alias("__base"))
+    out = join_small(ranged, parts, ["image_id", "__part"])
+    return out.select("image_id", label, (F.col("__base") + F.col("__at")).cast("long").alias("dense"))
 
 
 def compress_labels(df: DataFrame, label: str = "label", name: str = "dense", background: bool = True) -> DataFrame:

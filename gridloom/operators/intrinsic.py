@@ -2,54 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import chroma_slot, contributions
-from ..sources.raster import dimensions
-from ..sources.storage import saved
+from ..functions.scalar import chroma_slot
+from ..sources.storage import join_small, saved
 
 SIDE = 16
 
 
-def _origins(at: str, most: str, side: int) -> F.Column:
-    """Window origins that hold a coordinate: a range of at most ``side``."""
-    return F.sequence(F.greatest(F.col(at) - side + 1, F.lit(0)), F.least(F.col(at), F.col(most) - side))
+def _window_sums(v: np.ndarray) -> np.ndarray:
+    """Sums over all SIDE x SIDE windows, by origin."""
+    for axis in (0, 1):
+        total = np.cumsum(v, axis)
+        shifted = np.concatenate([np.zeros_like(np.take(total, [0], axis)), np.take(total, range(total.shape[axis] - SIDE), axis)], axis)
+        v = np.take(total, range(SIDE - 1, total.shape[axis]), axis) - shifted
+    return v
 
 
-def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: tuple[str, str] = ("cr", "cg"), slots: int = 20, n_iter: int = 5, name: str = "albedo") -> DataFrame:
+def _tile(pdf: pd.DataFrame, n_iter: int) -> np.ndarray:
+    """New albedo of a tile's rows (the rows of its halo come out wrong)."""
+    x, y = pdf.x.to_numpy() - pdf.x.min(), pdf.y.to_numpy() - pdf.y.min()
+    shape = int(y.max()) + 1, int(x.max()) + 1
+    i, a, slot = np.zeros(shape), np.full(shape, np.nan), np.full(shape, -1)
+    i[y, x], a[y, x], slot[y, x] = pdf.i, pdf.a, pdf.slot
+    width, height = pdf.width.to_numpy(), pdf.height.to_numpy()
+    count = np.ones(shape)
+    within = lambda at, most: np.minimum(np.minimum(at + 1, most - at), SIDE)  # noqa: E731  windows along one axis, as functions.scalar.contributions has them
+    count[y, x] = within(pdf.x.to_numpy(), width) * within(pdf.y.to_numpy(), height)
+    # Each slot's mean intensity by window, on the part of the tile that the slot's windows cover.
+    parts = []
+    for s in np.unique(slot[slot >= 0]):
+        rows, columns = np.nonzero(slot == s)
+        top, left = max(0, rows.min() - SIDE + 1), max(0, columns.min() - SIDE + 1)
+        bottom, right = min(shape[0], rows.max() + SIDE), min(shape[1], columns.max() + SIDE)
+        box = np.s_[top:bottom, left:right]
+        own = slot[box] == s
+        n = np.rint(_window_sums(own.astype(float)))
+        mean = np.divide(_window_sums(np.where(own, i[box], 0)), n, out=np.zeros_like(n), where=n > 0)
+        parts.append((box, np.s_[top : bottom - SIDE + 1, left : right - SIDE + 1], own, mean))
+    for _ in range(n_iter):
+        shading = _window_sums(np.divide(i, a, out=np.zeros(shape), where=np.isfinite(a) & (a != 0))) / (SIDE * SIDE)
+        light = np.divide(1, shading, out=np.zeros_like(shading), where=shading != 0)
+        new = np.full(shape, np.nan)
+        for box, windows, own, mean in parts:
+            told = np.pad(mean * light[windows], SIDE - 1)
+            new[box][own] = _window_sums(told)[own]
+        a = new / count
+    return a[y, x]
+
+
+def _solver(tile: int, rounds: int):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(a=_tile(pdf, rounds))
+        own = (pdf.x // tile == pdf.tx) & (pdf.y // tile == pdf.ty)
+        return pdf.loc[own, [c for c in pdf.columns if c not in ("tx", "ty")]]
+
+    return solve
+
+
+def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: tuple[str, str] = ("cr", "cg"), slots: int = 20, n_iter: int = 5, name: str = "albedo", tile: int = 160, together: int = 2) -> DataFrame:
     """Albedo intensity of every pixel.
 
     A round gives each 16 x 16 window (stride 1) its mean intensity by chroma
     slot over its mean shading; a pixel's albedo is the sum of what its windows
-    say, over their number. Sums are separable: rows of a window first, then
-    columns, and back the same way, so that a round makes 32 rows a pixel where
-    the direct form makes 256. Images must be at least 16 pixels either way.
+    say, over their number. Images are cut into tiles of ``tile`` pixels with a halo
+    of 15 pixels a round, and ``together`` rounds are made in one task by running sums, so that the
+    pixels move once in that many rounds. A task holds one tile (its windows by
+    slot: about 160 MB with 20 slots either way). Images must be at least 16 pixels either way.
     """
-    small = dimensions(pixels).filter((F.col("width") < SIDE) | (F.col("height") < SIDE)).limit(1).collect()
+    key = "image_id"
+    size = pixels.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max(chroma[0]).alias("ma"), F.max(chroma[1]).alias("mb"))
+    size = saved(size, "size")
+    small = size.filter((F.col("width") < SIDE) | (F.col("height") < SIDE)).limit(1).collect()
     if small:
-        raise ValueError(f"image {small[0]['image_id']!r} is smaller than {SIDE} x {SIDE}")
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max(chroma[0]).alias("ma"), F.max(chroma[1]).alias("mb"))
-    base = pixels.join(size, "image_id")
+        raise ValueError(f"image {small[0][key]!r} is smaller than {SIDE} x {SIDE}")
     slot = chroma_slot(F.col(chroma[0]), F.col(chroma[1]), F.col("ma"), F.col("mb"), slots)
-    base = saved(base.select("image_id", "pid", "x", "y", "width", "height", F.col(intensity).alias("i"), slot.alias("slot")), "base")
-    albedo = base.select("image_id", "pid", F.col("i").alias("a"))
-    for _ in range(n_iter):
-        now = base.join(albedo, ["image_id", "pid"])
-        rows = now.select("image_id", "y", "height", "slot", "i", F.try_divide("i", "a").alias("s"), F.explode(_origins("x", "width", SIDE)).alias("wx"))
-        rows = rows.groupBy("image_id", "wx", "y", "height", "slot").agg(F.sum("i").alias("i"), F.count("*").alias("n"), F.sum("s").alias("s"))
-        wins = rows.select("image_id", "wx", "slot", "i", "n", "s", F.explode(_origins("y", "height", SIDE)).alias("wy"))
-        wins = wins.groupBy("image_id", "wx", "wy", "slot").agg(F.sum("i").alias("i"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-        shading = wins.groupBy("image_id", "wx", "wy").agg((F.sum("s") / (SIDE * SIDE)).alias("sh"))
-        told = wins.join(shading, ["image_id", "wx", "wy"]).select("image_id", "wx", "wy", "slot", F.try_divide(F.col("i"), F.col("n") * F.col("sh")).alias("m"))
-        back = told.select("image_id", "wx", "slot", "m", F.explode(F.sequence(F.col("wy"), F.col("wy") + SIDE - 1)).alias("y"))
-        back = back.groupBy("image_id", "wx", "y", "slot").agg(F.sum("m").alias("m"))
-        back = back.select("image_id", "y", "slot", "m", F.explode(F.sequence(F.col("wx"), F.col("wx") + SIDE - 1)).alias("x"))
-        back = back.groupBy("image_id", "x", "y", "slot").agg(F.sum("m").alias("m"))
-        new = base.join(back, ["image_id", "x", "y", "slot"])
-        count = contributions(F.col("x"), F.col("y"), F.col("width"), F.col("height"), SIDE)
-        albedo = saved(new.select("image_id", "pid", (F.col("m") / count).alias("a")), "albedo")
-    return pixels.join(albedo.withColumnRenamed("a", name), ["image_id", "pid"])
+    base = join_small(pixels, size, key).select(key, "pid", "x", "y", "width", "height", F.col(intensity).cast("double").alias("i"), slot.alias("slot"))
+    now = base.withColumn("a", F.col("i"))
+    for done in range(0, n_iter, together):
+        rounds = min(together, n_iter - done)
+        halo = (SIDE - 1) * rounds
+        near = lambda c, most: F.sequence(F.expr(f"cast(greatest({c} - {halo}, 0) div {tile} as int)"), F.expr(f"cast(least({c} + {halo}, {most} - 1) div {tile} as int)"))
+        copies = now.withColumn("tx", F.explode(near("x", "width"))).withColumn("ty", F.explode(near("y", "height")))
+        new = copies.groupBy(key, "tx", "ty").applyInPandas(_solver(tile, rounds), now.schema)
+        now = saved(new.withColumn("a", F.nanvl("a", F.lit(None).cast("double"))), "albedo")
+    return pixels.join(now.select(key, "pid", F.col("a").alias(name)), [key, "pid"])
 
 
 def albedo_channels(df: DataFrame, albedo: str = "albedo", chroma: tuple[str, str] = ("cr", "cg")) -> DataFrame:
@@ -64,11 +104,11 @@ def beta_feature(df: DataFrame, lab: tuple[str, str, str] = ("l", "a", "b"), mu:
     top = df.groupBy("image_id").agg((F.max(F.abs(a)) * 0.2).alias("__wide"), F.max(light).alias("__top"))
     grey = (F.abs(a) < F.col("__wide")) & (F.abs(b) < F.col("__wide"))
     value = F.when(grey & (light < F.col("__top") * 0.2), -mu).when(grey & (light > F.col("__top") * 0.95), mu).otherwise(0.0)
-    return df.join(top, "image_id").withColumn(name, value).drop("__wide", "__top")
+    return join_small(df, top, "image_id").withColumn(name, value).drop("__wide", "__top")
 
 
 def normalize_minmax(df: DataFrame, value: str, name: str | None = None) -> DataFrame:
     """Each image's values from 0 to 1; constant ones become 0."""
     ends = df.groupBy("image_id").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     scaled = F.coalesce(F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
-    return df.join(ends, "image_id").withColumn(name or value, scaled).drop("__lo", "__hi")
+    return join_small(df, ends, "image_id").withColumn(name or value, scaled).drop("__lo", "__hi")

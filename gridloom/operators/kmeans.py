@@ -1,37 +1,69 @@
-"""Lloyd k-means on three channels."""
+"""Lloyd k-means on three channels, each image by itself.
+
+Centroids are a table (image_id, label, c0, c1, c2). For labelling they become
+one array an image, so a point meets its image's centroids in one expression.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import join_small, saved
+
 CHANNELS = ("c0", "c1", "c2")
 
 
-def seeds(points: DataFrame, k: int, seed: int = 0) -> list[tuple[float, float, float]]:
-    """k points by smallest hash of image and pixel id: the same whatever the partitions."""
-    rows = points.orderBy(F.xxhash64("image_id", "pid", F.lit(seed)), "image_id", "pid").select(*CHANNELS).limit(k).collect()
-    return [tuple(r) for r in rows]
+def seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(image_id, label, c0, c1, c2): k points of each image by smallest MD5 of image, pixel id and seed, the same whatever the partitions.
+
+    Fewer, if an image has fewer points. The limit works before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.md5(F.concat_ws("/", "image_id", "pid", F.lit(seed))), "pid"))
+    first = points.select("image_id", "pid", *CHANNELS).withColumn("label", (place - 1).cast("int")).filter(F.col("label") < k)
+    return first.select("image_id", "label", *CHANNELS)
+
+
+def distinct_seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """As :func:`seeds`, of points of different colour (of equal ones the first stands for all)."""
+    one = points.groupBy("image_id", *CHANNELS).agg(F.min("pid").alias("pid"))
+    return seeds(one, k, seed)
+
+
+def same_for_all(points: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
+    """The given centroids as a table, for every image."""
+    rows = F.array(*(F.struct(F.lit(k).alias("label"), *(F.lit(float(v)).alias(c) for c, v in zip(CHANNELS, x, strict=True))) for k, x in enumerate(centroids)))
+    return points.select("image_id").distinct().select("image_id", F.explode(rows).alias("c")).select("image_id", "c.*")
+
+
+def distance(centroid: Column) -> Column:
+    """Squared distance of a point to a centroid."""
+    terms = [F.col(c) - centroid[c] for c in CHANNELS]
+    return terms[0] * terms[0] + terms[1] * terms[1] + terms[2] * terms[2]
+
+
+def _arrays(centroids: DataFrame, name: str) -> DataFrame:
+    """One row an image, its centroids by label."""
+    return centroids.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("label", *CHANNELS))).alias(name))
 
 
-def distance(centroid: tuple[float, float, float]) -> Column:
-    """Squared distance to a centroid."""
-    terms = [(F.col(c) - F.lit(float(v))) for c, v in zip(CHANNELS, centroid, strict=True)]
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
+def _nearest(centroids: str) -> Column:
+    """The nearest centroid's label, ties to the lowest."""
+    return F.array_min(F.transform(centroids, lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))["label"]
 
 
-def distances(points: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
-    """(image_id, pid, label, dist) for every point and centroid."""
-    each = F.array(*(F.struct(F.lit(k).alias("label"), distance(c).alias("dist")) for k, c in enumerate(centroids)))
-    return points.select("image_id", "pid", F.explode(each).alias("d")).select("image_id", "pid", "d.label", "d.dist")
+def distances(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(image_id, pid, label, dist) for every point and centroid of its image."""
+    each = F.transform("__c", lambda c: F.struct(c["label"].alias("label"), distance(c).alias("dist")))
+    met = join_small(points, _arrays(centroids, "__c"), "image_id")
+    return met.select("image_id", "pid", F.explode(each).alias("d")).select("image_id", "pid", "d.label", "d.dist")
 
 
-def label_points(points: DataFrame, centroids: list[tuple[float, float, float]], name: str = "label") -> DataFrame:
-    """The nearest centroid's ordinal, ties to the lowest: an expression over k literals, no join."""
-    best = F.array_min(F.array(*(F.struct(distance(c).alias("d"), F.lit(k).alias("label")) for k, c in enumerate(centroids))))
-    return points.withColumn(name, best["label"])
+def label_points(points: DataFrame, centroids: DataFrame, name: str = "label") -> DataFrame:
+    """Points with the label of the nearest centroid, ties to the lowest."""
+    return join_small(points, _arrays(centroids, "__c"), "image_id").withColumn(name, _nearest("__c")).drop("__c")
 
 
 def calculate_centroids(points: DataFrame, k: int | None = None, label: str = "label") -> DataFrame:
@@ -50,31 +82,44 @@ def propagate_centroids(points: DataFrame, centroids: DataFrame, label: str = "l
     return points.join(means, ["image_id", label], "left")
 
 
-def step(points: DataFrame, centroids: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
-    """New centroids over all points: k rows to the driver."""
-    rows = label_points(points, centroids).groupBy("label").agg(*(F.avg(c).alias(c) for c in CHANNELS)).collect()
-    new = [(0.0, 0.0, 0.0)] * len(centroids)
-    for r in rows:
-        new[r["label"]] = (r["c0"], r["c1"], r["c2"])
-    return new
+def step(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """New centroids (image_id, label, c0, c1, c2): the mean of each label's points, zero where it has none."""
+    means = label_points(points, centroids, "__label").groupBy("image_id", F.col("__label").alias("label")).agg(*(F.avg(c).alias(c) for c in CHANNELS))
+    out = centroids.select("image_id", "label").join(means, ["image_id", "label"], "left")
+    return out.select("image_id", "label", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in CHANNELS))
 
 
-def shift(old: list[tuple[float, float, float]], new: list[tuple[float, float, float]]) -> float:
-    """Root of the summed squared centroid moves."""
-    return math.sqrt(sum((a - b) ** 2 for x, y in zip(old, new, strict=True) for a, b in zip(x, y, strict=True)))
+def shift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(image_id, shift): root of the summed squared moves of an image's centroids."""
+    both = old.alias("a").join(new.alias("b"), ["image_id", "label"])
+    moved = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in CHANNELS), F.lit(0.0))
+    return both.groupBy("image_id").agg(F.sqrt(F.sum(moved)).alias("shift"))
 
 
-def cluster(points: DataFrame, centroids: list[tuple[float, float, float]], max_iter: int, threshold: float = 1.0, n_iter: int | None = None) -> tuple[DataFrame, list[tuple[float, float, float]]]:
+def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: float = 1.0, n_iter: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Lloyd's loop: labelled points (of the last assignment, made before the last update) and centroids.
 
-    Stops when the centroids' shift changes by no more than ``threshold`` from
-    one round to the next, or after ``max_iter``; ``n_iter`` fixes the number of
-    rounds. A plan holds k literals only and doesn't grow with rounds.
+    An image stops when its centroids' shift changes by no more than
+    ``threshold`` from one round to the next; all stop after ``max_iter``;
+    ``n_iter`` fixes the number of rounds. A round moves the points of images
+    that go on once, for the means; centroids are written out, so plans don't grow with rounds.
     """
-    before, delta, done, labels_of = math.inf, 0.0, 0, centroids
-    while done < (max_iter if n_iter is None else n_iter) and (n_iter is not None or done == 0 or abs(delta - before) > threshold):
-        before = delta if done else math.inf
-        labels_of, centroids = centroids, step(points, centroids)
-        delta = shift(labels_of, centroids)
+    used = now = saved(centroids.select("image_id", "label", *CHANNELS), "centroids")
+    active = now.select("image_id").distinct().withColumn("before", F.lit(math.inf))
+    done = 0
+    while done < (max_iter if n_iter is None else n_iter):
+        going = points if not done or n_iter is not None else join_small(points, active.select("image_id"), "image_id", "left_semi")
+        turn = now if not done or n_iter is not None else now.join(active.select("image_id"), "image_id", "left_semi")
+        new = saved(step(going, turn), "centroids")
+        moved = saved(active.join(shift(turn, new), "image_id").withColumn("goes", F.abs(F.col("shift") - F.col("before")) > threshold), "moved")
+        # Images that had stopped keep both tables as they are.
+        stopped = new.select("image_id").distinct()
+        used = saved(used.join(stopped, "image_id", "left_anti").unionByName(turn), "used")
+        now = saved(now.join(stopped, "image_id", "left_anti").unionByName(new), "centroids")
         done += 1
-    return label_points(points, labels_of), centroids
+        active = moved.filter("goes").select("image_id", F.col("shift").alias("before"))
+        if n_iter is not None:
+            active = moved.select("image_id", F.col("shift").alias("before"))
+        elif active.isEmpty():
+            break
+    return label_points(points, used), now

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.raster import grid_edges
-from ..sources.storage import saved
+from ..sources.storage import join_small, saved
 
 
 def n_grid_entries(height: int, width: int) -> int:
@@ -32,7 +32,7 @@ def poisson_matrix(pixels: DataFrame, neumann: bool = True, blocks: int = 1) ->
     if blocks == 1:
         return matrix
     n = pixels.groupBy("image_id").agg((F.max("pid") + 1).alias("n"))
-    copies = matrix.join(n, "image_id").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    copies = join_small(matrix, n, "image_id").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return copies.select("image_id", (F.col("i") + F.col("c") * F.col("n")).alias("i"), (F.col("j") + F.col("c") * F.col("n")).alias("j"), "v")
 
 
@@ -40,14 +40,14 @@ def lighting_matrix(pixels: DataFrame, light: tuple[float, float, float]) -> Dat
     """Outer product of the light, for each pixel's three channels."""
     n = pixels.groupBy("image_id").agg((F.max("pid") + 1).alias("n"))
     cells = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(light[r] * light[c]).alias("v")) for r in range(3) for c in range(3)))
-    out = pixels.select("image_id", "pid").join(n, "image_id").select("image_id", "pid", "n", F.explode(cells).alias("e"))
+    out = join_small(pixels.select("image_id", "pid"), n, "image_id").select("image_id", "pid", "n", F.explode(cells).alias("e"))
     return out.select("image_id", (F.col("pid") + F.col("e.r") * F.col("n")).alias("i"), (F.col("pid") + F.col("e.c") * F.col("n")).alias("j"), F.col("e.v").alias("v"))
 
 
 def lighting_vector(pixels: DataFrame, light: tuple[float, float, float], shading: str = "s") -> DataFrame:
     n = pixels.groupBy("image_id").agg((F.max("pid") + 1).alias("n"))
     cells = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(light[c]).alias("v")) for c in range(3)))
-    out = pixels.select("image_id", "pid", F.col(shading).alias("s")).join(n, "image_id").withColumn("e", F.explode(cells))
+    out = join_small(pixels.select("image_id", "pid", F.col(shading).alias("s")), n, "image_id").withColumn("e", F.explode(cells))
     return out.select("image_id", (F.col("pid") + F.col("e.c") * F.col("n")).alias("i"), (F.col("s") * F.col("e.v")).alias("v"))
 
 

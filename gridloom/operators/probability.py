@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import SMALL, saved
+
 CHANNELS = ("c0", "c1", "c2")
 
 
@@ -36,30 +40,77 @@ def exemplars(df: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("image_id", "label", "pid").join(df.select("image_id", "pid", *CHANNELS), ["image_id", "pid"])
 
 
+def nearest(points: np.ndarray, ids: np.ndarray, k: int, leaf: int = 32) -> np.ndarray:
+    """Places of each point's k nearest others (fewer, if there are fewer), ties to the lower id.
+
+    Points are halved along their widest axis into leaves; a leaf's points look
+    into other leaves by distance of their boxes, until no box is near enough.
+    """
+    todo, leaves = [np.arange(len(points))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= leaf:
+            leaves.append(at)
+            continue
+        axis = int(np.argmax(np.ptp(points[at], axis=0)))
+        at = at[np.argsort(points[at, axis], kind="stable")]
+        todo += [at[: len(at) // 2], at[len(at) // 2 :]]
+    k = min(k, len(points) - 1)
+    out = np.zeros((len(points), k), np.int64)
+    if k <= 0:
+        return out
+    low, high = (np.array([f(points[at], axis=0) for at in leaves]) for f in (np.min, np.max))
+    for at, lo, hi in zip(leaves, low, high, strict=True):
+        gap = np.maximum(np.maximum(low - hi, lo - high), 0)
+        away = (gap * gap).sum(1) * (1 - 1e-9)
+        order = np.argsort(away, kind="stable")
+        known, d = np.zeros((len(at), 0), np.int64), np.zeros((len(at), 0))
+        for place in order:
+            if known.shape[1] >= k and away[place] > d[:, k - 1].max():
+                break
+            others = leaves[place]
+            apart = points[at][:, None, :] - points[others][None, :, :]
+            new = apart[..., 0] * apart[..., 0] + apart[..., 1] * apart[..., 1] + apart[..., 2] * apart[..., 2]
+            new = np.where(at[:, None] == others[None, :], np.inf, new)
+            known, d = np.concatenate([known, np.broadcast_to(others, new.shape)], 1), np.concatenate([d, new], 1)
+            best = np.lexsort((ids[known], d), axis=1)[:, : k + 1]
+            known, d = np.take_along_axis(known, best, 1), np.take_along_axis(d, best, 1)
+        out[at] = known[:, :k]
+    return out
+
+
 def remove_outliers(df: DataFrame, ids: DataFrame, k: int = 10, votes: int = 5) -> DataFrame:
-    """Exemplars of whose k nearest others fewer than ``votes`` have their label go. Exemplars meet within their image: at most 10 a label."""
+    """Exemplars of whose k nearest others in their image fewer than ``votes`` have their label go.
+
+    An image's exemplars (10 a label) are one task, which finds the nearest without comparing all pairs.
+    """
+
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pdf.label.to_numpy()
+        near = nearest(pdf[list(CHANNELS)].to_numpy(float), pdf.pid.to_numpy(), k)
+        return pdf.loc[(label[near] == label[:, None]).sum(1) >= votes, ["image_id", "pid"]]
+
     one = exemplars(df, ids)
-    a = one.select("image_id", F.col("pid").alias("pid"), F.col("label").alias("label"), F.struct(*CHANNELS).alias("p"))
-    b = one.select("image_id", F.col("pid").alias("other"), F.col("label").alias("other_label"), F.struct(*CHANNELS).alias("q"))
-    near = a.join(b, "image_id").filter("pid <> other").withColumn("d", _squared("p", "q", "l2"))
-    at = F.row_number().over(Window.partitionBy("image_id", "pid").orderBy("d", "other"))
-    same = near.withColumn("at", at).filter(F.col("at") <= k).groupBy("image_id", "pid").agg(F.count_if(F.col("label") == F.col("other_label")).alias("votes"))
-    kept = same.filter(F.col("votes") >= votes).select("image_id", "pid")
+    kept = one.groupBy("image_id").applyInPandas(vote, "image_id string, pid long")
     return ids.join(kept, ["image_id", "pid"], "left_semi")
 
 
-def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0) -> DataFrame:
+def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:
     """(image_id, label, pid, p): each pixel's share of its mean distances to the sets, each to the ``power``.
 
-    An image's exemplars (10 a set) travel as one array, so a pixel is one row
-    until its probabilities are known, and nothing of size pixels x exemplars is
-    made. Powers are taken as differences of logarithms.
+    Exemplars (10 a set) travel as arrays of at most ``sets`` sets, so a pixel is a row
+    for each such array until its probabilities are known, and nothing of size
+    pixels x exemplars is made. Powers are taken as differences of logarithms;
+    an image of more sets adds up its pixels' parts first.
     """
-    every = exemplars(df, ids).groupBy("image_id", "label").agg(F.collect_list(F.struct(*CHANNELS)).alias("members"))
-    sets = every.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("label", "members"))).alias("sets"))
-    sign = 1.0 if metric == "sum" else -1.0
     if metric not in ("sum", "l2"):
         raise ValueError(f"metric {metric!r} is neither 'sum' nor 'l2'")
+    every = exemplars(df, ids).groupBy("image_id", "label").agg(F.collect_list(F.struct(*CHANNELS)).alias("members"))
+    every = saved(every, "sets")
+    many = every.groupBy("image_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("label"), F.lit(-(-many // sets))).cast("int") if many > sets else F.lit(0)
+    parts = every.groupBy("image_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("label", "members"))).alias("sets"))
+    sign = 1.0 if metric == "sum" else -1.0
 
     def squared(e: Column) -> Column:
         terms = [F.col(c) + e[c] * sign for c in CHANNELS]
@@ -67,8 +118,14 @@ def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse:
 
     mean = lambda s: F.aggregate(s["members"], F.lit(0.0), lambda t, e: t + squared(e)) / F.size(s["members"])
     logs = F.transform("sets", lambda s: F.struct(s["label"].alias("label"), (F.ln(F.greatest(mean(s), F.lit(1e-300))) * (-power if inverse else power)).alias("g")))
-    out = df.select("image_id", "pid", *CHANNELS).join(sets, "image_id").select("image_id", "pid", logs.alias("logs"))
+    # 10 exemplars a set: the broadcast is bounded by the number of sets.
+    points, table = df.select("image_id", "pid", *CHANNELS), saved(parts, "sets")
+    few = every.count() * 10 <= SMALL
+    out = points.join(F.broadcast(table) if few else table, "image_id").select("image_id", "pid", logs.alias("logs"))
     out = out.withColumn("top", F.array_max(F.transform("logs", lambda x: x["g"])))
     out = out.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["g"] - F.col("top"))))
+    if many > sets:
+        pixel = Window.partitionBy("image_id", "pid")
+        out = out.withColumn("whole", F.max("top").over(pixel)).withColumn("total", F.sum(F.col("total") * F.exp(F.col("top") - F.col("whole"))).over(pixel)).withColumn("top", F.col("whole"))
     out = out.select("image_id", "pid", "top", "total", F.explode("logs").alias("x"))
     return out.select("image_id", F.col("x.label").alias("label"), "pid", (F.exp(F.col("x.g") - F.col("top")) / F.col("total")).alias("p"))

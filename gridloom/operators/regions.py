@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.raster import OFFSETS, grid
+from ..sources.storage import join_small
 from .graph import fix_map_cycles, map_until_converged
 
 
@@ -22,10 +23,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def boundary_stats(df: DataFrame, label: str = "label") -> DataFrame:
     """(image_id, src_label, dst_label, len, avg_diff): edges and mean colour distance of each directed boundary."""
-    edges = adjacency_edges(df, label, "c0", "c1", "c2")
+    # A boundary's two directions have the same edges: one sum serves both, so they can't differ in the last bit.
+    edges = adjacency_edges(df, label, "c0", "c1", "c2").filter("src < dst")
     d = [F.col(f"src_{c}") - F.col(f"dst_{c}") for c in ("c0", "c1", "c2")]
     diff = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    return edges.groupBy("image_id", "src_label", "dst_label").agg(F.count("*").alias("len"), F.avg(diff).alias("avg_diff"))
+    both = edges.groupBy("image_id", F.least("src_label", "dst_label").alias("a"), F.greatest("src_label", "dst_label").alias("b")).agg(F.count("*").alias("len"), F.avg(diff).alias("avg_diff"))
+    ways = F.array(F.struct(F.col("a").alias("src_label"), F.col("b").alias("dst_label")), F.struct("b", "a"))
+    return both.select("image_id", "len", "avg_diff", F.explode(ways).alias("w")).select("image_id", "w.src_label", "w.dst_label", "len", "avg_diff")
 
 
 def small_segment_targets(df: DataFrame, label: str = "label", least: int = 10, chroma: tuple[str, str] = ("c0", "c1")) -> DataFrame:
@@ -50,7 +54,7 @@ def smooth_boundary_targets(df: DataFrame, label: str = "label", threshold: floa
     """(image_id, label, target): over the smoothest boundary that is longer than ``longer`` edges and below ``threshold`` of the greatest colour norm."""
     norm = F.sqrt(F.col("c0") * F.col("c0") + F.col("c1") * F.col("c1") + F.col("c2") * F.col("c2"))
     most = df.groupBy("image_id").agg((F.max(norm) * threshold).alias("limit"))
-    weak = boundary_stats(df, label).join(most, "image_id").filter((F.col("avg_diff") < F.col("limit")) & (F.col("len") > longer))
+    weak = join_small(boundary_stats(df, label), most, "image_id").filter((F.col("avg_diff") < F.col("limit")) & (F.col("len") > longer))
     best = weak.groupBy("image_id", F.col("src_label").alias("label")).agg(F.min(F.struct("avg_diff", "dst_label"))["dst_label"].alias("to"))
     labels = df.select("image_id", F.col(label).alias("label")).distinct()
     return labels.join(best, ["image_id", "label"], "left").select("image_id", "label", F.coalesce("to", "label").alias("target"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import unit
 from ..sources.raster import grid_edges
+from ..sources.storage import join_small, saved
+from . import linalg
 from .linalg import neighbour_sums
 from .windows import sobel_derivative
 
@@ -44,12 +46,18 @@ def height_rhs(relative: DataFrame) -> DataFrame:
     return relative.groupBy("image_id", "i").agg(F.sum("v").alias("v"))
 
 
-def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float = 1.0, shading: str = "s", tol: float = 1e-5, max_iter: int = 1500) -> DataFrame:
+def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float = 1.0, shading: str = "s", tol: float = 1e-5, max_iter: int = 1500, solver: str = "sweep") -> DataFrame:
     """(image_id, pid, x, y, nx, ny, nz) from shading, smoothed by ``weight``.
 
-    An image is one grouped task (the sweep is sequential); within it,
-    red-black successive relaxation on the grid, from (0, 0, 1).
+    ``solver``: "sweep" solves an image in one grouped task (the sweep is
+    sequential), by red-black successive relaxation on the grid, from (0, 0, 1).
+    "relax" is for images too large for a task (about 200 bytes a pixel): the same
+    system as relations, by :func:`linalg.relax`, with more rounds and a shuffle each.
     """
+    if solver not in ("sweep", "relax"):
+        raise ValueError(f"solver {solver!r} is neither 'sweep' nor 'relax'")
+    if solver == "relax":
+        return _relaxed_normals(pixels, tuple(np.array(light, float) / np.linalg.norm(light)), weight, shading, tol, max_iter)
     l = np.array(light, float) / np.linalg.norm(light)  # noqa: E741
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,8 +89,28 @@ def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weigh
     return df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, nx double, ny double, nz double")
 
 
-def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_000, omega: float = 0.9, tol: float = 1e-4) -> DataFrame:
-    """(image_id, pid, x, y, h) from relative heights: the first pixel pinned, solved by relaxation, scaled to 0..1."""
+def _relaxed_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float, shading: str, tol: float, max_iter: int) -> DataFrame:
+    matrix = saved(linalg.sparse_add(linalg.lighting_matrix(pixels, light), linalg.poisson_matrix(pixels, blocks=3), 2 * weight), "matrix")
+    b = saved(linalg.lighting_vector(pixels, light, shading), "b")
+    size = pixels.groupBy("image_id").agg((F.max("pid") + 1).alias("n"))
+    start = join_small(b, size, "image_id").select("image_id", "i", F.when(F.col("i") >= 2 * F.col("n"), 1.0).otherwise(0.0).alias("v"))
+    x = join_small(linalg.relax(matrix, b, start, 0.6, tol, max_iter), size, "image_id")
+    x = x.groupBy("image_id", (F.col("i") % F.col("n")).alias("pid")).agg(*(F.max(F.when(F.floor(F.col("i") / F.col("n")) == k, F.col("v"))).alias(f"v{k}") for k in range(3)))
+    norm = F.sqrt(F.col("v0") * F.col("v0") + F.col("v1") * F.col("v1") + F.col("v2") * F.col("v2"))
+    n = [F.coalesce(F.try_divide(F.col(f"v{k}"), norm), F.lit(0.0)) for k in range(3)]
+    out = pixels.select("image_id", "pid", "x", "y").join(x, ["image_id", "pid"])
+    return out.select("image_id", "pid", "x", "y", n[0].alias("nx"), n[1].alias("ny"), F.abs(n[2]).alias("nz"))
+
+
+def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_000, omega: float = 0.9, tol: float = 1e-4, solver: str = "sweep") -> DataFrame:
+    """(image_id, pid, x, y, h) from relative heights: the first pixel pinned, solved by relaxation, scaled to 0..1.
+
+    ``solver`` as in :func:`estimate_normals`.
+    """
+    if solver not in ("sweep", "relax"):
+        raise ValueError(f"solver {solver!r} is neither 'sweep' nor 'relax'")
+    if solver == "relax":
+        return _relaxed_heights(relative, pixels, max_iter, omega, tol)
     rhs = height_rhs(relative).select("image_id", F.col("i").alias("pid"), F.col("v").alias("b"))
     df = pixels.select("image_id", "pid", "x", "y").join(rhs, ["image_id", "pid"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
 
@@ -108,3 +136,18 @@ def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_
         return pd.DataFrame({"image_id": pdf.image_id, "pid": pdf.pid, "x": pdf.x, "y": pdf.y, "h": h.ravel()})
 
     return df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, h double")
+
+
+def _relaxed_heights(relative: DataFrame, pixels: DataFrame, max_iter: int, omega: float, tol: float) -> DataFrame:
+    first = F.col("i") == 0
+    matrix = linalg.poisson_matrix(pixels).filter(~first)
+    pinned = pixels.select("image_id").distinct().select("image_id", F.lit(0).cast("long").alias("i"))
+    matrix = saved(matrix.unionByName(pinned.select("image_id", "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))), "matrix")
+    rhs = pixels.select("image_id", F.col("pid").alias("i")).join(height_rhs(relative), ["image_id", "i"], "left")
+    b = saved(rhs.select("image_id", "i", F.when(first, 0.5).otherwise(F.coalesce("v", F.lit(0.0))).alias("v")), "b")
+    start = b.select("image_id", "i", F.lit(0.5).alias("v"))
+    x = linalg.relax(matrix, b, start, omega, tol, max_iter)
+    ends = x.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    h = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    x = join_small(x, ends, "image_id").select("image_id", F.col("i").alias("pid"), h.alias("h"))
+    return pixels.select("image_id", "pid", "x", "y").join(x, ["image_id", "pid"])

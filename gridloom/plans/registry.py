@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import color, scalar
 from ..operators import components, graph, intrinsic, kmeans, linalg, probability, regions, sfs, windows
 from ..sources import raster
+from ..sources.storage import new_path
 from . import segmentation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,25 +211,40 @@ def _steps(n: int) -> str:
     return out
 
 
+def _seeded(px: DataFrame) -> DataFrame:
+    return kmeans.same_for_all(px, SEEDS)
+
+
+_ORDERED = "row_number() OVER (ORDER BY md5('events/' || pid || '/0'), pid) - 1 AS label"
+
+
+@query("kmeans_seeds", f"SELECT label, {r('c0', 'c0')}, {r('c1', 'c1')}, {r('c2', 'c2')} FROM (SELECT *, {_ORDERED} FROM px) WHERE label < 7")
+def _seeds(px):
+    return kmeans.seeds(px, 7).select(*whole("label"), *reals("c0", "c1", "c2"))
+
+
+@query("kmeans_distinct_seeds", f"SELECT label, {r('c1', 'c1')}, {r('c2', 'c2')} FROM (SELECT *, {_ORDERED} FROM (SELECT min(pid) AS pid, c1, c2 FROM px GROUP BY c1, c2)) WHERE label < 7")
+def _distinct_seeds(px):
+    return kmeans.distinct_seeds(px.withColumn("c0", F.lit(0.5)), 7).select(*whole("label"), *reals("c1", "c2"))
+
+
 @query("kmeans_distances", f"SELECT pid, CAST(k.label AS BIGINT) AS label, {r(_dist('k'), 'dist')} FROM px, k0 k", _S0)
 def _distances(px):
-    return kmeans.distances(px, SEEDS).select(*whole("pid", "label"), *reals("dist"))
+    return kmeans.distances(px, _seeded(px)).select(*whole("pid", "label"), *reals("dist"))
 
 
 @query("kmeans_label", "SELECT pid, CAST(label AS BIGINT) AS label FROM l1", _steps(1))
 def _label(px):
-    return kmeans.label_points(px, SEEDS).select(*whole("pid", "label"))
+    return kmeans.label_points(px, _seeded(px)).select(*whole("pid", "label"))
 
 
-def _lloyd(n: int):
-    def run(px: DataFrame) -> DataFrame:
-        found, centroids = kmeans.cluster(px, SEEDS, n, n_iter=n)
-        rows = F.array(*(F.struct(F.lit(k).alias("label"), *(F.lit(v).alias(f"c{i}") for i, v in enumerate(c))) for k, c in enumerate(centroids)))
-        means = px.sparkSession.range(1).select(F.explode(rows).alias("c")).select("c.*")
-        counts = found.groupBy("label").agg(F.count("*").alias("n"))
-        return means.join(counts, "label", "left").select(*whole("label"), *reals("c0", "c1", "c2"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+def _with_counts(found: DataFrame, centroids: DataFrame) -> DataFrame:
+    counts = found.groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    return centroids.join(counts, ["image_id", "label"], "left").select(*whole("label"), *reals("c0", "c1", "c2"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
-    return run
+
+def _lloyd(n: int):
+    return lambda px: _with_counts(*kmeans.cluster(px, _seeded(px), n, n_iter=n))
 
 
 for _n in (1, 3):
@@ -237,7 +253,19 @@ for _n in (1, 3):
 
 @query("kmeans_shift", f"SELECT {r('sqrt(sum((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1) + (a.c2 - b.c2) * (a.c2 - b.c2)))', 'shift')} FROM k0 a JOIN k1 b USING (label)", _steps(1))
 def _shift(px):
-    return px.sparkSession.range(1).select(real(F.lit(kmeans.shift(SEEDS, kmeans.step(px, SEEDS)))).alias("shift"))
+    old = _seeded(px)
+    return kmeans.shift(old, kmeans.step(px, old)).select(*reals("shift"))
+
+
+# Rounds until the shift changes by no more than the threshold: the centroids that follow the last assignment.
+_ROUNDS, _THRESHOLD = 12, 0.01
+_STOP = _steps(_ROUNDS) + ", sh(n, shift) AS (" + " UNION ALL ".join(f"SELECT {s}, sqrt(sum({_dist('b').replace('px.', 'a.')})) FROM k{s - 1} a JOIN k{s} b USING (label)" for s in range(1, _ROUNDS + 1)) + f"), last AS (SELECT coalesce(min(a.n), {_ROUNDS}) AS n FROM sh a JOIN sh b ON b.n = a.n - 1 WHERE abs(a.shift - b.shift) <= {_THRESHOLD}e0)"
+_STOP += ", ends AS (" + " UNION ALL ".join(f"SELECT {s} AS n, label, c0, c1, c2 FROM k{s}" for s in range(1, _ROUNDS + 1)) + ")"
+
+
+@query("kmeans_stop", f"SELECT CAST(label AS BIGINT) AS label, {r('c0', 'c0')}, {r('c1', 'c1')}, {r('c2', 'c2')} FROM ends JOIN last USING (n)", _STOP)
+def _stop(px):
+    return kmeans.cluster(px, _seeded(px), _ROUNDS, _THRESHOLD)[1].select(*whole("label"), *reals("c0", "c1", "c2"))
 
 
 # Windows --------------------------------------------------------------------
@@ -461,7 +489,7 @@ def _albedo_sql(n: int) -> str:
     return out
 
 
-for _n in (1, 2):
+for _n in (1, 2, 5):
     query(f"albedo_intensity_{_n}", f"SELECT pid, {r('a', 'albedo', 9)} FROM a{_n}", _albedo_sql(_n))(
         lambda px, n=_n: intrinsic.estimate_albedo_intensity(_ic(px), n_iter=n).select(*whole("pid"), *reals("albedo", digits=9))
     )
@@ -536,10 +564,58 @@ def _absolute(px):
     return sfs.absolute_heights(relative, px, max_iter=2000).select(*whole("pid"), *reals("h", digits=4))
 
 
+_JACOBI = _POISSON + ", x0 AS (SELECT pid AS i, 0.5e0 AS v FROM px)" + "".join(
+    f", x{k} AS (SELECT x.i, any_value(x.v) + 0.8e0 * (any_value(b.c0) - sum(po.v * y.v)) / any_value(d.v) AS v FROM x{k - 1} x JOIN px b ON b.pid = x.i JOIN po ON po.i = x.i JOIN x{k - 1} y ON y.i = po.j JOIN po d ON d.i = x.i AND d.j = x.i GROUP BY x.i)" for k in (1, 2, 3)
+)
+
+
+@query("relax", f"SELECT i, {r('v', 'v')} FROM x3", _JACOBI)
+def _relax(px):
+    b = px.select("image_id", F.col("pid").alias("i"), F.col("c0").alias("v"))
+    start = px.select("image_id", F.col("pid").alias("i"), F.lit(0.5).alias("v"))
+    return linalg.relax(linalg.poisson_matrix(px), b, start, omega=0.8, max_iter=3).select(*whole("i"), *reals("v"))
+
+
+@query("entry_counts", "SELECT (SELECT count(*) FROM g4) AS grid, (SELECT count(*) FROM po) AS poisson", _POISSON)
+def _entries(px):
+    size = raster.dimensions(px)
+    counts = (n(F.col("height").cast("long"), F.col("width").cast("long")) for n in (linalg.n_grid_entries, linalg.n_poisson_entries))
+    return size.select(*(c.alias(n) for c, n in zip(counts, ("grid", "poisson"), strict=True)))
+
+
+# Images ----------------------------------------------------------------------
+
+_BYTE = "floor(greatest(0, least(255, {0} * 255 + 0.5))) / 255e0"
+
+
+@query("image_round_trip", f"SELECT pid, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {', '.join(r(_BYTE.format(c), c) for c in ('c0', 'c1', 'c2'))} FROM px")
+def _round_trip(px):
+    """Written as a PNG file, read as an image file."""
+    spark, folder = px.sparkSession, new_path(px.sparkSession, "images")
+    raster.write_images(px, folder).collect()
+    return raster.read_images(spark, folder, gamma=1.0).select(*whole("pid", "x", "y"), *reals("c0", "c1", "c2"))
+
+
+@query("interleaved", f"SELECT CAST(y AS BIGINT) AS y, CAST(x * 3 + k AS BIGINT) AS place, {r('[c0, c1, c2][k + 1]', 'value')} FROM px, (VALUES (0), (1), (2)) v(k)")
+def _interleaved(px):
+    return raster.interleaved(px).select("y", F.posexplode("values").alias("place", "value")).select(*whole("y", "place"), *reals("value"))
+
+
+# The whole chain --------------------------------------------------------------
+
+
 @query("segmentation")
 def _segmentation(px):
-    """The whole chain over a raster of eight bands of colour, so that regions survive erosion at any size."""
-    band = F.expr("cast(y * 8 div height as int)")
-    px = px.join(raster.dimensions(px), "image_id").withColumn("band", band)
-    px = px.withColumns({f"c{k}": (F.col("band") * m % 8 + 1) / 9.0 for k, m in enumerate((1, 3, 5))}).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
-    return segmentation.segment(px, max_iter=20, erosion=1, n_iter=2)[1].select(*whole("label", "pid"), *reals("p", digits=4))
+    """Labels of every pixel by the chain at its own parameters, on the raster's own channels."""
+    return segmentation.segment(px)[0].select(*whole("pid", "cluster", "component", "label"))
+
+
+@query("segmentation_memberships")
+def _memberships(px):
+    """Memberships by the chain over two images: the raster's bands of colour (so that regions survive erosion), and their mirror image."""
+    px = px.join(raster.dimensions(px), "image_id").withColumn("band", F.expr("cast(y * 4 div height as int)"))
+    px = px.withColumns({f"c{k}": (F.col("band") * m % 4 + 1 + F.col("label_noisy") / 50) / 6.0 for k, m in enumerate((1, 3, 2))})
+    other = px.withColumns({"image_id": F.lit("mirror"), "x": (F.col("width") - 1 - F.col("x")).cast("int")}).withColumn("pid", F.col("y").cast("long") * F.col("width") + F.col("x"))
+    least = px.agg(F.max("height")).first()[0] // 4
+    both = px.unionByName(other).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
+    return segmentation.segment(both, erosion=min(10, (least - 1) // 3))[1].select("image_id", *whole("label", "pid"), *reals("p", digits=4))

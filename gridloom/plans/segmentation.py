@@ -1,4 +1,4 @@
-"""The whole segmentation: colour, albedo, clusters, regions, exemplars, memberships."""
+"""The whole segmentation: colour, albedo, clusters, regions, exemplars, memberships, and their pictures."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from ..functions import color, scalar
 from ..operators import components, intrinsic, kmeans, probability, windows
 from ..sources.storage import saved
 
+CHANNELS = ("c0", "c1", "c2")
+
 
 def prepared(pixels: DataFrame, n_iter: int = 5) -> DataFrame:
     """Pixels with intensity, chroma, albedo, Lab and the achromatic feature."""
-    df = pixels.withColumns({c: scalar.floored(F.col(c)) for c in ("c0", "c1", "c2")})
+    df = pixels.withColumns({c: scalar.floored(F.col(c)) for c in CHANNELS})
     df = color.convert(df, color.rgb_to_ic, ("i", "cr", "cg"))
     df = intrinsic.albedo_channels(intrinsic.estimate_albedo_intensity(df, n_iter=n_iter))
     df = color.convert(df, color.rgb_to_lab, ("l", "a", "b"))
@@ -20,15 +22,43 @@ def prepared(pixels: DataFrame, n_iter: int = 5) -> DataFrame:
 
 
 def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Labelled pixels (cluster, component, label after erosion, -1 for background) and memberships (image_id, label, pid, p)."""
+    """Labelled pixels (cluster, component, label after erosion, -1 for background) and memberships (image_id, label, pid, p).
+
+    Every image is segmented by itself, whatever other images are there.
+    """
     df = saved(prepared(pixels, n_iter), "prepared")
     features = df.select("image_id", "pid", F.col("beta").alias("c0"), F.col("a").alias("c1"), F.col("b").alias("c2"))
+    features = saved(features, "features")
     found, _ = kmeans.cluster(features, kmeans.seeds(features, k), max_iter, threshold)
     df = df.join(found.select("image_id", "pid", F.col("label").alias("cluster")), ["image_id", "pid"])
     df = saved(components.compress_labels(components.connected_components(df, "cluster"), "component", "component"), "components")
     eroded = windows.erode(df.withColumn("label", F.col("component")), erosion)
     eroded = saved(components.compress_labels(eroded, "label", "label", background=False), "eroded")
-    points = eroded.select("image_id", "pid", "label", F.col("a0").alias("c0"), F.col("a1").alias("c1"), F.col("a2").alias("c2"))
+    points = _albedo(eroded)
     means = kmeans.calculate_centroids(points.filter("label >= 0"))
     ids = saved(probability.set_selection(points, means), "exemplars")
     return eroded, probability.set_probability(points, ids)
+
+
+def _albedo(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("image_id", "pid", "label", F.col("a0").alias("c0"), F.col("a1").alias("c1"), F.col("a2").alias("c2"), *more)
+
+
+def pictures(labelled: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Pictures of a segmentation's results as one table of images (image_id, pid, x, y, c0, c1, c2).
+
+    Of each image: ``-clusters`` and ``-components``, pixels in the mean colour of
+    their label; ``-eroded``, in the mean albedo of what erosion left (one mean for all background);
+    ``-prob<label>``, the membership of each set in grey. Ready for
+    :func:`gridloom.sources.raster.write_images`.
+    """
+    names = {f"m{k}": c for k, c in enumerate(CHANNELS)}
+
+    def means(points: DataFrame, what: str) -> DataFrame:
+        out = kmeans.propagate_centroids(points, kmeans.calculate_centroids(points))
+        return out.select(F.concat("image_id", F.lit(f"-{what}")).alias("image_id"), "pid", "x", "y", *(F.col(m).alias(c) for m, c in names.items()))
+
+    colours = labelled.select("image_id", "pid", "x", "y", *CHANNELS, "cluster", "component")
+    out = means(colours.withColumnRenamed("cluster", "label"), "clusters").unionAll(means(colours.withColumnRenamed("component", "label"), "components")).unionAll(means(_albedo(labelled, "x", "y"), "eroded"))
+    grey = memberships.join(labelled.select("image_id", "pid", "x", "y"), ["image_id", "pid"])
+    return out.unionAll(grey.select(F.concat("image_id", F.lit("-prob"), F.col("label").cast("string")), "pid", "x", "y", "p", "p", "p"))

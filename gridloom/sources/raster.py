@@ -6,10 +6,13 @@ A pixel is a row (image_id, pid, x, y, channels); pid is y * width + x.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +45,31 @@ def dimensions(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-def read_images(spark: SparkSession, path: str, gamma: float = 2.2) -> DataFrame:
+def read_images(spark: SparkSession, path: str, gamma: float = 2.2, skip_invalid: bool = False, at_once: int = 1 << 16) -> DataFrame:
     """Image files as pixels (image_id, pid, x, y, c0, c1, c2), three linear channels.
 
-    The image source gives rows of blue, green, red bytes; a byte v becomes
-    (v / 255) ** gamma. Files that can't be decoded, and images without three
-    or four channels, are left out.
+    A byte v becomes (v / 255) ** gamma. Grey images have their channel three
+    times, an alpha channel is dropped. A file that can't be decoded is an
+    error, or left out with ``skip_invalid``. Pixels leave a task ``at_once`` at a time.
     """
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").filter("nChannels in (3, 4)")
-    rows = image.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("pid"))
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), F.col("pid") * F.col("nChannels") + k, F.lit(1))), 16, 10).cast("int")
-    return rows.select(
-        F.col("origin").alias("image_id"),
-        F.col("pid").cast("long"),
-        (F.col("pid") % F.col("width")).cast("int").alias("x"),
-        F.expr("cast(pid div width as int)").alias("y"),
-        *(F.pow(byte(k) / 255.0, gamma).alias(c) for c, k in (("c0", 3), ("c1", 2), ("c2", 1))),
-    )
+    image = spark.read.format("image").option("dropInvalid", skip_invalid).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    linear = (np.arange(256) / 255.0) ** gamma
+
+    def pixels(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for origin, w, h, channels, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if channels < 1:
+                    raise ValueError(f"{origin} is no image that can be decoded")
+                values = np.frombuffer(data, np.uint8).reshape(w * h, channels)
+                # Bytes are blue, green, red, alpha; one or two channels are grey (and alpha).
+                order = (2, 1, 0) if channels > 2 else (0, 0, 0)
+                for start in range(0, w * h, at_once):
+                    pid = np.arange(start, min(start + at_once, w * h))
+                    some = linear[values[pid]]
+                    columns = [pa.array([origin] * len(pid)), pa.array(pid), pa.array((pid % w).astype(np.int32)), pa.array((pid // w).astype(np.int32)), *(pa.array(some[:, k]) for k in order)]
+                    yield pa.RecordBatch.from_arrays(columns, ["image_id", "pid", "x", "y", "c0", "c1", "c2"])
+
+    return image.mapInArrow(pixels, "image_id string, pid long, x int, y int, c0 double, c1 double, c2 double")
 
 
 def interleaved(pixels: DataFrame, channels: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
@@ -90,6 +101,32 @@ def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1",
     return df.groupBy("image_id").applyInPandas(encode, "image_id string, width int, height int, png binary")
 
 
+def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
+    """Write each image as a PNG file; (image_id, path) of the files.
+
+    Files are called after the image, by what follows its last slash, less the ending, and
+    come into being whole: a task writes under another name first, and a
+    repeated task replaces its file. ``folder``: a path or a uri that pyarrow's file systems know.
+    """
+    from pyarrow import fs
+
+    def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            paths = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                system.create_dir(at, recursive=True)
+                path = f"{at}/{name.rstrip('/').rsplit('/', 1)[-1].rsplit('.', 1)[0]}.png"
+                part = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, path)
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths)], ["image_id", "path"])
+
+    return encode_png(pixels, channels).select("image_id", "png").mapInArrow(write, "image_id string, path string")
+
+
 def grid(pixels: DataFrame, offsets: list[tuple[int, int]], *carried: str) -> DataFrame:
     """Neighbouring pairs of pixels of full grids: (image_id, src, dst, dir, src_<c>, dst_<c>).
 

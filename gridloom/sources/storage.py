@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -31,8 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows survives lost executors and has a short plan."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a table that is broadcast for its number of rows.
+SMALL = 1_000_000
+
+
+def join_small(df: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", name: str = "small") -> DataFrame:
+    """Join with a table of short rows (one an image, or a label), written first: broadcast up to SMALL rows, so that an image isn't one task."""
+    table = saved(table, name)
+    return df.join(F.broadcast(table) if table.count() <= SMALL else table, keys, how)
