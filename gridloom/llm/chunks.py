@@ -28,9 +28,8 @@ _AS_IS = "\0"
 _CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Letters that both vocabularies keep together as one word with a blank before it.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A chunk that ends with a letter and a run of ASCII marks: both vocabularies
-#: end a token between the two.
-_MARKED = re.compile("(?s)(.*[^\\W\\d_])([!-/:-@\\[-`{-~]+)\\Z")
+#: Letters after which marks may be split off, if the library ends a token there.
+_LATIN = [c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]) if c.isalpha()]
 
 
 class ChunkEncoder:
@@ -59,6 +58,11 @@ class ChunkEncoder:
         self.ends = bool(suffix)
         #: Whether case and the kind of white space make no difference.
         self.folds = self.ends and self._encode(["The\n Élan"]) == self._encode(["the élan"])
+        #: A chunk that ends with a letter and a run of ASCII marks, where a token ends between the two.
+        #: Other letters may be decomposed or joined with what follows; chunks that end with them and marks stay whole.
+        both, alone = self._encode([c + "." for c in _LATIN]), self._encode([*_LATIN, "."])
+        whole = [c for c, x, y in zip(_LATIN, both, alone) if x == y + alone[-1]]
+        self.marked = re.compile(f"(?s)(.*[{''.join(whole)}])([!-/:-@\\[-`{{-~]+)\\Z" if whole else r"(?!)")
         self.edge = np.array([x.endswith(suffix) if suffix else x.startswith("Ġ") for x in names])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -83,7 +87,7 @@ class ChunkEncoder:
     def _add(self, new: set[str]) -> list[str]:
         """Encode chunks that the table lacks; marks after a letter are split off, so that the word is encoded once. Returns what the table gained."""
         table = self.table
-        marked = {c: (m[1], _AS_IS + m[2]) for c in new if (m := _MARKED.match(c))}
+        marked = {c: (m[1], _AS_IS + m[2]) for c in new if (m := self.marked.match(c))}
         todo = new.difference(marked).union(*marked.values()).difference(table)
         plain = [c for c in todo if _PLAIN.fullmatch(c)]
         table.update(zip(plain, self._encode_plain([" " + c for c in plain]), strict=True))
@@ -161,7 +165,7 @@ def process_wide(key, make):
     return _held[1]
 
 
-def encoder_of(file: str, max_chunks: int = 900_000) -> ChunkEncoder:
+def encoder_of(file: str, max_chunks: int = 600_000) -> ChunkEncoder:
     return process_wide((file, max_chunks), lambda: ChunkEncoder(file, max_chunks))
 
 

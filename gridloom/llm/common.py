@@ -49,6 +49,15 @@ def with_bit(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFr
     return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(own_bucket, bits)
 
 
+#: Most rows of a table that is broadcast because of its number of rows.
+SMALL = 1_000_000
+
+
+def join_small(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a written table of short rows, broadcast where it has at most SMALL."""
+    return df.join(F.broadcast(table) if table.count() <= SMALL else table, key)
+
+
 #: A key with more than this share of all rows is hot; there are fewer than that many.
 HOT = 1000
 

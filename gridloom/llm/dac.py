@@ -7,12 +7,12 @@ into the position on the next. So any id, or any range, is read by a few array
 accesses; nothing is decoded before it.
 
 A segment is one file image: header, document directory, levels. Segments are
-written through Spark as rows of a Parquet table (any store that Spark writes
-to), in ascending order of document id, with part and place in the part, so
+written through Spark as rows of a Parquet table without compression (any store
+that Spark writes to), in ascending order of document id, with part and place in the part, so
 the global position of a token needs only the tokens a part holds.
 
 Defined results: null counts as empty; null ids come first; rows with equal
-ids stay next to each other; a text of any length is one document of one
+ids are next to each other, in the order of the table's files (many of them may lie in several parts); a text of any length is one document of one
 segment; an empty table gives an empty table of segments; other columns aren't
 read.
 """
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -151,7 +151,8 @@ class Segment:
 def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_tokens: int = 1 << 18) -> DataFrame:
     """Encode every text and write segments in ascending order of doc_id.
 
-    Texts are dealt out by range of doc_id before they are encoded (a range
+    Texts are dealt out by range of doc_id and row (so that the rows of one id,
+    or of none, can be dealt out too) before they are encoded (a range
     deals by sampling ids, so its extra pass must not encode), and each task
     streams its sorted rows into segments of about ``segment_tokens``.
     """
@@ -169,7 +170,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "part_start", "n_docs", "n_tokens", "payload"])
 
         for batch in source:
-            for piece in slices(batch, 1, 4_000_000):
+            for piece in slices(batch, 1, 300_000):
                 for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
                     doc_ids.append(d)
                     ids.append(x)
@@ -181,35 +182,32 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
         release_memory()
 
     bound_batches(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return common.materialize(dealt.mapInArrow(run, SEGMENTS), "dac")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    return common.materialize(dealt.select("doc_id", "text").mapInArrow(run, SEGMENTS), "dac", compression="none")
 
 
 def starts_of(segments: DataFrame) -> DataFrame:
     """Segments with the number of tokens in all earlier ones.
 
-    Tokens before a part: a sum over parts (one row a writing task, so their
-    number is that of the table's partitions), not over segments or documents.
+    Tokens before a part: a running sum over parts (one row a writing task, so
+    their number is that of the table's partitions), not over segments or
+    documents.
     """
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    base, rows = 0, []
-    for r in totals:
-        rows.append((r["part"], base))
-        base += r["n"]
-    bases = segments.sparkSession.createDataFrame(rows, "part int, base long")
-    return segments.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("part_start")).drop("base")
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = common.materialize(totals.select("part", before.alias("base")), "bases")
+    return common.join_small(segments, bases, "part").withColumn("start", F.col("base") + F.col("part_start")).drop("base")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32. Each is read by its position, through the rank directories."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for start, payload in zip(batch.column(0), batch.column(1), strict=True):
                 segment = Segment(payload.as_py())
-                # All documents are asked for, so the segment is read as one range.
-                tokens = segment.tokens.slice(0, segment.tokens.n)
-                sums = [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(segment.starts, segment.starts[1:])]
+                sums = [zlib.crc32(segment.document(k)) for k in range(len(segment.doc_ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(segment.doc_ids, pa.int64()), pa.array(segment.starts[:-1] + start.as_py()), pa.array(np.diff(segment.starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return starts_of(segments).select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

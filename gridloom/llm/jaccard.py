@@ -1,27 +1,35 @@
 """Exact Jaccard join on word shingles, with set-relation skipping.
 
 Sets are the distinct five-word shingles of whole texts, as 64-bit hashes; two
-documents link when 100 * |intersection| >= 80 * |union|.
+documents link when 100 * |intersection| >= 80 * |union|. Two shingles of one
+hash count as one (n distinct shingles have about n * n / 2**65 such pairs); a link
+changes only where a pair of them decides it.
 
 1. *Sets that can match.* A set with a partner shares at least 80 % of its
-   shingles with it. Tasks send every shingle's hash, packed, to the task of its
+   shingles with it. Tasks send shingle hashes, packed, to the task of their
    hash range, which sends back per set how many of its hashes occur in another
-   set; sets below 80 % go. This exact test leaves the near copies and little
+   set; sets below 80 % go. A block of texts answers for the hashes that several of its own sets
+   have, and sends each of these once, so a shingle of every document costs its
+   range one entry a block. This test leaves the near copies and little
    else. Equal sets are one from then on.
 2. *Index.* Of each remaining set, the prefix (rarest shingles first) that any
-   partner must meet. Lists skip by position: of two members, one stands too
-   late in its set if what follows can't make up the overlap.
-3. *Answers from similar sets.* Each list has a pivot; all members are compared
+   partner must meet.
+3. *Pivots.* Each list has a pivot; all members are compared
    to it, and a list whose members are then in one component is skipped: its
    other pairs can't change the answer. Lists that aren't get further pivots
-   from outside their largest component. What is left is compared pairwise,
-   but for pairs whose distances to the first pivot differ by more than the
-   threshold allows (Jaccard distance is a metric), pairs whose signatures
-   (hash counts by bucket) bound their overlap below the least one, and pairs
-   inside one component.
-
-Every join and aggregate is keyed by shingle, set or pair; no group is
-collected, and pairs are made only across components of a list.
+   from outside their largest component.
+4. *Skipping and answers from similar sets.* The lists still open are cut into
+   blocks by size and position. A pair of blocks is skipped whole when the sizes
+   don't allow the overlap, when the sets stand so late in the list that
+   what follows can't make it up, or when both are in one component. In the blocks
+   left, the answer for two sets is derived from their computed differences to
+   the list's pivot P: |x & y| = |P| - |P-x| - |P-y| + |(P-x) & (P-y)| + |(x-P) & (y-P)|.
+   Only pairs of which one is too far from P for that are compared in full, unless
+   signatures (hash counts by bucket) bound their overlap below the least one.
+
+Joins and aggregates are keyed by shingle, set or pair. What is held in one
+Python group is a block's answers, or a hash range's entries: the average, by the number of
+ranges, plus one entry a block for shingles that are everywhere.
 
 Defined results: texts that are null or have no word have an empty set and no
 link, each its own component; texts of fewer than five words have one shingle,
@@ -48,6 +56,9 @@ WORDS = 5
 PERCENT = 80
 PIVOTS = 1  # rounds of further pivots before pairs
 BUCKETS = 128  # counts in a set's signature
+MEMBERS = 64  # sets in a block of a list, about
+NEAR = 0.5  # distance to a pivot up to which differences are kept
+SHARED = 0xFFFF  # in place of a set: a hash that its block has answered for
 SHINGLES_A_RANGE = 1_500_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -102,8 +113,8 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-_MESSAGES = "range int, block long, place int, doc_id long, n int, set_key binary, keys binary, places binary"
-_REPLIES = "block long, place int, doc_id long, n int, set_key binary, places binary, counts binary"
+_MESSAGES = "range int, block long, place int, doc_id long, n int, known int, set_key binary, keys binary, places binary"
+_REPLIES = "block long, place int, doc_id long, n int, known int, set_key binary, places binary, counts binary"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -120,29 +131,39 @@ def _send(ranges: int, words: int):
         block = number << 32
         for batch in source:
             for piece in slices(batch, 1, 5_000_000, 200):
-                known: dict[bytes, int] = {}
+                at: dict[bytes, int] = {}
                 sets: list[np.ndarray] = []
-                rows: list[list] = [[] for _ in range(8)]
+                rows: list[tuple] = []
                 for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     hashes = shingler.set_of(t)
                     key = set_key(hashes)
-                    if len(hashes) and key not in known:
-                        known[key] = len(sets)
+                    if len(hashes) and key not in at:
+                        at[key] = len(sets)
                         sets.append(hashes)
-                    for column, value in zip(rows, ((number + block) % ranges, block, known.get(key, -1), d, len(hashes), key, None, None), strict=True):
-                        column.append(value)
-                yield _batch(_MESSAGES, rows)
-                if sets:
-                    flat = np.concatenate(sets)
-                    places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-                    goal = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-                    order = np.argsort(goal, kind="stable")
+                    rows.append((at.get(key, -1), d, len(hashes), key))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                places = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+                # Hashes that several sets of the block have: counted here, and sent once, for other blocks.
+                order = np.argsort(flat)
+                same = flat[order][1:] == flat[order][:-1]
+                shared, again = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+                if len(flat):
+                    shared[order] = np.append(same, False) | np.append(False, same)
+                    again[order] = np.append(False, same)
+                known = np.bincount(places[shared], minlength=len(sets) + 1).tolist()
+                places[shared] = SHARED
+                flat, places = flat[~again], places[~again]
+                n, goal = len(rows), (number + block) % ranges
+                yield _batch(_MESSAGES, [[goal] * n, [block] * n, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [known[r[0]] for r in rows], [r[3] for r in rows], [None] * n, [None] * n])
+                if len(flat):
+                    goals = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+                    order = np.argsort(goals, kind="stable")
                     low, places = flat[order].astype(np.uint32), places[order]
-                    cuts = np.searchsorted(goal[order], np.arange(ranges + 1))
+                    cuts = np.searchsorted(goals[order], np.arange(ranges + 1))
                     used = np.flatnonzero(np.diff(cuts))
                     part = [(low[cuts[r] : cuts[r + 1]].tobytes(), np.diff(places[cuts[r] : cuts[r + 1]], prepend=np.uint16(0)).tobytes()) for r in used]
                     none = [None] * len(used)
-                    yield _batch(_MESSAGES, [used.tolist(), [block] * len(used), none, none, none, none, [k for k, _ in part], [p for _, p in part]])
+                    yield _batch(_MESSAGES, [used.tolist(), [block] * len(used), none, none, none, none, none, [k for k, _ in part], [p for _, p in part]])
                 block += 1
         release_memory()
 
@@ -153,7 +174,7 @@ def _reply(table: pa.Table) -> pa.Table:
     """For one hash range: per block, how many hashes of each of its sets are in another set too."""
     own = table.filter(pa.compute.is_null(table["keys"]))
     asked = table.filter(pa.compute.is_valid(table["keys"]))
-    out = [_batch(_REPLIES, [own[c].to_pylist() for c in ("block", "place", "doc_id", "n", "set_key")] + [[None] * len(own)] * 2)]
+    out = [_batch(_REPLIES, [own[c].to_pylist() for c in ("block", "place", "doc_id", "n", "known", "set_key")] + [[None] * len(own)] * 2)]
     if len(asked):
         keys = [np.frombuffer(k.as_py(), np.uint32) for k in asked["keys"]]
         places = [np.cumsum(np.frombuffer(p.as_py(), np.uint16), dtype=np.uint16) for p in asked["places"]]
@@ -162,12 +183,13 @@ def _reply(table: pa.Table) -> pa.Table:
         order = np.argsort(flat)
         same = flat[order][1:] == flat[order][:-1]
         shared = np.append(same, False) | np.append(False, same)
-        found, counts = np.unique(where[order[shared]], return_counts=True)
+        where = where[order[shared]]
+        found, counts = np.unique(where[where & 0xFFFF != SHARED], return_counts=True)
         cuts = np.searchsorted(found >> 16, np.arange(len(keys) + 1))
         blocks = asked["block"].to_pylist()
         used = np.flatnonzero(np.diff(cuts))
         none = [None] * len(used)
-        out.append(_batch(_REPLIES, [[blocks[r] for r in used], none, none, none, none, [(found[cuts[r] : cuts[r + 1]] & 0xFFFF).astype(np.uint16).tobytes() for r in used], [counts[cuts[r] : cuts[r + 1]].astype(np.uint32).tobytes() for r in used]]))
+        out.append(_batch(_REPLIES, [[blocks[r] for r in used], none, none, none, none, none, [(found[cuts[r] : cuts[r + 1]] & 0xFFFF).astype(np.uint16).tobytes() for r in used], [counts[cuts[r] : cuts[r + 1]].astype(np.uint32).tobytes() for r in used]]))
         del keys, places, row, flat, where, order, same, shared, found, counts
         release_memory()
     return pa.Table.from_batches(out)
@@ -182,19 +204,20 @@ def _sum_replies(table: pa.Table) -> pa.Table:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Per document (doc_id, n, set_key, block, place), and the replies (block, place, shared)."""
+    """Per document (doc_id, n, known, set_key, block, place), and the replies (block, place, shared)."""
     bound_batches(docs.sparkSession)
     ranges = max(8, common.text_chars(docs) // 7 // SHINGLES_A_RANGE + 1)
     sent = docs.select("doc_id", "text").mapInArrow(_send(ranges, words), _MESSAGES)
-    got = common.materialize(sent.groupBy("range").applyInArrow(_reply, _REPLIES), "shingles")
-    prints = got.filter("set_key is not null").select("doc_id", "n", "set_key", "block", "place")
-    replies = got.filter("places is not null").select("block", "places", "counts").groupBy("block").applyInArrow(_sum_replies, "block long, place int, shared long")
-    return prints, replies
+    got = common.materialize(sent.repartition(ranges, "range").groupBy("range").applyInArrow(_reply, _REPLIES), "shingles")
+    prints = got.filter("set_key is not null").select("doc_id", "n", "known", "set_key", "block", "place")
+    replies = got.filter("places is not null").select("block", "places", "counts").repartition(ranges, "block")
+    return prints, replies.groupBy("block").applyInArrow(_sum_replies, "block long, place int, shared long")
 
 
 def candidate_sets(docs: DataFrame, prints: DataFrame, replies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Distinct sets that may have a partner: (set, set_key, n, hashes, signature)."""
-    maybe = prints.filter("n > 0").join(replies, ["block", "place"]).filter(F.col("shared") * 100 >= F.col("n") * percent)
+    shared = F.col("known") + F.coalesce("shared", F.lit(0))
+    maybe = prints.filter("n > 0").join(replies, ["block", "place"], "left").filter(shared * 100 >= F.col("n") * percent)
     wanted = common.materialize(maybe.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,17 +264,55 @@ def _ordered(pairs: DataFrame, x: Column, y: Column) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact overlap of each pair: (a, b, distance, linked)."""
+def _linked(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
+    return overlap * 100 >= (na + nb - overlap) * percent
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """Exact overlap of each pair: (a, b, linked, na, nb), and the differences a - b and b - a of near ones."""
     left = sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ha", "hb")))
-    union = F.col("na") + F.col("nb") - F.col("o")
-    return common.materialize(both.select("a", "b", (1 - F.col("o") / union).alias("distance"), (F.col("o") * 100 >= union * percent).alias("linked")), "compared")
+    near = F.lit(differences) & (F.col("o") >= (F.col("na") + F.col("nb") - F.col("o")) * (1 - NEAR))
+    told = both.select("a", "b", _linked(F.col("o"), F.col("na"), F.col("nb"), percent).alias("linked"), "na", "nb", F.when(near, F.array_except("ha", "hb")).alias("a_only"), F.when(near, F.array_except("hb", "ha")).alias("b_only"))
+    return common.materialize(told, "compared")
+
+
+def _open_pairs(rows: DataFrame, lists: DataFrame, index: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open lists that may link: (a, b, linked), linked null where the differences to the pivot don't tell."""
+    near = first.filter("a_only is not null")
+    near = near.select(F.col("a").alias("origin"), F.col("b").alias("set"), F.col("na").alias("size"), F.col("a_only").alias("gone"), F.col("b_only").alias("extra")).unionAll(
+        near.select("b", "a", "nb", "b_only", "a_only")
+    )
+    origin = index.groupBy("hash").agg(F.min(F.struct((F.col("at") - F.col("k")).alias("alone"), "set", "n")).alias("o")).select("hash", F.col("o.set").alias("origin"), F.col("o.n").alias("own"))
+    whole = index.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("k", "hash"))).alias("p")).select("set", F.col("p.hash").alias("p"))
+    held = rows.join(lists, "hash").join(origin, "hash").join(near, ["origin", "set"], "left").join(whole, "set").join(sets.select("set", "signature"), "set")
+    mine, none = F.col("set") == F.col("origin"), F.array().cast("array<bigint>")
+    member = F.struct(
+        "set", "n", "at", "label", "signature", F.slice("p", F.lit(1), F.col("k")).alias("before"), F.when(mine, F.col("own")).otherwise(F.col("size")).alias("size"), F.when(mine, none).otherwise(F.col("gone")).alias("gone"), F.when(mine, none).otherwise(F.col("extra")).alias("extra")
+    )
+    # Blocks: of like size and position; a long list has several of each kind, by hash of the set.
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))), F.floor(F.col("at") * 20 / F.col("n")), F.pmod(F.xxhash64("set"), F.ceil(F.col("m") / MEMBERS))
+    ends = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"), F.min("label").alias("one"), F.max("label").alias("other")]
+    blocks = held.select("hash", F.struct(*(k.cast("long").alias(c) for k, c in zip(kind, "npt"))).alias("kind"), "n", "at", "label", member.alias("member"))
+    blocks = common.materialize(blocks.groupBy("hash", "kind").agg(F.collect_list("member").alias("members"), *ends), "blocks")
+    met = blocks.alias("p").join(blocks.alias("q"), (F.col("p.hash") == F.col("q.hash")) & (F.col("p.kind") <= F.col("q.kind")))
+    met = met.filter((F.col("p.high") * 100 >= F.col("q.low") * percent) & (F.col("q.high") * 100 >= F.col("p.low") * percent))
+    met = met.filter(F.least("p.rest", "q.rest") >= F.ceil((F.col("p.low") + F.col("q.low")) * percent / (100 + percent) - 1e-9))
+    met = met.filter((F.col("p.one") != F.col("q.one")) | (F.col("p.one") != F.col("p.other")) | (F.col("q.one") != F.col("q.other")))
+    met = met.select((F.col("p.kind") == F.col("q.kind")).alias("same"), F.explode("p.members").alias("x"), F.col("q.members").alias("members"))
+    met = met.select("same", "x", F.explode("members").alias("y")).filter((F.col("x.label") != F.col("y.label")) & (~F.col("same") | (F.col("x.set") < F.col("y.set"))) & _may_link("x", "y", percent))
+    # A pair is made in one list only, that of the first shingle that both prefixes have.
+    met = met.filter(~F.arrays_overlap("x.before", "y.before"))
+    both = F.aggregate(F.zip_with("x.signature", "y.signature", lambda a, b: F.least(a, b)), F.lit(0), lambda t, v: t + v)
+    met = met.filter(both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    overlap = F.col("x.size") - F.size("x.gone") - F.size("y.gone") + F.size(F.array_intersect("x.gone", "y.gone")) + F.size(F.array_intersect("x.extra", "y.extra"))
+    told = F.when(F.col("x.gone").isNotNull() & F.col("y.gone").isNotNull(), _linked(overlap, F.col("x.n"), F.col("y.n"), percent))
+    return met.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"), told.alias("linked"))
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Compared pairs that decide the components (linked ones among them), and the components (set, component)."""
+    """Pairs told that decide the components (linked ones among them), and the components (set, component)."""
     index = prefixes(sets, percent)
     spark = sets.sparkSession
     labels = spark.createDataFrame([], "node long, component long")
@@ -260,40 +321,31 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     for step in range(PIVOTS + 2):
         rows = index.join(labels, F.col("set") == F.col("node"), "left").select("hash", "set", "n", "at", "k", F.coalesce("component", "set").alias("label"))
         counts = rows.groupBy("hash", "label").agg(F.count("*").alias("m"), F.min(F.struct((F.col("at") - F.col("k")).alias("alone"), "set", "n", "at")).alias("low"))
-        lists = counts.groupBy("hash").agg(F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("top")).filter("parts > 1")
-        lists = lists.select("hash", F.col("top.label").alias("most"))
+        lists = counts.groupBy("hash").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("parts > 1")
+        lists = lists.select("hash", "m", F.col("top.label").alias("most"))
         if step <= PIVOTS:
             # The pivot: first the set with the fewest shingles of its own, which is the most
             # likely to link; later one outside the largest component, by turns.
-            outside = counts.join(lists, "hash")
+            outside = counts.drop("m").join(lists, "hash")
             outside = outside.filter("label <> most") if step else outside
             turn = F.xxhash64("low.set", F.lit(step)) if step else F.lit(0)
             pivots = outside.groupBy("hash").agg(F.min(F.struct(turn.alias("turn"), "low.alone", "low.set", "low.n", "low.at", "label")).alias("p")).select("hash", "p.set", "p.n", "p.at", "p.label")
             met = rows.alias("x").join(pivots.alias("y"), F.col("x.hash") == F.col("y.hash"))
+            pairs = _ordered(met.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)), F.col("x.set"), F.col("y.set"))
         else:
-            near = first.unionAll(first.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-            near = near.select(F.col("a").alias("origin"), F.col("b").alias("set"), "distance")
-            origin = index.groupBy("hash").agg(F.min(F.struct(F.col("at") - F.col("k"), "set"))["set"].alias("origin"))
-            whole = index.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("k", "hash"))).alias("p")).select("set", F.col("p.hash").alias("p"))
-            open_rows = rows.join(lists, "hash").join(origin, "hash").join(near, ["origin", "set"], "left").join(whole, "set").join(sets.select("set", "signature"), "set")
-            open_rows = open_rows.withColumn("before", F.slice("p", F.lit(1), F.col("k"))).drop("p", "origin")
-            met = open_rows.alias("x").join(open_rows.filter("label <> most").alias("y"), F.col("x.hash") == F.col("y.hash"))
-            met = met.filter(F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-            # A pair is made in one list only, that of the first shingle that both prefixes have.
-            met = met.filter(~F.arrays_overlap("x.before", "y.before"))
-            both = F.aggregate(F.zip_with("x.signature", "y.signature", lambda a, b: F.least(a, b)), F.lit(0), lambda t, v: t + v)
-            met = met.filter(both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-        pairs = _ordered(met.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)), F.col("x.set"), F.col("y.set"))
-        if done is not None:
+            told = common.materialize(_open_pairs(rows, lists, index, sets, first, percent), "told")
+            done = done.unionAll(told.filter("linked").select("a", "b", "linked"))
+            pairs = told.filter("linked is null").select("a", "b").distinct()
+        if step:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "pairs")
-        if step and pairs.isEmpty():
-            continue
-        now = _compare(pairs, sets, percent)
-        first = now.select("a", "b", "distance") if first is None else first
-        done = now if done is None else done.unionAll(now)
-        if not now.filter("linked").isEmpty():
-            labels = components(done.filter("linked").select("a", "b"))
+        if not step or not pairs.isEmpty():
+            now = _compare(pairs, sets, percent, differences=step == 0)
+            first = now if first is None else first
+            done = now.select("a", "b", "linked") if done is None else done.unionAll(now.select("a", "b", "linked"))
+        linked = done.filter("linked").select("a", "b")
+        if not linked.isEmpty():
+            labels = components(linked)
     return done, labels
 
 
@@ -302,12 +354,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     prints, replies = fingerprints(docs, words)
     sets = candidate_sets(docs, prints, replies, words, percent)
     _, labels = links(sets, percent)
-    least = F.min("doc_id").alias("least")
-    classes = prints.filter("n > 0").groupBy("set_key").agg(least)
+    classes = common.materialize(prints.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "least")
     joined = sets.select("set_key", F.col("set").alias("node")).join(labels, "node").join(classes, "set_key")
-    merged = joined.join(joined.groupBy("component").agg(F.min("least").alias("merged")), "component").select("set_key", "merged")
-    ids = common.materialize(classes.join(merged, "set_key", "left").select("set_key", F.coalesce("merged", "least").alias("component_id")), "classes")
-    return prints.join(ids, "set_key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    merged = joined.join(joined.groupBy("component").agg(F.min("least").alias("merged")), "component").select("set_key", "merged", F.lit(True).alias("linked"))
+    ids = classes.join(merged, "set_key", "left").filter("rows > 1 or linked").select("set_key", "rows", F.coalesce("merged", "least").alias("component_id"))
+    ids = common.materialize(ids, "classes")
+    # Sets without a link or an equal are their own component, and so are empty ones; only others are joined.
+    flagged = common.with_bit(prints.select("doc_id", "n", "set_key"), F.col("set_key"), common.bitmap_of(ids, F.col("set_key")), "maybe")
+    some = F.col("maybe") & (F.col("n") > 0)
+    joined = common.join_hot(flagged.filter(some), ids, ["set_key"], "rows", "left")
+    size = F.col("n").cast("long").alias("n_shingles")
+    return flagged.filter(~some).select("doc_id", size, F.col("doc_id").alias("component_id")).unionAll(joined.select("doc_id", size, F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

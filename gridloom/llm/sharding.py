@@ -9,9 +9,12 @@ The main path has no Python on the executors: the map has one entry a slot
 (8,192 by default, whatever the input), so the driver edits it and the lookup
 is an array literal in generated code.
 
-Defined results: a null key has the hash of null and so a slot as any other; a
+Records are hashed by key and text together, so rows that share a key (or have
+none) but not their text are spread over the slots.
+
+Defined results: a null key is a key as any other; a
 null text counts as no bytes plus the overhead; repeated rows are placed one by
-one; an empty table gives no rows and a map that deals slots out evenly; other
+one, in one slot; a version that a stored map already has is refused; an empty table gives no rows and a map that deals slots out evenly; other
 columns aren't read.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +95,9 @@ class SlotMap:
         return out
 
     def store(self, spark: SparkSession, path: str) -> None:
-        """Add this version to a stored map; earlier versions stay."""
+        """Add this version to a stored map; earlier versions stay, and one that is there already is an error."""
+        if self.version in versions(spark, path):
+            raise ValueError(f"the map has a version {self.version} already")
         base = spark.range(len(self.shard)).withColumnRenamed("id", "virtual_slot")
         row = [F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards"), "virtual_slot"]
         row += [lookup(x, F.col("virtual_slot")).alias(c) for c, x in (("shard", self.shard), ("bytes", self.size), ("rows", self.rows))]
@@ -105,6 +111,17 @@ class SlotMap:
         return cls(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows), tuple(r["bytes"] for r in rows), tuple(r["rows"] for r in rows))
 
 
+def versions(spark: SparkSession, path: str) -> set[int]:
+    """Versions of a stored map; none where there is no map yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return set()
+        raise
+    return {r["version"] for r in stored.select("version").distinct().collect()}
+
+
 def lookup(values, at: Column) -> Column:
     """values[at], from a literal that is parsed once when the query is planned."""
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), (at + 1).cast("int"))
@@ -114,14 +131,14 @@ def record_size(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
 
 
-def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
+def slot_of(key: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(key, text), F.lit(n_slots)).cast("int")
 
 
 def slot_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of each slot: one aggregate with map-side combine, n_slots rows to the driver."""
     size, rows = [0] * n_slots, [0] * n_slots
-    for r in docs.select(slot_of(F.col(key), n_slots).alias("s"), record_size(F.col(text)).alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect():
+    for r in docs.select(slot_of(F.col(key), F.col(text), n_slots).alias("s"), record_size(F.col(text)).alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect():
         size[r["s"]], rows[r["s"]] = r["b"], r["n"]
     return size, rows
 
@@ -135,7 +152,7 @@ def place(docs: DataFrame, slots: SlotMap, key: str = "doc_id", text: str = "tex
     n = len(slots.shard)
     df = docs.select(
         F.col(key).alias("doc_id"),
-        slot_of(F.col(key), n).alias("virtual_slot"),
+        slot_of(F.col(key), F.col(text), n).alias("virtual_slot"),
         record_size(F.col(text)).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )

@@ -4,17 +4,20 @@ Vectors are turned into integers floor(scale * x). Candidates are dealt into
 blocks of bounded size; a block's index has, for each dimension, postings in
 segments of equal quantised value. For a query, a segment's impact is the most
 that its postings can add over the dimension's least; segments of all
-dimensions are processed by descending impact. A candidate's score lies between
+dimensions are processed in groups by descending impact. A candidate's score lies between
 what it has gathered and that plus, for each dimension not met yet, the impact
-still to come there. Processing stops only when no candidate outside a set can
-reach the k-th best lower bound; that set is rescored exactly.
+still to come there. After every group, candidates that can't reach the k-th best
+lower bound are out for good. Processing stops when that leaves at most ``few``
+(or there is nothing more to process); those are rescored exactly.
 
-Queries are in blocks too, and a block of queries meets each block of
-candidates by an equi-join on the candidate block's number, so neither side is
-broadcast or collected.
+A block is a partition: its candidates come first, then all queries, as a stream.
+So an index is built once a block, neither side is broadcast or collected, and a
+task holds one block of candidates.
 
 Defined results: vectors that are null or hold a null or a non-finite value take
-no part; shorter vectors count as if zeros followed; of equal scores the smaller
+no part; shorter vectors count as if zeros followed; components so large that a
+score might exceed 64 bits (over 2**28 / scale with 64 of them) count as the
+largest that can't; of equal scores the smaller
 id is better; rows with the query's id are its own and no candidates; a query id
 that occurs twice is answered once for each distinct vector, ranks running on
 (vectors in order of their components); fewer candidates than k give fewer rows;
@@ -30,14 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 SCALE = 1024
 BLOCK = 8192  # candidates in a block
-QUERIES = 256  # queries in a block
-LEVELS = 32  # quantised values a dimension
+LEVELS = 128  # quantised values a dimension
+GROUPS = 12  # of segments, each followed by a test of the proof
 
 
 class Index:
@@ -57,31 +59,33 @@ class Index:
         self.least = np.minimum(edges[:, :-1], self.high[:, None])
         self.most = np.minimum(edges[:, 1:] - 1, self.high[:, None])
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None, parts: tuple[float, ...] = (0.5, 0.75, 0.9)) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and exact scores of the k best, best first, and how many postings were processed.
+    def search(self, query: np.ndarray, k: int, own: int | None = None, few: int | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Ids and exact scores of the k best, best first; how many postings were processed, and how many candidates rescored.
 
-        ``parts``: shares of all postings after which the proof is tried.
+        ``few``: how many possible members end the processing, by default 4 * k.
         """
         q = query.astype(np.int64)
         n, dims = self.vectors.shape
-        usable = np.ones(n, bool) if own is None else self.ids != own
-        k = min(k, int(usable.sum()))
+        members = np.arange(n) if own is None else np.flatnonzero(self.ids != own)
+        k = min(k, len(members))
         if k == 0:
-            return self.ids[:0], np.zeros(0, np.int64), 0
+            return self.ids[:0], np.zeros(0, np.int64), 0, 0
+        few = 4 * k if few is None else few
         # What a posting adds over the dimension's least, by segment: at least `lower`, at most `upper` (its impact).
         ends = np.stack([q[:, None] * self.least, q[:, None] * self.most])
         worst = np.minimum(q * self.low, q * self.high)[:, None]
         lower, upper = ends.min(0) - worst, ends.max(0) - worst
         gap = (upper - lower).max(1)
-        held = np.diff(self.starts, axis=1)
         order = np.argsort(-upper, axis=None, kind="stable")
-        reached = np.cumsum(held.ravel()[order])
+        reached = np.cumsum(np.diff(self.starts, axis=1).ravel()[order])
         sure = np.zeros(n, np.int64)
         seen = np.zeros(dims, np.int64)  # segments processed, from the end where impact is greatest
-        members, met = np.flatnonzero(usable), 0
-        for part in parts:
-            upto = int(np.searchsorted(reached, part * n * dims)) + 1
-            now = np.bincount(order[:upto] // self.n_levels, minlength=dims)
+        met = 0
+        for group in range(1, GROUPS + 1):
+            if len(members) <= few:
+                break  # proved: the k best are among these
+            upto = int(np.searchsorted(reached, group / GROUPS * n * dims)) + 1
+            now = np.bincount(order[:upto] // self.n_levels, minlength=dims) if group < GROUPS else np.full(dims, self.n_levels)
             for d in np.flatnonzero(now > seen):
                 a, b = (self.n_levels - now[d], self.n_levels - seen[d]) if q[d] >= 0 else (seen[d], now[d])
                 rows = slice(self.starts[d, a], self.starts[d, b])
@@ -89,76 +93,85 @@ class Index:
                 sure[at] += lower[d][self.at_level[d, rows]]
                 met += len(at)
             seen = now
-            unmet = np.where(q >= 0, self.level < self.n_levels - seen, self.level >= seen)
+            level = self.level[members]
+            unmet = np.where(q >= 0, level < self.n_levels - seen, level >= seen)
             left = np.where(seen < self.n_levels, np.take_along_axis(upper, np.where(q >= 0, self.n_levels - 1 - seen, seen).clip(0, self.n_levels - 1)[:, None], 1)[:, 0], 0)
-            most = sure + gap.sum() + unmet.astype(np.float32) @ (left - gap).astype(np.float32)
+            most = sure[members] + gap.sum() + unmet.astype(np.float32) @ (left - gap).astype(np.float32)
             slack = 1e-5 * (np.abs(left - gap).sum() + gap.sum()) + 1  # of single precision
-            floor = np.partition(sure[usable], -k)[-k]
-            members = np.flatnonzero(usable & (most + slack >= floor))
-            if len(members) <= max(4 * k, n // 20):
-                break  # proved: the k best are among these
+            members = members[most + slack >= np.partition(sure[members], -k)[-k]]
         exact = self.vectors[members] @ q
         ids = self.ids[members]
         best = np.lexsort((ids, -exact))[:k]
-        return ids[best], exact[best], met
+        return ids[best], exact[best], met, len(members)
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component, null unless all are finite numbers."""
+    """floor(scale * x) of every component, null unless all are finite numbers; cut where inner products might leave 64 bits."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < math.inf))
-    return F.when(F.coalesce(finite, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    most = F.floor(F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1)))).cast("long")
+    whole = F.transform(vector, lambda x: F.greatest(-most, F.least(most, F.floor(F.greatest(F.lit(-1e18), F.least(F.lit(1e18), x.cast("double") * scale))).cast("long"))))
+    return F.when(F.coalesce(finite, F.lit(False)), whole)
 
 
-def _stack(lists: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(lists), max(map(len, lists), default=0)), np.int64)
-    for row, x in zip(out, lists, strict=True):
-        row[: len(x)] = x
+def matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of integers, shorter ones filled up with zeros."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy()
+    out = np.zeros((len(sizes), sizes.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
-def _blocks(vectors: DataFrame, size: int, count: int | None = None) -> tuple[DataFrame, int]:
-    """Deal vectors into blocks of about ``size`` rows: one row a vector with ``block``."""
-    n = max(1, -(-(vectors.count() if count is None else count) // size))
-    return vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")), n
+def _wide(rows: np.ndarray, dims: int) -> np.ndarray:
+    """Rows cut or filled up with zeros to ``dims`` columns."""
+    return np.pad(rows[:, :dims], ((0, 0), (0, max(0, dims - rows.shape[1]))))
+
+
+def answers(source: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, turn, vec_id, vector), by block, candidates (turn 0) first: the block's k best of each query."""
+    block, index = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in source:
+        blocks, turns, ids = (batch.column(i).to_numpy() for i in range(3))
+        asks = turns > 0
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1), len(blocks)]
+        out: list[list] = [[], [], [], []]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                block, index, held = blocks[a], None, []
+            rows = matrix(batch.column(3).slice(a, b - a))
+            if not asks[a]:
+                held.append((ids[a:b], rows))
+                continue
+            if not held:
+                continue
+            if index is None:
+                dims = max(x.shape[1] for _, x in held)
+                index = Index(np.concatenate([x for x, _ in held]), np.concatenate([_wide(x, max(dims, 1)) for _, x in held]))
+            for i, q in enumerate(_wide(rows, index.vectors.shape[1])):
+                found, score, _, _ = index.search(q, k, ids[a + i])
+                for column, value in zip(out, ([ids[a + i]] * len(found), [turns[a + i]] * len(found), found.tolist(), score.tolist()), strict=True):
+                    column += value
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["query_id", "turn", "vec_id", "score"])
 
 
 def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query (ids divisible by ``every``)."""
     vectors = embeddings.select("vec_id", quantized(F.col("embedding"), scale).alias("vector")).filter("vector is not null and vec_id is not null")
     vectors = common.materialize(vectors, "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0).distinct()
-    candidates, n_blocks = _blocks(vectors, block)
-    asked, n_queries = _blocks(queries, QUERIES)
-    packed = asked.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    each = packed.select(F.col("queries"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    held = candidates.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("candidates"))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vector", T.ArrayType(T.LongType())), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for r in range(batch.num_rows):
-                theirs = batch.column(1)[r].as_py()
-                ids, matrix = np.array([x["vec_id"] for x in theirs], np.int64), _stack([x["vector"] for x in theirs])
-                index = Index(ids, matrix)
-                out: list[list] = [[], [], [], []]
-                for x in batch.column(0)[r].as_py():
-                    q = np.zeros(matrix.shape[1], np.int64)
-                    own = x["vector"][: len(q)]
-                    q[: len(own)] = own
-                    found, score, _ = index.search(q, k, x["vec_id"]) if matrix.shape[1] else _flat(ids, k, x["vec_id"])
-                    for column, value in zip(out, ([x["vec_id"]] * len(found), [x["vector"]] * len(found), found.tolist(), score.tolist()), strict=True):
-                        column += value
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], schema.names)
-
-    found = each.join(held, "block").select("queries", "candidates").mapInArrow(run, schema)
+    n = max(1, -(-vectors.count() // block))
+    # Rows are dealt by their place in the written table, so copies of a vector or an id are dealt out too.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    candidates = vectors.select(place.alias("block"), F.lit(0).alias("turn"), "vec_id", "vector")
+    turn = F.row_number().over(Window.partitionBy("vec_id").orderBy("vector"))
+    queries = common.materialize(vectors.filter(F.col("vec_id") % every == 0).distinct().select(turn.alias("turn"), "vec_id", "vector"), "queries")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), "turn", "vec_id", "vector")
+    dealt = candidates.unionAll(asked).repartitionById(n, F.col("block")).sortWithinPartitions("block", "turn")
+    found = dealt.mapInArrow(lambda source: answers(source, k), "query_id long, turn int, vec_id long, score long")
     # A query has at most k rows a block of candidates: the k best of those.
-    best = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("vector", "at"))
-    return found.select("query_id", place.cast("int").alias("rank"), "vec_id", "score")
-
-
-def _flat(ids: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Vectors without components: every score is 0."""
-    found = np.sort(ids[ids != own])[:k]
-    return found, np.zeros(len(found), np.int64), 0
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "at"))
+    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score")
