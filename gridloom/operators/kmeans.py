@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import join_small, saved
+from ..sources.storage import SMALL, join_small, saved
 
 CHANNELS = ("c0", "c1", "c2")
 
@@ -101,25 +101,29 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
 
     An image stops when its centroids' shift changes by no more than
     ``threshold`` from one round to the next; all stop after ``max_iter``;
-    ``n_iter`` fixes the number of rounds. A round moves the points of images
-    that go on once, for the means; centroids are written out, so plans don't grow with rounds.
+    ``n_iter`` fixes the number of rounds. The state is one row an image, written
+    out each round (so plans don't grow) and broadcast to the points of images
+    that go on, up to SMALL images; a round moves only means, k rows a task and image.
     """
-    used = now = saved(centroids.select("image_id", "label", *CHANNELS), "centroids")
-    active = now.select("image_id").distinct().withColumn("before", F.lit(math.inf))
+    start = _arrays(centroids.select("image_id", "label", *CHANNELS), "now")
+    state = saved(start.select("image_id", F.col("now").alias("used"), "now", F.lit(math.inf).alias("before"), F.lit(True).alias("going")), "state")
+    few = state.count() <= SMALL
     done = 0
     while done < (max_iter if n_iter is None else n_iter):
-        going = points if not done or n_iter is not None else join_small(points, active.select("image_id"), "image_id", "left_semi")
-        turn = now if not done or n_iter is not None else now.join(active.select("image_id"), "image_id", "left_semi")
-        new = saved(step(going, turn), "centroids")
-        moved = saved(active.join(shift(turn, new), "image_id").withColumn("goes", F.abs(F.col("shift") - F.col("before")) > threshold), "moved")
-        # Images that had stopped keep both tables as they are.
-        stopped = new.select("image_id").distinct()
-        used = saved(used.join(stopped, "image_id", "left_anti").unionByName(turn), "used")
-        now = saved(now.join(stopped, "image_id", "left_anti").unionByName(new), "centroids")
+        turn = state.filter("going").select("image_id", F.col("now").alias("__c"))
+        met = points.join(F.broadcast(turn) if few else turn, "image_id").withColumn("__label", _nearest("__c"))
+        means = met.groupBy("image_id", "__label").agg(F.struct(*(F.avg(c).alias(c) for c in CHANNELS)).alias("__mean"))
+        means = means.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("__label", "__mean"))).alias("__means"))
+        mean = lambda c: F.try_element_at("__means", c["label"])
+        new = F.transform("now", lambda c: F.struct(c["label"].alias("label"), *(F.coalesce(mean(c)[x], F.lit(0.0)).alias(x) for x in CHANNELS)))
+        apart = lambda a, b: sum(((a[x] - b[x]) * (a[x] - b[x]) for x in CHANNELS), F.lit(0.0))
+        both = state.join(means, "image_id", "left").withColumn("new", new)
+        both = both.withColumn("shift", F.sqrt(F.aggregate(F.zip_with("now", "new", apart), F.lit(0.0), lambda t, v: t + v)))
+        goes = F.lit(True) if n_iter is not None else F.abs(F.col("shift") - F.col("before")) > threshold
+        pick = lambda a, b: F.when(F.col("going"), F.col(a)).otherwise(F.col(b))
+        state = saved(both.select("image_id", pick("now", "used").alias("used"), pick("new", "now").alias("now"), pick("shift", "before").alias("before"), (F.col("going") & goes).alias("going")), "state")
         done += 1
-        active = moved.filter("goes").select("image_id", F.col("shift").alias("before"))
-        if n_iter is not None:
-            active = moved.select("image_id", F.col("shift").alias("before"))
-        elif active.isEmpty():
+        if n_iter is None and state.filter("going").isEmpty():
             break
-    return label_points(points, used), now
+    table = lambda name: state.select("image_id", F.explode(name).alias("c")).select("image_id", "c.*")
+    return label_points(points, table("used")), table("now")

@@ -28,7 +28,7 @@ def boundary_stats(df: DataFrame, label: str = "label") -> DataFrame:
     d = [F.col(f"src_{c}") - F.col(f"dst_{c}") for c in ("c0", "c1", "c2")]
     diff = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     both = edges.groupBy("image_id", F.least("src_label", "dst_label").alias("a"), F.greatest("src_label", "dst_label").alias("b")).agg(F.count("*").alias("len"), F.avg(diff).alias("avg_diff"))
-    ways = F.array(F.struct(F.col("a").alias("src_label"), F.col("b").alias("dst_label")), F.struct("b", "a"))
+    ways = F.array(F.struct(F.col("a").alias("src_label"), F.col("b").alias("dst_label")), F.struct(F.col("b").alias("src_label"), F.col("a").alias("dst_label")))
     return both.select("image_id", "len", "avg_diff", F.explode(ways).alias("w")).select("image_id", "w.src_label", "w.dst_label", "len", "avg_diff")
 
 
