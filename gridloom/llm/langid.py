@@ -88,15 +88,18 @@ def table_size(n_langs: int) -> int:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of all byte bigrams and trigrams of the words with a blank on either side, and where each word's begin."""
-    joined = np.frombuffer((" " + " ".join(words) + "  ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    blank = np.flatnonzero(joined == 32)[: len(words)]
+    """Table places of the byte bigrams and trigrams of each word with a blank before it and two after, and where each word's begin.
+
+    They start at the blank before the word and at each of its bytes, so they don't depend on its neighbours.
+    """
+    joined = np.frombuffer((" " + "  ".join(words) + "  ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     pairs = joined[:-1] * 0x9E3779B1 + joined[1:] * 0x85EBCA77
     triples = pairs[:-1] * np.uint32(31) + joined[2:] * np.uint32(0xC2B2AE3D)
     both = np.stack([pairs[: len(triples)] >> 16, (triples ^ (triples >> 15)) * np.uint32(0x27D4EB2F) >> 16], 1)
-    ends = np.append(blank[1:], len(joined) - 2)  # the last blank-led gram belongs to the next word
-    both = both[: ends[-1]]
-    return both.ravel(), blank * 2
+    blank = joined == 32
+    inside = ~(blank[:-2] & blank[1:-1])  # all but the first blank after a word
+    starts = np.flatnonzero(blank[:-2] & inside)
+    return both[inside].ravel(), (np.cumsum(inside) - 1)[starts] * 2
 
 
 @dataclass

@@ -1,9 +1,17 @@
 """The subpackage's queries against their SQL, and the pipeline."""
 
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
 import pytest
 from helpers import DATA, check
+from pyspark.sql import functions as F
+from test_operators import brute_jaccard
 
-from gridloom.llm import queries
+from gridloom.llm import langid, quality, queries
+from gridloom.llm.chunks import ChunkEncoder
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -18,15 +26,93 @@ def test_one_row_a_document(spark, name):
     assert out.select("doc_id").distinct().count() == n
 
 
-def test_pipeline(spark):
+def one_process(spark, docs, labels):
+    """Quality scores, languages with scores, and the language threshold of all documents, computed text by text in this process."""
+    rows = docs.select("doc_id", "text").collect()
+    model = quality.train(docs, labels)
+    pooler = quality.Pooler(model.tokens, model.vectors) if model.tokens else None
+    scores = [float(quality.scores(model, pooler, [r["text"]])[0]) for r in rows]
+    return rows, scores
+
+
+def languages(docs, per_lang):
+    """The model by a plain fit on the sampled rows, and its threshold by a plain quantile."""
+    sample = langid.training_rows(docs, 2 * per_lang).collect()
+    first, more = [[r for r in sample if (r["at"] <= per_lang) == early] for early in (True, False)]
+    model = langid.fit(*zip(*((r["text"], r["lang"]) for r in first), strict=True))
+    scorer = langid.Scorer(model)
+    told = [(r["lang"], *langid.predict(scorer, [r["text"]])) for r in more or sample]
+    right = [s[0] for lang, (k,), s in told if k == lang]
+    return scorer, float(np.quantile(right, langid.REFUSED)) if right else 0.0
+
+
+def test_quality_and_language_equal_one_process(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    rows, scores = one_process(spark, docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op7_quality(spark, DATA).collect()}
+    assert all(abs(got[r["doc_id"]] - s) < 1e-9 for r, s in zip(rows, scores, strict=True)) and len(got) == len(rows)
+    sample = langid.training_rows(docs).collect()
+    scorer = langid.Scorer(langid.fit([r["text"] for r in sample], [r["lang"] for r in sample]))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op10_language(spark, DATA).collect()}
+    for r in rows:
+        (lang,), (score,) = langid.predict(scorer, [r["text"]])
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-6
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on its own input, text by text in this process."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "exact_dedup", "near_dedup", "packing"]
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    left = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        left = stage(spark, left, DATA)
-        assert left.columns == docs.columns
-    out = corpus_pipeline.run(spark, DATA)
-    kept = {r[0] for r in out.select("doc_id").distinct().collect()}
-    assert kept == {r[0] for r in left.select("doc_id").collect()} and 0 < len(kept) < docs.count()
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    rows, scores = one_process(spark, docs, labels)
+    good = stages["quality"](spark, docs, DATA)
+    assert good.columns == docs.columns and ids(good) == sorted(r["doc_id"] for r, s in zip(rows, scores, strict=True) if s >= 0.7)
+
+    known = stages["language"](spark, good, DATA)
+    scorer, least = languages(good, langid.PER_LANG)
+    want = []
+    for r in good.collect():
+        (lang,), (score,) = langid.predict(scorer, [r["text"]])
+        if lang != "und" and score >= least - 1e-9:
+            want.append(r["doc_id"])
+    assert known.columns == docs.columns and ids(known) == sorted(want)
+
+    first = stages["exact_dedup"](spark, known, DATA)
+    groups = defaultdict(list)
+    for r in known.collect():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")].append(r["doc_id"])
+    assert first.columns == docs.columns and ids(first) == sorted(min(g) for g in groups.values())
+
+    left = stages["near_dedup"](spark, first, DATA)
+    assert left.columns == docs.columns and ids(left) == sorted(d for d, _, c in brute_jaccard([(r["doc_id"], r["text"]) for r in first.collect()]) if d == c)
+
+    out = corpus_pipeline.run(spark, DATA).collect()
+    library = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")).library
+    sizes = {r["doc_id"]: len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in left.collect()}
+    found = Counter()
+    for r in out:
+        found[r["doc_id"]] += r["length"]
+        assert r["doc_tokens"] == sizes[r["doc_id"]]
+    assert found == sizes and 0 < len(found) < len(rows)
+
+
+def test_pipeline_stages_take_awkward_tables(spark, docs, rows, none, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables: every stage has a defined result."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        counts[name] = out.count()
+        if name != "packing":
+            assert out.columns == docs.columns and set(map(repr, map(tuple, out.collect()))) <= set(map(repr, rows))
+    texts = {re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows}
+    assert counts["exact_dedup"] == len(texts) and counts["packing"] >= len(rows) and counts["language"] <= sum(bool(t.strip()) for t in texts) + len(rows)
+    # Without any language to learn from, none is known.
+    assert dict(corpus_pipeline.STAGES)["language"](spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == 0

@@ -619,6 +619,20 @@ def test_language_spans_and_scripts():
     assert all(0 <= s <= 1 for s in scores)
 
 
+def test_a_word_has_one_score_whatever_its_neighbours():
+    model = langid.fit(["the house of stone", "das haus ist alt"], ["en", "de"])
+    words = ["the", "a", "haus", "é", "x" * 50, "дом"]
+    alone = {w: langid.Scorer(model) for w in words}
+    for w, scorer in alone.items():
+        scorer.ids([[w]])
+    for order in itertools.permutations(words):
+        scorer = langid.Scorer(model)
+        (ids,) = scorer.ids([list(order)])
+        assert all((scorer.scores[i] == alone[w].scores[0]).all() for i, w in zip(ids, order, strict=True))
+    places, starts = langid.grams(["ab", "c"])
+    assert len(places) == 10 and starts.tolist() == [0, 6]
+
+
 def test_only_letters_are_words():
     assert langid.words_of("½ ² ① 12 Ⅷ _ %") == [] and langid.words_of("m² ½x Ab") == ["m", "x", "ab"]
     model = langid.fit(["the house", "das haus"], ["en", "de"])
