@@ -14,11 +14,12 @@ SIDE = 16
 
 
 def _window_sums(v: np.ndarray) -> np.ndarray:
-    """Sums over all SIDE x SIDE windows, by origin."""
-    for axis in (0, 1):
-        total = np.cumsum(v, axis)
-        shifted = np.concatenate([np.zeros_like(np.take(total, [0], axis)), np.take(total, range(total.shape[axis] - SIDE), axis)], axis)
-        v = np.take(total, range(SIDE - 1, total.shape[axis]), axis) - shifted
+    """Sums over all SIDE x SIDE windows, by origin: sums of two, four, eight and sixteen, along either axis."""
+    width = 1
+    while width < SIDE:
+        v = v[:-width] + v[width:]
+        v = v[:, :-width] + v[:, width:]
+        width *= 2
     return v
 
 
@@ -69,7 +70,7 @@ def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: t
     A round gives each 16 x 16 window (stride 1) its mean intensity by chroma
     slot over its mean shading; a pixel's albedo is the sum of what its windows
     say, over their number. Images are cut into tiles of ``tile`` pixels with a halo
-    of 15 pixels a round, and ``together`` rounds are made in one task by running sums, so that the
+    of 15 pixels a round, and ``together`` rounds are made in one task by sums of sums, so that the
     pixels move once in that many rounds. A task holds one tile (its windows by
     slot: about 160 MB with 20 slots either way). Images must be at least 16 pixels either way.
     """
