@@ -24,8 +24,8 @@ changes only where a pair of them decides it.
    what follows can't make it up, or when both are in one component. In the blocks
    left, the answer for two sets is derived from their computed differences to
    the list's pivot P: |x & y| = |P| - |P-x| - |P-y| + |(P-x) & (P-y)| + |(x-P) & (y-P)|.
-   Only pairs of which one is too far from P for that are compared in full, unless
-   signatures (hash counts by bucket) bound their overlap below the least one.
+   Only pairs of which one is too far from P for that are compared in full; where both are,
+   unless signatures (hash counts by bucket) bound their overlap below the least one.
 
 Joins and aggregates are keyed by shingle, set or pair. What is held in one
 Python group is a block's answers, or a hash range's entries: the average, by the number of
@@ -40,7 +40,7 @@ than all others; an empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,11 +252,11 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return common.materialize(rows.select(F.col("token.hash").alias("hash"), "set", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("k")), "index")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
     """Sizes allow the overlap, and so do the places where the two sets meet first."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    na, nb = x("n"), y("n")
     need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
-    rest = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    rest = F.least(na - x("at"), nb - y("at"))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (rest >= need)
 
 
@@ -289,7 +289,7 @@ def _open_pairs(rows: DataFrame, lists: DataFrame, index: DataFrame, sets: DataF
     held = rows.join(lists, "hash").join(origin, "hash").join(near, ["origin", "set"], "left").join(whole, "set").join(sets.select("set", "signature"), "set")
     mine, none = F.col("set") == F.col("origin"), F.array().cast("array<bigint>")
     member = F.struct(
-        "set", "n", "at", "label", "signature", F.slice("p", F.lit(1), F.col("k")).alias("before"), F.when(mine, F.col("own")).otherwise(F.col("size")).alias("size"), F.when(mine, none).otherwise(F.col("gone")).alias("gone"), F.when(mine, none).otherwise(F.col("extra")).alias("extra")
+        "set", "n", "at", "label", F.when(~mine & F.col("gone").isNull(), F.col("signature")).alias("signature"), F.slice("p", F.lit(1), F.col("k")).alias("before"), F.when(mine, F.col("own")).otherwise(F.col("size")).alias("size"), F.when(mine, none).otherwise(F.col("gone")).alias("gone"), F.when(mine, none).otherwise(F.col("extra")).alias("extra")
     )
     # Blocks: of like size and position; a long list has several of each kind, by hash of the set.
     kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))), F.floor(F.col("at") * 20 / F.col("n")), F.pmod(F.xxhash64("set"), F.ceil(F.col("m") / MEMBERS))
@@ -300,15 +300,23 @@ def _open_pairs(rows: DataFrame, lists: DataFrame, index: DataFrame, sets: DataF
     met = met.filter((F.col("p.high") * 100 >= F.col("q.low") * percent) & (F.col("q.high") * 100 >= F.col("p.low") * percent))
     met = met.filter(F.least("p.rest", "q.rest") >= F.ceil((F.col("p.low") + F.col("q.low")) * percent / (100 + percent) - 1e-9))
     met = met.filter((F.col("p.one") != F.col("q.one")) | (F.col("p.one") != F.col("p.other")) | (F.col("q.one") != F.col("q.other")))
-    met = met.select((F.col("p.kind") == F.col("q.kind")).alias("same"), F.explode("p.members").alias("x"), F.col("q.members").alias("members"))
-    met = met.select("same", "x", F.explode("members").alias("y")).filter((F.col("x.label") != F.col("y.label")) & (~F.col("same") | (F.col("x.set") < F.col("y.set"))) & _may_link("x", "y", percent))
-    # A pair is made in one list only, that of the first shingle that both prefixes have.
-    met = met.filter(~F.arrays_overlap("x.before", "y.before"))
-    both = F.aggregate(F.zip_with("x.signature", "y.signature", lambda a, b: F.least(a, b)), F.lit(0), lambda t, v: t + v)
-    met = met.filter(both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    overlap = F.col("x.size") - F.size("x.gone") - F.size("y.gone") + F.size(F.array_intersect("x.gone", "y.gone")) + F.size(F.array_intersect("x.extra", "y.extra"))
-    told = F.when(F.col("x.gone").isNotNull() & F.col("y.gone").isNotNull(), _linked(overlap, F.col("x.n"), F.col("y.n"), percent))
-    return met.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"), told.alias("linked"))
+    same = F.col("p.kind") == F.col("q.kind")
+
+    def told(x: Column, y: Column) -> Column:
+        overlap = x["size"] - F.size(x["gone"]) - F.size(y["gone"]) + F.size(F.array_intersect(x["gone"], y["gone"])) + F.size(F.array_intersect(x["extra"], y["extra"]))
+        return F.when(x["gone"].isNotNull() & y["gone"].isNotNull(), _linked(overlap, x["n"], y["n"], percent))
+
+    def wanted(x: Column, y: Column) -> Column:
+        """Members of two components that link, or may: no row is made of any other pair."""
+        apart = (x["label"] != y["label"]) & (~same | (x["set"] < y["set"])) & _may_link(x.getItem, y.getItem, percent)
+        # A pair is told in one list only, that of the first shingle that both prefixes have.
+        apart = apart & ~F.arrays_overlap(x["before"], y["before"]) & F.coalesce(told(x, y), F.lit(True))
+        both = F.aggregate(F.zip_with(x["signature"], y["signature"], lambda a, b: F.least(a, b)), F.lit(0), lambda t, v: t + v)
+        return apart & F.coalesce(both * (100 + percent) >= (x["n"] + y["n"]) * percent, F.lit(True))
+
+    pair = lambda x, y: F.struct(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b"), told(x, y).alias("linked"))
+    found = F.flatten(F.transform("p.members", lambda x: F.transform(F.filter("q.members", lambda y: wanted(x, y)), lambda y: pair(x, y))))
+    return met.select(F.explode(found).alias("pair")).select("pair.*")
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -319,6 +327,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     done: DataFrame | None = None
     first = None
     for step in range(PIVOTS + 2):
+        new: DataFrame | None = None
         rows = index.join(labels, F.col("set") == F.col("node"), "left").select("hash", "set", "n", "at", "k", F.coalesce("component", "set").alias("label"))
         counts = rows.groupBy("hash", "label").agg(F.count("*").alias("m"), F.min(F.struct((F.col("at") - F.col("k")).alias("alone"), "set", "n", "at")).alias("low"))
         lists = counts.groupBy("hash").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("parts > 1")
@@ -331,10 +340,10 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
             turn = F.xxhash64("low.set", F.lit(step)) if step else F.lit(0)
             pivots = outside.groupBy("hash").agg(F.min(F.struct(turn.alias("turn"), "low.alone", "low.set", "low.n", "low.at", "label")).alias("p")).select("hash", "p.set", "p.n", "p.at", "p.label")
             met = rows.alias("x").join(pivots.alias("y"), F.col("x.hash") == F.col("y.hash"))
-            pairs = _ordered(met.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)), F.col("x.set"), F.col("y.set"))
+            pairs = _ordered(met.filter((F.col("x.label") != F.col("y.label")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)), F.col("x.set"), F.col("y.set"))
         else:
             told = common.materialize(_open_pairs(rows, lists, index, sets, first, percent), "told")
-            done = done.unionAll(told.filter("linked").select("a", "b", "linked"))
+            new = told.filter("linked").select("a", "b", "linked")
             pairs = told.filter("linked is null").select("a", "b").distinct()
         if step:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -342,10 +351,14 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         if not step or not pairs.isEmpty():
             now = _compare(pairs, sets, percent, differences=step == 0)
             first = now if first is None else first
-            done = now.select("a", "b", "linked") if done is None else done.unionAll(now.select("a", "b", "linked"))
-        linked = done.filter("linked").select("a", "b")
-        if not linked.isEmpty():
-            labels = components(linked)
+            new = now.select("a", "b", "linked") if new is None else new.unionAll(now.select("a", "b", "linked"))
+        if new is None:
+            continue
+        done = new if done is None else done.unionAll(new)
+        found = new.filter("linked").select("a", "b")
+        if not found.isEmpty():
+            # Components so far are stars; new links join them.
+            labels = components(found.unionAll(labels.select("node", "component")))
     return done, labels
 
 
