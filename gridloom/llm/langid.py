@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import bound_batches, process_wide
-from .common import bitmap_of, materialize, temp, with_bit
+from .common import bitmap_of, join_small, materialize, temp, with_bit
 from .rows import add_columns
 
 UNKNOWN = "und"
@@ -266,10 +266,10 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     are found by a bitmap of the chosen ids before they move.
     """
     ids = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null").filter(~held_out())
-    rows = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = materialize(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     place = F.xxhash64("doc_id")
     share = F.pmod(place, F.lit(1 << 30)) * F.col("n") < F.lit(4.0 * per_lang * (1 << 30))
-    few = ids.join(rows, "lang").filter(share).select("doc_id", "lang").distinct()
+    few = join_small(ids, rows, "lang").filter(share).select("doc_id", "lang").distinct()
     at = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(place, F.lit(1 << 30)), "doc_id"))
     chosen = materialize(few.withColumn("at", at).filter(F.col("at") <= per_lang), "chosen")
     key = F.struct("doc_id", "lang")
