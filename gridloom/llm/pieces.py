@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -45,11 +46,24 @@ from .chunks import bound_batches, process_wide, release_memory, slices
 from .rows import add_columns
 
 MARK = "▁"
-BLOCK = 12_000_000  # characters in a block
+BLOCK = 16_000_000  # characters in a block
 RANGE = 32_000_000  # characters of the table a hash range
 _MARKED = re.compile("▁+[^▁]*")
 
 
+_ZSTD = pa.Codec("zstd")
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with the size before it: what is shuffled are mostly small numbers and words."""
+    return struct.pack("<Q", len(data)) + _ZSTD.compress(data, asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    (size,) = struct.unpack_from("<Q", data)
+    return _ZSTD.decompress(memoryview(data)[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
 class Library:
     """The library's processor, and whether texts can be cut into marked words."""
 
@@ -141,7 +155,7 @@ def _ask(ranges: int, size: int):
             cuts = np.searchsorted(goal[order], np.arange(ranges + 1, dtype=np.uint64))
             for r in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[r] : cuts[r + 1]]
-                row = [int(r)], [key], [np.diff(at, prepend=0).astype("<u4").tobytes()], [" ".join([words[k] for k in at]).encode()]
+                row = [int(r)], [key], [squeezed(np.diff(at, prepend=0).astype("<u4").tobytes())], [squeezed(" ".join([words[k] for k in at]).encode())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "places", "words"])
         release_memory()
 
@@ -164,24 +178,26 @@ def answers(messages: Iterator[tuple[int, bytes, bytes]], segment: Callable[[lis
 def _answer(file: str):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = library_of(file)
-        messages = ((b.as_py(), p.as_py(), w.as_py()) for batch in source for b, p, w in zip(batch.column(1), batch.column(2), batch.column(3), strict=True))
-        for row in answers(messages, library.segment, library.width.itemsize):
+        messages = ((b.as_py(), p.as_py(), restored(w.as_py())) for batch in source for b, p, w in zip(batch.column(1), batch.column(2), batch.column(3), strict=True))
+        for block, places, lengths, ids in answers(messages, library.segment, library.width.itemsize):
+            row = block, places, squeezed(lengths), squeezed(ids)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "places", "lengths", "ids"])
         release_memory()
 
     return run
 
 
-def _place(size: int, kind: pa.DataType):
-    """A row a text: its words' places, in two planes of 16 bits."""
+def _place(size: int, kind: pa.DataType, rows: int = 1000):
+    """A block's texts, ``rows`` a row: their ids, numbers of words, and the words' places, in two planes of 16 bits."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_wide(None, lambda: None)
         for key, _, doc_ids, texts in blocks(source, size):
-            for k in range(0, len(texts), 1000):
-                some = texts[k : k + 1000]
-                low, high = ([x.astype("<u2").tobytes() for x in xs] for xs in (some, [x >> 16 for x in some]))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array(doc_ids[k : k + 1000], kind), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["block", "doc_id", "low", "high"])
+            for k in range(0, len(texts), rows):
+                some = texts[k : k + rows]
+                flat = np.concatenate(some)
+                planes = (squeezed(x.tobytes()) for x in (np.array([len(x) for x in some], "<u4"), flat.astype("<u2"), (flat >> 16).astype("<u2")))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([doc_ids[k : k + rows]], pa.list_(kind)), *(pa.array([x], pa.binary()) for x in planes)], ["block", "doc_ids", "sizes", "low", "high"])
         release_memory()
 
     return run
@@ -192,12 +208,17 @@ def _joined(file: str, finish: Callable[[Library, np.ndarray], tuple], added: li
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = library_of(file)
-        docs: list[pa.RecordBatch] = []
+        docs: list[tuple] = []
         replies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in source:
-            docs.append(batch.filter(batch.column(2).is_valid()).select([1, 2, 3]))
-            for p, n, x in zip(*(batch.filter(batch.column(2).is_null()).column(k) for k in (4, 5, 6)), strict=True):
-                replies.append((np.cumsum(np.frombuffer(p.as_py(), "<u4"), dtype=np.int64), np.frombuffer(n.as_py(), "<u4").astype(np.int64), np.frombuffer(x.as_py(), library.width)))
+            for row in range(batch.num_rows):
+                own, *planes = (batch.column(k)[row] for k in range(1, 8))
+                planes = [restored(x.as_py()) for x in planes if x.is_valid]
+                if own.is_valid:
+                    docs.append((own.values, *(np.frombuffer(x, t) for x, t in zip(planes, ("<u4", "<u2", "<u2"), strict=True))))
+                else:
+                    p, n, x = (np.frombuffer(v, t) for v, t in zip(planes, ("<u4", "<u4", library.width), strict=True))
+                    replies.append((np.cumsum(p, dtype=np.int64), n.astype(np.int64), x))
         size = max((int(p[-1]) + 1 for p, _, _ in replies), default=0)
         lengths, starts, base, told = np.zeros(size, np.int64), np.zeros(size, np.int64), 0, 0
         for p, n, x in replies:
@@ -206,17 +227,17 @@ def _joined(file: str, finish: Callable[[Library, np.ndarray], tuple], added: li
         flat = np.concatenate([x for _, _, x in replies]) if replies else np.zeros(0, library.width)
         if told != size:
             raise RuntimeError(f"{told} of {size} words of a block have ids")
-        for batch in docs:
+        for doc_ids, sizes, low, high in docs:
+            places = low.astype(np.int64) | high.astype(np.int64) << 16
+            if len(places) and places.max() >= size:
+                raise RuntimeError("words of a block have no ids: its rows came otherwise when they were read again")
             rows = []
-            for low, high in zip(batch.column(1), batch.column(2), strict=True):
-                at = np.frombuffer(low.as_py(), "<u2").astype(np.int64) | np.frombuffer(high.as_py(), "<u2").astype(np.int64) << 16
-                if len(at) and at.max() >= size:
-                    raise RuntimeError("words of a block have no ids: its rows came otherwise when they were read again")
+            for at in np.split(places, np.cumsum(sizes, dtype=np.int64)[:-1]):
                 n = lengths[at]
                 ids = flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 rows.append(finish(library, library.framed(ids)))
-            columns = zip(*rows, strict=True) if rows else [[] for _ in added]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, (_, _, t) in zip(columns, added, strict=True))], ["doc_id", *(n for n, _, _ in added)])
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(list(c), t) for c, (_, _, t) in zip(columns, added, strict=True))], ["doc_id", *(n for n, _, _ in added)])
         del docs, replies, flat
         release_memory()
 
@@ -234,16 +255,18 @@ def encoded(docs: DataFrame, file: str, finish: Callable[[Library, np.ndarray],
 
         return add_columns(rows, "text", start, added, ["doc_id"], 4_000_000)
     bound_batches(docs.sparkSession)
-    ranges = max(8, common.text_chars(docs) // per_range + 1)
+    chars = common.text_chars(docs)
+    ranges = max(8, chars // per_range + 1)
     told = rows.mapInArrow(_ask(ranges, block), "range int, block long, places binary, words binary")
-    replies = told.groupBy("range").applyInArrow(_answer(file), "block long, places binary, lengths binary, ids binary")
+    replies = told.repartition(ranges, "range").groupBy("range").applyInArrow(_answer(file), "block long, places binary, lengths binary, ids binary")
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", kind), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "low", "high"))])
     placed = rows.mapInArrow(_place(block, to_arrow_type(kind)), schema)
     none = F.lit(None).cast("binary")
     both = placed.select("*", none.alias("places"), none.alias("lengths"), none.alias("ids")).unionAll(
-        replies.select("block", F.lit(None).cast(kind), none, none, "places", "lengths", "ids")
+        replies.select("block", F.lit(None).cast(T.ArrayType(kind)), none, none, none, "places", "lengths", "ids")
     )
+    both = both.repartition(max(8, chars // block + 1), "block")
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t, _ in added)])
     return both.groupBy("block").applyInArrow(_joined(file, finish, added), out)
 
