@@ -120,6 +120,18 @@ def test_cluster_combinations(spark):
     assert graph.cluster_links(m).count() == 8
 
 
+def test_cluster_links_of_one_cluster_go_to_many_tasks(spark):
+    segments = [("a", 0, s) for s in range(200)] + [("b", 0, s) for s in range(30)] + [("b", 1, 7), ("b", None, 8), ("b", 0, None)]
+    m = spark.createDataFrame(segments, "image_id string, cluster long, segment long")
+    want = sorted((i, c, s, t) for i, c, s in segments for j, d, t in segments if (i, c) == (j, d) and None not in (c, s, t) and s != t)
+    for options in ({"at_once": 1000}, {"at_once": 1000, "small": 10, "block": 16}, {}):
+        links = graph.cluster_links(m, **options)
+        assert sorted(tuple(r) for r in links.collect()) == want
+        if options:
+            tasks = links.groupBy(F.spark_partition_id()).count().collect()
+            assert max(r["count"] for r in tasks) < len(want) / 5
+
+
 def test_entry_counts(spark):
     df = image(spark, np.zeros((3, 4), int))
     assert linalg.grid_matrix(df).count() == linalg.n_grid_entries(3, 4) == 34
