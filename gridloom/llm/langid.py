@@ -9,14 +9,14 @@ each change costs ``penalty``. The document's language is the one with the
 most letters in its spans; its score is the share of letters there, times the
 softmax of the word scores summed over those spans.
 
-Models are fitted on a bounded sample: at most ``per_lang`` documents a
-language (fixed parameter), the ones with the smallest hash of their id, whole
-texts. Counts are made on the executors and added up there; the driver receives
+Models are fitted on all documents that may be learned from, whole texts (with
+``per_lang``, on at most so many a language, the ones with the smallest hash of their
+id). Counts are made on the executors and added up there; the driver receives
 the table of counts, whose size is fixed: with more than CELLS / TABLE languages
 the hashes are folded into fewer places.
 
 :func:`keep_known` rejects texts by a threshold that is learned too: the score
-that all but REFUSED of the sampled documents reach which the model gives their own
+that all but REFUSED of the documents learned from reach which the model gives their own
 language. Texts of several languages in shares that labelled documents
 don't have, and texts in scripts of no learned language, stay below it.
 
@@ -30,18 +30,20 @@ learned from once; with nothing to learn from every text is
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import bound_batches, process_wide
+from .chunks import bound_batches, process_wide, slices
 from .common import bitmap_of, join_small, materialize, temp, with_bit
 from .rows import add_columns
 
@@ -51,6 +53,7 @@ TABLE = 1 << 16
 CELLS = 1 << 23  # most entries of a model's table: 32 MiB
 REFUSED = 0.0005
 TRAINING_TASKS = 24
+MOST_WORDS = 200_000  # distinct words that a counting task holds
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits
 _LETTERS = regex.compile(r"\p{L}+")
 #: First code points of script ranges, and their scripts.
@@ -107,7 +110,6 @@ class Model:
     langs: list[str]
     table: np.ndarray  # places x languages, log probabilities
     scripts: np.ndarray  # scripts x languages, whether the language is written so
-    least: float = 0.0  # score that all but few labelled documents reach
 
 
 class Counts:
@@ -118,10 +120,16 @@ class Counts:
         self.grams, self.scripts = np.zeros((len(langs), self.size), np.int64), np.zeros((len(langs), len(_NAMES)), np.int64)
 
     def add(self, lang: str, text: str | None) -> None:
-        if words := words_of(text):
-            k = self.langs[lang]
-            self.grams[k] += np.bincount(grams(words)[0] & (self.size - 1), minlength=self.size)
-            self.scripts[k] += np.bincount(scripts_of(words), minlength=len(_NAMES))
+        self.add_words(lang, Counter(words_of(text)))
+
+    def add_words(self, lang: str, words: Counter[str]) -> None:
+        """Count distinct words as often as they are there (sums are exact up to 2**53)."""
+        if words:
+            k, names, times = self.langs[lang], list(words), np.fromiter(words.values(), np.int64, len(words))
+            places, starts = grams(names)
+            often = np.repeat(times, np.diff(starts, append=len(places)))
+            self.grams[k] += np.bincount(places & (self.size - 1), often, self.size).astype(np.int64)
+            self.scripts[k] += np.bincount(scripts_of(names), times, len(_NAMES)).astype(np.int64)
 
     def model(self, smooth: float = 0.5) -> Model:
         n = self.grams.T.astype(np.float64)
@@ -279,9 +287,28 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     return materialize(one.repartition(TRAINING_TASKS, "doc_id"), "training")
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """A model of at most ``per_lang`` documents a language."""
-    return train_on(training_rows(docs, per_lang))
+def learnable() -> Column:
+    """Rows that may be learned from."""
+    return F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+
+
+def all_training_rows(docs: DataFrame) -> DataFrame:
+    """All documents that may be learned from (lang, text); of rows that repeat an id in a language, one.
+
+    Texts stay where they are, but for rows whose id is repeated (found by a bitmap of such ids).
+    """
+    rows, key = docs.filter(learnable()).select("doc_id", "lang", "text"), F.struct("doc_id", "lang")
+    repeated = materialize(rows.groupBy("doc_id", "lang").count().filter("count > 1").select("doc_id", "lang"), "repeated")
+    if repeated.isEmpty():
+        return rows.select("lang", "text")
+    told, text = with_bit(rows, key, bitmap_of(repeated, key), "maybe"), F.coalesce("text", F.lit(""))
+    one = told.filter("maybe").groupBy("doc_id", "lang").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    return told.filter("not maybe").select("lang", "text").unionAll(one.select("lang", "text"))
+
+
+def train(docs: DataFrame, per_lang: int | None = None) -> Model:
+    """A model of all documents that may be learned from, or of at most ``per_lang`` a language."""
+    return train_on(all_training_rows(docs) if per_lang is None else training_rows(docs, per_lang))
 
 
 def train_on(rows: DataFrame) -> Model:
@@ -289,10 +316,21 @@ def train_on(rows: DataFrame) -> Model:
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(langs)
+        process_wide(None, lambda: None)  # drop what another operator left
+        counts, words = Counts(langs), {}
+
+        def flush() -> None:
+            for lang, held in words.items():
+                counts.add_words(lang, held)
+            words.clear()
+
         for batch in source:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                counts.add(lang.as_py(), text.as_py())
+            for piece in slices(batch, 1, 1_000_000):
+                for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    words.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, words.values())) > MOST_WORDS:
+                    flush()
+        flush()
         used = np.flatnonzero(counts.scripts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([x[k].tobytes() for k in used], pa.binary()) for x in (counts.grams, counts.scripts))], ["lang", "grams", "scripts"])
 
@@ -313,11 +351,14 @@ def train_on(rows: DataFrame) -> Model:
     return counts.model()
 
 
-def calibrated(model: Model, rows: DataFrame, refused: float = REFUSED) -> Model:
-    """The model with its threshold: what all but ``refused`` of labelled documents reach that it gives their own language."""
-    lang, score = temp(rows, "lang", "score")
-    told = add_languages(rows, model, (lang, score)).filter(F.col(lang) == F.col("lang"))
-    return replace(model, least=told.agg(F.percentile(score, F.lit(refused)).alias("p")).first()["p"] or 0.0)
+def threshold(scores: DataFrame, score: str, refused: float = REFUSED) -> float:
+    """The exact quantile ``refused`` of all scores; only the lowest are sorted, and two of them reach the driver."""
+    place = refused * max(0, scores.count() - 1)
+    lowest = materialize(scores.select(score).orderBy(score).limit(math.ceil(place) + 1), "lowest")
+    ends = [r[0] for r in lowest.orderBy(F.desc(score)).limit(2).collect()]
+    if not ends:
+        return 0.0
+    return ends[0] if place == int(place) else ends[1] + (ends[0] - ends[1]) * (place - int(place))
 
 
 def add_languages(docs: DataFrame, model: Model, names: tuple[str, str], keep: list[str] | None = None) -> DataFrame:
@@ -331,21 +372,19 @@ def add_languages(docs: DataFrame, model: Model, names: tuple[str, str], keep: l
     return add_columns(docs, "text", start, [(names[0], T.StringType(), pa.string()), (names[1], T.DoubleType(), pa.float64())], keep)
 
 
-def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     out = add_languages(docs.select("doc_id", "text"), train(docs, per_lang), ("lang_pred", "score"), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, per_lang: int = PER_LANG, refused: float = REFUSED) -> DataFrame:
+def keep_known(docs: DataFrame, refused: float = REFUSED) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with at least the learned score.
 
-    The threshold comes from ``per_lang`` more documents a language, which the
-    model didn't learn from (from all of them, where there are no more).
+    Model and threshold come from all rows that may be learned from. Each text is scored
+    once, and written with its score.
     """
     lang, score = temp(docs, "lang", "score")
-    rows = training_rows(docs, 2 * per_lang)
-    model, more = train_on(rows.filter(F.col("at") <= per_lang)), rows.filter(F.col("at") > per_lang)
-    model = calibrated(model, rows if more.isEmpty() else more, refused)
-    out = add_languages(docs, model, (lang, score))
-    return out.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= model.least)).drop(lang, score)
+    scored = materialize(add_languages(docs, train(docs), (lang, score)), "scored")
+    least = threshold(scored.filter(learnable() & (F.col(lang) == F.col("lang"))), score, refused)
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -672,6 +672,21 @@ def test_language_counts_do_not_depend_on_partitions(docs):
     assert a.langs == b.langs == brute.langs and (a.table == b.table).all() and (a.table == brute.table).all() and (a.scripts == brute.scripts).all()
 
 
+def test_language_is_learned_from_all_rows(spark):
+    """Far more rows than a sample would hold: the model has every word, of a repeated id one text, and the threshold is the quantile of all."""
+    texts = [f"der stein wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" if i % 3 else f"the stone over {'xyz'[i % 3]}{chr(97 + i % 26)} river" for i in range(3000)]
+    rows = [(i, t, "en" if i % 3 == 0 else "de") for i, t in enumerate(texts)]
+    ids = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame(rows + [rows[ids[7]]] * 3 + [(None, "le fleuve", "fr")], "doc_id long, text string, lang string").repartition(3)
+    brute = langid.fit([texts[i] for i in ids], [rows[i][2] for i in ids])
+    model = langid.train(docs)
+    assert len(ids) > 2 * langid.PER_LANG and model.langs == brute.langs and (model.table == brute.table).all()
+    scores = spark.range(5000).selectExpr("1 - 1 / (id + 3.0D) AS s")
+    for refused in (0.0005, 0.25, 0.0, 1.0):
+        assert np.isclose(langid.threshold(scores, "s", refused), np.quantile(1 - 1 / (np.arange(5000) + 3.0), refused), atol=1e-12)
+    assert langid.threshold(scores.limit(0), "s") == 0.0
+
+
 def test_language_awkward(docs, rows, none):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)
