@@ -5,8 +5,8 @@ blocks of bounded size; a block's index has, for each dimension, postings in
 segments of equal quantised value. For a query, a segment's impact is the most
 that its postings can add over the dimension's least; segments of all
 dimensions are processed in groups by descending impact. A candidate's score lies between
-what it has gathered and that plus, for each dimension not met yet, the impact
-still to come there. After every group, candidates that can't reach the k-th best
+what it has gathered and that plus, for each dimension not met yet, the greatest impact
+still to come. After every group, candidates that can't reach the k-th best
 lower bound are out for good. Processing stops when that leaves at most ``few``
 (or there is nothing more to process); those are rescored exactly.
 
@@ -51,9 +51,10 @@ class Index:
         self.low, self.high = self.vectors.min(0), self.vectors.max(0)
         width = np.maximum(1, -(-(self.high - self.low + 1) // levels))
         self.level = ((self.vectors - self.low) // width).astype(np.int16)
-        self.postings = np.ascontiguousarray(np.argsort(self.level, axis=0, kind="stable").T.astype(np.int32))
-        self.at_level = np.ascontiguousarray(np.take_along_axis(self.level.T, self.postings, 1))
-        self.starts = np.stack([np.searchsorted(self.at_level[d], np.arange(levels + 1)) for d in range(dims)])
+        self.level = np.ascontiguousarray(self.level.T)
+        self.postings = np.argsort(self.level, axis=1, kind="stable")
+        self.sizes = np.stack([np.bincount(x, minlength=levels) for x in self.level])
+        self.starts = np.pad(np.cumsum(self.sizes, axis=1), ((0, 0), (1, 0)))
         # Least and greatest value that a segment can hold.
         edges = self.low[:, None] + width[:, None] * np.arange(levels + 1)
         self.least = np.minimum(edges[:, :-1], self.high[:, None])
@@ -72,32 +73,35 @@ class Index:
             return self.ids[:0], np.zeros(0, np.int64), 0, 0
         few = 4 * k if few is None else few
         # What a posting adds over the dimension's least, by segment: at least `lower`, at most `upper` (its impact).
-        ends = np.stack([q[:, None] * self.least, q[:, None] * self.most])
-        worst = np.minimum(q * self.low, q * self.high)[:, None]
+        # In double precision: exact below 2**53, `slack` is more than the rounding of larger ones.
+        ends = np.stack([q[:, None] * self.least.astype(float), q[:, None] * self.most.astype(float)])
+        worst = np.minimum(q * self.low.astype(float), q * self.high.astype(float))[:, None]
         lower, upper = ends.min(0) - worst, ends.max(0) - worst
-        gap = (upper - lower).max(1)
+        gap, top, slack = (upper - lower).max(1).sum(), upper.max(1), 1e-12 * dims * np.abs(ends).max()
         order = np.argsort(-upper, axis=None, kind="stable")
-        reached = np.cumsum(np.diff(self.starts, axis=1).ravel()[order])
-        sure = np.zeros(n, np.int64)
+        reached = np.cumsum(self.sizes.ravel()[order])
+        adds = np.repeat(lower.ravel(), self.sizes.ravel()).reshape(dims, n)
+        sure, n_met = np.zeros(n), np.zeros(n)
         seen = np.zeros(dims, np.int64)  # segments processed, from the end where impact is greatest
         met = 0
         for group in range(1, GROUPS + 1):
             if len(members) <= few:
                 break  # proved: the k best are among these
-            upto = int(np.searchsorted(reached, group / GROUPS * n * dims)) + 1
-            now = np.bincount(order[:upto] // self.n_levels, minlength=dims) if group < GROUPS else np.full(dims, self.n_levels)
+            upto = int(np.searchsorted(reached, group / GROUPS * n * dims)) + 1 if group < GROUPS else order.size
+            now = np.bincount(order[:upto] // self.n_levels, minlength=dims)
+            rows = []
             for d in np.flatnonzero(now > seen):
                 a, b = (self.n_levels - now[d], self.n_levels - seen[d]) if q[d] >= 0 else (seen[d], now[d])
-                rows = slice(self.starts[d, a], self.starts[d, b])
-                at = self.postings[d, rows]
-                sure[at] += lower[d][self.at_level[d, rows]]
+                rows.append((d, slice(self.starts[d, a], self.starts[d, b])))
+            at = np.concatenate([self.postings[r] for r in rows]) if rows else self.postings[0, :0]
+            if len(at):
+                sure += np.bincount(at, np.concatenate([adds[r] for r in rows]), n)
+                n_met += np.bincount(at, minlength=n)
                 met += len(at)
             seen = now
-            level = self.level[members]
-            unmet = np.where(q >= 0, level < self.n_levels - seen, level >= seen)
-            left = np.where(seen < self.n_levels, np.take_along_axis(upper, np.where(q >= 0, self.n_levels - 1 - seen, seen).clip(0, self.n_levels - 1)[:, None], 1)[:, 0], 0)
-            most = sure[members] + gap.sum() + unmet.astype(np.float32) @ (left - gap).astype(np.float32)
-            slack = 1e-5 * (np.abs(left - gap).sum() + gap.sum()) + 1  # of single precision
+            # No posting still to come adds more than the next segment's impact, nor than its dimension's greatest.
+            left = upper.ravel()[order[upto]] if upto < order.size else 0.0
+            most = sure[members] - left * n_met[members] + (gap + np.minimum(left, top).sum())
             members = members[most + slack >= np.partition(sure[members], -k)[-k]]
         exact = self.vectors[members] @ q
         ids = self.ids[members]

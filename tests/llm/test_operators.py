@@ -140,6 +140,29 @@ def test_marks_after_any_letter(name):
         assert [t for t, a, b in zip(some, want, encoder.encode(some), strict=True) if a != b.tolist()] == []
 
 
+def test_table_of_chunks_stays_bounded_and_split_chunks_are_looked_up_once():
+    """Words that a full table lacks never enter it; each distinct chunk of a call is looked up once, not each occurrence."""
+    encoder = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), max_chunks=20)
+    asked = []
+
+    class Table(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+        def __setitem__(self, *_):
+            raise AssertionError("only update() fills the table")
+
+    encoder.table = Table(encoder.table)
+    texts = [" ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5)) + "\nagain and again and again" for j in range(20)]
+    got_ids = encoder.encode(texts * 3, 1)
+    assert len(asked) == len(set(asked)) and len(encoder.table) > 20
+    size = len(encoder.table)
+    assert [x.tolist() for x in encoder.encode(["a new phrase, unseen."], 1)] == [[*encoder.library.encode("a new phrase, unseen.", add_special_tokens=False).ids, 1]]
+    assert len(encoder.table) == size
+    assert all(x.tolist() == [*encoder.library.encode(t, add_special_tokens=False).ids, 1] for t, x in zip(texts * 3, got_ids, strict=True))
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (1, 300), (700, 200), (5000, 70_000), (3000, 1 << 31)])
 def test_dac_random_access(n, top):
     ids = np.random.default_rng(n).integers(0, top, n)
@@ -312,6 +335,25 @@ def test_index_stops_on_proof():
     assert met == 4000 * 16 and rescored == 3999
 
 
+def test_dense_search_costs_little_more_than_its_postings():
+    """Uniform vectors, where the proof comes late: right answers, with a few array passes a query."""
+    import time
+
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-1000, 1001, (8192, 64))
+    index = topk.Index(np.arange(8192), vectors)
+    start = time.process_time()
+    found = [index.search(vectors[i], 10, i)[:2] for i in range(20)]
+    took = time.process_time() - start
+    start = time.process_time()
+    for _ in range(20):
+        np.add.at(np.zeros(8192), index.postings.ravel(), 1.0)
+    assert took < 16 * (time.process_time() - start)
+    for i, (ids, score) in enumerate(found):
+        exact = np.delete(vectors @ vectors[i], i)
+        assert score.tolist() == np.sort(exact)[-10:][::-1].tolist() and len(set(ids.tolist())) == 10
+
+
 def test_one_index_a_block(monkeypatch):
     """As many index builds as there are blocks of candidates, however many queries and batches."""
     import pyarrow as pa
