@@ -60,10 +60,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null counts as empty, so that a document has its end id alone; repeated rows
     are packed each; long texts are cut into windows; an empty table gives no
-    rows; other columns aren't read. The table of chunks is smaller than the operator's own,
+    rows; other columns aren't read. The table of chunks and what is encoded at once are smaller than the operator's own,
     since executors still hold the heap of earlier stages.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_chunks=300_000)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_chunks=300_000, at_once=1_000_000)
 
 
 STAGES = [

@@ -47,7 +47,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.table: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = {"": b""}
         self.max_chunks, self.max_len = max_chunks, max_len
         size = self.library.get_vocab_size()
         self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -72,9 +72,9 @@ class ChunkEncoder:
     def _encode_plain(self, words: list[str]) -> list[bytes]:
         """As _encode, for plain words: many in one text, cut again at the ids that end or start a word."""
         out: list[bytes] = []
-        for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, self.width)
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.frombuffer(self._encode(["".join(part)])[0], self.width)
             at = np.flatnonzero(self.edge[ids])
             if len(at) != len(part):
                 out += self._encode(part)
@@ -84,24 +84,29 @@ class ChunkEncoder:
             out += [raw[a * n : b * n] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def _add(self, new: set[str]) -> list[str]:
-        """Encode chunks that the table lacks; marks after a letter are split off, so that the word is encoded once. Returns what the table gained."""
-        table = self.table
-        marked = {c: (m[1], _AS_IS + m[2]) for c in new if (m := self.marked.match(c))}
-        todo = new.difference(marked).union(*marked.values()).difference(table)
-        plain = [c for c in todo if _PLAIN.fullmatch(c)]
-        table.update(zip(plain, self._encode_plain([" " + c for c in plain]), strict=True))
+    def _add(self, new: set[str]) -> dict[str, bytes]:
+        """Encode chunks that the table lacks; marks after a letter are split off, so that the word is encoded once. Returns their ids, and those of the words and marks."""
+        table, fresh = self.table, {}
+        plain = set(filter(_PLAIN.fullmatch, new))
+        marked = {c: (m[1], _AS_IS + m[2]) for c in new.difference(plain) if (m := self.marked.match(c))}
+        todo = new.difference(marked)
+        for pair in marked.values():
+            todo.update(pair)
+        todo.difference_update(table)
+        plain.update(w for w, _ in marked.values() if w in todo and _PLAIN.fullmatch(w))
+        plain = list(plain)
+        fresh.update(zip(plain, self._encode_plain([" " + c for c in plain]), strict=True))
         rest = list(todo.difference(plain))
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             chunks = [c[1:] if c[0] == _AS_IS else c if c[0] == "\n" else " " + c for c in part]
-            table.update(zip(part, self._encode(chunks), strict=True))
+            fresh.update(zip(part, self._encode(chunks), strict=True))
         for c, (word, marks) in marked.items():
-            table[c] = table[word] + table[marks]
-        return [*todo, *marked]
+            fresh[c] = (fresh[word] if word in fresh else table[word]) + (fresh[marks] if marks in fresh else table[marks])
+        return fresh
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text's chunks, or None where it must stay whole.
+    def _named(self, text: str) -> str | list[str] | None:
+        """The names of a text's chunks, with a blank between them; as a list where they hold blanks; None where the text must stay whole.
 
         A chunk is named without the blank that it begins with, but for the
         text's first; where white space comes in runs, chunks keep all of it
@@ -110,37 +115,55 @@ class ChunkEncoder:
         if _WHOLE.search(text):
             return None
         if self.folds:
-            return (text.lower() if text.isascii() or not _WIDE.search(text) else text).split()
-        found = text.replace("\n", " \n").split(" ")
-        if "" in found or "\n" in found:
+            return (text.lower() if text.isascii() or not _WIDE.search(text) else text).replace("\n", " ")
+        named = text.replace("\n", " \n")
+        if "  " in named or " \n " in named or named[0] == " " or named[-1] == " " or named.endswith(" \n"):
             return [_AS_IS + c for c in _CHUNK.findall(text)]
-        found[0] = _AS_IS + found[0]
-        return found
+        return _AS_IS + named
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
-        """Ids of each text, and then ``end_id`` if given; null counts as empty."""
-        end = b"" if end_id is None else np.array([end_id], self.width).tobytes()
+        """Ids of each text, and then ``end_id`` if given; null counts as empty.
+
+        Arrow splits texts and numbers the distinct chunks, so that only those
+        are looked up; ids are gathered by number. Whole texts and the end count as chunks.
+        """
         table = self.table
         full = len(table) > self.max_chunks
-        known, gaps, new = [], [], set()
-        for text in texts:
-            names = self.pieces(text) if text else []
-            values = None if names is None else list(map(table.get, names))
-            known.append(values)
-            if values and None in values:
-                at = [i for i, v in enumerate(values) if v is None]
-                missing = [names[i] for i in at]
-                gaps.append((values, at, missing))
-                new.update(missing)
-        gained = self._add(new)
-        for values, at, missing in gaps:
-            for i, name in zip(at, missing, strict=True):
-                values[i] = table[name]
-        out = [(self._encode([t])[0] if v is None else b"".join(v)) + end for t, v in zip(texts, known, strict=True)]
-        for name in gained:
-            if full or len(name) > self.max_len:
-                del table[name]
-        return [np.frombuffer(b, self.width) for b in out]
+        named = [self._named(t) if t else "" for t in texts]
+        cut = [i for i, x in enumerate(named) if isinstance(x, str) and x]
+        odd = [i for i, x in enumerate(named) if isinstance(x, list)]
+        whole = [i for i, x in enumerate(named) if x is None]
+        lists = pc.split_pattern(pa.array([named[i] for i in cut], pa.large_string()), " ")
+        counts = np.zeros(len(texts), np.int64)
+        counts[cut] = lists.value_lengths().to_numpy()
+        counts[odd] = [len(named[i]) for i in odd]
+        counts[whole] = 1
+        coded = pa.concat_arrays([lists.flatten(), pa.array([c for i in odd for c in named[i]], pa.large_string())]).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(table.get, names))
+        at = [k for k, v in enumerate(values) if v is None]
+        fresh = self._add({names[k] for k in at})
+        for k in at:
+            values[k] = fresh[names[k]]
+        if not full:
+            table.update(x for x in fresh.items() if len(x[0]) <= self.max_len)
+        values += self._encode([texts[i] for i in whole])
+        values.append(b"" if end_id is None else np.array([end_id], self.width).tobytes())
+        # Chunks of a text are next to each other among those of its kind; the end follows each text.
+        numbers = np.concatenate([coded.indices.to_numpy(), np.arange(len(names), len(values))])
+        first, kinds = np.zeros(len(texts), np.int64), np.array([*cut, *odd, *whole], np.int64)
+        first[kinds] = np.cumsum(counts[kinds]) - counts[kinds]
+        starts = np.stack([first, np.full(len(texts), len(numbers) - 1)], 1).ravel()
+        chunks = numbers[_ranges(starts, np.stack([counts, np.ones_like(counts)], 1).ravel())]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width.itemsize
+        ids = np.frombuffer(b"".join(values), self.width)[_ranges((np.cumsum(sizes) - sizes)[chunks], sizes[chunks])]
+        ends = np.cumsum(sizes[chunks])[np.cumsum(counts + 1) - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 ARROW_ROWS = 1000

@@ -170,7 +170,7 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "part_start", "n_docs", "n_tokens", "payload"])
 
         for batch in source:
-            for piece in slices(batch, 1, 300_000):
+            for piece in slices(batch, 1, 3_000_000):
                 for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
                     doc_ids.append(d)
                     ids.append(x)

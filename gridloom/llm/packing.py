@@ -159,8 +159,8 @@ def pack(lengths: np.ndarray, window: int = 2048, grain: int = 32, depth: int =
     return windows, last
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048, group_tokens: int = 4_000_000, max_chunks: int = 400_000) -> DataFrame:
-    """One row a piece. ``max_chunks`` bounds the worker's table of chunks (about 0.2 KB each). sequence_id: the task's number times 2**32, plus the window's number in the task."""
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = 2048, group_tokens: int = 4_000_000, max_chunks: int = 400_000, at_once: int = 3_000_000) -> DataFrame:
+    """One row a piece. ``max_chunks`` bounds the worker's table of chunks (about 0.2 KB each), ``at_once`` the bytes of text encoded together. sequence_id: the task's number times 2**32, plus the window's number in the task."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary, max_chunks)
@@ -192,7 +192,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], [f.split()[0] for f in PIECES.split(", ")])
 
         for batch in source:
-            for piece in slices(batch, 1, 300_000):
+            for piece in slices(batch, 1, at_once):
                 for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
                     group.append((d, x, 0))
                     held += len(x)
