@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import bound_batches, encoder_of, release_memory, slices
+from .chunks import bound_batches, encoder_of, gathered, release_memory
 
 MAGIC = b"DAC1"
 BLOCK = 512  # bits between entries of a rank directory
@@ -169,14 +169,13 @@ def write_segments(docs: DataFrame, vocabulary: str, end_id: int = 2, segment_to
             number, total, held, doc_ids, ids = number + 1, total + held, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "part_start", "n_docs", "n_tokens", "payload"])
 
-        for batch in source:
-            for piece in slices(batch, 1, 3_000_000):
-                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
-                    doc_ids.append(d)
-                    ids.append(x)
-                    held += len(x)
-                    if held >= segment_tokens:
-                        yield segment()
+        for piece in gathered(source, 1, 3_000_000):
+            for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1), end_id), strict=True):
+                doc_ids.append(d)
+                ids.append(x)
+                held += len(x)
+                if held >= segment_tokens:
+                    yield segment()
         if doc_ids:
             yield segment()
         release_memory()

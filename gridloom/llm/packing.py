@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import bound_batches, encoder_of, release_memory, slices
+from .chunks import bound_batches, encoder_of, gathered, release_memory
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -191,13 +191,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
             held = sum(n for _, _, n in left)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], [f.split()[0] for f in PIECES.split(", ")])
 
-        for batch in source:
-            for piece in slices(batch, 1, at_once):
-                for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end_id), strict=True):
-                    group.append((d, x, 0))
-                    held += len(x)
-                    if held >= group_tokens:
-                        yield packed(False)
+        for piece in gathered(source, 1, at_once):
+            for d, x in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1), end_id), strict=True):
+                group.append((d, x, 0))
+                held += len(x)
+                if held >= group_tokens:
+                    yield packed(False)
         if group:
             yield packed(True)
         release_memory()

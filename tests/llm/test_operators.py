@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import common, dac, exact_dedup, jaccard, langid, packing, pieces, quality, rows as rowwise, sharding, topk, urls
+from gridloom.llm import chunks, common, dac, exact_dedup, jaccard, langid, packing, pieces, quality, rows as rowwise, sharding, topk, urls
 from gridloom.llm.chunks import ChunkEncoder
 from gridloom.llm.graph import components
 
@@ -163,6 +164,36 @@ def test_table_of_chunks_stays_bounded_and_split_chunks_are_looked_up_once():
     assert all(x.tolist() == [*encoder.library.encode(t, add_special_tokens=False).ids, 1] for t, x in zip(texts * 3, got_ids, strict=True))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_share_an_entry_whatever_mark_follows(name):
+    """Words are in the table once, not with each mark again, and a call doesn't walk through the table."""
+
+    class Table(dict):
+        def __iter__(self):
+            raise AssertionError("work of a call must not grow with the table")
+
+    encoder = ChunkEncoder(public_tokenizers.path(name))
+    encoder.table = Table(encoder.table)
+    texts = [f". {a}{x} {b}{y} {c}{z} " for a, b, c in itertools.permutations(["stone", "élan", "allée"]) for x, y, z in itertools.permutations([",", ".", "!?", ")", ""], 3)]
+    got_ids = encoder.encode([None, "", *texts, "<|a", "x<", "|y", ""])
+    want = [e.ids for e in encoder.library.encode_batch(["", "", *texts, "<|a", "x<", "|y", ""], add_special_tokens=False)]
+    assert [x.tolist() for x in got_ids] == want
+    assert len(encoder.table) <= 16
+
+
+@pytest.mark.parametrize("most", [1, 10, 25, 10**6])
+def test_gathered_batches_hold_all_rows_in_order(most):
+    texts = [None, "", "a" * 9, "b", None, "c" * 30, "é" * 5, "", "d" * 10, "e", None]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    for size in (1, 3, 100):
+        out = list(chunks.gathered(iter([*table.to_batches(max_chunksize=size), *table.slice(0, 0).to_batches()]), 1, most))
+        assert pa.Table.from_batches(out).equals(table)
+        sizes = [[len((t or "").encode()) for t in b.column(1).to_pylist()] for b in out]
+        assert all(s and (sum(s) <= most or sum(n > 0 for n in s) == 1) for s in sizes)
+        assert all(sum(a) + next((n for n in b if n), 0) > most for a, b in itertools.pairwise(sizes))
+    assert list(chunks.gathered(iter(table.slice(0, 0).to_batches()), 1, most)) == []
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 1), (1, 300), (700, 200), (5000, 70_000), (3000, 1 << 31)])
 def test_dac_random_access(n, top):
     ids = np.random.default_rng(n).integers(0, top, n)
