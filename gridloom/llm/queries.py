@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, exact_dedup, jaccard, langid, packing, pieces, quality, sharding, topk, urls
+from . import dac, exact_dedup, infill, jaccard, langid, packing, phrases, pieces, quality, repeats, sharding, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated strings of 100 bytes."""
+    return repeats.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and restored from that."""
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_exact_dedup, op3_token_output, op4_url_filter, op5_top_k, op6_packing, op7_quality, op8_jaccard_join, op9_sentencepiece, op10_language)
-}
+    for f in (
+        op1_sharding, op2_exact_dedup, op3_token_output, op4_url_filter, op5_top_k, op6_packing, op7_quality, op8_jaccard_join, op9_sentencepiece, op10_language,
+        op11_repeats, op12_phrases, op13_fill_in_middle,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -88,4 +106,7 @@ o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.
 links AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""",
+    "op11_repeats": repeats.digests_sql(),
+    "op12_phrases": phrases.collocations_sql(),
+    "op13_fill_in_middle": infill.digests_sql(),
 }
