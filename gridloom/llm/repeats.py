@@ -52,7 +52,7 @@ from .blocks import Block, batch_of, pack, unpack
 LENGTH = 100
 HOT = 4096
 OWNERS_A_RANGE = 1_500_000
-BYTES_A_RANGE = 6_000_000
+BYTES_A_RANGE = 2_000_000
 _SEGMENT = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _MASKED = 64  # windows of a record at most: one bit each
@@ -250,17 +250,18 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.append(sorted_keys[1:] != sorted_keys[:-1], True)
     ends = np.flatnonzero(last)
     sizes = np.diff(ends, prepend=-1)
-    pointer, several = np.empty(len(key), np.int64), np.empty(len(key), bool)
+    pointer, several = np.empty(len(key), np.int32), np.empty(len(key), bool)
     pointer[order], several[order] = np.repeat(ends, sizes), np.repeat(sizes > 1, sizes)
     return pointer, several
 
 
-def refined(text: np.ndarray, left: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
+def refined(text: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
     """Bucket pointers, at depth ``length``, of the suffixes at ``wanted``: equal where their first ``length`` bytes are.
 
-    ``left``: bytes from each place to the end of its record. Pointers of
-    suffixes that no other equals to some depth are those of that depth.
+    Pointers of suffixes that no other equals to some depth are those of that depth.
     """
+    if len(text) >= 1 << 31:
+        raise OverflowError("a range's records are longer than 32-bit places")
     depths = [length]
     while depths[-1] > 8:
         depths.append(max(8, -(-depths[-1] // 2)))
@@ -275,18 +276,20 @@ def refined(text: np.ndarray, left: np.ndarray, wanted: np.ndarray, length: int)
         wants[:] = False
         wants[needed[-1]] = True
         wants[needed[-1] + deep - depth] = True
-        needed.append(np.flatnonzero(wants))
+        needed.append(np.flatnonzero(wants).astype(np.int32))
     needed.reverse()
-    pointer = np.zeros(len(text), np.int64)
+    pointer = np.zeros(len(text), np.int32)
     open_ = np.zeros(len(text), bool)
     at = needed[0]
     pointer[at], open_[at] = _ranked(first[at])
-    del first
+    del first, padded, wants
     for depth, deep, at in zip(depths, depths[1:], needed[1:], strict=False):
         at = at[open_[at]]
         # Members of a bucket lie at its end in the order, so a refined pointer never meets another bucket's.
-        order = np.lexsort((pointer[at + deep - depth], pointer[at]))
-        bucket, later = pointer[at][order], pointer[at + deep - depth][order]
+        key = pointer[at].astype(np.int64) << 32 | pointer[at + deep - depth]
+        order = np.argsort(key)
+        key = key[order]
+        bucket, later = key >> 32, key & 0xFFFFFFFF
         same_bucket = bucket[1:] == bucket[:-1]
         last = np.append(~(same_bucket & (later[1:] == later[:-1])), True)
         ends = np.flatnonzero(last)
@@ -315,10 +318,9 @@ def repeated(meta: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     sizes = np.array([len(texts[k]) for k in kept], np.int64)
     windows = meta[4, kept]
     ends = np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(sizes.sum())
     row = np.repeat(np.arange(len(kept)), windows)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    classes = refined(np.frombuffer(b"".join([texts[k] for k in kept]), np.uint8), left, (ends - sizes)[row] + offset, length)
+    classes = refined(np.frombuffer(b"".join([texts[k] for k in kept]), np.uint8), ((ends - sizes)[row] + offset).astype(np.int32), length)
     # Windows are in order of place, so the first of a class is the earliest.
     order = np.argsort(classes, kind="stable")
     again = order[1:][classes[order][1:] == classes[order][:-1]]

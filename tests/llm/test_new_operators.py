@@ -93,7 +93,7 @@ def test_refined_buckets():
         text[sizes[0] : sizes[:2].sum()] = 97
         ends = np.repeat(np.cumsum(sizes), sizes)
         wanted = np.flatnonzero(ends - np.arange(len(text)) >= length)
-        pointer = repeats.refined(text, ends - np.arange(len(text)), wanted, length)
+        pointer = repeats.refined(text, wanted, length)
         first = {}
         for k, p in zip(wanted.tolist(), pointer.tolist(), strict=True):
             first.setdefault(text[k : k + length].tobytes(), set()).add(p)
