@@ -113,7 +113,8 @@ def records(data: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.nda
         size = np.diff(np.append(cut, len(owner)))
         cut, size = cut[inside[cut]], size[inside[cut]]
         whole = _mixed((sums[cut + size - 1 + length] - sums[cut]) * inverse[cut])
-        found.append((grams[owner[cut]], cut + base, size, whole))
+        # Owners are least hashes; mixed once more, they are even over all numbers.
+        found.append((_mixed(grams[owner[cut]] * np.uint64(0xC2B2AE3D27D4EB4F)), cut + base, size, whole))
     if not found:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none.astype(np.uint64)
