@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import unit
 from ..sources.raster import grid_edges
 from ..sources.storage import join_small, saved
-from . import linalg
+from . import linalg, tiles
 from .linalg import neighbour_sums
 from .windows import sobel_derivative
 
@@ -46,19 +46,26 @@ def height_rhs(relative: DataFrame) -> DataFrame:
     return relative.groupBy("image_id", "i").agg(F.sum("v").alias("v"))
 
 
-def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float = 1.0, shading: str = "s", tol: float = 1e-5, max_iter: int = 1500, solver: str = "sweep") -> DataFrame:
+def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float = 1.0, shading: str = "s", tol: float = 1e-5, max_iter: int = 1500, solver: str = "tiles", tile: int = tiles.TILE, halo: int = tiles.HALO) -> DataFrame:
     """(image_id, pid, x, y, nx, ny, nz) from shading, smoothed by ``weight``.
 
-    ``solver``: "sweep" solves an image in one grouped task (the sweep is
-    sequential), by red-black successive relaxation on the grid, from (0, 0, 1).
-    "relax" is for images too large for a task (about 200 bytes a pixel): the same
-    system as relations, by :func:`linalg.relax`, with more rounds and a shuffle each.
+    The system, l * l' + 2 * weight * Laplacian for a light l of unit length, falls
+    apart: along the light it is (1 + 2 * weight * Laplacian) a = s for one number a
+    a pixel; across the light the field is constant, and which constant, shading can't
+    tell. Here it is that of the field (0, 0, 1), from which iterations start: the result is the solution nearest to it.
+
+    ``solver``: "tiles" relaxes an image in many tasks (:func:`tiles.solve`; sides and halos of tiles by
+    ``tile`` and ``halo``). "sweep" relaxes the three channels of an image, in one grouped task.
+    "relax" makes the whole system as relations and relaxes that (:func:`linalg.relax`), with a shuffle or two a round.
     """
-    if solver not in ("sweep", "relax"):
-        raise ValueError(f"solver {solver!r} is neither 'sweep' nor 'relax'")
-    if solver == "relax":
-        return _relaxed_normals(pixels, tuple(np.array(light, float) / np.linalg.norm(light)), weight, shading, tol, max_iter)
+    if solver not in ("tiles", "sweep", "relax"):
+        raise ValueError(f"solver {solver!r} is none of 'tiles', 'sweep', 'relax'")
     l = np.array(light, float) / np.linalg.norm(light)  # noqa: E741
+    if solver == "tiles":
+        along = tiles.solve(pixels, shading, 1.0, 2 * weight, tol, max_iter, tile=tile, halo=halo)
+        return _directed(along, F.col("v"), l).select("image_id", "pid", "x", "y", "nx", "ny", "nz")
+    if solver == "relax":
+        return _relaxed_normals(pixels, l, weight, shading, tol, max_iter)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
@@ -80,39 +87,45 @@ def estimate_normals(pixels: DataFrame, light: tuple[float, float, float], weigh
                     rest = np.tensordot(l, n, 1) - l[c] * n[c]
                     new = (b[c] - l[c] * rest + 2 * weight * neighbour_sums(n[c])) / np.maximum(l[c] ** 2 + 2 * weight * degree, 1e-300)
                     n[c][colour] = new[colour]
-        norm = np.sqrt((n * n).sum(0))
-        n = np.divide(n, norm, out=np.zeros_like(n), where=norm > 0)
-        flat = n.reshape(3, -1)
-        return pd.DataFrame({"image_id": pdf.image_id, "pid": pdf.pid, "x": pdf.x, "y": pdf.y, "nx": flat[0], "ny": flat[1], "nz": np.abs(flat[2])})
+        return pd.DataFrame({"image_id": pdf.image_id, "pid": pdf.pid, "x": pdf.x, "y": pdf.y, "a": np.tensordot(l, n, 1).ravel()})
 
     df = pixels.select("image_id", "pid", "x", "y", F.col(shading).alias("s"))
-    return df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, nx double, ny double, nz double")
+    along = df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, a double")
+    return _directed(along, F.col("a"), l).select("image_id", "pid", "x", "y", "nx", "ny", "nz")
+
 
+def _directed(df: DataFrame, along: Column, light: np.ndarray) -> DataFrame:
+    """Unit normals from what of them lies along the light; across it they are as (0, 0, 1) is. The third is made positive."""
+    across = np.array([0.0, 0.0, 1.0]) - light * light[2]
+    n = unit(*(along * float(k) + float(c) for k, c in zip(light, across, strict=True)))
+    return df.withColumns({"nx": n[0], "ny": n[1], "nz": F.abs(n[2])})
 
-def _relaxed_normals(pixels: DataFrame, light: tuple[float, float, float], weight: float, shading: str, tol: float, max_iter: int) -> DataFrame:
-    matrix = saved(linalg.sparse_add(linalg.lighting_matrix(pixels, light), linalg.poisson_matrix(pixels, blocks=3), 2 * weight), "matrix")
-    b = saved(linalg.lighting_vector(pixels, light, shading), "b")
+
+def _relaxed_normals(pixels: DataFrame, light: np.ndarray, weight: float, shading: str, tol: float, max_iter: int) -> DataFrame:
+    matrix = saved(linalg.sparse_add(linalg.lighting_matrix(pixels, tuple(light)), linalg.poisson_matrix(pixels, blocks=3), 2 * weight), "matrix")
+    b = saved(linalg.lighting_vector(pixels, tuple(light), shading), "b")
     size = pixels.groupBy("image_id").agg((F.max("pid") + 1).alias("n"))
     start = join_small(b, size, "image_id").select("image_id", "i", F.when(F.col("i") >= 2 * F.col("n"), 1.0).otherwise(0.0).alias("v"))
     x = join_small(linalg.relax(matrix, b, start, 0.6, tol, max_iter), size, "image_id")
-    x = x.groupBy("image_id", (F.col("i") % F.col("n")).alias("pid")).agg(*(F.max(F.when(F.floor(F.col("i") / F.col("n")) == k, F.col("v"))).alias(f"v{k}") for k in range(3)))
-    norm = F.sqrt(F.col("v0") * F.col("v0") + F.col("v1") * F.col("v1") + F.col("v2") * F.col("v2"))
-    n = [F.coalesce(F.try_divide(F.col(f"v{k}"), norm), F.lit(0.0)) for k in range(3)]
+    channel = F.element_at(F.array(*(F.lit(float(k)) for k in light)), (F.floor(F.col("i") / F.col("n")) + 1).cast("int"))
+    x = x.groupBy("image_id", (F.col("i") % F.col("n")).alias("pid")).agg(F.sum(F.col("v") * channel).alias("a"))
     out = pixels.select("image_id", "pid", "x", "y").join(x, ["image_id", "pid"])
-    return out.select("image_id", "pid", "x", "y", n[0].alias("nx"), n[1].alias("ny"), F.abs(n[2]).alias("nz"))
+    return _directed(out, F.col("a"), light).select("image_id", "pid", "x", "y", "nx", "ny", "nz")
 
 
-def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_000, omega: float = 0.9, tol: float = 1e-4, solver: str = "sweep") -> DataFrame:
+def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_000, omega: float = 0.9, tol: float = 1e-4, solver: str = "tiles", tile: int = tiles.TILE, halo: int = tiles.HALO) -> DataFrame:
     """(image_id, pid, x, y, h) from relative heights: the first pixel pinned, solved by relaxation, scaled to 0..1.
 
-    ``solver`` as in :func:`estimate_normals`.
+    ``solver`` as in :func:`estimate_normals`; ``omega`` is for "sweep" and "relax".
     """
-    if solver not in ("sweep", "relax"):
-        raise ValueError(f"solver {solver!r} is neither 'sweep' nor 'relax'")
+    if solver not in ("tiles", "sweep", "relax"):
+        raise ValueError(f"solver {solver!r} is none of 'tiles', 'sweep', 'relax'")
     if solver == "relax":
         return _relaxed_heights(relative, pixels, max_iter, omega, tol)
     rhs = height_rhs(relative).select("image_id", F.col("i").alias("pid"), F.col("v").alias("b"))
     df = pixels.select("image_id", "pid", "x", "y").join(rhs, ["image_id", "pid"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    if solver == "tiles":
+        return _scaled(saved(tiles.solve(df, "b", 0.0, 1.0, tol, max_iter, pinned=True, tile=tile, halo=halo), "heights"), "v")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
@@ -131,11 +144,16 @@ def absolute_heights(relative: DataFrame, pixels: DataFrame, max_iter: int = 10_
             r = (b + neighbour_sums(h) - degree * h)[free]
             if np.sqrt((r * r).sum()) <= tol * size:
                 break
-        low, high = h.min(), h.max()
-        h = (h - low) / (high - low) if high > low else np.zeros_like(h)
         return pd.DataFrame({"image_id": pdf.image_id, "pid": pdf.pid, "x": pdf.x, "y": pdf.y, "h": h.ravel()})
 
-    return df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, h double")
+    return _scaled(saved(df.groupBy("image_id").applyInPandas(solve, "image_id string, pid long, x int, y int, h double"), "heights"), "h")
+
+
+def _scaled(df: DataFrame, value: str) -> DataFrame:
+    """Heights from 0 to 1 in every image; flat ones are 0. ``df`` is read twice."""
+    ends = df.groupBy("image_id").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    h = F.coalesce(F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    return join_small(df, ends, "image_id").select("image_id", "pid", "x", "y", h.alias("h"))
 
 
 def _relaxed_heights(relative: DataFrame, pixels: DataFrame, max_iter: int, omega: float, tol: float) -> DataFrame:
@@ -147,7 +165,4 @@ def _relaxed_heights(relative: DataFrame, pixels: DataFrame, max_iter: int, omeg
     b = saved(rhs.select("image_id", "i", F.when(first, 0.5).otherwise(F.coalesce("v", F.lit(0.0))).alias("v")), "b")
     start = b.select("image_id", "i", F.lit(0.5).alias("v"))
     x = linalg.relax(matrix, b, start, omega, tol, max_iter)
-    ends = x.groupBy("image_id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    h = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    x = join_small(x, ends, "image_id").select("image_id", F.col("i").alias("pid"), h.alias("h"))
-    return pixels.select("image_id", "pid", "x", "y").join(x, ["image_id", "pid"])
+    return _scaled(pixels.select("image_id", "pid", "x", "y").join(x.select("image_id", F.col("i").alias("pid"), "v"), ["image_id", "pid"]), "v")
