@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, scalar
-from ..operators import components, graph, intrinsic, kmeans, linalg, probability, regions, sfs, windows
+from ..operators import components, csr, graph, intrinsic, kmeans, linalg, probability, regions, sfs, windows
 from ..sources import raster
 from ..sources.storage import new_path
 from . import segmentation
@@ -538,6 +538,24 @@ def _spmv(px):
     return linalg.spmv(linalg.poisson_matrix(px), x).select(*whole("i"), *reals("v"))
 
 
+@query("csr_blocks", "SELECT i, j, v FROM po", _POISSON)
+def _blocks(px):
+    """To compressed row blocks and back."""
+    return csr.from_blocks(csr.to_blocks(linalg.poisson_matrix(px))).select(*whole("i", "j"), "v")
+
+
+@query("csr_spmv", f"SELECT i, {r('sum(v * c0)', 'v')} FROM po JOIN px ON pid = j GROUP BY i", _POISSON)
+def _block_product(px):
+    x = px.select("image_id", F.col("pid").alias("i"), F.col("c0").alias("v"))
+    return csr.spmv(csr.to_blocks(linalg.poisson_matrix(px)), x).select(*whole("i"), *reals("v"))
+
+
+@query("csr_add", f"SELECT i, j, {r('sum(v)', 'v')} FROM (SELECT * FROM lm UNION ALL SELECT i + r * n, j + r * n, 2 * v FROM po, np, li) GROUP BY ALL", f"{_POISSON}, {_PLIGHT}")
+def _block_sum(px):
+    total = csr.add(csr.to_blocks(linalg.lighting_matrix(px, LIGHT)), csr.to_blocks(linalg.poisson_matrix(px, blocks=3)), 2.0)
+    return csr.from_blocks(total).select(*whole("i", "j"), *reals("v"))
+
+
 _REL = f"""{_NORMALS}, {_GRID}, pr AS (SELECT i, j, CASE WHEN across THEN a.nx ELSE a.ny END AS p, a.nz AS q, CASE WHEN across THEN b.nx ELSE b.ny END AS s, b.nz AS t FROM g4 JOIN nv a ON a.pid = i JOIN nv b ON b.pid = j),
 un AS (SELECT i, j, p / sqrt(p * p + q * q) AS p, q / sqrt(p * p + q * q) AS q, s / sqrt(s * s + t * t) AS s, t / sqrt(s * s + t * t) AS t FROM pr),
 rel AS (SELECT i, j, CASE WHEN i > j THEN -1 ELSE 1 END * CASE WHEN abs(p - s) > 1e-7 THEN (q - t) / (p - s) WHEN p = 0 THEN 0 WHEN q = 0 THEN 1e7 ELSE p / q END AS v FROM un)"""
