@@ -610,7 +610,7 @@ _BYTE = "floor(greatest(0, least(255, {0} * 255 + 0.5))) / 255e0"
 def _round_trip(px):
     """Written as a PNG file, read as an image file."""
     spark, folder = px.sparkSession, new_path(px.sparkSession, "images")
-    raster.write_images(px, folder).collect()
+    raster.write_images(px, folder)
     return raster.read_images(spark, folder, gamma=1.0).select(*whole("pid", "x", "y"), *reals("c0", "c1", "c2"))
 
 

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import formats
+from .storage import saved
+
 WIDTH = 40  # of the raster over ``events``
 TYPES = ["click", "error", "purchase", "signup", "view"]
 #: (dx, dy) by direction: NW, N, NE, W, E, SW, S, SE.
@@ -45,14 +48,38 @@ def dimensions(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
 
-def read_images(spark: SparkSession, path: str, gamma: float = 2.2, skip_invalid: bool = False, at_once: int = 1 << 16) -> DataFrame:
+#: Endings of files that Spark's image source can't read.
+DEEP = ("pnm", "pbm", "pgm", "ppm", "hdr")
+_PIXELS = "image_id string, pid long, x int, y int, c0 double, c1 double, c2 double"
+
+
+def _pixels_of(origin: str, values: np.ndarray, at_once: int) -> Iterator[pa.RecordBatch]:
+    """An image's rows from (pixels, 3) values and its width, ``at_once`` at a time."""
+    h, w, _ = values.shape
+    flat = values.reshape(h * w, -1)
+    for start in range(0, w * h, at_once):
+        pid = np.arange(start, min(start + at_once, w * h))
+        columns = [pa.array([origin] * len(pid)), pa.array(pid), pa.array((pid % w).astype(np.int32)), pa.array((pid // w).astype(np.int32)), *(pa.array(np.ascontiguousarray(flat[pid, k])) for k in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, ["image_id", "pid", "x", "y", "c0", "c1", "c2"])
+
+
+def read_images(spark: SparkSession, path: str, gamma: float = 2.2, skip_invalid: bool = False, at_once: int = 1 << 16, deep: bool = False, files: str = "*") -> DataFrame:
     """Image files as pixels (image_id, pid, x, y, c0, c1, c2), three linear channels.
 
-    A byte v becomes (v / 255) ** gamma. Grey images have their channel three
-    times, an alpha channel is dropped. A file that can't be decoded is an
+    A stored value v of 0 to 1 becomes v ** gamma, HDR values stay. Grey images have their channel three
+    times, an alpha channel is dropped. Files with one of the endings of DEEP are decoded by :mod:`formats`
+    in full depth, all others by Spark's image source in 8 bits; with ``deep``, PNG files too go
+    to the former, for those of 16 bits. ``files`` names files by a pattern (as Spark's ``pathGlobFilter`` does) before any is read. A file that can't be decoded is an
     error, or left out with ``skip_invalid``. Pixels leave a task ``at_once`` at a time.
     """
-    image = spark.read.format("image").option("dropInvalid", skip_invalid).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    own = r"(?i)\.(" + "|".join((*DEEP, "png") if deep else DEEP) + ")$"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "content").filter(F.col("path").rlike(own))
+    image = spark.read.format("image").option("dropInvalid", skip_invalid).option("pathGlobFilter", files).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    return _by_spark(image.filter(~F.col("origin").rlike(own)), gamma, at_once).unionAll(_decoded(found, gamma, skip_invalid, at_once))
+
+
+def _by_spark(image: DataFrame, gamma: float, at_once: int) -> DataFrame:
+    """8 bits a channel, from Spark's image source."""
     linear = (np.arange(256) / 255.0) ** gamma
 
     def pixels(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,16 +87,43 @@ def read_images(spark: SparkSession, path: str, gamma: float = 2.2, skip_invalid
             for origin, w, h, channels, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if channels < 1:
                     raise ValueError(f"{origin} is no image that can be decoded")
-                values = np.frombuffer(data, np.uint8).reshape(w * h, channels)
+                values = np.frombuffer(data, np.uint8).reshape(h, w, channels)
                 # Bytes are blue, green, red, alpha; one or two channels are grey (and alpha).
-                order = (2, 1, 0) if channels > 2 else (0, 0, 0)
-                for start in range(0, w * h, at_once):
-                    pid = np.arange(start, min(start + at_once, w * h))
-                    some = linear[values[pid]]
-                    columns = [pa.array([origin] * len(pid)), pa.array(pid), pa.array((pid % w).astype(np.int32)), pa.array((pid // w).astype(np.int32)), *(pa.array(some[:, k]) for k in order)]
-                    yield pa.RecordBatch.from_arrays(columns, ["image_id", "pid", "x", "y", "c0", "c1", "c2"])
+                yield from _pixels_of(origin, linear[values[:, :, [2, 1, 0] if channels > 2 else [0, 0, 0]]], at_once)
+
+    return image.mapInArrow(pixels, _PIXELS)
 
-    return image.mapInArrow(pixels, "image_id string, pid long, x int, y int, c0 double, c1 double, c2 double")
+
+def _decoded(content: DataFrame, gamma: float, skip_invalid: bool, at_once: int) -> DataFrame:
+    """Any depth, from files' bytes, by :mod:`formats`."""
+
+    def pixels(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for origin, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    values, is_linear = formats.decode(data.as_py())
+                except (ValueError, IndexError, struct.error, zlib.error) as e:
+                    if skip_invalid:
+                        continue
+                    raise ValueError(f"{origin} is no image that can be decoded: {e}") from e
+                values = values[:, :, [0, 1, 2] if values.shape[2] > 2 else [0, 0, 0]]
+                yield from _pixels_of(origin, values if is_linear else values**gamma, at_once)
+
+    return content.mapInArrow(pixels, _PIXELS)
+
+
+def image_sizes(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """(image_id, kind, width, height, channels, depth, length) of image files, from their headers; nothing is decoded. Other files are left out."""
+    first = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "length", F.substring("content", 1, 1 << 16).alias("head"))
+
+    def sizes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = [(p, *found, n) for p, n, head in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (found := formats.header(head))]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "kind", "width", "height", "channels", "depth", "length"])
+
+    return first.mapInArrow(sizes, "image_id string, kind string, width int, height int, channels int, depth int, length long")
 
 
 def interleaved(pixels: DataFrame, channels: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
@@ -102,29 +156,41 @@ def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1",
 
 
 def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
-    """Write each image as a PNG file; (image_id, path) of the files.
+    """Write each image as a PNG file into ``folder``, whatever file system Spark has for it; (image_id, path) of the files.
 
-    Files are called after the image, by what follows its last slash, less the ending, and
-    come into being whole: a task writes under another name first, and a
-    repeated task replaces its file. ``folder``: a path or a uri that pyarrow's file systems know.
+    Files are called after the image, by what follows its last slash, less the ending; two
+    images of one name are an error. Spark's own writer puts them under a hidden folder, with its commits of tasks
+    and of the job, so that a task that fails or runs twice leaves nothing or one file. Only once all are there does the driver
+    rename them into place, one call a file, and replace files of those names; if the job fails, the folder is as before. (The writer is that for lines of text, which passes bytes through and
+    ends each file with a line feed, behind the image's end.)
     """
-    from pyarrow import fs
-
-    def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            paths = []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-                system.create_dir(at, recursive=True)
-                path = f"{at}/{name.rstrip('/').rsplit('/', 1)[-1].rsplit('.', 1)[0]}.png"
-                part = f"{path}.{uuid.uuid4().hex}"
-                with system.open_output_stream(part) as out:
-                    out.write(data)
-                system.move(part, path)
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths)], ["image_id", "path"])
-
-    return encode_png(pixels, channels).select("image_id", "png").mapInArrow(write, "image_id string, path string")
+    spark = pixels.sparkSession
+    name = F.regexp_extract(F.regexp_replace("image_id", "/+$", ""), r"([^/]*?)(\.[^./]*)?$", 1)
+    encoded = encode_png(pixels, channels).select("image_id", name.alias("name"), F.col("png").cast("string").alias("png"))
+    names = saved(pixels.select("image_id").distinct().select("image_id", name.alias("name")), "names")
+    twice = names.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['n']} images are called {twice['name']!r}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    hidden = hadoop.Path(at, f"_writing-{uuid.uuid4().hex}")
+    try:
+        encoded.select("name", "png").write.partitionBy("name").text(hidden.toString())
+        found = system.listFiles(hidden, True)
+        unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        while found.hasNext():
+            part = found.next().getPath()
+            if not part.getName().startswith("part-"):
+                continue
+            goal = hadoop.Path(at, unescape(part.getParent().getName().removeprefix("name=")) + ".png")
+            if system.exists(goal):
+                system.delete(goal, False)
+            if not system.rename(part, goal):
+                raise OSError(f"{part.toString()} can't be renamed")
+    finally:
+        system.delete(hidden, True)
+    return names.select("image_id", F.concat(F.lit(folder.rstrip("/") + "/"), "name", F.lit(".png")).alias("path"))
 
 
 def grid(pixels: DataFrame, offsets: list[tuple[int, int]], *carried: str) -> DataFrame:
