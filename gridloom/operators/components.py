@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import join_small, saved
 from .graph import greatest_reachable
-from .windows import ROW, run_ids
+from .windows import COLUMN, ROW, run_ids
 
 
-def connected_components(df: DataFrame, label: str = "label", name: str = "component") -> DataFrame:
+def connected_components(df: DataFrame, label: str = "label", name: str = "component", max_iter: int | None = None) -> DataFrame:
     """4-connected regions of equal label; a region's id is its greatest pixel id.
 
     Pixels are contracted to row runs first (no shuffle beyond the row window);
-    only runs that touch runs of the row above make edges of the graph.
+    only runs that touch runs of the row above make edges of the graph. With ``max_iter``,
+    ids are those after so many sweeps (:func:`swept_components`), which may be short of whole regions.
     """
+    if max_iter is not None:
+        return swept_components(df, max_iter, label, name)
     runs = run_ids(df, label, ROW, "__run")
     run = Window.partitionBy("image_id", "y", "__run")
     runs = runs.withColumn("__node", F.max("pid").over(run))
@@ -28,6 +31,26 @@ def connected_components(df: DataFrame, label: str = "label", name: str = "compo
     return out.withColumn(name, F.coalesce("component", "__node").cast("long")).drop("__run", "__node", *(["component"] if name != "component" else []))
 
 
+def swept_components(df: DataFrame, max_iter: int, label: str = "label", name: str = "component") -> DataFrame:
+    """Ids after ``max_iter`` sweeps, or fewer if a sweep changes none: every pixel takes the greatest id in its row run, then in its column run.
+
+    Ids start as pixel ids. A sweep is two windows, by run, and its table is written; images are full grids.
+    """
+    if max_iter < 0:
+        raise ValueError("there are no fewer than 0 sweeps")
+    runs = run_ids(run_ids(df, label, ROW, "__row"), label, COLUMN, "__column")
+    by_row, by_column = Window.partitionBy("image_id", "y", "__row"), Window.partitionBy("image_id", "x", "__column")
+    now = saved(runs.withColumn("__id", F.col("pid").cast("long")), "sweep")
+    for _ in range(max_iter):
+        # Nested windows need a projection each.
+        new = now.withColumn("__last", F.col("__id")).withColumn("__id", F.max("__id").over(by_row)).withColumn("__id", F.max("__id").over(by_column))
+        now = saved(new, "sweep")
+        if now.filter("__id <> __last").isEmpty():
+            break
+        now = now.drop("__last")
+    return now.withColumn(name, F.col("__id")).drop("__id", "__row", "__column", "__last")
+
+
 def label_dictionary(df: DataFrame, label: str = "label", background: bool = True) -> DataFrame:
     """(image_id, label, dense): labels of an image in order, numbered from 0; -1 only with ``background``."""
     distinct = df.select("image_id", label).distinct()

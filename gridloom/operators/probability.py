@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import SMALL, saved
+from ..sources.storage import SMALL, join_counted, join_small, saved
 
 CHANNELS = ("c0", "c1", "c2")
 
@@ -40,12 +40,8 @@ def exemplars(df: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("image_id", "label", "pid").join(df.select("image_id", "pid", *CHANNELS), ["image_id", "pid"])
 
 
-def nearest(points: np.ndarray, ids: np.ndarray, k: int, leaf: int = 32) -> np.ndarray:
-    """Places of each point's k nearest others (fewer, if there are fewer), ties to the lower id.
-
-    Points are halved along their widest axis into leaves; a leaf's points look
-    into other leaves by distance of their boxes, until no box is near enough.
-    """
+def _halved(points: np.ndarray, leaf: int) -> list[np.ndarray]:
+    """Places of points, halved along their widest axis until ``leaf`` or fewer are together."""
     todo, leaves = [np.arange(len(points))], []
     while todo:
         at = todo.pop()
@@ -55,44 +51,162 @@ def nearest(points: np.ndarray, ids: np.ndarray, k: int, leaf: int = 32) -> np.n
         axis = int(np.argmax(np.ptp(points[at], axis=0)))
         at = at[np.argsort(points[at, axis], kind="stable")]
         todo += [at[: len(at) // 2], at[len(at) // 2 :]]
-    k = min(k, len(points) - 1)
-    out = np.zeros((len(points), k), np.int64)
-    if k <= 0:
-        return out
+    return leaves
+
+
+def among(queries: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, leaf: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of each query's k nearest points of another id, ties to the lower id; infinite where there are fewer.
+
+    Points and queries are halved into leaves; a leaf of queries looks into leaves of points
+    by distance of their boxes, until no box is near enough.
+    """
+    k = min(k, len(points))
+    out, far = np.zeros((len(queries), k), np.int64), np.full((len(queries), k), np.inf)
+    if k == 0 or not len(queries):
+        return out, far
+    leaves = _halved(points, leaf)
     low, high = (np.array([f(points[at], axis=0) for at in leaves]) for f in (np.min, np.max))
-    for at, lo, hi in zip(leaves, low, high, strict=True):
+    for at in _halved(queries, leaf):
+        lo, hi = queries[at].min(0), queries[at].max(0)
         gap = np.maximum(np.maximum(low - hi, lo - high), 0)
         away = (gap * gap).sum(1) * (1 - 1e-9)
-        order = np.argsort(away, kind="stable")
         known, d = np.zeros((len(at), 0), np.int64), np.zeros((len(at), 0))
-        for place in order:
+        for place in np.argsort(away, kind="stable"):
             if known.shape[1] >= k and away[place] > d[:, k - 1].max():
                 break
             others = leaves[place]
-            apart = points[at][:, None, :] - points[others][None, :, :]
+            apart = queries[at][:, None, :] - points[others][None, :, :]
             new = apart[..., 0] * apart[..., 0] + apart[..., 1] * apart[..., 1] + apart[..., 2] * apart[..., 2]
-            new = np.where(at[:, None] == others[None, :], np.inf, new)
+            new = np.where(names[at][:, None] == ids[others][None, :], np.inf, new)
             known, d = np.concatenate([known, np.broadcast_to(others, new.shape)], 1), np.concatenate([d, new], 1)
             best = np.lexsort((ids[known], d), axis=1)[:, : k + 1]
             known, d = np.take_along_axis(known, best, 1), np.take_along_axis(d, best, 1)
-        out[at] = known[:, :k]
-    return out
+        out[at], far[at] = known[:, :k], d[:, :k]
+    return out, far
 
 
-def remove_outliers(df: DataFrame, ids: DataFrame, k: int = 10, votes: int = 5) -> DataFrame:
-    """Exemplars of whose k nearest others in their image fewer than ``votes`` have their label go.
+def nearest(points: np.ndarray, ids: np.ndarray, k: int, leaf: int = 32) -> np.ndarray:
+    """Places of each point's k nearest others (fewer, if there are fewer), ties to the lower id."""
+    return among(points, ids, points, ids, min(k, len(points) - 1), leaf)[0]
 
-    An image's exemplars (10 a label) are one task, which finds the nearest without comparing all pairs.
-    """
 
-    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = pdf.label.to_numpy()
-        near = nearest(pdf[list(CHANNELS)].to_numpy(float), pdf.pid.to_numpy(), k)
-        return pdf.loc[(label[near] == label[:, None]).sum(1) >= votes, ["image_id", "pid"]]
+#: Colours of a box, and boxes at most: with more than BOXES * BOX colours, boxes have more of them.
+BOX = 10_000
+BOXES = 50_000
+_COLOUR = "image_id string, c0 double, c1 double, c2 double"
+_NEAR = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int64())]))
+_FOUND = f"{_COLOUR}, near array<struct<d: double, id: long, label: long>>"
+
 
-    one = exemplars(df, ids)
-    kept = one.groupBy("image_id").applyInPandas(vote, "image_id string, pid long")
-    return ids.join(kept, ["image_id", "pid"], "left_semi")
+def _spread(level: Column) -> Column:
+    """Bits of a number of 16 bits, two zeros between any two."""
+    for shift, mask in ((16, 0x0000FF0000FF), (8, 0x00F00F00F00F), (4, 0x0C30C30C30C3), (2, 0x249249249249)):
+        level = level.bitwiseOR(F.shiftleft(level, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return level
+
+
+def _boxed(colours: DataFrame, per_box: int) -> DataFrame:
+    """Colours with a ``box``: equal shares of them in the order of a curve through colour space (bits of the channels in turn)."""
+    ends = colours.groupBy("image_id").agg(*(f(c).alias(f"{n}_{c}") for c in CHANNELS for n, f in (("low", F.min), ("high", F.max))))
+    level = lambda c: F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"low_{c}")), F.lit(0.0)) * 65535).cast("long")
+    curve = F.lit(0).cast("long")
+    for k, c in enumerate(CHANNELS):
+        curve = curve.bitwiseOR(F.shiftleft(_spread(level(c)), k))
+    coded = saved(join_small(colours, ends, "image_id").select(*colours.columns, curve.alias("curve")), "coded")
+    n = max(1, min(BOXES, -(-coded.count() // per_box)))
+    return saved(coded.repartitionByRange(n, "image_id", "curve", *CHANNELS).drop("curve").withColumn("box", F.spark_partition_id()), "boxes")
+
+
+def _colours(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in CHANNELS], axis=1)
+
+
+def _answers(table: pa.Table, queries: np.ndarray, k: int) -> tuple[np.ndarray, list[list[dict]]]:
+    """Squared distances of the k nearest members of a box's colours, and these as lists."""
+    members = table["members"].combine_chunks()
+    counts = pa.compute.list_value_length(members).to_numpy()
+    flat = members.flatten()
+    ids, labels = (flat.field(n).to_numpy() for n in ("id", "label"))
+    place, d = among(queries, np.full(len(queries), -1), np.repeat(_colours(table), counts, axis=0), ids, k)
+    near = zip(d.tolist(), ids[place].tolist(), labels[place].tolist(), strict=True)
+    return d, [[{"d": x, "id": i, "label": label} for x, i, label in zip(*r, strict=True) if x < np.inf] for r in near]
+
+
+def nearest_in_image(points: DataFrame, k: int, per_box: int = BOX, visits: int = 50_000) -> DataFrame:
+    """(image_id, pid, label, near): each point's k nearest others of its image as (d, id, label), d squared; ties to the lower id.
+
+    ``points``: (image_id, pid, label, c0, c1, c2); pids, not negative, are unique in an image. Points of one colour have the same answers but for
+    themselves, and only the k + 1 with the lowest ids can be one, so it is distinct colours that search. They are dealt into boxes of colour space, each answered for itself. A
+    colour whose last neighbour is further than another box's nearest edge asks that box too; the boxes' edges
+    (2 * BOXES of them at most, whatever the number of points) are known to all tasks, and a box that many ask is
+    asked in parts of about ``visits``. So a task holds a box and what it is asked, never an image.
+    """
+    points = saved(points.select("image_id", "pid", F.col("label").cast("long").alias("label"), *(F.col(c).cast("double").alias(c) for c in CHANNELS)), "points")
+    key = ["image_id", *CHANNELS]
+    counts = points.groupBy(*key).agg(F.count("*").alias("points"))
+    lowest = Window.partitionBy(*key).orderBy("pid")
+    members = points.withColumn("at", F.row_number().over(lowest)).filter(F.col("at") <= k + 1)
+    members = members.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("pid").alias("id"), "label"))).alias("members"))
+    dealt = _boxed(members, per_box)
+    near = _search(dealt, k + 1, visits)
+    table = saved(near.join(counts, key), "answers")
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("pid")), 1, k)
+    return join_counted(points, table, key, "points").select("image_id", "pid", "label", others.alias("near"))
+
+
+def _search(dealt: DataFrame, k: int, visits: int) -> DataFrame:
+    """(image_id, c0, c1, c2, near): the k nearest members of any colour of the image."""
+    edges = dealt.groupBy("image_id", "box").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in CHANNELS), F.sum(F.size("members")).alias("n"))
+    edges = saved(edges, "edges")
+    several = edges.groupBy("image_id").agg(F.count("*").alias("parts")).filter("parts > 1").select("image_id")
+    known: dict[str, tuple[np.ndarray, ...]] = {}
+    for image, rows in edges.join(several, "image_id", "left_semi").orderBy("image_id", "box").toPandas().groupby("image_id"):
+        known[image] = rows["box"].to_numpy(), rows[[f"low_{c}" for c in CHANNELS]].to_numpy(), rows[[f"high_{c}" for c in CHANNELS]].to_numpy(), rows["n"].to_numpy()
+
+    def own(table: pa.Table) -> pa.Table:
+        q = _colours(table)
+        d, near = _answers(table, q, k)
+        image, box = table["image_id"][0].as_py(), table["box"][0].as_py()
+        asked: list[list[int]] = [[]] * len(near)
+        reach = d[:, k - 1] if d.shape[1] >= k else np.full(len(near), np.inf)
+        if image in known:
+            boxes, low, high, n = known[image]
+            at_once = max(1, 2_000_000 // len(boxes))
+            for a in range(0, len(q), at_once):
+                some, r = q[a : a + at_once, None, :], reach[a : a + at_once].copy()
+                # A box of k members has k no further than its furthest corner.
+                corner = np.maximum(np.abs(some - low), np.abs(some - high))[:, n >= k]
+                if corner.shape[1]:
+                    r = np.minimum(r, (corner * corner).sum(2).min(1) * (1 + 1e-9))
+                gap = np.maximum(np.maximum(low - some, some - high), 0)
+                hit = ((gap * gap).sum(2) * (1 - 1e-9) <= r[:, None]) & (boxes != box)
+                asked[a : a + at_once] = [boxes[h].tolist() for h in hit]
+        columns = [table[c] for c in ("image_id", *CHANNELS)]
+        return pa.table([*columns, pa.array(near, _NEAR), pa.array(asked, pa.list_(pa.int32()))], ["image_id", *CHANNELS, "near", "asked"])
+
+    def other(table: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(queries) or not len(table):
+            return pa.table([pa.array([], t) for t in (pa.string(), *(pa.float64(),) * 3, _NEAR)], ["image_id", *CHANNELS, "near"])
+        return pa.table([*(queries[c] for c in ("image_id", *CHANNELS)), pa.array(_answers(table, _colours(queries), k)[1], _NEAR)], ["image_id", *CHANNELS, "near"])
+
+    answered = saved(dealt.groupBy("image_id", "box").applyInArrow(own, f"{_FOUND}, asked array<int>"), "answered")
+    told = answered.drop("asked")
+    if known:
+        asks = answered.select("image_id", *CHANNELS, F.explode("asked").alias("box"))
+        parts = saved(asks.groupBy("image_id", "box").agg(F.ceil(F.count("*") / visits).cast("int").alias("parts")), "parts")
+        asks = asks.join(F.broadcast(parts), ["image_id", "box"]).withColumn("part", F.pmod(F.xxhash64(*CHANNELS), F.col("parts")).cast("int")).drop("parts")
+        copies = dealt.join(F.broadcast(parts), ["image_id", "box"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        key = ["image_id", "box", "part"]
+        told = told.unionAll(copies.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(other, _FOUND))
+    # A colour has k answers a box that it asked, at most.
+    return told.groupBy("image_id", *CHANNELS).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def remove_outliers(df: DataFrame, ids: DataFrame, k: int = 10, votes: int = 5, per_box: int = BOX) -> DataFrame:
+    """Exemplars of whose k nearest others in their image fewer than ``votes`` have their label go (:func:`nearest_in_image`)."""
+    near = nearest_in_image(exemplars(df, ids), k, per_box)
+    agree = F.size(F.filter("near", lambda x: x["label"] == F.col("label")))
+    return ids.join(near.filter(agree >= votes).select("image_id", "pid"), ["image_id", "pid"], "left_semi")
 
 
 def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:

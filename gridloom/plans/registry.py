@@ -271,6 +271,17 @@ def _stop(px):
 # Windows --------------------------------------------------------------------
 
 
+_SWEEPS = """ru AS (SELECT pid, x, y, sum(a) OVER (PARTITION BY y ORDER BY x) AS rr, sum(b) OVER (PARTITION BY x ORDER BY y) AS cr FROM (SELECT *,
+  CASE WHEN label_noisy = lag(label_noisy) OVER (PARTITION BY y ORDER BY x) THEN 0 ELSE 1 END AS a, CASE WHEN label_noisy = lag(label_noisy) OVER (PARTITION BY x ORDER BY y) THEN 0 ELSE 1 END AS b FROM px)),
+h1 AS (SELECT *, max(pid) OVER (PARTITION BY y, rr) AS h FROM ru), v1 AS (SELECT pid, x, y, rr, cr, max(h) OVER (PARTITION BY x, cr) AS v FROM h1),
+h2 AS (SELECT *, max(v) OVER (PARTITION BY y, rr) AS h FROM v1), v2 AS (SELECT pid, max(h) OVER (PARTITION BY x, cr) AS component FROM h2)"""
+
+
+@query("components_two_sweeps", "SELECT pid, component FROM v2", _SWEEPS)
+def _swept(px):
+    return components.connected_components(px, "label_noisy", max_iter=2).select(*whole("pid", "component"))
+
+
 @query("compress_labels", "SELECT pid, dense_rank() OVER (ORDER BY l) - 1 AS dense FROM (SELECT pid, CASE WHEN label_noisy = 2 THEN -1 ELSE label_noisy * 7 END AS l FROM px)")
 def _compress(px):
     px = px.withColumn("label", F.when(F.col("label_noisy") == 2, -1).otherwise(F.col("label_noisy") * 7))

@@ -47,3 +47,19 @@ def join_small(df: DataFrame, table: DataFrame, keys: str | list[str], how: str
     """Join with a table of short rows (one an image, or a label), written first: broadcast up to SMALL rows, so that an image isn't one task."""
     table = saved(table, name)
     return df.join(F.broadcast(table) if table.count() <= SMALL else table, keys, how)
+
+
+#: A key with more than this share of all rows is hot; there are fewer than that many.
+HOT = 1000
+
+
+def join_counted(df: DataFrame, table: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Join of a written ``df`` with a written table of one row a key, whose column ``rows`` says how many rows of ``df`` it has.
+
+    Keys with over 1/HOT of all rows, fewer than HOT, are broadcast, so that no task has all rows of one; the others are shuffled.
+    """
+    total = table.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * HOT > F.lit(total)
+    near = df.join(F.broadcast(table.filter(hot)), keys, "inner")
+    rest = df.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
+    return near.unionByName(rest.join(table.filter(~hot), keys, how))
