@@ -32,7 +32,7 @@ Python group is a block's answers, or a hash range's entries: the average, by th
 ranges, plus one entry a block for shingles that are everywhere.
 
 Defined results: texts that are null or have no word have an empty set and no
-link, each its own component; texts of fewer than five words have one shingle,
+link, each its own component; texts of any length are read whole; rows that repeat an id, or are equal throughout, get a row each; texts of fewer than five words have one shingle,
 all their words; equal texts are in one component; a null id counts as larger
 than all others; an empty table gives no rows; other columns aren't read.
 """
@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .blocks import each_range
 from .chunks import bound_batches, process_wide, release_memory, slices
 from .graph import components
 
@@ -195,12 +196,26 @@ def _reply(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-def _sum_replies(table: pa.Table) -> pa.Table:
-    places = np.concatenate([np.frombuffer(p.as_py(), np.uint16) for p in table["places"]])
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in table["counts"]])
-    total = np.bincount(places, counts)
+def _sum_replies(block: int, places: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    total = np.bincount(np.concatenate(places), np.concatenate(counts))
     at = np.flatnonzero(total)
-    return pa.table({"block": pa.array(np.full(len(at), table["block"][0].as_py())), "place": pa.array(at.astype(np.int32)), "shared": pa.array(total[at].astype(np.int64))})
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["block", "place", "shared"])
+
+
+def _summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replies of a block follow each other."""
+    now, places, counts = None, [], []
+    for batch in source:
+        for block, p, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if block != now and places:
+                yield _sum_replies(now, places, counts)
+                places, counts = [], []
+            now = block
+            places.append(np.frombuffer(p.as_py(), np.uint16))
+            counts.append(np.frombuffer(c.as_py(), np.uint32))
+    if places:
+        yield _sum_replies(now, places, counts)
+    release_memory()
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -208,10 +223,13 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFr
     bound_batches(docs.sparkSession)
     ranges = max(8, common.text_chars(docs) // 7 // SHINGLES_A_RANGE + 1)
     sent = docs.select("doc_id", "text").mapInArrow(_send(ranges, words), _MESSAGES)
-    got = common.materialize(sent.repartition(ranges, "range").groupBy("range").applyInArrow(_reply, _REPLIES), "shingles")
+    got = common.materialize(each_range(sent, ranges, lambda table: iter(_reply(table).to_batches()), _REPLIES), "shingles")
     prints = got.filter("set_key is not null").select("doc_id", "n", "known", "set_key", "block", "place")
-    replies = got.filter("places is not null").select("block", "places", "counts").repartition(ranges, "block")
-    return prints, replies.groupBy("block").applyInArrow(_sum_replies, "block long, place int, shared long")
+    replies = got.filter("places is not null").select("block", "places", "counts")
+    # Blocks are dealt out by number, each task's one after the other.
+    turn = F.pmod(F.shiftright("block", 32) * 31 + F.col("block").bitwiseAND(0xFFFFFFFF), F.lit(ranges)).cast("int")
+    replies = replies.repartitionById(ranges, turn).sortWithinPartitions("block").mapInArrow(_summed, "block long, place int, shared long")
+    return prints, replies
 
 
 def candidate_sets(docs: DataFrame, prints: DataFrame, replies: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -16,7 +16,7 @@ the table of counts, whose size is fixed: with more than CELLS / TABLE languages
 the hashes are folded into fewer places.
 
 :func:`keep_known` rejects texts by a threshold that is learned too: the score
-that all but REFUSED of the documents learned from reach which the model gives their own
+that all but REFUSED reach of those labelled documents which the model, that didn't learn from them, gives their own
 language. Texts of several languages in shares that labelled documents
 don't have, and texts in scripts of no learned language, stay below it.
 
@@ -25,7 +25,7 @@ Defined results: texts without a letter (Unicode category L; so null and empty o
 equal totals go to the language first in order; words in a script of no
 learned language count for all alike; an id that occurs with several texts is
 learned from once; with nothing to learn from every text is
-``und``; an empty table gives no rows; other columns pass through.
+``und``; more than MOST_LANGS languages to learn are an error; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -51,7 +51,11 @@ UNKNOWN = "und"
 PER_LANG = 1000
 TABLE = 1 << 16
 CELLS = 1 << 23  # most entries of a model's table: 32 MiB
+MOST_LANGS = CELLS >> 8  # with more languages, a table of 256 places each would pass CELLS
 REFUSED = 0.0005
+SORTED = 10_000  # scores that are collected and sorted
+SCORE_BUCKETS = 1024
+CALIBRATED = 50  # a language with fewer documents to learn from sets none aside for the threshold
 TRAINING_TASKS = 24
 MOST_WORDS = 200_000  # distinct words that a counting task holds
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits
@@ -313,7 +317,9 @@ def train(docs: DataFrame, per_lang: int | None = None) -> Model:
 
 def train_on(rows: DataFrame) -> Model:
     """Fit on the executors' counts; see the module's text for what reaches the driver."""
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"there are more than {MOST_LANGS} values of lang to learn: is it a language?")
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_wide(None, lambda: None)  # drop what another operator left
@@ -352,13 +358,33 @@ def train_on(rows: DataFrame) -> Model:
 
 
 def threshold(scores: DataFrame, score: str, refused: float = REFUSED) -> float:
-    """The exact quantile ``refused`` of all scores; only the lowest are sorted, and two of them reach the driver."""
-    place = refused * max(0, scores.count() - 1)
-    lowest = materialize(scores.select(score).orderBy(score).limit(math.ceil(place) + 1), "lowest")
-    ends = [r[0] for r in lowest.orderBy(F.desc(score)).limit(2).collect()]
-    if not ends:
+    """The exact quantile ``refused`` of all scores (a written table).
+
+    Counts by bucket of scores tell which bucket holds it; that one is cut into
+    buckets again, until SORTED scores or fewer, or one value, are left. No task sorts more.
+    """
+    n, least, most = scores.agg(F.count(score), F.min(score), F.max(score)).first()
+    if not n:
         return 0.0
-    return ends[0] if place == int(place) else ends[1] + (ends[0] - ends[1]) * (place - int(place))
+    place = refused * (n - 1)
+
+    def ranked(at: int) -> float:
+        low, high, before, inside = least, most, 0, n
+        while low < high:
+            held = scores.filter(F.col(score).between(low, high)).select(score)
+            if inside <= SORTED:
+                return sorted(r[0] for r in held.collect())[at - before]
+            bucket = F.least(F.floor((F.col(score) - low) / (high - low) * SCORE_BUCKETS), F.lit(SCORE_BUCKETS - 1))
+            for r in sorted(held.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high")).collect()):
+                if at < before + r["n"]:
+                    low, high, inside = r["low"], r["high"], r["n"]
+                    break
+                before += r["n"]
+        return low
+
+    first = math.floor(place)
+    value = ranked(first)
+    return value if place == first else value + (ranked(first + 1) - value) * (place - first)
 
 
 def add_languages(docs: DataFrame, model: Model, names: tuple[str, str], keep: list[str] | None = None) -> DataFrame:
@@ -378,13 +404,21 @@ def identify(docs: DataFrame, per_lang: int | None = None) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def set_aside(docs: DataFrame) -> Column:
+    """Rows that the threshold is learned from: of the learnable ones of languages with CALIBRATED or more, a fifth by hash of the id. The model doesn't see them."""
+    counts = docs.filter(learnable()).groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") < CALIBRATED)
+    rare = [r["lang"] for r in counts.limit(MOST_LANGS + 1).collect()]
+    return learnable() & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(5)) == 0) & ~F.col("lang").isin(rare)
+
+
 def keep_known(docs: DataFrame, refused: float = REFUSED) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with at least the learned score.
 
-    Model and threshold come from all rows that may be learned from. Each text is scored
-    once, and written with its score.
+    Model and threshold come from all rows that may be learned from: the threshold from those that :func:`set_aside` names, the model from
+    all others. Each text is scored once, and written with its score.
     """
     lang, score = temp(docs, "lang", "score")
-    scored = materialize(add_languages(docs, train(docs), (lang, score)), "scored")
-    least = threshold(scored.filter(learnable() & (F.col(lang) == F.col("lang"))), score, refused)
+    aside = set_aside(docs)
+    scored = materialize(add_languages(docs, train(docs.filter(~aside)), (lang, score)), "scored")
+    least = threshold(scored.filter(aside & (F.col(lang) == F.col("lang"))), score, refused)
     return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

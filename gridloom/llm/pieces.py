@@ -258,7 +258,8 @@ def encoded(docs: DataFrame, file: str, finish: Callable[[Library, np.ndarray],
     chars = common.text_chars(docs)
     ranges = max(8, chars // per_range + 1)
     told = rows.mapInArrow(_ask(ranges, block), "range int, block long, places binary, words binary")
-    replies = told.repartition(ranges, "range").groupBy("range").applyInArrow(_answer(file), "block long, places binary, lengths binary, ids binary")
+    # Ranges are dealt out by number: a task has one.
+    replies = told.repartitionById(ranges, F.col("range")).mapInArrow(_answer(file), "block long, places binary, lengths binary, ids binary")
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "low", "high"))])
     placed = rows.mapInArrow(_place(block, to_arrow_type(kind)), schema)

@@ -357,12 +357,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     return fit(tokens, vectors, x, got["size"].to_numpy(), got["quality"].to_numpy(), good / bad)
 
 
-def add_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
+def add_scores(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None, words: int = 250_000) -> DataFrame:
+    """``words``: words that a task's table holds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_TOKENS vectors at most
 
     def start():
         process_wide(None, lambda: None)  # drop what another operator left
-        pooler = Pooler(shared.value.tokens, shared.value.vectors)
+        pooler = Pooler(shared.value.tokens, shared.value.vectors, words)
         return lambda texts: [scores(shared.value, pooler, texts)]
 
     return add_columns(docs, "text", start, [(name, T.DoubleType(), pa.float64())], keep)
@@ -379,4 +380,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     """The rows of ``docs``, all columns, that the classifier takes for good."""
     (name,) = temp(docs, "score")
     model = train(docs, labels, per_label)
-    return add_scores(docs, model, name).filter(F.col(name) >= THRESHOLD).drop(name)
+    return add_scores(docs, model, name, words=120_000).filter(F.col(name) >= THRESHOLD).drop(name)

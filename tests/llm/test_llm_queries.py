@@ -27,7 +27,7 @@ def test_one_row_a_document(spark, name):
 
 
 def one_process(spark, docs, labels):
-    """Quality scores, languages with scores, and the language threshold of all documents, computed text by text in this process."""
+    """Quality scores of all documents, computed text by text in this process."""
     rows = docs.select("doc_id", "text").collect()
     model = quality.train(docs, labels)
     pooler = quality.Pooler(model.tokens, model.vectors) if model.tokens else None
@@ -35,15 +35,14 @@ def one_process(spark, docs, labels):
     return rows, scores
 
 
-def languages(docs, per_lang):
-    """The model by a plain fit on the sampled rows, and its threshold by a plain quantile."""
-    sample = langid.training_rows(docs, 2 * per_lang).collect()
-    first, more = [[r for r in sample if (r["at"] <= per_lang) == early] for early in (True, False)]
-    model = langid.fit(*zip(*((r["text"], r["lang"]) for r in first), strict=True))
-    scorer = langid.Scorer(model)
-    told = [(r["lang"], *langid.predict(scorer, [r["text"]])) for r in more or sample]
+def languages(docs):
+    """The model by a plain fit on the rows to learn from that aren't set aside, and its threshold by a plain quantile over those that are."""
+    rows = docs.withColumn("aside", langid.set_aside(docs)).filter(langid.learnable()).select("lang", "text", "aside").collect()
+    scorer = langid.Scorer(langid.fit(*zip(*((r["text"], r["lang"]) for r in rows if not r["aside"]), strict=True)))
+    told = [(r["lang"], *langid.predict(scorer, [r["text"]])) for r in rows if r["aside"]]
     right = [s[0] for lang, (k,), s in told if k == lang]
-    return scorer, float(np.quantile(right, langid.REFUSED)) if right else 0.0
+    assert 0 < len(right) < len(rows) / 3
+    return scorer, float(np.quantile(right, langid.REFUSED))
 
 
 def test_quality_and_language_equal_one_process(spark):
@@ -59,6 +58,16 @@ def test_quality_and_language_equal_one_process(spark):
         assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-6
 
 
+def test_share_of_unseen_rows_that_the_language_stage_refuses(spark):
+    """A threshold that refuses 5 % of the rows set aside refuses about as many of those that neither model nor threshold have seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id is not null")
+    kept = {r[0] for r in langid.keep_known(docs, 0.05).select("doc_id").collect()}
+    unseen = {r[0] for r in docs.filter(langid.held_out() & F.col("lang").isNotNull()).select("doc_id").collect()}
+    share = len(unseen - kept) / len(unseen)
+    # Rows set aside are about 160: the quantile itself has a spread of some 2 %.
+    assert 100 < len(unseen) and 0.005 < share < 0.15
+
+
 def test_pipeline_equals_brute_force(spark):
     """All stages, text by text in this process, against a run."""
     import corpus_pipeline
@@ -67,7 +76,7 @@ def test_pipeline_equals_brute_force(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows, scores = one_process(spark, docs, labels)
     good = {r["doc_id"]: r["text"] for r, s in zip(rows, scores, strict=True) if s >= 0.7}
-    scorer, least = languages(docs.filter(F.col("doc_id").isin(list(good))), langid.PER_LANG)
+    scorer, least = languages(docs.filter(F.col("doc_id").isin(list(good))))
     known = {}
     for d, text in good.items():
         (lang,), (score,) = langid.predict(scorer, [text])

@@ -745,7 +745,7 @@ def test_language_counts_do_not_depend_on_partitions(docs):
     assert a.langs == b.langs == brute.langs and (a.table == b.table).all() and (a.table == brute.table).all() and (a.scripts == brute.scripts).all()
 
 
-def test_language_is_learned_from_all_rows(spark):
+def test_language_is_learned_from_all_rows(spark, monkeypatch):
     """Far more rows than a sample would hold: the model has every word, of a repeated id one text, and the threshold is the quantile of all."""
     texts = [f"der stein wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" if i % 3 else f"the stone over {'xyz'[i % 3]}{chr(97 + i % 26)} river" for i in range(3000)]
     rows = [(i, t, "en" if i % 3 == 0 else "de") for i, t in enumerate(texts)]
@@ -757,9 +757,26 @@ def test_language_is_learned_from_all_rows(spark):
     scores = spark.range(5000).selectExpr("1 - 1 / (id + 3.0D) AS s")
     for refused in (0.0005, 0.25, 0.0, 1.0):
         assert np.isclose(langid.threshold(scores, "s", refused), np.quantile(1 - 1 / (np.arange(5000) + 3.0), refused), atol=1e-12)
+    monkeypatch.setattr(langid, "SORTED", 3)
+    monkeypatch.setattr(langid, "SCORE_BUCKETS", 7)
+    for refused in (0.0, 0.0005, 0.013, 0.5, 0.9999, 1.0):
+        assert np.isclose(langid.threshold(scores, "s", refused), np.quantile(1 - 1 / (np.arange(5000) + 3.0), refused), atol=1e-12)
+    same = [0.25] * 700 + [0.5] * 50 + [1.0] * 900
+    ties = spark.createDataFrame([(x,) for x in same], "s double")
+    for refused in (0.1, 0.43, 0.44, 0.7):
+        assert langid.threshold(ties, "s", refused) == np.quantile(same, refused)
     assert langid.threshold(scores.limit(0), "s") == 0.0
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 5)
+    docs = spark.createDataFrame([(i, f"word{i}", f"l{i % 7}") for i in range(200)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.train(docs)
+    assert langid.train(docs.filter("lang < 'l5'")).langs == [f"l{k}" for k in range(5)]
+    assert langid.table_size(1 << 15) * (1 << 15) <= langid.CELLS
+
+
 def test_language_awkward(docs, rows, none):
     out = langid.identify(docs).collect()
     assert len(out) == len(rows)
