@@ -28,7 +28,7 @@ _DOUBTFUL = b"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f<\xc2\xe1\xe2\xe3\xef"
 _WIDE = re.compile("[^\\0-\xff]")
 #: Letters that both vocabularies keep together as one word with a blank before it: A-Z, a-z and those from À to ÿ.
 _PLAIN = re.compile(rb" (?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Letters after which marks may be split off, if the library ends a token there.
+#: Letters after which marks may be cut off, if the library ends a token there.
 _LATIN = [c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]) if c.isalpha()]
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Kinds of bytes; a byte may be of several.

@@ -49,15 +49,15 @@ WORDS_A_RANGE = 24_000_000  # characters of text a hash range of the dictionary
 KEYS_A_RANGE = 6_000_000  # characters of text a range of keys
 _SALTS = 64
 _BREAK = b"\n"
-#: What splits texts into pieces, and what splits words.
-_SPLITS, _TAB = b".,;:!?\n\x0b\x0c\r", 9
+#: What cuts texts into pieces, and, beside the blank, pieces into words.
+_ENDS, _TAB = b".,;:!?\n\x0b\x0c\r", 9
 
 
 def _folding() -> bytes:
     table = bytearray(range(256))
     table[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
     table[_TAB] = ord(" ")
-    for c in _SPLITS:
+    for c in _ENDS:
         table[c] = ord("\n")
     return bytes(table)
 

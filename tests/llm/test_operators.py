@@ -141,7 +141,7 @@ def test_marks_after_any_letter(name):
         assert [t for t, a, b in zip(some, want, encoder.encode(some), strict=True) if a != b.tolist()] == []
 
 
-def test_table_of_chunks_stays_bounded_and_split_chunks_are_looked_up_once():
+def test_table_of_chunks_stays_bounded_and_cut_chunks_are_looked_up_once():
     """Words that a full table lacks never enter it; each distinct chunk of a call is looked up once, not each occurrence."""
     encoder = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), max_chunks=20)
     asked = []
