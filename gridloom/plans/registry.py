@@ -550,7 +550,7 @@ def _spmv(px):
 
 
 @query("csr_blocks", "SELECT i, j, v FROM po", _POISSON)
-def _blocks(px):
+def _csr_round_trip(px):
     """To compressed row blocks and back."""
     return csr.from_blocks(csr.to_blocks(linalg.poisson_matrix(px))).select(*whole("i", "j"), "v")
 
