@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Triple = tuple[Column, Column, Column]
 
@@ -59,3 +62,27 @@ def rgb_to_ic(r: Column, g: Column, b: Column) -> Triple:
 def convert(pixels: DataFrame, converter: Callable[[Column, Column, Column], Triple], into: tuple[str, str, str] = ("c0", "c1", "c2"), of: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
     """Replace or add three channels by any converter of three columns."""
     return pixels.withColumns(dict(zip(into, converter(*map(F.col, of)), strict=True)))
+
+
+def convert_batches(pixels: DataFrame, converter: Callable[[np.ndarray], np.ndarray], into: tuple[str, ...] = ("c0", "c1", "c2"), of: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
+    """Replace or add channels by a converter that is no column expression: it takes and gives arrays, a row a pixel.
+
+    It sees an Arrow batch at a time (channels as 64-bit numbers, null as NaN), and may be a table, a model
+    or a library's function. What it gives must be numbers, a row a pixel and ``len(into)`` columns; anything else is an error. NaN
+    becomes null where the pixel had a null channel. Other columns pass through; rows stay in their partitions.
+    """
+    at = [pixels.columns.index(c) for c in of]
+    kept = [k for k, c in enumerate(pixels.columns) if c not in into]
+    schema = T.StructType([*(pixels.schema.fields[k] for k in kept), *(T.StructField(c, T.DoubleType()) for c in into)])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            given = [batch.column(k).cast(pa.float64()) for k in at]
+            missing = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in given])
+            found = np.asarray(converter(np.stack([c.to_numpy(zero_copy_only=False) for c in given], axis=1)))
+            if found.shape != (batch.num_rows, len(into)) or found.dtype.kind not in "fiu":
+                raise ValueError(f"the converter gave {found.dtype} of shape {found.shape}, not numbers of shape {(batch.num_rows, len(into))}")
+            new = [pa.array(np.ascontiguousarray(found[:, k], np.float64), mask=missing & np.isnan(found[:, k].astype(np.float64))) for k in range(len(into))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new], schema.names)
+
+    return pixels.mapInArrow(run, schema).select(*pixels.columns, *(c for c in into if c not in pixels.columns))

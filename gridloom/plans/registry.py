@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ query("color_xyz_lab", f"SELECT pid, {_out('l a b')} FROM lab", f"{_AS_XYZ}, fxy
 query("color_lab_xyz", f"SELECT pid, {_out('x0 x1 x2')} FROM xyzb", f"{_AS_LAB}, {_BACK.format('src')}")(_three(color.lab_to_xyz, of=_lab_like))
 query("color_rgb_lab", f"SELECT pid, {_out('l a b')} FROM lab", _LAB)(_three(color.rgb_to_lab))
 query("color_lab_rgb", f"SELECT pid, {_out('o0 o1 o2')} FROM rgb", f"{_AS_LAB}, {_BACK.format('src')}, {_to_rgb('xyzb')}")(_three(color.lab_to_rgb, of=_lab_like))
+
+
+def _lab_arrays(rgb: np.ndarray) -> np.ndarray:
+    """As :func:`color.rgb_to_lab`, in NumPy."""
+    linear = np.where(rgb > 0.04045, ((rgb + 0.055) / 1.055) ** 2.4, rgb / 12.92) * 100
+    t = linear @ np.array(color.TO_XYZ).T / np.array(color.WHITE)
+    f = np.where(t > color.LAB_STEP, np.cbrt(t), t * color.LAB_SLOPE + color.LAB_SHIFT)
+    return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1)
+
+
+query("color_rgb_lab_arrays", f"SELECT pid, {_out('l a b')} FROM lab", _LAB)(lambda px: color.convert_batches(px, _lab_arrays, ("o0", "o1", "o2")).select(*whole("pid"), *reals("o0", "o1", "o2", digits=4)))
 _IC = "ic AS (SELECT *, (c0 + c1 + c2) / 3 AS i, c0 / ((c0 + c1 + c2) / 3) AS cr, c1 / ((c0 + c1 + c2) / 3) AS cg FROM px)"
 query("color_rgb_ic", f"SELECT pid, {_out('i cr cg', 6)} FROM ic", _IC)(_three(color.rgb_to_ic, 6))
 
