@@ -401,6 +401,12 @@ def _adjacency(px):
     return regions.adjacency(regions.adjacency_edges(px, "label_noisy")).select(*whole("src_label", "dst_label"))
 
 
+@query("region_adjacency", "SELECT DISTINCT src_label, dst_label FROM ed", _edges_sql("label_noisy"))
+def _region_adjacency(px):
+    """By overlapping tiles, which make label pairs distinct before anything else moves."""
+    return regions.region_adjacency(px, "label_noisy").select(*whole("src_label", "dst_label"))
+
+
 @query("boundary_stats", f"SELECT src_label, dst_label, count(*) AS len, {r('avg(diff)', 'avg_diff')} FROM ed GROUP BY ALL", _edges_sql("label_block"))
 def _stats(px):
     return regions.boundary_stats(px, "label_block").select(*whole("src_label", "dst_label", "len"), *reals("avg_diff"))
