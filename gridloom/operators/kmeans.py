@@ -32,6 +32,33 @@ def distinct_seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return seeds(one, k, seed)
 
 
+#: Pixel ids of a range of :func:`drawn_seeds`.
+RANGE = 1 << 16
+
+
+def drawn_seeds(points: DataFrame, k: int, seed: int = 0, width: int = RANGE) -> DataFrame:
+    """(image_id, label, c0, c1, c2): k points of each image drawn one by one, so that a point may come again.
+
+    Draw j takes the point whose place in its image, by pixel id, is a number from the MD5 of image, j and seed
+    modulo the image's points; the same whatever the partitions. Points are counted by ranges of ``width`` ids, and only those of a range
+    that a draw falls into are put in order.
+    """
+    range_ = F.floor(F.col("pid") / width).cast("long")
+    order = Window.partitionBy("image_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = saved(points.groupBy("image_id", range_.alias("__range")).agg(F.count("*").alias("n")), "counts")
+    counts = counts.withColumn("__first", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    number = lambda j: F.conv(F.substring(F.md5(F.concat_ws("/", "image_id", j.cast("string"), F.lit(seed))), 1, 15), 16, 10).cast("long")
+    draws = counts.groupBy("image_id").agg(F.sum("n").alias("__n"))
+    every = F.sequence(F.lit(0), F.lit(k - 1)) if k > 0 else F.array().cast("array<int>")
+    draws = draws.select("image_id", F.transform(every, lambda j: F.struct(j.alias("label"), F.pmod(number(j), F.col("__n")).alias("place"))).alias("__draws"))
+    own = F.filter("__draws", lambda d: (d["place"] >= F.col("__first")) & (d["place"] < F.col("__first") + F.col("n")))
+    picks = join_small(counts, draws, "image_id").withColumn("__draws", own).filter(F.size("__draws") > 0).select("image_id", "__range", "__first", "__draws")
+    met = join_small(points.select("image_id", "pid", *CHANNELS, range_.alias("__range")), picks, ["image_id", "__range"])
+    at = F.row_number().over(Window.partitionBy("image_id", "__range").orderBy("pid")) - 1 + F.col("__first")
+    here = met.withColumn("__at", at).withColumn("__d", F.explode("__draws")).filter(F.col("__d.place") == F.col("__at"))
+    return here.select("image_id", F.col("__d.label").alias("label"), *CHANNELS)
+
+
 def same_for_all(points: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
     """The given centroids as a table, for every image."""
     rows = F.array(*(F.struct(F.lit(k).alias("label"), *(F.lit(float(v)).alias(c) for c, v in zip(CHANNELS, x, strict=True))) for k, x in enumerate(centroids)))
@@ -127,3 +154,29 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
             break
     table = lambda name: state.select("image_id", F.explode(name).alias("c")).select("image_id", "c.*")
     return label_points(points, table("used")), table("now")
+
+
+def cluster_mllib(points: DataFrame, k: int, max_iter: int, threshold: float = 1e-4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """As :func:`cluster`, by Spark's own estimator: labelled points and centroids of all points as one image.
+
+    The estimator starts from its own seeds (k-means||) and stops once no centroid moves by more than ``threshold``, so its
+    labels are other numbers. It finds one set of centroids, so a table of several images is an error.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    images = points.select("image_id").distinct().limit(2).collect()
+    if len(images) != 1:
+        raise ValueError("Spark's estimator takes the points of one image")
+    vectors = points.withColumn("__v", array_to_vector(F.array(*(F.col(c).cast("double") for c in CHANNELS))))
+    model = KMeans(featuresCol="__v", predictionCol="label", k=k, maxIter=max_iter, tol=threshold, seed=seed).fit(vectors)
+    rows = [(images[0]["image_id"], label, *map(float, c)) for label, c in enumerate(model.clusterCenters())]
+    centroids = points.sparkSession.createDataFrame(rows, "image_id string, label int, c0 double, c1 double, c2 double")
+    return model.transform(vectors.drop("label")).drop("__v"), centroids
+
+
+def cost(labelled: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(image_id, cost): summed squared distances of points to their label's centroid."""
+    met = join_small(labelled, _arrays(centroids, "__c"), "image_id")
+    own = F.element_at(F.filter("__c", lambda c: c["label"] == F.col("label")), 1)
+    return met.withColumn("__own", own).groupBy("image_id").agg(F.sum(distance(F.col("__own"))).alias("cost"))

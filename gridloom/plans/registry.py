@@ -240,6 +240,19 @@ def _distinct_seeds(px):
     return kmeans.distinct_seeds(px.withColumn("c0", F.lit(0.5)), 7).select(*whole("label"), *reals("c1", "c2"))
 
 
+_PLACES = "draws AS (SELECT k AS label, CAST('0x' || substr(md5('events/' || k || '/0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM px) AS place FROM range(0, 40) d(k)), placed AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS place FROM px)"
+
+
+@query("kmeans_drawn_seeds", f"SELECT CAST(label AS BIGINT) AS label, {r('c0', 'c0')}, {r('c1', 'c1')}, {r('c2', 'c2')} FROM draws JOIN placed USING (place)", _PLACES)
+def _drawn_seeds(px):
+    return kmeans.drawn_seeds(px, 40).select(*whole("label"), *reals("c0", "c1", "c2"))
+
+
+@query("kmeans_cost", f"SELECT {r('sum(d)', 'cost')} FROM (SELECT min({_dist('k')}) AS d FROM px, k0 k GROUP BY pid)", _S0)
+def _cost(px):
+    return kmeans.cost(kmeans.label_points(px, _seeded(px)), _seeded(px)).select(*reals("cost"))
+
+
 @query("kmeans_distances", f"SELECT pid, CAST(k.label AS BIGINT) AS label, {r(_dist('k'), 'dist')} FROM px, k0 k", _S0)
 def _distances(px):
     return kmeans.distances(px, _seeded(px)).select(*whole("pid", "label"), *reals("dist"))
