@@ -679,3 +679,26 @@ def _memberships(px):
     least = px.agg(F.max("height")).first()[0] // 4
     both = px.unionByName(other).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
     return segmentation.segment(both, erosion=min(10, (least - 1) // 3))[1].select("image_id", *whole("label", "pid"), *reals("p", digits=4))
+
+
+def segmentation_of_pictures(pictures: DataFrame, k: int = 5) -> DataFrame:
+    """Pictures and their mirror images, written as PNG files, read again and segmented at the chain's own parameters.
+
+    (image_id, pid, cluster, component, label, best, p) of every pixel: ``best`` is the set it most likely belongs to,
+    of equally likely ones the lowest. Mirror images start from their originals' seeds.
+    """
+    spark, folder = pictures.sparkSession, new_path(pictures.sparkSession, "pictures")
+    raster.write_images(pictures.unionByName(raster.mirrored(pictures)), folder)
+    pixels = raster.read_images(spark, folder).withColumn("image_id", F.regexp_extract("image_id", r"([^/]*)\.png$", 1))
+
+    def start(features: DataFrame) -> DataFrame:
+        first = kmeans.seeds(features.filter(~F.endswith("image_id", F.lit("-mirror"))), k)
+        return first.unionByName(first.withColumn("image_id", F.concat("image_id", F.lit("-mirror"))))
+
+    labelled, memberships = segmentation.segment(pixels, k, start=start)
+    most = memberships.groupBy("image_id", "pid").agg(F.min_by(F.struct("label", "p"), F.struct(-F.col("p"), F.col("label"))).alias("m"))
+    return labelled.join(most, ["image_id", "pid"], "left").select("image_id", *whole("pid", "cluster", "component", "label"), F.col("m.label").cast("long").alias("best"), F.col("m.p").alias("p"))
+
+
+#: Not through ``query``: its pictures are made of all events, not of the raster px.
+QUERIES["segmentation_pictures"] = lambda spark, sf_dir: segmentation_of_pictures(raster.event_pictures(spark, sf_dir)).withColumn("p", real("p", 4))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,16 @@ def prepared(pixels: DataFrame, n_iter: int = 5) -> DataFrame:
     return intrinsic.beta_feature(df)
 
 
-def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5) -> tuple[DataFrame, DataFrame]:
+def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Labelled pixels (cluster, component, label after erosion, -1 for background) and memberships (image_id, label, pid, p).
 
-    Every image is segmented by itself, whatever other images are there.
+    Every image is segmented by itself, whatever other images are there. ``start`` makes the first
+    centroids from the features (image_id, pid, c0, c1, c2), by default :func:`kmeans.seeds`.
     """
     df = saved(prepared(pixels, n_iter), "prepared")
     features = df.select("image_id", "pid", F.col("beta").alias("c0"), F.col("a").alias("c1"), F.col("b").alias("c2"))
     features = saved(features, "features")
-    found, _ = kmeans.cluster(features, kmeans.seeds(features, k), max_iter, threshold)
+    found, _ = kmeans.cluster(features, start(features) if start else kmeans.seeds(features, k), max_iter, threshold)
     df = df.join(found.select("image_id", "pid", F.col("label").alias("cluster")), ["image_id", "pid"])
     df = saved(components.compress_labels(components.connected_components(df, "cluster"), "component", "component"), "components")
     eroded = windows.erode(df.withColumn("label", F.col("component")), erosion)

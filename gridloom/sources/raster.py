@@ -43,6 +43,32 @@ def events_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("label_block", F.expr("cast(((x div 8) + (y div 5)) % 5 as int)"))
 
 
+def event_pictures(spark: SparkSession, sf_dir: str, events: int = 1000, cells: int = 3, side: int = 32) -> DataFrame:
+    """The events table as pictures (image_id, pid, x, y, c0, c1, c2): one of each ``events`` events by id, cells x cells squares of ``side`` pixels.
+
+    A square is coloured by what its users' events are: clicks, errors and purchases, as three times
+    their shares (at most 1); one without events is black.
+    """
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(f"event_id div {events}").alias("n"), F.pmod(F.col("user_id"), F.lit(cells * cells)).alias("cell"), "event_type")
+    shares = [F.least(F.avg((F.col("event_type") == t).cast("double")) * 3, F.lit(1.0)).alias(f"c{k}") for k, t in enumerate(("click", "error", "purchase"))]
+    colours = df.groupBy("n", "cell").agg(*shares)
+    colours = colours.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("c0", "c1", "c2")))).alias("known"))
+    width = cells * side
+    pixels = colours.select("n", "known", F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("pid"))
+    pixels = pixels.select("n", "known", F.col("pid").cast("long").alias("pid"), (F.col("pid") % width).alias("x"), F.expr(f"cast(pid div {width} as int)").alias("y"))
+    own = F.try_element_at("known", F.expr(f"cast((y div {side}) * {cells} + x div {side} as long)"))
+    return pixels.select(F.concat(F.lit("events-"), F.col("n").cast("string")).alias("image_id"), "pid", "x", "y", *(F.coalesce(own[c], F.lit(0.0)).alias(c) for c in ("c0", "c1", "c2")))
+
+
+def mirrored(pixels: DataFrame, suffix: str = "-mirror") -> DataFrame:
+    """Every image from right to left, under its name and ``suffix``."""
+    from .storage import join_small
+
+    wide = join_small(pixels, dimensions(pixels), "image_id")
+    out = wide.withColumn("x", (F.col("width") - 1 - F.col("x")).cast("int")).withColumn("pid", F.col("y").cast("long") * F.col("width") + F.col("x"))
+    return out.withColumn("image_id", F.concat("image_id", F.lit(suffix))).select(pixels.columns)
+
+
 def dimensions(pixels: DataFrame) -> DataFrame:
     """(image_id, width, height) of every image."""
     return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
