@@ -43,7 +43,7 @@ def events_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("label_block", F.expr("cast(((x div 8) + (y div 5)) % 5 as int)"))
 
 
-def event_pictures(spark: SparkSession, sf_dir: str, events: int = 1000, cells: int = 3, side: int = 32) -> DataFrame:
+def event_pictures(spark: SparkSession, sf_dir: str, events: int = 5000, cells: int = 3, side: int = 32) -> DataFrame:
     """The events table as pictures (image_id, pid, x, y, c0, c1, c2): one of each ``events`` events by id, cells x cells squares of ``side`` pixels.
 
     A square is coloured by what its users' events are: clicks, errors and purchases, as three times

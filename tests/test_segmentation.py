@@ -98,7 +98,7 @@ def expected(name, stored, k=5, erosion=10):
 
 
 def test_chain_equals_plain_loops(spark):
-    want = pictures(1000, 3, 32)
+    want = pictures(5000, 3, 32)
     got = registry.QUERIES["segmentation_pictures"](spark, DATA).toPandas().sort_values(["image_id", "pid"])
     assert set(got["image_id"]) == {n + m for n in want for m in ("", "-mirror")} and len(got) == 2 * len(want) * 96 * 96
     for name, stored in want.items():
