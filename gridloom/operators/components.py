@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import join_small, saved
+from ..sources.storage import Latest, join_small, saved
 from .graph import greatest_reachable
 from .windows import COLUMN, ROW, run_ids
 
@@ -40,11 +40,12 @@ def swept_components(df: DataFrame, max_iter: int, label: str = "label", name: s
         raise ValueError("there are no fewer than 0 sweeps")
     runs = run_ids(run_ids(df, label, ROW, "__row"), label, COLUMN, "__column")
     by_row, by_column = Window.partitionBy("image_id", "y", "__row"), Window.partitionBy("image_id", "x", "__column")
-    now = saved(runs.withColumn("__id", F.col("pid").cast("long")), "sweep")
+    rounds = Latest(df.sparkSession, "sweep")
+    now = rounds.put(runs.withColumn("__id", F.col("pid").cast("long")))
     for _ in range(max_iter):
         # Nested windows need a projection each.
         new = now.withColumn("__last", F.col("__id")).withColumn("__id", F.max("__id").over(by_row)).withColumn("__id", F.max("__id").over(by_column))
-        now = saved(new, "sweep")
+        now = rounds.put(new)
         if now.filter("__id <> __last").isEmpty():
             break
         now = now.drop("__last")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chroma_slot
-from ..sources.storage import join_small, saved
+from ..sources.storage import Latest, join_small, saved
 
 SIDE = 16
 
@@ -82,14 +82,14 @@ def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: t
         raise ValueError(f"image {small[0][key]!r} is smaller than {SIDE} x {SIDE}")
     slot = chroma_slot(F.col(chroma[0]), F.col(chroma[1]), F.col("ma"), F.col("mb"), slots)
     base = join_small(pixels, size, key).select(key, "pid", "x", "y", "width", "height", F.col(intensity).cast("double").alias("i"), slot.alias("slot"))
-    now = base.withColumn("a", F.col("i"))
+    now, turns = base.withColumn("a", F.col("i")), Latest(pixels.sparkSession, "albedo")
     for done in range(0, n_iter, together):
         rounds = min(together, n_iter - done)
         halo = (SIDE - 1) * rounds
         near = lambda c, most: F.sequence(F.expr(f"cast(greatest({c} - {halo}, 0) div {tile} as int)"), F.expr(f"cast(least({c} + {halo}, {most} - 1) div {tile} as int)"))
         copies = now.withColumn("tx", F.explode(near("x", "width"))).withColumn("ty", F.explode(near("y", "height")))
         new = copies.groupBy(key, "tx", "ty").applyInPandas(_solver(tile, rounds), now.schema)
-        now = saved(new.withColumn("a", F.nanvl("a", F.lit(None).cast("double"))), "albedo")
+        now = turns.put(new.withColumn("a", F.nanvl("a", F.lit(None).cast("double"))))
     return pixels.join(now.select(key, "pid", F.col("a").alias(name)), [key, "pid"])
 
 

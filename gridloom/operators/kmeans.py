@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import SMALL, join_small, saved
+from ..sources.storage import SMALL, Latest, join_small, saved
 
 CHANNELS = ("c0", "c1", "c2")
 
@@ -133,7 +133,8 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
     that go on, up to SMALL images; a round moves only means, k rows a task and image.
     """
     start = _arrays(centroids.select("image_id", "label", *CHANNELS), "now")
-    state = saved(start.select("image_id", F.col("now").alias("used"), "now", F.lit(math.inf).alias("before"), F.lit(True).alias("going")), "state")
+    rounds = Latest(points.sparkSession, "state")
+    state = rounds.put(start.select("image_id", F.col("now").alias("used"), "now", F.lit(math.inf).alias("before"), F.lit(True).alias("going")))
     few = state.count() <= SMALL
     done = 0
     while done < (max_iter if n_iter is None else n_iter):
@@ -148,7 +149,7 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
         both = both.withColumn("shift", F.sqrt(F.aggregate(F.zip_with("now", "new", apart), F.lit(0.0), lambda t, v: t + v)))
         goes = F.lit(True) if n_iter is not None else F.abs(F.col("shift") - F.col("before")) > threshold
         pick = lambda a, b: F.when(F.col("going"), F.col(a)).otherwise(F.col(b))
-        state = saved(both.select("image_id", pick("now", "used").alias("used"), pick("new", "now").alias("now"), pick("shift", "before").alias("before"), (F.col("going") & goes).alias("going")), "state")
+        state = rounds.put(both.select("image_id", pick("now", "used").alias("used"), pick("new", "now").alias("now"), pick("shift", "before").alias("before"), (F.col("going") & goes).alias("going")))
         done += 1
         if n_iter is None and state.filter("going").isEmpty():
             break

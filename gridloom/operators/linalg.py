@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.raster import dimensions
-from ..sources.storage import join_small, saved
+from ..sources.storage import Latest, join_small, saved
 
 
 def n_grid_entries(height: int, width: int) -> int:
@@ -109,14 +109,15 @@ def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
 def relax(a: DataFrame, b: DataFrame, x: DataFrame, omega: float = 1.0, tol: float = 1e-5, max_iter: int = 1000, check: int = 10) -> DataFrame:
     """Weighted Jacobi on relations, for images too large for one task: (image_id, i, v).
 
-    Tables are written out every round; the residual is looked at every ``check`` rounds.
+    Tables are written out every round, and the one before is deleted; the residual is looked at every ``check`` rounds.
     """
     diagonal = a.filter("i = j").select("image_id", "i", F.col("v").alias("__d"))
     sides = saved(b.select("image_id", "i", F.col("v").alias("__b")).join(diagonal, ["image_id", "i"]), "sides")
+    rounds = Latest(a.sparkSession, "x")
     for step in range(1, max_iter + 1):
         ax = spmv(a, x).withColumnRenamed("v", "__ax")
         new = x.join(sides, ["image_id", "i"]).join(ax, ["image_id", "i"], "left")
-        x = saved(new.select("image_id", "i", (F.col("v") + F.coalesce(F.try_divide(F.col("__b") - F.coalesce("__ax", F.lit(0.0)), F.col("__d")) * omega, F.lit(0.0))).alias("v")), "x")
+        x = rounds.put(new.select("image_id", "i", (F.col("v") + F.coalesce(F.try_divide(F.col("__b") - F.coalesce("__ax", F.lit(0.0)), F.col("__d")) * omega, F.lit(0.0))).alias("v")))
         if step % check == 0 and residual(a, x, b).filter(F.col("residual") > tol).isEmpty():
             break
     return x

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import join_small, saved
+from ..sources.storage import Latest, join_small, saved
 
 TILE = 512
 HALO = 32
@@ -358,12 +358,13 @@ def solve(
     at = lambda c: F.floor(F.col(c) / tile).cast("int").alias(f"t{c}")
     tiles = df.select("image_id", at("y"), at("x"), "height", "width", "y", "x", "b").groupBy(*_TILE).applyInArrow(_gather(tile), f"{_KEY}, v binary, b binary")
     assemble = _assemble(tile, halo, mass, weight, cell, pinned)
-    state = saved(tiles.mapInArrow(_send(tile, halo), _MESSAGE).groupBy(*_TILE).applyInArrow(assemble, _STATE), "tiles", "none")
+    rounds = Latest(pixels.sparkSession, "tiles", "none")
+    state = rounds.put(tiles.mapInArrow(_send(tile, halo), _MESSAGE).groupBy(*_TILE).applyInArrow(assemble, _STATE))
     for _ in range(max_rounds):
         sums = state.groupBy("image_id").agg(F.sum("rr").alias("rr"), F.sum("bb").alias("bb"))
         if sums.filter(F.sqrt("rr") > tol * F.sqrt("bb")).isEmpty():
             break
         patches = state.select(*_TILE, "height", "width", "cells").groupBy("image_id").applyInArrow(_cells(tile, cell, halo, mass, weight, 6), _PATCH)
         relaxed = state.drop("rr", "bb", "cells").join(patches, _TILE).mapInArrow(_relax(tile, halo, mass, weight, omega, cell, cycles), _MESSAGE)
-        state = saved(relaxed.groupBy(*_TILE).applyInArrow(assemble, _STATE), "tiles", "none")
+        state = rounds.put(relaxed.groupBy(*_TILE).applyInArrow(assemble, _STATE))
     return state.select("image_id", "ty", "tx", "height", "width", "v").mapInArrow(_pixels(tile, halo), "image_id string, pid long, x int, y int, v double")

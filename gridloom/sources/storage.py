@@ -39,6 +39,25 @@ def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Latest:
+    """The table of a loop's last round: the one before is deleted once the next has been written whole.
+
+    Only for tables that nothing but the next round reads.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, compression: str | None = None):
+        self.spark, self.name, self.compression, self.path = spark, name, compression, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write a round's table and read it back."""
+        before, self.path = self.path, new_path(self.spark, self.name)
+        df.write.parquet(self.path, compression=self.compression)
+        if before is not None:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
 #: Most rows of a table that is broadcast for its number of rows.
 SMALL = 1_000_000
 
