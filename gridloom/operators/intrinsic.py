@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import chroma_slot
@@ -23,16 +23,16 @@ def _window_sums(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def _tile(pdf: pd.DataFrame, n_iter: int) -> np.ndarray:
-    """New albedo of a tile's rows (the rows of its halo come out wrong)."""
-    x, y = pdf.x.to_numpy() - pdf.x.min(), pdf.y.to_numpy() - pdf.y.min()
-    shape = int(y.max()) + 1, int(x.max()) + 1
+def _tile(x: np.ndarray, y: np.ndarray, light: np.ndarray, before: np.ndarray, slots: np.ndarray, width: int, height: int, n_iter: int) -> np.ndarray:
+    """New albedo of a tile's pixels (those of its halo come out wrong)."""
+    left, top = x.min(), y.min()
+    at = y - top, x - left
+    shape = int(at[0].max()) + 1, int(at[1].max()) + 1
     i, a, slot = np.zeros(shape), np.full(shape, np.nan), np.full(shape, -1)
-    i[y, x], a[y, x], slot[y, x] = pdf.i, pdf.a, pdf.slot
-    width, height = pdf.width.to_numpy(), pdf.height.to_numpy()
+    i[at], a[at], slot[at] = light, before, slots
     count = np.ones(shape)
     within = lambda at, most: np.minimum(np.minimum(at + 1, most - at), SIDE)  # noqa: E731  windows along one axis, as functions.scalar.contributions has them
-    count[y, x] = within(pdf.x.to_numpy(), width) * within(pdf.y.to_numpy(), height)
+    count[at] = within(x, width) * within(y, height)
     # Each slot's mean intensity by window, on the part of the tile that the slot's windows cover.
     parts = []
     for s in np.unique(slot[slot >= 0]):
@@ -46,33 +46,46 @@ def _tile(pdf: pd.DataFrame, n_iter: int) -> np.ndarray:
         parts.append((box, np.s_[top : bottom - SIDE + 1, left : right - SIDE + 1], own, mean))
     for _ in range(n_iter):
         shading = _window_sums(np.divide(i, a, out=np.zeros(shape), where=np.isfinite(a) & (a != 0))) / (SIDE * SIDE)
-        light = np.divide(1, shading, out=np.zeros_like(shading), where=shading != 0)
+        inverse = np.divide(1, shading, out=np.zeros_like(shading), where=shading != 0)
         new = np.full(shape, np.nan)
         for box, windows, own, mean in parts:
-            told = np.pad(mean * light[windows], SIDE - 1)
+            told = np.pad(mean * inverse[windows], SIDE - 1)
             new[box][own] = _window_sums(told)[own]
         a = new / count
-    return a[y, x]
+    return a[at]
 
 
-def _solver(tile: int, rounds: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(a=_tile(pdf, rounds))
-        own = (pdf.x // tile == pdf.tx) & (pdf.y // tile == pdf.ty)
-        return pdf.loc[own, [c for c in pdf.columns if c not in ("tx", "ty")]]
+def _solver(rounds: int):
+    def solve(table: pa.Table) -> pa.Table:
+        x, y, i, a, slot = (table[c].to_numpy() for c in ("x", "y", "i", "a", "slot"))
+        a = _tile(x, y, i, a, slot, table["width"][0].as_py(), table["height"][0].as_py(), rounds)
+        table = table.drop_columns(["tx", "ty"]).set_column(table.column_names.index("a"), "a", pa.array(a, pa.float64()))
+        return table.filter(table["carried"].is_valid())
 
     return solve
 
 
-def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: tuple[str, str] = ("cr", "cg"), slots: int = 20, n_iter: int = 5, name: str = "albedo", tile: int = 160, together: int = 2) -> DataFrame:
-    """Albedo intensity of every pixel.
+def tiled(pixels: DataFrame, carried: Column, halo: int, tile: int) -> DataFrame:
+    """Pixels (image_id, x, y, width, height and more) once for each tile (tx, ty) that has them in itself or in its halo; ``carried`` is null in halos.
+
+    A tile has tile * tile pixels: in images narrower (or lower) than that it is as much longer.
+    """
+    sides = pixels.withColumns({"__w": F.expr(f"cast(greatest({tile}, {tile * tile} div height) as int)"), "__h": F.expr(f"cast(greatest({tile}, {tile * tile} div width) as int)")})
+    near = lambda c, side, most: F.sequence(F.expr(f"cast(greatest({c} - {halo}, 0) div {side} as int)"), F.expr(f"cast(least({c} + {halo}, {most} - 1) div {side} as int)"))
+    copies = sides.withColumn("tx", F.explode(near("x", "__w", "width"))).withColumn("ty", F.explode(near("y", "__h", "height")))
+    own = F.expr("x div __w = tx and y div __h = ty")
+    return copies.withColumn("carried", F.when(own, carried)).drop("__w", "__h")
+
+
+def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: tuple[str, str] = ("cr", "cg"), slots: int = 20, n_iter: int = 5, name: str = "albedo", tile: int = 160, together: int = 5) -> DataFrame:
+    """Pixels with their albedo intensity.
 
     A round gives each 16 x 16 window (stride 1) its mean intensity by chroma
     slot over its mean shading; a pixel's albedo is the sum of what its windows
-    say, over their number. Images are cut into tiles of ``tile`` pixels with a halo
+    say, over their number. Images are cut into tiles of ``tile`` x ``tile`` pixels (or as many in a longer tile) with a halo
     of 15 pixels a round, and ``together`` rounds are made in one task by sums of sums, so that the
-    pixels move once in that many rounds. A task holds one tile (its windows by
-    slot: about 160 MB with 20 slots either way). Images must be at least 16 pixels either way.
+    pixels move once in that many rounds. Their other columns go along with them, so nothing is joined by pixel afterwards. A task holds one tile
+    (with 5 rounds and 20 slots either way: about 320 MB). Images must be at least 16 pixels either way.
     """
     key = "image_id"
     size = pixels.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max(chroma[0]).alias("ma"), F.max(chroma[1]).alias("mb"))
@@ -81,16 +94,16 @@ def estimate_albedo_intensity(pixels: DataFrame, intensity: str = "i", chroma: t
     if small:
         raise ValueError(f"image {small[0][key]!r} is smaller than {SIDE} x {SIDE}")
     slot = chroma_slot(F.col(chroma[0]), F.col(chroma[1]), F.col("ma"), F.col("mb"), slots)
-    base = join_small(pixels, size, key).select(key, "pid", "x", "y", "width", "height", F.col(intensity).cast("double").alias("i"), slot.alias("slot"))
-    now, turns = base.withColumn("a", F.col("i")), Latest(pixels.sparkSession, "albedo")
+    light = F.col(intensity).cast("double")
+    now = join_small(pixels, size, key).select(key, "x", "y", "width", "height", light.alias("i"), slot.alias("slot"), F.struct(*pixels.columns).alias("carried"), light.alias("a"))
+    turns = Latest(pixels.sparkSession, "albedo")
     for done in range(0, n_iter, together):
         rounds = min(together, n_iter - done)
-        halo = (SIDE - 1) * rounds
-        near = lambda c, most: F.sequence(F.expr(f"cast(greatest({c} - {halo}, 0) div {tile} as int)"), F.expr(f"cast(least({c} + {halo}, {most} - 1) div {tile} as int)"))
-        copies = now.withColumn("tx", F.explode(near("x", "width"))).withColumn("ty", F.explode(near("y", "height")))
-        new = copies.groupBy(key, "tx", "ty").applyInPandas(_solver(tile, rounds), now.schema)
-        now = turns.put(new.withColumn("a", F.nanvl("a", F.lit(None).cast("double"))))
-    return pixels.join(now.select(key, "pid", F.col("a").alias(name)), [key, "pid"])
+        copies = tiled(now, F.col("carried"), (SIDE - 1) * rounds, tile)
+        new = copies.groupBy(key, "tx", "ty").applyInArrow(_solver(rounds), now.schema)
+        new = new.withColumn("a", F.nanvl("a", F.lit(None).cast("double")))
+        now = turns.put(new) if done + together < n_iter else new
+    return now.select("carried.*", F.col("a").alias(name))
 
 
 def albedo_channels(df: DataFrame, albedo: str = "albedo", chroma: tuple[str, str] = ("cr", "cg")) -> DataFrame:

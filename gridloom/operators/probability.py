@@ -30,14 +30,14 @@ def set_selection(df: DataFrame, centroids: DataFrame, most: int = 10, label: st
     """(image_id, label, pid, rank): the pixels of each label nearest its centroid. The limit works before the shuffle."""
     points = df.filter(F.col(label) != -1).select("image_id", "pid", F.col(label).alias("label"), F.struct(*CHANNELS).alias("p"))
     means = centroids.select("image_id", "label", F.struct(*CHANNELS).alias("m"))
-    near = points.join(means, ["image_id", "label"]).withColumn("d", _squared("p", "m", metric))
+    near = join_small(points, means, ["image_id", "label"]).withColumn("d", _squared("p", "m", metric))
     at = F.row_number().over(Window.partitionBy("image_id", "label").orderBy("d", "pid"))
     return near.withColumn("rank", at.cast("int")).filter(F.col("rank") <= most).select("image_id", "label", "pid", "rank")
 
 
 def exemplars(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The selected pixels with their colours."""
-    return ids.select("image_id", "label", "pid").join(df.select("image_id", "pid", *CHANNELS), ["image_id", "pid"])
+    return join_small(df.select("image_id", "pid", *CHANNELS), ids.select("image_id", "label", "pid"), ["image_id", "pid"]).select("image_id", "pid", "label", *CHANNELS)
 
 
 def _halved(points: np.ndarray, leaf: int) -> list[np.ndarray]:
@@ -209,13 +209,10 @@ def remove_outliers(df: DataFrame, ids: DataFrame, k: int = 10, votes: int = 5,
     return ids.join(near.filter(agree >= votes).select("image_id", "pid"), ["image_id", "pid"], "left_semi")
 
 
-def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:
-    """(image_id, label, pid, p): each pixel's share of its mean distances to the sets, each to the ``power``.
+def _compared(df: DataFrame, ids: DataFrame, metric: str, inverse: bool, power: float, sets: int, how: str = "inner") -> tuple[DataFrame, bool]:
+    """Pixels with ``logs`` (label, g) of the sets of their image, the greatest g (``top``) and what exp(g - top) add up to (``total``).
 
-    Exemplars (10 a set) travel as arrays of at most ``sets`` sets, so a pixel is a row
-    for each such array until its probabilities are known, and nothing of size
-    pixels x exemplars is made. Powers are taken as differences of logarithms;
-    an image of more sets adds up its pixels' parts first.
+    True if images have more than ``sets`` sets: then a pixel is several rows, by ``part``.
     """
     if metric not in ("sum", "l2"):
         raise ValueError(f"metric {metric!r} is neither 'sum' nor 'l2'")
@@ -233,13 +230,38 @@ def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse:
     mean = lambda s: F.aggregate(s["members"], F.lit(0.0), lambda t, e: t + squared(e)) / F.size(s["members"])
     logs = F.transform("sets", lambda s: F.struct(s["label"].alias("label"), (F.ln(F.greatest(mean(s), F.lit(1e-300))) * (-power if inverse else power)).alias("g")))
     # 10 exemplars a set: the broadcast is bounded by the number of sets.
-    points, table = df.select("image_id", "pid", *CHANNELS), saved(parts, "sets")
-    few = every.count() * 10 <= SMALL
-    out = points.join(F.broadcast(table) if few else table, "image_id").select("image_id", "pid", logs.alias("logs"))
+    table, few = saved(parts, "sets"), every.count() * 10 <= SMALL
+    out = df.join(F.broadcast(table) if few else table.hint("merge"), "image_id", how).withColumn("logs", logs).drop("sets")
     out = out.withColumn("top", F.array_max(F.transform("logs", lambda x: x["g"])))
-    out = out.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["g"] - F.col("top"))))
-    if many > sets:
+    return out.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["g"] - F.col("top")))), many > sets
+
+
+def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:
+    """(image_id, label, pid, p): each pixel's share of its mean distances to the sets, each to the ``power``.
+
+    Exemplars (10 a set) travel as arrays of at most ``sets`` sets, so a pixel is a row
+    for each such array until its probabilities are known, and nothing of size
+    pixels x exemplars is made. Powers are taken as differences of logarithms;
+    an image of more sets adds up its pixels' parts first.
+    """
+    out, several = _compared(df.select("image_id", "pid", *CHANNELS), ids, metric, inverse, power, sets)
+    if several:
         pixel = Window.partitionBy("image_id", "pid")
         out = out.withColumn("whole", F.max("top").over(pixel)).withColumn("total", F.sum(F.col("total") * F.exp(F.col("top") - F.col("whole"))).over(pixel)).withColumn("top", F.col("whole"))
     out = out.select("image_id", "pid", "top", "total", F.explode("logs").alias("x"))
     return out.select("image_id", F.col("x.label").alias("label"), "pid", (F.exp(F.col("x.g") - F.col("top")) / F.col("total")).alias("p"))
+
+
+def most_likely(df: DataFrame, ids: DataFrame, name: str = "best", metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:
+    """Pixels with the set that :func:`set_probability` gives the greatest share (of equal ones the lowest) and that share, p; both null in images without sets.
+
+    A pixel isn't moved, unless its image has more than ``sets`` sets.
+    """
+    out, several = _compared(df, ids, metric, inverse, power, sets, "left")
+    out = out.withColumn(name, F.array_min(F.transform(F.filter("logs", lambda x: x["g"] == F.col("top")), lambda x: x["label"])))
+    if several:
+        pixel = Window.partitionBy("image_id", "pid")
+        out = out.withColumn("whole", F.max("top").over(pixel)).withColumn("total", F.sum(F.col("total") * F.exp(F.col("top") - F.col("whole"))).over(pixel))
+        out = out.withColumn(name, F.min(F.when(F.col("top") == F.col("whole"), F.col(name))).over(pixel))
+        out = out.withColumn("at", F.row_number().over(pixel.orderBy("part"))).filter("at = 1")
+    return out.select(*df.columns, name, (1 / F.col("total")).alias("p"))

@@ -23,24 +23,37 @@ def prepared(pixels: DataFrame, n_iter: int = 5) -> DataFrame:
     return intrinsic.beta_feature(df)
 
 
-def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Labelled pixels (cluster, component, label after erosion, -1 for background) and memberships (image_id, label, pid, p).
+def labelled(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled pixels (cluster, component, label after erosion, -1 for background; with albedo a0, a1, a2), and exemplars of the labels.
 
-    Every image is segmented by itself, whatever other images are there. ``start`` makes the first
-    centroids from the features (image_id, pid, c0, c1, c2), by default :func:`kmeans.seeds`.
+    Pixels are never joined with pixels: what is found out of them is added to their rows.
     """
-    df = saved(prepared(pixels, n_iter), "prepared")
-    features = df.select("image_id", "pid", F.col("beta").alias("c0"), F.col("a").alias("c1"), F.col("b").alias("c2"))
-    features = saved(features, "features")
+    df = saved(prepared(pixels, n_iter).drop("i", "cr", "cg", "albedo", "l"), "prepared")
+    colours = {c: f"__{c}" for c in CHANNELS}
+    features = df.withColumnsRenamed(colours).withColumnsRenamed({"beta": "c0", "a": "c1", "b": "c2"})
     found, _ = kmeans.cluster(features, start(features) if start else kmeans.seeds(features, k), max_iter, threshold)
-    df = df.join(found.select("image_id", "pid", F.col("label").alias("cluster")), ["image_id", "pid"])
+    df = found.withColumnRenamed("label", "cluster").drop(*CHANNELS).withColumnsRenamed({n: c for c, n in colours.items()})
     df = saved(components.compress_labels(components.connected_components(df, "cluster"), "component", "component"), "components")
     eroded = windows.erode(df.withColumn("label", F.col("component")), erosion)
     eroded = saved(components.compress_labels(eroded, "label", "label", background=False), "eroded")
     points = _albedo(eroded)
     means = kmeans.calculate_centroids(points.filter("label >= 0"))
-    ids = saved(probability.set_selection(points, means), "exemplars")
-    return eroded, probability.set_probability(points, ids)
+    return eroded, saved(probability.set_selection(points, means), "exemplars")
+
+
+def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled pixels (cluster, component, label after erosion, -1 for background) and memberships (image_id, label, pid, p).
+
+    Every image is segmented by itself, whatever other images are there. ``start`` makes the first
+    centroids from the features (image_id, pid, c0, c1, c2), by default :func:`kmeans.seeds`.
+    """
+    found, ids = labelled(pixels, k, max_iter, threshold, erosion, n_iter, start)
+    return found, probability.set_probability(_albedo(found), ids)
+
+
+def with_best(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """Labelled pixels (image_id, pid, cluster, component, label) with the set they most likely belong to (``best``), and how likely (``p``)."""
+    return probability.most_likely(_albedo(found, "cluster", "component"), ids).drop(*CHANNELS)
 
 
 def _albedo(df: DataFrame, *more: str) -> DataFrame:

@@ -63,9 +63,12 @@ SMALL = 1_000_000
 
 
 def join_small(df: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", name: str = "small") -> DataFrame:
-    """Join with a table of short rows (one an image, or a label), written first: broadcast up to SMALL rows, so that an image isn't one task."""
+    """Join with a table of short rows (one an image, or a label), written first: broadcast up to SMALL rows, so that an image isn't one task.
+
+    A longer one is merged by the hint: Spark judges a table by its files, and would send a very compressible one of any length to the driver.
+    """
     table = saved(table, name)
-    return df.join(F.broadcast(table) if table.count() <= SMALL else table, keys, how)
+    return df.join(F.broadcast(table) if table.count() <= SMALL else table.hint("merge"), keys, how)
 
 
 #: A key with more than this share of all rows is hot; there are fewer than that many.

@@ -1,0 +1,32 @@
+"""What tasks and the driver hold, whatever the tables' size."""
+
+from helpers import DATA
+from pyspark.sql import functions as F
+
+from gridloom.operators import intrinsic, kmeans, probability
+from gridloom.plans import segmentation
+from gridloom.sources import raster
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pixels_are_not_joined_with_pixels(spark):
+    px = raster.events_raster(spark, DATA).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
+    steps = plan(segmentation.prepared(px))
+    # One row an image is broadcast (sizes, and ends of the features); nothing else is joined.
+    assert steps.count("Join") == steps.count("strategy=broadcast") == 2
+
+
+def test_most_likely_set_is_that_of_the_greatest_share(spark):
+    px = raster.events_raster(spark, DATA).filter("y < 10").withColumn("label", F.expr("cast(pid % 9 as int)"))
+    ids = probability.set_selection(px, kmeans.calculate_centroids(px))
+    alone = px.withColumn("image_id", F.lit("no sets"))
+    every = probability.set_probability(px, ids).groupBy("image_id", "pid").agg(F.min_by(F.struct("label", "p"), F.struct(-F.col("p"), F.col("label"))).alias("m"))
+    want = {(r["pid"], r["m"]["label"]): r["m"]["p"] for r in every.collect()}
+    for sets in (256, 4):
+        rows = probability.most_likely(px.unionAll(alone), ids, sets=sets).collect()
+        got = {(r["pid"], r["best"]): r["p"] for r in rows if r["image_id"] == "events"}
+        assert len(rows) == 800 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert all(r["best"] is None and r["p"] is None for r in rows if r["image_id"] != "events")
