@@ -22,8 +22,9 @@ def seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     Fewer, if an image has fewer points. The limit works before the shuffle.
     """
     place = F.row_number().over(Window.partitionBy("image_id").orderBy(F.md5(F.concat_ws("/", "image_id", "pid", F.lit(seed))), "pid"))
-    first = points.select("image_id", "pid", *CHANNELS).withColumn("label", (place - 1).cast("int")).filter(F.col("label") < k)
-    return first.select("image_id", "label", *CHANNELS)
+    # The filter is on the window's own column: of a sum or a cast of it Spark makes no limit.
+    first = points.select("image_id", "pid", *CHANNELS).withColumn("__place", place).filter(F.col("__place") <= k)
+    return first.select("image_id", (F.col("__place") - 1).cast("int").alias("label"), *CHANNELS)
 
 
 def distinct_seeds(points: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -1,11 +1,13 @@
 """What tasks and the driver hold, whatever the tables' size."""
 
+import numpy as np
+import pyarrow as pa
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from gridloom.operators import intrinsic, kmeans, probability
+from gridloom.operators import csr, graph, kmeans, linalg, probability
 from gridloom.plans import segmentation
-from gridloom.sources import raster
+from gridloom.sources import formats, raster
 
 
 def plan(df):
@@ -30,3 +32,10 @@ def test_most_likely_set_is_that_of_the_greatest_share(spark):
         got = {(r["pid"], r["best"]): r["p"] for r in rows if r["image_id"] == "events"}
         assert len(rows) == 800 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         assert all(r["best"] is None and r["p"] is None for r in rows if r["image_id"] != "events")
+
+
+def test_seeds_are_limited_before_the_shuffle(spark):
+    px = raster.events_raster(spark, DATA)
+    for df in (kmeans.seeds(px, 7), kmeans.distinct_seeds(px, 7)):
+        assert "Limit" in plan(df)  # of all rows where there is one image, or of each image
+    assert kmeans.seeds(px, 0).count() == 0
