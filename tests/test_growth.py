@@ -39,3 +39,12 @@ def test_seeds_are_limited_before_the_shuffle(spark):
     for df in (kmeans.seeds(px, 7), kmeans.distinct_seeds(px, 7)):
         assert "Limit" in plan(df)  # of all rows where there is one image, or of each image
     assert kmeans.seeds(px, 0).count() == 0
+
+
+def test_links_repeat_themselves_at_short_distances(spark, tmp_path):
+    m = spark.range(2500).select(F.lit("a").alias("image_id"), F.lit(1).alias("cluster"), F.col("id").alias("segment"))
+    links = graph.cluster_links(m)
+    links.write.parquet(str(tmp_path / "links"))
+    found = spark.read.parquet(str(tmp_path / "links")).agg(F.count("*"), F.countDistinct("segment_a", "segment_b"), F.sum((F.col("segment_a") == F.col("segment_b")).cast("int"))).first()
+    assert tuple(found) == (2500 * 2499, 2500 * 2499, 0)
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("part-*")) < 0.5 * 2500 * 2499
