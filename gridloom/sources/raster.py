@@ -8,16 +8,15 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import formats
-from .storage import saved
+from .storage import join_small, saved
 
 WIDTH = 40  # of the raster over ``events``
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -62,8 +61,6 @@ def event_pictures(spark: SparkSession, sf_dir: str, events: int = 5000, cells:
 
 def mirrored(pixels: DataFrame, suffix: str = "-mirror") -> DataFrame:
     """Every image from right to left, under its name and ``suffix``."""
-    from .storage import join_small
-
     wide = join_small(pixels, dimensions(pixels), "image_id")
     out = wide.withColumn("x", (F.col("width") - 1 - F.col("x")).cast("int")).withColumn("pid", F.col("y").cast("long") * F.col("width") + F.col("x"))
     return out.withColumn("image_id", F.concat("image_id", F.lit(suffix))).select(pixels.columns)
@@ -79,13 +76,13 @@ DEEP = ("pnm", "pbm", "pgm", "ppm", "hdr")
 _PIXELS = "image_id string, pid long, x int, y int, c0 double, c1 double, c2 double"
 
 
-def _pixels_of(origin: str, values: np.ndarray, at_once: int) -> Iterator[pa.RecordBatch]:
-    """An image's rows from (pixels, 3) values and its width, ``at_once`` at a time."""
+def _pixels_of(origin: str, values: np.ndarray, at_once: int, channels: list[int], linear: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """An image's rows from height x width x channels as stored, ``at_once`` pixels at a time made ``linear``."""
     h, w, _ = values.shape
     flat = values.reshape(h * w, -1)
     for start in range(0, w * h, at_once):
         pid = np.arange(start, min(start + at_once, w * h))
-        columns = [pa.array([origin] * len(pid)), pa.array(pid), pa.array((pid % w).astype(np.int32)), pa.array((pid // w).astype(np.int32)), *(pa.array(np.ascontiguousarray(flat[pid, k])) for k in range(3))]
+        columns = [pa.array([origin] * len(pid)), pa.array(pid), pa.array((pid % w).astype(np.int32)), pa.array((pid // w).astype(np.int32)), *(pa.array(linear(flat[start : start + len(pid), k])) for k in channels)]
         yield pa.RecordBatch.from_arrays(columns, ["image_id", "pid", "x", "y", "c0", "c1", "c2"])
 
 
@@ -115,7 +112,7 @@ def _by_spark(image: DataFrame, gamma: float, at_once: int) -> DataFrame:
                     raise ValueError(f"{origin} is no image that can be decoded")
                 values = np.frombuffer(data, np.uint8).reshape(h, w, channels)
                 # Bytes are blue, green, red, alpha; one or two channels are grey (and alpha).
-                yield from _pixels_of(origin, linear[values[:, :, [2, 1, 0] if channels > 2 else [0, 0, 0]]], at_once)
+                yield from _pixels_of(origin, values, at_once, [2, 1, 0] if channels > 2 else [0, 0, 0], lambda v: linear[v])
 
     return image.mapInArrow(pixels, _PIXELS)
 
@@ -132,8 +129,7 @@ def _decoded(content: DataFrame, gamma: float, skip_invalid: bool, at_once: int)
                     if skip_invalid:
                         continue
                     raise ValueError(f"{origin} is no image that can be decoded: {e}") from e
-                values = values[:, :, [0, 1, 2] if values.shape[2] > 2 else [0, 0, 0]]
-                yield from _pixels_of(origin, values if is_linear else values**gamma, at_once)
+                yield from _pixels_of(origin, values, at_once, [0, 1, 2] if values.shape[2] > 2 else [0, 0, 0], lambda v, own=is_linear: np.ascontiguousarray(v if own else v**gamma))
 
     return content.mapInArrow(pixels, _PIXELS)
 
@@ -158,27 +154,70 @@ def interleaved(pixels: DataFrame, channels: tuple[str, ...] = ("c0", "c1", "c2"
     return rows.select("image_id", "y", F.flatten(F.col("r.v")).alias("values"))
 
 
-def png(values: np.ndarray) -> bytes:
-    """A PNG file of height x width x 3 bytes."""
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def _band(values: np.ndarray) -> tuple[bytes, int, int]:
+    """A PNG file's chunk of some image lines (height x width x 3 bytes): a piece of the deflate stream that needs none before it; length and Adler-32 of what it holds."""
     h, w, _ = values.shape
     raw = np.concatenate([np.zeros((h, 1), np.uint8), values.reshape(h, w * 3)], axis=1).tobytes()
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return _chunk(b"IDAT", packer.compress(raw) + packer.flush(zlib.Z_FULL_FLUSH)), len(raw), zlib.adler32(raw)
 
 
-def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
-    """(image_id, width, height, png): quantized, one file an image. An image fits one task, as a file must."""
-    from ..functions.scalar import quantize
+def _joined(sums: Iterable[tuple[int, int]]) -> int:
+    """Adler-32 of parts one after another, from length and Adler-32 of each."""
+    a, b = 1, 0
+    for n, s in sums:
+        b = (b + (s >> 16) + n * (a - 1)) % 65521
+        a = (a + (s & 0xFFFF) - 1) % 65521
+    return b << 16 | a
+
+
+def _head(w: int, h: int) -> bytes:
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + _chunk(b"IDAT", b"\x78\x9c")
+
+
+def _tail(sums: Iterable[tuple[int, int]]) -> bytes:
+    return _chunk(b"IDAT", b"\3\0" + struct.pack(">I", _joined(sums))) + _chunk(b"IEND", b"")
 
-    df = pixels.select("image_id", "x", "y", *(quantize(F.col(c)).alias(f"q{k}") for k, c in enumerate(channels)))
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf.x.max()) + 1, int(pdf.y.max()) + 1
-        out = np.zeros((h, w, 3), np.uint8)
-        out[pdf.y, pdf.x] = pdf[["q0", "q1", "q2"]].to_numpy(np.uint8)
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "width": [w], "height": [h], "png": [png(out)]})
+def png(values: np.ndarray) -> bytes:
+    """A PNG file of height x width x 3 bytes, in one band."""
+    data, *sums = _band(values)
+    return _head(values.shape[1], values.shape[0]) + data + _tail([tuple(sums)])
+
+
+#: Pixels of a band of :func:`encode_png`, at least a line.
+BAND = 1 << 18
+
+
+def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2"), band: int = BAND) -> DataFrame:
+    """(image_id, width, height, png): quantized, one file an image.
+
+    Bands of lines, of about ``band`` pixels, are compressed by themselves; only their bytes meet in one task, as a file must.
+    """
+    from ..functions.scalar import quantize
 
-    return df.groupBy("image_id").applyInPandas(encode, "image_id string, width int, height int, png binary")
+    size = dimensions(pixels).withColumn("lines", F.expr(f"cast(greatest(1, {band} div width) as int)"))
+    df = join_small(pixels.select("image_id", "x", "y", *(quantize(F.col(c)).alias(f"q{k}") for k, c in enumerate(channels))), size, "image_id")
+
+    def compress(table: pa.Table) -> pa.Table:
+        image, part, w, h, lines = (table[c][0].as_py() for c in ("image_id", "band", "width", "height", "lines"))
+        out = np.zeros((min(lines, h - part * lines), w, 3), np.uint8)
+        y, x = table["y"].to_numpy() - part * lines, table["x"].to_numpy()
+        for k in range(3):
+            out[y, x, k] = table[f"q{k}"].to_numpy()
+        return pa.table({"image_id": [image], "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "band": pa.array([part], pa.int32()), **{n: pa.array([v], t) for n, v, t in zip(("data", "n", "sum"), _band(out), (pa.binary(), pa.int64(), pa.int64()), strict=True)}})
+
+    bands = df.withColumn("band", F.expr("cast(y div lines as int)")).groupBy("image_id", "band").applyInArrow(compress, "image_id string, width int, height int, band int, data binary, n long, sum long")
+    head, tail = F.udf(_head, "binary"), F.udf(_tail, "binary")
+    files = bands.groupBy("image_id", "width", "height").agg(F.sort_array(F.collect_list(F.struct("band", "data", "n", "sum"))).alias("bands"))
+    ends = files.select("image_id", "width", "height", "bands", head("width", "height").alias("head"), tail(F.transform("bands", lambda b: F.struct(b["n"].alias("n"), b["sum"].alias("sum")))).alias("tail"))
+    # Bytes as text joined without a separator: one copy, whatever the number of bands.
+    body = F.array_join(F.transform("bands", lambda b: F.hex(b["data"])), "")
+    return ends.select("image_id", "width", "height", F.concat("head", F.unhex(body), "tail").alias("png"))
 
 
 def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:

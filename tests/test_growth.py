@@ -48,3 +48,22 @@ def test_links_repeat_themselves_at_short_distances(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "links")).agg(F.count("*"), F.countDistinct("segment_a", "segment_b"), F.sum((F.col("segment_a") == F.col("segment_b")).cast("int"))).first()
     assert tuple(found) == (2500 * 2499, 2500 * 2499, 0)
     assert sum(f.stat().st_size for f in (tmp_path / "links").glob("part-*")) < 0.5 * 2500 * 2499
+
+
+def test_png_files_are_made_of_bands(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 256, (37, 20, 3), dtype=np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(raster.png(values))
+    df = raster.read_images(spark, str(tmp_path / "in"), gamma=1.0, at_once=64)
+    for band in (1, 100, 1 << 18):
+        data = bytes(raster.encode_png(df, band=band).first()["png"])
+        decoded, _ = formats.decode(data)
+        assert (np.rint(decoded * 255) == values).all()
+        # The image source reads them too.
+        (tmp_path / f"out{band}").mkdir()
+        (tmp_path / f"out{band}" / "b.png").write_bytes(data)
+        back = raster.read_images(spark, str(tmp_path / f"out{band}"), gamma=1.0).orderBy("pid").toPandas()
+        assert (np.rint(back[["c0", "c1", "c2"]].to_numpy().reshape(37, 20, 3) * 255) == values).all()
+    steps = plan(raster.encode_png(df))
+    assert "FlatMapGroupsInArrow [image_id" in steps and "band" in steps.split("FlatMapGroupsInArrow [")[1].split("]")[0]
