@@ -20,6 +20,8 @@ def n_poisson_entries(height: int, width: int) -> int:
 
 #: Images whose entries are made by a range of their own, without a shuffle.
 ALONE = 256
+#: Pixels of a task of such a range, at most: what aggregates its entries holds them all.
+PIXELS = 1 << 18
 
 
 def _lines(sizes: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def _lines(sizes: DataFrame) -> DataFrame:
     for image, w, h in known:
         pid = F.col("id")
         y = F.expr(f"id div {w}")
-        one = sizes.sparkSession.range(w * h).select(F.lit(image).alias("image_id"), *(F.lit(v).cast("long").alias(k) for k, v in (("n", w * h), ("width", w), ("height", h))), pid.alias("pid"), (pid - y * w).alias("x"), y.alias("y"))
+        one = sizes.sparkSession.range(0, w * h, 1, max(sizes.sparkSession.sparkContext.defaultParallelism, -(-w * h // PIXELS))).select(F.lit(image).alias("image_id"), *(F.lit(v).cast("long").alias(k) for k, v in (("n", w * h), ("width", w), ("height", h))), pid.alias("pid"), (pid - y * w).alias("x"), y.alias("y"))
         out = one if out is None else out.unionAll(one)
     return numbers(sizes.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})) if out is None else out
 

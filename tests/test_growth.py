@@ -50,6 +50,14 @@ def test_links_repeat_themselves_at_short_distances(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "links").glob("part-*")) < 0.5 * 2500 * 2499
 
 
+def test_a_task_makes_a_bounded_number_of_entries(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "PIXELS", 50)
+    sizes = spark.createDataFrame([("a", 40, 25)], "image_id string, width int, height int")
+    for df in (linalg.poisson_matrix(sizes), linalg.lighting_matrix(sizes, (0.6, 0.0, 0.8))):
+        tasks = df.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 20 and max(r["count"] for r in tasks) <= 9 * 50
+
+
 def test_png_files_are_made_of_bands(spark, tmp_path):
     rng = np.random.default_rng(5)
     values = rng.integers(0, 256, (37, 20, 3), dtype=np.uint8)
