@@ -45,6 +45,19 @@ def _table(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+#: Bytes of an Arrow batch of blocks. A batch of 10,000 blocks would have gigabytes.
+BATCH = 1 << 25
+
+
+def _in_small_batches(blocks: DataFrame) -> DataFrame:
+    """Let tasks send blocks to Python by bytes, not by rows only; for the rest of the session."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", blocks.sparkSession
+    known = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if known > BATCH:
+        spark.conf.set(key, str(BATCH))
+    return blocks
+
+
 def _block(column: str, size: int):
     return F.floor(F.col(column) / size).cast("long")
 
@@ -73,7 +86,7 @@ def from_blocks(blocks: DataFrame, size: int = SIZE, at_once: int = 1 << 16) ->
                     some = slice(a, a + at_once)
                     yield _table("image_id string, i long, j long, v double", [[image] * len(v[some]), i[some] + block * size, j[some] + part * size, v[some]])
 
-    return blocks.mapInArrow(run, "image_id string, i long, j long, v double")
+    return _in_small_batches(blocks).mapInArrow(run, "image_id string, i long, j long, v double")
 
 
 def vector_blocks(x: DataFrame, size: int = SIZE) -> DataFrame:
@@ -102,7 +115,7 @@ def spmv(blocks: DataFrame, x: DataFrame, size: int = SIZE) -> DataFrame:
                 sums = np.add.reduceat(products, offsets[used]) if len(used) else products
                 yield _table("image_id string, i long, v double", [[batch["image_id"][k].as_py()] * len(used), used + batch["block"][k].as_py() * size, sums])
 
-    out = blocks.join(vector_blocks(x, size), ["image_id", "part"]).mapInArrow(run, "image_id string, i long, v double")
+    out = _in_small_batches(blocks).join(vector_blocks(x, size), ["image_id", "part"]).mapInArrow(run, "image_id string, i long, v double")
     return out.groupBy("image_id", "i").agg(F.sum("v").alias("v"))
 
 
@@ -122,4 +135,4 @@ def add(a: DataFrame, b: DataFrame, factor: float = 1.0, size: int = SIZE) -> Da
                 yield _table(BLOCKS, [*([batch[c][k].as_py()] for c in key), *([x] for x in _compressed(i, j, v, size))])
 
     named = lambda df, side: df.select(*key, *(F.col(n).alias(f"{side}_{n}") for n in ("offsets", "columns", "values")))
-    return named(a, "a").join(named(b, "b"), key, "full").mapInArrow(run, BLOCKS)
+    return _in_small_batches(named(a, "a").join(named(b, "b"), key, "full")).mapInArrow(run, BLOCKS)

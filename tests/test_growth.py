@@ -58,6 +58,19 @@ def test_a_task_makes_a_bounded_number_of_entries(spark, monkeypatch):
         assert len(tasks) == 20 and max(r["count"] for r in tasks) <= 9 * 50
 
 
+def test_blocks_go_to_python_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(csr, "BATCH", 1 << 16)
+    blocks = csr.to_blocks(linalg.poisson_matrix(spark.createDataFrame([("a", 200, 100)], "image_id string, width int, height int")))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        rows = csr._in_small_batches(blocks.coalesce(1)).mapInArrow(lambda source: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in source), "n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    # Blocks of over 65,536 bytes come one by one.
+    assert len(rows) > 5 and max(r["n"] for r in rows) <= 4
+
+
 def test_png_files_are_made_of_bands(spark, tmp_path):
     rng = np.random.default_rng(5)
     values = rng.integers(0, 256, (37, 20, 3), dtype=np.uint8)
