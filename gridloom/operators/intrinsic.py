@@ -112,10 +112,13 @@ def albedo_channels(df: DataFrame, albedo: str = "albedo", chroma: tuple[str, st
     return df.withColumns({"a0": a * r, "a1": a * g, "a2": a * (3 - r - g)})
 
 
-def beta_feature(df: DataFrame, lab: tuple[str, str, str] = ("l", "a", "b"), mu: float = 1e5, name: str = "beta") -> DataFrame:
-    """-mu for dark, mu for bright, 0 for other achromatic or chromatic pixels, by thresholds of the whole image."""
+def beta_feature(df: DataFrame, lab: tuple[str, str, str] = ("l", "a", "b"), mu: float = 1e5, name: str = "beta", of: DataFrame | None = None) -> DataFrame:
+    """-mu for dark, mu for bright, 0 for other achromatic or chromatic pixels, by thresholds of the whole image.
+
+    ``of``: the same pixels with the same colours, out of a shorter plan, to take the thresholds from.
+    """
     light, a, b = map(F.col, lab)
-    top = df.groupBy("image_id").agg((F.max(F.abs(a)) * 0.2).alias("__wide"), F.max(light).alias("__top"))
+    top = (df if of is None else of).groupBy("image_id").agg((F.max(F.abs(a)) * 0.2).alias("__wide"), F.max(light).alias("__top"))
     grey = (F.abs(a) < F.col("__wide")) & (F.abs(b) < F.col("__wide"))
     value = F.when(grey & (light < F.col("__top") * 0.2), -mu).when(grey & (light > F.col("__top") * 0.95), mu).otherwise(0.0)
     return join_small(df, top, "image_id").withColumn(name, value).drop("__wide", "__top")

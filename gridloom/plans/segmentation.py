@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, scalar
-from ..operators import components, intrinsic, kmeans, probability, windows
+from ..operators import components, intrinsic, kmeans, probability
 from ..sources.storage import saved
 
 CHANNELS = ("c0", "c1", "c2")
@@ -18,9 +18,9 @@ def prepared(pixels: DataFrame, n_iter: int = 5) -> DataFrame:
     """Pixels with intensity, chroma, albedo, Lab and the achromatic feature."""
     df = pixels.withColumns({c: scalar.floored(F.col(c)) for c in CHANNELS})
     df = color.convert(df, color.rgb_to_ic, ("i", "cr", "cg"))
-    df = intrinsic.albedo_channels(intrinsic.estimate_albedo_intensity(df, n_iter=n_iter))
-    df = color.convert(df, color.rgb_to_lab, ("l", "a", "b"))
-    return intrinsic.beta_feature(df)
+    lab = lambda df: color.convert(df, color.rgb_to_lab, ("l", "a", "b"))
+    # The feature's thresholds come from the pixels as they were: out of the albedo they would make it twice.
+    return intrinsic.beta_feature(lab(intrinsic.albedo_channels(intrinsic.estimate_albedo_intensity(df, n_iter=n_iter))), of=lab(df))
 
 
 def labelled(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -33,8 +33,8 @@ def labelled(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: floa
     features = df.withColumnsRenamed(colours).withColumnsRenamed({"beta": "c0", "a": "c1", "b": "c2"})
     found, _ = kmeans.cluster(features, start(features) if start else kmeans.seeds(features, k), max_iter, threshold)
     df = found.withColumnRenamed("label", "cluster").drop(*CHANNELS).withColumnsRenamed({n: c for c, n in colours.items()})
-    df = saved(components.compress_labels(components.connected_components(df, "cluster"), "component", "component"), "components")
-    eroded = windows.erode(df.withColumn("label", F.col("component")), erosion)
+    df = components.eroded_components(df, "cluster", erosion)
+    eroded = df.withColumn("label", F.when(F.col("kept"), F.col("component")).otherwise(F.lit(-1))).drop("kept")
     eroded = saved(components.compress_labels(eroded, "label", "label", background=False), "eroded")
     points = _albedo(eroded)
     means = kmeans.calculate_centroids(points.filter("label >= 0"))

@@ -2,12 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from gridloom.operators import csr, graph, kmeans, linalg, probability
+from gridloom.operators import components, csr, graph, kmeans, linalg, probability, windows
 from gridloom.plans import segmentation
-from gridloom.sources import formats, raster
+from gridloom.sources import formats, raster, storage
 
 
 def plan(df):
@@ -88,3 +89,34 @@ def test_png_files_are_made_of_bands(spark, tmp_path):
         assert (np.rint(back[["c0", "c1", "c2"]].to_numpy().reshape(37, 20, 3) * 255) == values).all()
     steps = plan(raster.encode_png(df))
     assert "FlatMapGroupsInArrow [image_id" in steps and "band" in steps.split("FlatMapGroupsInArrow [")[1].split("]")[0]
+
+
+def test_albedo_is_made_once(spark, monkeypatch):
+    written, saved = [], storage.saved
+    monkeypatch.setattr(storage, "saved", lambda df, name, *a: written.append(plan(df)) or saved(df, name, *a))
+    px = raster.events_raster(spark, DATA).select("image_id", "pid", "x", "y", "c0", "c1", "c2")
+    assert "FlatMapGroupsInArrow" in plan(segmentation.prepared(px))
+    assert written and not any("FlatMapGroupsInArrow" in steps for steps in written)
+
+
+@pytest.mark.parametrize("erosion, tile", [(0, 9), (2, 9)])
+def test_regions_of_tiles_are_those_of_windows(spark, erosion, tile):
+    rng = np.random.default_rng(erosion)
+    rows = []
+    # Noise, blocks, one colour, a spiral that leaves and enters tiles, and a last row that is short.
+    spiral = np.zeros((30, 31), int)
+    top, left, bottom, right = 0, 0, 29, 30
+    while top <= bottom and left <= right:
+        spiral[top, left : right + 1] = spiral[top : bottom + 1, right] = spiral[bottom, left + 2 : right + 1] = spiral[top + 2 : bottom + 1, left + 2 if left + 2 <= right else left] = 1
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    images = {"noise": rng.integers(0, 2, (33, 27)), "blocks": rng.integers(0, 3, (8, 9)).repeat(7, 0).repeat(6, 1), "one": np.zeros((40, 12), int), "spiral": spiral, "low": rng.integers(0, 2, (3, 60))}
+    for name, labels in images.items():
+        h, w = labels.shape
+        most = h * w - 5 if name == "noise" else h * w
+        rows += [(name, p, p % w, p // w, int(labels[p // w, p % w]), f"{name}{p}") for p in range(most)]
+    df = spark.createDataFrame(rows, "image_id string, pid long, x int, y int, label int, more string")
+    got = components.eroded_components(df, erosion=erosion, tile=tile)
+    assert got.columns == [*df.columns, "component", "kept"]
+    want = components.compress_labels(components.connected_components(df), "component", "component")
+    want = windows.erode(want.withColumn("left", F.col("component")), erosion, "left").withColumn("kept", F.col("left") >= 0)
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
