@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..functions.scalar import chroma_slot
 from ..sources.storage import Latest, join_small, saved
 
 SIDE = 16
+#: Most slots of a tile whose windows are added up slot by slot.
+FEW = 32
 
 
 def _window_sums(v: np.ndarray) -> np.ndarray:
@@ -34,8 +37,10 @@ def _tile(x: np.ndarray, y: np.ndarray, light: np.ndarray, before: np.ndarray, s
     within = lambda at, most: np.minimum(np.minimum(at + 1, most - at), SIDE)  # noqa: E731  windows along one axis, as functions.scalar.contributions has them
     count[at] = within(x, width) * within(y, height)
     # Each slot's mean intensity by window, on the part of the tile that the slot's windows cover.
-    parts = []
-    for s in np.unique(slot[slot >= 0]):
+    # With many slots these are kept by pixel instead, for the SIDE x SIDE windows that have it: the rounds' work and memory don't grow with slots.
+    parts, found = [], np.unique(slot[slot >= 0])
+    told = np.zeros((*shape, SIDE, SIDE)) if len(found) > FEW else None
+    for s in found:
         rows, columns = np.nonzero(slot == s)
         top, left = max(0, rows.min() - SIDE + 1), max(0, columns.min() - SIDE + 1)
         bottom, right = min(shape[0], rows.max() + SIDE), min(shape[1], columns.max() + SIDE)
@@ -43,14 +48,19 @@ def _tile(x: np.ndarray, y: np.ndarray, light: np.ndarray, before: np.ndarray, s
         own = slot[box] == s
         n = np.rint(_window_sums(own.astype(float)))
         mean = np.divide(_window_sums(np.where(own, i[box], 0)), n, out=np.zeros_like(n), where=n > 0)
-        parts.append((box, np.s_[top : bottom - SIDE + 1, left : right - SIDE + 1], own, mean))
+        if told is None:
+            parts.append((box, np.s_[top : bottom - SIDE + 1, left : right - SIDE + 1], own, mean))
+        else:
+            told[rows, columns] = sliding_window_view(np.pad(mean, SIDE - 1), (SIDE, SIDE))[rows - top, columns - left]
     for _ in range(n_iter):
         shading = _window_sums(np.divide(i, a, out=np.zeros(shape), where=np.isfinite(a) & (a != 0))) / (SIDE * SIDE)
         inverse = np.divide(1, shading, out=np.zeros_like(shading), where=shading != 0)
         new = np.full(shape, np.nan)
+        if told is not None:
+            every = np.einsum("yxij,yxij->yx", told, sliding_window_view(np.pad(inverse, SIDE - 1), (SIDE, SIDE)))
+            new[slot >= 0] = every[slot >= 0]
         for box, windows, own, mean in parts:
-            told = np.pad(mean * inverse[windows], SIDE - 1)
-            new[box][own] = _window_sums(told)[own]
+            new[box][own] = _window_sums(np.pad(mean * inverse[windows], SIDE - 1))[own]
         a = new / count
     return a[at]
 

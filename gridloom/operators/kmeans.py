@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def _nearest(centroids: str) -> Column:
     return F.array_min(F.transform(centroids, lambda c: F.struct(distance(c).alias("d"), c["label"].alias("label"))))["label"]
 
 
+#: Most centroids of an image whose distances are written out as expressions, which Spark compiles (functions of arrays it doesn't).
+WRITTEN = 16
+
+
+def _with_nearest(met: DataFrame, k: int, name: str) -> DataFrame:
+    """Points with ``__c``, at most k centroids by label, and the label that :func:`_nearest` says."""
+    if not 1 < k <= WRITTEN:
+        return met.withColumn(name, _nearest("__c"))
+    each = [f"__d{j}" for j in range(k)]
+    met = met.withColumns({d: distance(F.get("__c", F.lit(j))) for j, d in enumerate(each)})
+    label = [F.get("__c", F.lit(j))["label"] for j in range(k)]
+    found = F.when(F.col(each[0]) == F.least(*each), label[0])
+    for d, own in zip(each[1:], label[1:], strict=True):
+        found = found.when(F.col(d) == F.least(*each), own)
+    return met.withColumn(name, found.otherwise(label[0])).drop(*each)
+
+
 def distances(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(image_id, pid, label, dist) for every point and centroid of its image."""
     each = F.transform("__c", lambda c: F.struct(c["label"].alias("label"), distance(c).alias("dist")))
@@ -124,17 +142,59 @@ def shift(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("image_id").agg(F.sqrt(F.sum(moved)).alias("shift"))
 
 
+#: Most centroids, of all images, that the driver holds.
+FEW = 50_000
+
+
+def _few(points: DataFrame, start: DataFrame, k: int, max_iter: int, threshold: float, n_iter: int | None) -> DataFrame:
+    """(image_id, used, now): centroids at the end of :func:`cluster`, which the driver has meanwhile."""
+    spark, kind = points.sparkSession, pa.list_(pa.struct([("label", pa.int64()), *((c, pa.float64()) for c in CHANNELS)]))
+    now = {r["image_id"]: [(c["label"], *(math.nan if c[x] is None else float(c[x]) for x in CHANNELS)) for c in r["now"]] for r in start.collect()}
+    of = start.schema["now"].dataType.elementType["label"].dataType
+
+    def table(**states: dict[str, list[tuple]]) -> DataFrame:
+        images = list(next(iter(states.values())))
+        columns = [pa.array([[dict(zip(("label", *CHANNELS), c, strict=True)) for c in state[i]] for i in images], kind) for state in states.values()]
+        out = spark.createDataFrame(pa.table([pa.array(images, None if images else pa.string()), *columns], ["image_id", *states]))
+        return out.withColumns({n: F.transform(n, lambda c: F.struct(c["label"].cast(of).alias("label"), *(c[x].alias(x) for x in CHANNELS))) for n in states})
+
+    used, before, going = dict(now), dict.fromkeys(now, math.inf), set(now)
+    narrow = points.select("image_id", *CHANNELS)
+    for _ in range(max_iter if n_iter is None else n_iter):
+        if not going:
+            break
+        met = narrow.join(F.broadcast(table(__c={i: now[i] for i in going})), "image_id")
+        told = _with_nearest(met, k, "__label").groupBy("image_id", "__label").agg(*(F.avg(c).alias(c) for c in CHANNELS)).collect()
+        means = {(r["image_id"], r["__label"]): [0.0 if r[c] is None else r[c] for c in CHANNELS] for r in told}
+        for image in list(going):
+            new = [(c[0], *means.get((image, c[0]), (0.0, 0.0, 0.0))) for c in now[image]]
+            shift = math.sqrt(sum(sum((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)) for a, b in zip(now[image], new, strict=True)))
+            used[image], now[image] = now[image], new
+            # Not a number goes on.
+            if n_iter is None and abs(shift - before[image]) <= threshold:
+                going.remove(image)
+            before[image] = shift
+    return table(used=used, now=now)
+
+
 def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: float = 1.0, n_iter: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Lloyd's loop: labelled points (of the last assignment, made before the last update) and centroids.
 
     An image stops when its centroids' shift changes by no more than
     ``threshold`` from one round to the next; all stop after ``max_iter``;
-    ``n_iter`` fixes the number of rounds. The state is one row an image, written
+    ``n_iter`` fixes the number of rounds. The state is one row an image. Up to FEW centroids in all
+    it is on the driver, a round is one job, and the end is written. More are written
     out each round (so plans don't grow) and broadcast to the points of images
     that go on, up to SMALL images; a round moves only means, k rows a task and image.
     """
-    start = _arrays(centroids.select("image_id", "label", *CHANNELS), "now")
-    rounds = Latest(points.sparkSession, "state")
+    centroids = saved(centroids.select("image_id", "label", *CHANNELS), "seeds")
+    start, rounds = _arrays(centroids, "now"), Latest(points.sparkSession, "state")
+    table = lambda name: state.select("image_id", F.explode(name).alias("c")).select("image_id", "c.*")
+    if centroids.count() <= FEW:
+        k = start.agg(F.max(F.size("now"))).first()[0] or 0
+        state = rounds.put(_few(points, start, k, max_iter, threshold, n_iter))
+        met = points.join(F.broadcast(state.select("image_id", F.col("used").alias("__c"))), "image_id")
+        return _with_nearest(met, k, "label").drop("__c"), table("now")
     state = rounds.put(start.select("image_id", F.col("now").alias("used"), "now", F.lit(math.inf).alias("before"), F.lit(True).alias("going")))
     few = state.count() <= SMALL
     done = 0
@@ -154,7 +214,6 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
         done += 1
         if n_iter is None and state.filter("going").isEmpty():
             break
-    table = lambda name: state.select("image_id", F.explode(name).alias("c")).select("image_id", "c.*")
     return label_points(points, table("used")), table("now")
 
 

@@ -6,7 +6,7 @@ import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from gridloom.operators import components, csr, graph, kmeans, linalg, probability, windows
+from gridloom.operators import components, csr, graph, intrinsic, kmeans, linalg, probability, windows
 from gridloom.plans import segmentation
 from gridloom.sources import formats, raster, storage
 
@@ -120,3 +120,30 @@ def test_regions_of_tiles_are_those_of_windows(spark, erosion, tile):
     want = components.compress_labels(components.connected_components(df), "component", "component")
     want = windows.erode(want.withColumn("left", F.col("component")), erosion, "left").withColumn("kept", F.col("left") >= 0)
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+
+
+def test_few_centroids_stay_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(name, i, *map(float, rng.uniform(size=3))) for name, n in (("a", 400), ("b", 60), ("c", 2)) for i in range(n)]
+    points = spark.createDataFrame([*rows, ("b", 60, float("nan"), 0.5, 0.5), ("a", 400, None, 0.5, 0.5)], "image_id string, pid long, c0 double, c1 double, c2 double")
+    start, written, found = kmeans.seeds(points.filter("pid < 60"), 4), [], []
+    put = kmeans.Latest.put
+    monkeypatch.setattr(kmeans.Latest, "put", lambda self, df: written.append(self.name) or put(self, df))
+    for few, n_iter in ((kmeans.FEW, None), (0, None), (kmeans.FEW, 2), (0, 2)):
+        monkeypatch.setattr(kmeans, "FEW", few)
+        labelled, centroids = kmeans.cluster(points, start, 6, 1e-2, n_iter)
+        assert (len(written) == 1) == (few > 0)
+        written.clear()
+        found.append((labelled.schema, sorted(map(str, labelled.collect())), sorted((r["image_id"], r["label"]) for r in centroids.collect()), np.array([r[2:] for r in centroids.orderBy("image_id", "label").collect()])))
+    for few, many in (found[:2], found[2:]):
+        assert few[:3] == many[:3] and np.allclose(few[3], many[3], rtol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("few", [0, 400])
+def test_windows_of_many_slots_are_those_of_few(monkeypatch, few):
+    rng = np.random.default_rng(8)
+    y, x = np.divmod(np.arange(60 * 50), 50)
+    light, slots = rng.uniform(0.1, 1, 3000), np.where(rng.random(3000) < 0.01, -1, rng.integers(0, 60, 3000))
+    want = intrinsic._tile(x, y, light, light.copy(), slots, 50, 60, 3)
+    monkeypatch.setattr(intrinsic, "FEW", few)
+    assert np.allclose(intrinsic._tile(x, y, light, light.copy(), slots, 50, 60, 3), want, rtol=1e-12, equal_nan=True)
