@@ -142,6 +142,20 @@ def shift(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("image_id").agg(F.sqrt(F.sum(moved)).alias("shift"))
 
 
+#: Points of one colour go through the rounds as one where there are so many times fewer colours (of each image) than points.
+FEWER = 4
+
+
+def _weighed(points: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """(image_id, c0, c1, c2) that have the points' means, and the means: distinct colours with their number ``n``, if these are far fewer than points."""
+    narrow = points.select("image_id", *CHANNELS)
+    told = narrow.agg(F.count("*").alias("points"), F.approx_count_distinct(F.xxhash64("image_id", *CHANNELS)).alias("colours")).first()
+    if told["colours"] * FEWER > told["points"]:
+        return narrow, {c: F.avg(c) for c in CHANNELS}
+    colours = saved(narrow.groupBy("image_id", *CHANNELS).agg(F.count("*").alias("n")), "colours")
+    return colours, {c: F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum(F.when(F.col(c).isNotNull(), F.col("n")))) for c in CHANNELS}
+
+
 #: Most centroids, of all images, that the driver holds.
 FEW = 50_000
 
@@ -159,12 +173,12 @@ def _few(points: DataFrame, start: DataFrame, k: int, max_iter: int, threshold:
         return out.withColumns({n: F.transform(n, lambda c: F.struct(c["label"].cast(of).alias("label"), *(c[x].alias(x) for x in CHANNELS))) for n in states})
 
     used, before, going = dict(now), dict.fromkeys(now, math.inf), set(now)
-    narrow = points.select("image_id", *CHANNELS)
+    narrow, mean = _weighed(points)
     for _ in range(max_iter if n_iter is None else n_iter):
         if not going:
             break
         met = narrow.join(F.broadcast(table(__c={i: now[i] for i in going})), "image_id")
-        told = _with_nearest(met, k, "__label").groupBy("image_id", "__label").agg(*(F.avg(c).alias(c) for c in CHANNELS)).collect()
+        told = _with_nearest(met, k, "__label").groupBy("image_id", "__label").agg(*(mean[c].alias(c) for c in CHANNELS)).collect()
         means = {(r["image_id"], r["__label"]): [0.0 if r[c] is None else r[c] for c in CHANNELS] for r in told}
         for image in list(going):
             new = [(c[0], *means.get((image, c[0]), (0.0, 0.0, 0.0))) for c in now[image]]
@@ -186,22 +200,25 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
     it is on the driver, a round is one job, and the end is written. More are written
     out each round (so plans don't grow) and broadcast to the points of images
     that go on, up to SMALL images; a round moves only means, k rows a task and image.
+    Where points have few colours, rounds go over these and their numbers.
     """
     centroids = saved(centroids.select("image_id", "label", *CHANNELS), "seeds")
     start, rounds = _arrays(centroids, "now"), Latest(points.sparkSession, "state")
     table = lambda name: state.select("image_id", F.explode(name).alias("c")).select("image_id", "c.*")
+    k = start.agg(F.max(F.size("now"))).first()[0] or 0
     if centroids.count() <= FEW:
-        k = start.agg(F.max(F.size("now"))).first()[0] or 0
         state = rounds.put(_few(points, start, k, max_iter, threshold, n_iter))
         met = points.join(F.broadcast(state.select("image_id", F.col("used").alias("__c"))), "image_id")
         return _with_nearest(met, k, "label").drop("__c"), table("now")
     state = rounds.put(start.select("image_id", F.col("now").alias("used"), "now", F.lit(math.inf).alias("before"), F.lit(True).alias("going")))
     few = state.count() <= SMALL
+    send = F.broadcast if few else lambda df: df
+    narrow, weighed = _weighed(points)
     done = 0
     while done < (max_iter if n_iter is None else n_iter):
         turn = state.filter("going").select("image_id", F.col("now").alias("__c"))
-        met = points.join(F.broadcast(turn) if few else turn, "image_id").withColumn("__label", _nearest("__c"))
-        means = met.groupBy("image_id", "__label").agg(F.struct(*(F.avg(c).alias(c) for c in CHANNELS)).alias("__mean"))
+        met = _with_nearest(narrow.join(send(turn), "image_id"), k, "__label")
+        means = met.groupBy("image_id", "__label").agg(F.struct(*(weighed[c].alias(c) for c in CHANNELS)).alias("__mean"))
         means = means.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("__label", "__mean"))).alias("__means"))
         mean = lambda c: F.try_element_at("__means", c["label"])
         new = F.transform("now", lambda c: F.struct(c["label"].alias("label"), *(F.coalesce(mean(c)[x], F.lit(0.0)).alias(x) for x in CHANNELS)))
@@ -214,7 +231,8 @@ def cluster(points: DataFrame, centroids: DataFrame, max_iter: int, threshold: f
         done += 1
         if n_iter is None and state.filter("going").isEmpty():
             break
-    return label_points(points, table("used")), table("now")
+    met = points.join(send(state.select("image_id", F.col("used").alias("__c"))), "image_id")
+    return _with_nearest(met, k, "label").drop("__c"), table("now")
 
 
 def cluster_mllib(points: DataFrame, k: int, max_iter: int, threshold: float = 1e-4, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -26,17 +26,19 @@ def foreground_ids(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(F.col(label) != -1).select("image_id", "pid", F.col(label).alias("label"))
 
 
-def set_selection(df: DataFrame, centroids: DataFrame, most: int = 10, label: str = "label", metric: str = "sum") -> DataFrame:
-    """(image_id, label, pid, rank): the pixels of each label nearest its centroid. The limit works before the shuffle."""
+def set_selection(df: DataFrame, centroids: DataFrame, most: int = 10, label: str = "label", metric: str = "sum", colours: bool = False) -> DataFrame:
+    """(image_id, label, pid, rank), and with ``colours`` the channels: the pixels of each label nearest its centroid. The limit works before the shuffle."""
     points = df.filter(F.col(label) != -1).select("image_id", "pid", F.col(label).alias("label"), F.struct(*CHANNELS).alias("p"))
     means = centroids.select("image_id", "label", F.struct(*CHANNELS).alias("m"))
     near = join_small(points, means, ["image_id", "label"]).withColumn("d", _squared("p", "m", metric))
     at = F.row_number().over(Window.partitionBy("image_id", "label").orderBy("d", "pid"))
-    return near.withColumn("rank", at.cast("int")).filter(F.col("rank") <= most).select("image_id", "label", "pid", "rank")
+    return near.withColumn("rank", at.cast("int")).filter(F.col("rank") <= most).select("image_id", "label", "pid", "rank", *(["p.*"] if colours else []))
 
 
 def exemplars(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The selected pixels with their colours."""
+    """The selected pixels with their colours; pixels aren't read for those that have them."""
+    if set(CHANNELS) <= set(ids.columns):
+        return ids.select("image_id", "pid", "label", *CHANNELS)
     return join_small(df.select("image_id", "pid", *CHANNELS), ids.select("image_id", "label", "pid"), ["image_id", "pid"]).select("image_id", "pid", "label", *CHANNELS)
 
 
@@ -209,43 +211,52 @@ def remove_outliers(df: DataFrame, ids: DataFrame, k: int = 10, votes: int = 5,
     return ids.join(near.filter(agree >= votes).select("image_id", "pid"), ["image_id", "pid"], "left_semi")
 
 
-def _compared(df: DataFrame, ids: DataFrame, metric: str, inverse: bool, power: float, sets: int, how: str = "inner") -> tuple[DataFrame, bool]:
-    """Pixels with ``logs`` (label, g) of the sets of their image, the greatest g (``top``) and what exp(g - top) add up to (``total``).
+def _met(df: DataFrame, ids: DataFrame, sets: int, how: str) -> tuple[DataFrame, int]:
+    """Pixels with ``sets`` of their image by label (label, the exemplars' mean c0, c1, c2, and ``spread``, their mean squared distance to it), and the most sets of an image.
 
-    True if images have more than ``sets`` sets: then a pixel is several rows, by ``part``.
+    With more than ``sets`` a pixel is several rows, by ``part``.
     """
-    if metric not in ("sum", "l2"):
-        raise ValueError(f"metric {metric!r} is neither 'sum' nor 'l2'")
-    every = exemplars(df, ids).groupBy("image_id", "label").agg(F.collect_list(F.struct(*CHANNELS)).alias("members"))
-    every = saved(every, "sets")
+    members = exemplars(df, ids).groupBy("image_id", "label").agg(F.sort_array(F.collect_list(F.struct(*CHANNELS))).alias("members"))
+    # From the first on, so that the mean of equal colours is that colour.
+    first, each = F.col("members")[0], lambda value: F.aggregate("members", F.lit(0.0), lambda t, e: t + value(e)) / F.size("members")
+    every = members.select("image_id", "label", "members", *((first[c] + each(lambda e, c=c: e[c] - first[c])).alias(c) for c in CHANNELS))
+    apart = lambda e: sum(((e[c] - F.col(c)) * (e[c] - F.col(c)) for c in CHANNELS[1:]), (e["c0"] - F.col("c0")) * (e["c0"] - F.col("c0")))
+    every = saved(every.select("image_id", "label", *CHANNELS, each(apart).alias("spread")), "sets")
     many = every.groupBy("image_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     part = F.pmod(F.xxhash64("label"), F.lit(-(-many // sets))).cast("int") if many > sets else F.lit(0)
-    parts = every.groupBy("image_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("label", "members"))).alias("sets"))
+    parts = every.groupBy("image_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("label", *CHANNELS, "spread"))).alias("sets"))
+    table, few = saved(parts, "sets"), every.count() <= SMALL
+    return df.join(F.broadcast(table) if few else table.hint("merge"), "image_id", how), many
+
+
+def _log(s: Column, metric: str, inverse: bool, power: float) -> Column:
+    """Logarithm of a pixel's mean squared distance to a set's exemplars, to the ``power``: that to their mean, and their spread."""
+    if metric not in ("sum", "l2"):
+        raise ValueError(f"metric {metric!r} is neither 'sum' nor 'l2'")
     sign = 1.0 if metric == "sum" else -1.0
+    terms = [F.col(c) + s[c] * sign for c in CHANNELS]
+    mean = terms[0] * terms[0] + terms[1] * terms[1] + terms[2] * terms[2] + s["spread"]
+    return F.ln(F.greatest(mean, F.lit(1e-300))) * (-power if inverse else power)
 
-    def squared(e: Column) -> Column:
-        terms = [F.col(c) + e[c] * sign for c in CHANNELS]
-        return terms[0] * terms[0] + terms[1] * terms[1] + terms[2] * terms[2]
 
-    mean = lambda s: F.aggregate(s["members"], F.lit(0.0), lambda t, e: t + squared(e)) / F.size(s["members"])
-    logs = F.transform("sets", lambda s: F.struct(s["label"].alias("label"), (F.ln(F.greatest(mean(s), F.lit(1e-300))) * (-power if inverse else power)).alias("g")))
-    # 10 exemplars a set: the broadcast is bounded by the number of sets.
-    table, few = saved(parts, "sets"), every.count() * 10 <= SMALL
-    out = df.join(F.broadcast(table) if few else table.hint("merge"), "image_id", how).withColumn("logs", logs).drop("sets")
-    out = out.withColumn("top", F.array_max(F.transform("logs", lambda x: x["g"])))
-    return out.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["g"] - F.col("top")))), many > sets
+def _compared(met: DataFrame, metric: str, inverse: bool, power: float) -> DataFrame:
+    """Pixels of :func:`_met` with ``logs`` (label, g) of their sets, the greatest g (``top``) and what exp(g - top) add up to (``total``)."""
+    logs = F.transform("sets", lambda s: F.struct(s["label"].alias("label"), _log(s, metric, inverse, power).alias("g")))
+    out = met.withColumn("logs", logs).drop("sets").withColumn("top", F.array_max(F.transform("logs", lambda x: x["g"])))
+    return out.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x["g"] - F.col("top"))))
 
 
 def set_probability(df: DataFrame, ids: DataFrame, metric: str = "sum", inverse: bool = False, power: float = 20.0, sets: int = 256) -> DataFrame:
     """(image_id, label, pid, p): each pixel's share of its mean distances to the sets, each to the ``power``.
 
-    Exemplars (10 a set) travel as arrays of at most ``sets`` sets, so a pixel is a row
+    A set is the mean of its exemplars and their spread about it, of which their mean distance to any pixel is the sum. Sets travel as arrays of at most ``sets``, so a pixel is a row
     for each such array until its probabilities are known, and nothing of size
     pixels x exemplars is made. Powers are taken as differences of logarithms;
     an image of more sets adds up its pixels' parts first.
     """
-    out, several = _compared(df.select("image_id", "pid", *CHANNELS), ids, metric, inverse, power, sets)
-    if several:
+    met, most = _met(df.select("image_id", "pid", *CHANNELS), ids, sets, "inner")
+    out = _compared(met, metric, inverse, power)
+    if most > sets:
         pixel = Window.partitionBy("image_id", "pid")
         out = out.withColumn("whole", F.max("top").over(pixel)).withColumn("total", F.sum(F.col("total") * F.exp(F.col("top") - F.col("whole"))).over(pixel)).withColumn("top", F.col("whole"))
     out = out.select("image_id", "pid", "top", "total", F.explode("logs").alias("x"))
@@ -257,9 +268,10 @@ def most_likely(df: DataFrame, ids: DataFrame, name: str = "best", metric: str =
 
     A pixel isn't moved, unless its image has more than ``sets`` sets.
     """
-    out, several = _compared(df, ids, metric, inverse, power, sets, "left")
+    met, most = _met(df, ids, sets, "left")
+    out = _compared(met, metric, inverse, power)
     out = out.withColumn(name, F.array_min(F.transform(F.filter("logs", lambda x: x["g"] == F.col("top")), lambda x: x["label"])))
-    if several:
+    if most > sets:
         pixel = Window.partitionBy("image_id", "pid")
         out = out.withColumn("whole", F.max("top").over(pixel)).withColumn("total", F.sum(F.col("total") * F.exp(F.col("top") - F.col("whole"))).over(pixel))
         out = out.withColumn(name, F.min(F.when(F.col("top") == F.col("whole"), F.col(name))).over(pixel))

@@ -38,7 +38,7 @@ def labelled(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: floa
     eroded = saved(components.compress_labels(eroded, "label", "label", background=False), "eroded")
     points = _albedo(eroded)
     means = kmeans.calculate_centroids(points.filter("label >= 0"))
-    return eroded, saved(probability.set_selection(points, means), "exemplars")
+    return eroded, saved(probability.set_selection(points, means, colours=True), "exemplars")
 
 
 def segment(pixels: DataFrame, k: int = 5, max_iter: int = 100, threshold: float = 1e-3, erosion: int = 10, n_iter: int = 5, start: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -193,10 +193,11 @@ def png(values: np.ndarray) -> bytes:
 BAND = 1 << 18
 
 
-def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2"), band: int = BAND) -> DataFrame:
+def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1", "c2"), band: int = BAND, tasks: int | None = None) -> DataFrame:
     """(image_id, width, height, png): quantized, one file an image.
 
     Bands of lines, of about ``band`` pixels, are compressed by themselves; only their bytes meet in one task, as a file must.
+    Files come out of ``tasks`` tasks, however short they are.
     """
     from ..functions.scalar import quantize
 
@@ -212,6 +213,8 @@ def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1",
         return pa.table({"image_id": [image], "width": pa.array([w], pa.int32()), "height": pa.array([h], pa.int32()), "band": pa.array([part], pa.int32()), **{n: pa.array([v], t) for n, v, t in zip(("data", "n", "sum"), _band(out), (pa.binary(), pa.int64(), pa.int64()), strict=True)}})
 
     bands = df.withColumn("band", F.expr("cast(y div lines as int)")).groupBy("image_id", "band").applyInArrow(compress, "image_id string, width int, height int, band int, data binary, n long, sum long")
+    if tasks is not None:
+        bands = bands.repartition(tasks, "image_id", "width", "height")
     head, tail = F.udf(_head, "binary"), F.udf(_tail, "binary")
     files = bands.groupBy("image_id", "width", "height").agg(F.sort_array(F.collect_list(F.struct("band", "data", "n", "sum"))).alias("bands"))
     ends = files.select("image_id", "width", "height", "bands", head("width", "height").alias("head"), tail(F.transform("bands", lambda b: F.struct(b["n"].alias("n"), b["sum"].alias("sum")))).alias("tail"))
@@ -220,6 +223,10 @@ def encode_png(pixels: DataFrame, channels: tuple[str, str, str] = ("c0", "c1",
     return ends.select("image_id", "width", "height", F.concat("head", F.unhex(body), "tail").alias("png"))
 
 
+#: Files that a task of :func:`write_images` writes, about, where there are many.
+FILES = 64
+
+
 def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str] = ("c0", "c1", "c2")) -> DataFrame:
     """Write each image as a PNG file into ``folder``, whatever file system Spark has for it; (image_id, path) of the files.
 
@@ -231,17 +238,20 @@ def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str]
     """
     spark = pixels.sparkSession
     name = F.regexp_extract(F.regexp_replace("image_id", "/+$", ""), r"([^/]*?)(\.[^./]*)?$", 1)
-    encoded = encode_png(pixels, channels).select("image_id", name.alias("name"), F.col("png").cast("string").alias("png"))
     names = saved(pixels.select("image_id").distinct().select("image_id", name.alias("name")), "names")
     twice = names.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").first()
     if twice is not None:
         raise ValueError(f"{twice['n']} images are called {twice['name']!r}")
+    # Spark would put short files together into one task by their bytes, which writes them one after another.
+    files = names.count()
+    tasks = max(1, min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), files // FILES)))
+    encoded = encode_png(pixels, channels, tasks=tasks).select(name.alias("name"), F.col("png").cast("string").alias("png"))
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(folder)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    hidden = hadoop.Path(at, f"_writing-{uuid.uuid4().hex}")
+    hidden, known = hadoop.Path(at, f"_writing-{uuid.uuid4().hex}"), system.exists(at)
     try:
-        encoded.select("name", "png").write.partitionBy("name").text(hidden.toString())
+        encoded.write.partitionBy("name").text(hidden.toString())
         found = system.listFiles(hidden, True)
         unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         while found.hasNext():
@@ -249,7 +259,7 @@ def write_images(pixels: DataFrame, folder: str, channels: tuple[str, str, str]
             if not part.getName().startswith("part-"):
                 continue
             goal = hadoop.Path(at, unescape(part.getParent().getName().removeprefix("name=")) + ".png")
-            if system.exists(goal):
+            if known and system.exists(goal):
                 system.delete(goal, False)
             if not system.rename(part, goal):
                 raise OSError(f"{part.toString()} can't be renamed")

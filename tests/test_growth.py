@@ -147,3 +147,68 @@ def test_windows_of_many_slots_are_those_of_few(monkeypatch, few):
     want = intrinsic._tile(x, y, light, light.copy(), slots, 50, 60, 3)
     monkeypatch.setattr(intrinsic, "FEW", few)
     assert np.allclose(intrinsic._tile(x, y, light, light.copy(), slots, 50, 60, 3), want, rtol=1e-12, equal_nan=True)
+
+
+def test_short_png_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    px = spark.range(12 * 256).selectExpr("concat('p', id div 256) AS image_id", "cast(id % 16 as int) AS x", "cast(id div 16 % 16 as int) AS y", "0.5D AS c0", "0.25D AS c1", "1D AS c2")
+    made, encode = [], raster.encode_png
+    monkeypatch.setattr(raster, "encode_png", lambda *a, **k: made.append(encode(*a, **k)) or made[-1])
+    raster.write_images(px, str(tmp_path / "out"))
+    assert sorted(f.name for f in (tmp_path / "out").glob("*.png")) == sorted(f"p{n}.png" for n in range(12))
+    assert made[0].select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_points_of_one_colour_go_through_rounds_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    colours = [*rng.uniform(size=(9, 3)).tolist(), [None, 0.5, 0.5]]
+    rows = [(name, i, *colours[(i * i + len(name)) % 10]) for name, n in (("a", 400), ("bb", 90)) for i in range(n)]
+    points = spark.createDataFrame(rows, "image_id string, pid long, c0 double, c1 double, c2 double")
+    assert kmeans._weighed(points)[0].count() == points.select("image_id", "c0", "c1", "c2").distinct().count() <= 20
+    start, found = kmeans.distinct_seeds(points.dropna(), 3), []
+    for fewer, few in ((kmeans.FEWER, kmeans.FEW), (kmeans.FEWER, 0), (1000, kmeans.FEW)):
+        monkeypatch.setattr(kmeans, "FEWER", fewer)
+        monkeypatch.setattr(kmeans, "FEW", few)
+        labelled, centroids = kmeans.cluster(points, start, 20, 1e-9)
+        found.append((sorted(map(str, labelled.collect())), np.array([r[2:] for r in centroids.orderBy("image_id", "label").collect()])))
+    assert all(f[0] == found[2][0] and np.allclose(f[1], found[2][1], rtol=1e-12) for f in found[:2])
+
+
+@pytest.mark.parametrize("metric, inverse", [("sum", False), ("l2", False), ("l2", True)])
+def test_sets_are_means_and_spreads(spark, metric, inverse):
+    rng = np.random.default_rng(12)
+    values = np.concatenate([rng.uniform(size=(80, 3)), np.full((10, 3), 0.1), np.full((10, 3), 0.1)])
+    labels = np.array([*(np.arange(80) % 4), *[4] * 10, *[5] * 10])
+    rows = [("a", i, int(label), *map(float, v)) for i, (label, v) in enumerate(zip(labels, values, strict=True))]
+    df = spark.createDataFrame(rows, "image_id string, pid long, label long, c0 double, c1 double, c2 double")
+    ids = probability.set_selection(df, kmeans.calculate_centroids(df), metric=metric, colours=True)
+    # Exemplars bring their colours: no pixels are read or joined for them.
+    assert "Join" not in plan(probability.exemplars(df, spark.createDataFrame(ids.collect(), ids.schema)))
+    own = {s: values[[r["pid"] for r in ids.filter(f"label = {s}").collect()]] for s in range(6)}
+    sign = 1 if metric == "sum" else -1
+    far = np.array([((values[:, None] + sign * own[s]) ** 2).sum(2).mean(1) for s in range(6)])
+    logs = np.log(np.maximum(far, 1e-300)) * (-20 if inverse else 20)
+    want = np.exp(logs - logs.max(0))
+    want /= want.sum(0)
+    got = np.zeros(want.shape)
+    for r in probability.set_probability(df, ids, metric, inverse).collect():
+        got[r["label"], r["pid"]] = r["p"]
+    # The last two sets are of one colour, that of their pixels: equally likely everywhere.
+    assert np.allclose(got, want, atol=1e-9) and (got[4] == got[5]).all()
+
+
+def test_names_of_files_are_cut_out_without_a_pattern(spark, monkeypatch):
+    from gridloom.plans import registry
+
+    class Stop(Exception):
+        pass
+
+    def stop(df, name, *more):
+        steps.append(plan(df))
+        raise Stop
+
+    px, steps = raster.event_pictures(spark, DATA, 500, 1, 16), []
+    monkeypatch.setattr(registry, "saved", stop)
+    with pytest.raises(Stop):
+        registry.segmentation_of_pictures(px)
+    # A pattern that may begin anywhere in a path took 20 microseconds a pixel.
+    assert "regexp_extract" not in steps[0].lower()
