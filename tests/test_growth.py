@@ -51,6 +51,17 @@ def test_links_repeat_themselves_at_short_distances(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "links").glob("part-*")) < 0.5 * 2500 * 2499
 
 
+def test_links_are_made_in_nested_loops_of_short_arrays(spark):
+    segments = [("a", 0, s) for s in range(600)] + [("a", 1, 5), ("b", 0, 5), ("b", 0, 6), ("b", 0, 6), ("b", None, 8), ("b", 0, None), (None, 0, 1), (None, 0, 2)]
+    m = spark.createDataFrame(segments, "image_id string, cluster long, segment long")
+    links = graph.cluster_links(m, at_once=20_000, run=64, together=4)
+    want = sorted((i, c, s, t) for i, c, s in segments for j, d, t in segments if (i, c) == (j, d) and None not in (i, c, s, t) and s != t)
+    assert sorted(tuple(r) for r in links.collect()) == want
+    # A lookup is for a run of segments and a few others at once, not for one of them: what meets has two arrays.
+    steps = plan(links)
+    assert steps.count("Generate explode") >= 2 and steps.index("Generate explode") < steps.index("Join")
+
+
 def test_a_task_makes_a_bounded_number_of_entries(spark, monkeypatch):
     monkeypatch.setattr(linalg, "PIXELS", 50)
     sizes = spark.createDataFrame([("a", 40, 25)], "image_id string, width int, height int")
